@@ -156,3 +156,44 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(max(len(data), 1), "up")[: len(data)], out=c[1:])
     h = (c[ends] - c[starts]) * _powers(len(data) + 1, "down")[starts]
     return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int, max_bytes: int | None = None) -> DataFrame:
+    """At most ``max_rows`` labelled texts (doc_id, text, y) for fitting, none held out.
+
+    Rows are taken in the order of a hash of doc_id. The bound is on labels, so the small side of
+    the join has at most ``max_rows`` rows of two numbers and is broadcast. Rows without id, label or
+    text are not used, nor (with ``max_bytes``) texts longer than that.
+    """
+    few = (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), modulus) != held))
+        .groupBy("doc_id").agg(F.max(label).cast("string").alias("y"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    )
+    own = docs.select("doc_id", "text").where("text is not null")
+    if max_bytes:
+        own = own.where(F.octet_length("text") <= max_bytes)
+    return own.join(F.broadcast(few), "doc_id")
+
+
+def class_words(data: np.ndarray, offs: np.ndarray, is_sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as maximal runs of bytes outside ``is_sep`` (256 flags) that do not cross documents:
+    starts, ends and each word's document."""
+    n = len(data)
+    if not n:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    w = ~is_sep[data]
+    head = np.zeros(n + 1, bool)
+    head[offs] = True
+    head = head[:n]
+    before = np.concatenate([[False], w[:-1]])
+    starts = np.flatnonzero(w & (~before | head))
+    after = np.concatenate([w[1:], [False]])
+    tail = np.concatenate([head[1:], [True]])
+    ends = np.flatnonzero(w & (~after | tail)) + 1
+    return starts, ends, np.searchsorted(offs, starts, "right") - 1
+
+
+def per_doc(values: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    return np.bincount(doc, weights=values, minlength=docs)

@@ -60,6 +60,30 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.quality import assess
+
+    return assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.toxicity import assess
+
+    return assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.langid import assess
+
+    return assess(table(spark, sf_dir, "documents"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.packing import pack
 
