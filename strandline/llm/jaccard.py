@@ -145,8 +145,17 @@ def _pairs(ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray,
     most; 0: all of other components. ``side``: 0 and 1 in a pair of blocks (only pairs across)."""
     if len(ids) < 2:
         return
-    tree = RTree(vec, size)
     across = side.any() and not side.all()
+    if len(ids) <= LEAF and not across:  # one leaf: compare its points at once
+        bound = np.minimum(vec[:, None].astype(np.int32), vec[None]).sum(2)
+        both = size[:, None] + size
+        ok = ((100 + percent) * bound >= percent * both) & (100 * size[:, None] >= percent * size) & (100 * size >= percent * size[:, None])
+        ok &= (ids[:, None] < ids) & (True if best else comp[:, None] != comp)
+        i, j = np.nonzero(ok)
+        if len(i):
+            yield ids[i], ids[j], bound[i, j]
+        return
+    tree = RTree(vec, size)
     for i in np.flatnonzero(side == 0) if across else range(len(ids)):
         j, bound = tree.search(vec[i].astype(np.int32), int(size[i]), percent)
         ok = (ids[j] != ids[i]) & ((side[j] == 1) if across else True)
@@ -310,7 +319,10 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int
 
     # every class stands in its band and the next, so neighbours in size meet in one group
     at = met.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    sizes = at.groupBy("k", "band").agg(F.count("*").alias("c")).where("c > 1").withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
+    # near copies share many shingles: of groups with the same members one is kept
+    members = at.groupBy("k", "band").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "id")).alias("y")).where("c > 1")
+    sizes = members.groupBy("c", "x", "y").agg(F.min(F.struct("k", "band")).alias("g")).select("g.k", "g.band", "c").withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
+    sizes = stored(sizes, "jac-groups")
     spread = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     keys = ["k", "band", "i", "j"]
 
