@@ -221,27 +221,50 @@ def _by_group(keys: list[str], percent: int, best: int):
     return run
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, decided on the whole texts' shingles."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, fan: int = 256) -> DataFrame:
+    """The pairs (a, b) that link, decided on the whole texts' shingles.
+
+    Texts travel compressed: a's once for every ``fan`` of its partners (so a hub is dealt over
+    tasks), b's once a pair. A task holds one set of a while its partners stream by.
+    """
+    import zstandard
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            blobs = [z.compress((t or "").encode("utf-8", "replace")) for t in col(b, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([col(b, "id"), pa.array(blobs, pa.binary())], names=["id", "z"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        held, sets = None, []
         for big in batches:
-            for b in slices([big], "ta", 1 << 20):
-                sets = []
-                for c in ("ta", "tb"):
-                    x, _, size = shingles(col(b, c), n)
-                    ends = np.cumsum(size)
-                    sets.append([x[i:j] for i, j in zip(ends - size, ends)])
-                ok = []
-                for p, q in zip(*sets):
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(p) + len(q) - both))
-                mask = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([col(b, "a").filter(mask), col(b, "b").filter(mask)], names=["a", "b"])
+            for b in slices([big], "z", 1 << 20):
+                x, _, size = shingles(pa.array([z.decompress(t) for t in col(b, "z").to_pylist()], pa.binary()).cast(pa.string()), n)
+                ends = np.cumsum(size)
+                found = []
+                for a, salt, o, i, j in zip(*(col(b, c).to_pylist() for c in ("a", "salt", "b")), ends - size, ends):
+                    own = x[i:j]
+                    if o is None:
+                        if held != (a, salt):
+                            held, sets = (a, salt), []
+                        sets.append(own)
+                        continue
+                    for p in sets:
+                        both = len(np.intersect1d(p, own, assume_unique=True))
+                        if 100 * both >= percent * (len(p) + len(own) - both):
+                            found.append((a, o))
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = stored(texts.join(need, "id"), "jac-texts")
-    joined = pairs.join(own.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(own.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
-    out = stored(joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "jac-links")
+    own = stored(texts.join(need, "id").mapInArrow(squeeze, "id long, z binary"), "jac-texts")
+    discard(need)
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / fan).cast("int").alias("salts"))
+    members = own.withColumnRenamed("id", "b").join(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "b")
+    heads = own.withColumnRenamed("id", "a").join(degree.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), "a")
+    rows = heads.select("a", "salt", F.lit(None).cast("long").alias("b"), "z").unionByName(members.select("a", "salt", "b", "z"))
+    out = stored(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(decide, "a long, b long").distinct(), "jac-links")
     discard(own)
     return out
 
@@ -333,7 +356,10 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int
     zero = F.lit(0)
     first = at.join(sizes, ["k", "band"]).select("k", "band", spread.alias("i"), zero.alias("j"), "id", "n", F.lit(0).cast("long").alias("comp"), zero.alias("side"), "vec")
     texts = base.withColumnRenamed("doc_id", "id").where("id is not null")
-    pairs = stored(candidates(first, 2).groupBy("a", "b").agg(F.max("w").alias("w")), "jac-pairs")
+    pairs = candidates(first, 1).groupBy("a", "b").agg(F.max("w").alias("w"))
+    either = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("o"), "w"), F.struct(F.col("b").alias("id"), F.col("a").alias("o"), "w"))).alias("e")).select("e.*")
+    best = either.groupBy("id").agg(F.max_by("o", F.struct("w", -F.col("o"))).alias("o"))
+    pairs = stored(best.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), "jac-pairs")
     links = _verify(pairs, texts, n, percent)
     comps = stored(components(links), "jac-comps")
 
