@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from strandline.llm.common import class_words, col, discard, mix64, prepare, slices, span_hashes, stored, text_bytes
 from strandline.llm.components import components
 
-GROUPS = 64
+GROUPS = 256
 LEAF = 16
-FULL = 65535
+FULL = 255
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA24BAED4963EE407)]
@@ -102,6 +102,11 @@ def prefix(size: np.ndarray, percent: int) -> np.ndarray:
     return np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
 
 
+def wide(points: np.ndarray) -> np.ndarray:
+    """Counts for bounds; a full count bounds nothing."""
+    return np.where(points == FULL, 1 << 22, points.astype(np.int32)).astype(np.int32)
+
+
 class RTree:
     """Sort-tile packed tree over count vectors; nodes keep upper corners and size ranges."""
 
@@ -113,7 +118,7 @@ class RTree:
         for k, d in enumerate(spread):
             cuts = np.array_split(self.order, slabs ** (k + 1))
             self.order = np.concatenate([c[np.argsort(points[c, d], kind="stable")] for c in cuts])
-        self.points, self.sizes = points[self.order].astype(np.int32), sizes[self.order]
+        self.points, self.sizes = wide(points[self.order]), sizes[self.order]
         heads = np.arange(0, len(points), LEAF)
         self.upper = np.maximum.reduceat(self.points, heads, axis=0)
         self.low = np.minimum.reduceat(self.sizes, heads)
@@ -147,7 +152,8 @@ def _pairs(ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray,
         return
     across = side.any() and not side.all()
     if len(ids) <= LEAF and not across:  # one leaf: compare its points at once
-        bound = np.minimum(vec[:, None].astype(np.int32), vec[None]).sum(2)
+        v = wide(vec)
+        bound = np.minimum(v[:, None], v[None]).sum(2)
         both = size[:, None] + size
         ok = ((100 + percent) * bound >= percent * both) & (100 * size[:, None] >= percent * size) & (100 * size >= percent * size[:, None])
         ok &= (ids[:, None] < ids) & (True if best else comp[:, None] != comp)
@@ -157,7 +163,7 @@ def _pairs(ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray,
         return
     tree = RTree(vec, size)
     for i in np.flatnonzero(side == 0) if across else range(len(ids)):
-        j, bound = tree.search(vec[i].astype(np.int32), int(size[i]), percent)
+        j, bound = tree.search(wide(vec[i]), int(size[i]), percent)
         ok = (ids[j] != ids[i]) & ((side[j] == 1) if across else True)
         if best:
             j, bound = j[ok], bound[ok]
@@ -203,7 +209,7 @@ def _by_group(keys: list[str], percent: int, best: int):
                 continue
             k = np.stack([col(b, x).to_numpy(zero_copy_only=False).astype(np.int64) for x in keys])
             cols = [col(b, x).to_numpy(zero_copy_only=False) for x in ("id", "n", "comp", "side")]
-            vec = np.frombuffer(b"".join(col(b, "vec").to_pylist()), "<u2").reshape(-1, GROUPS)
+            vec = np.frombuffer(b"".join(col(b, "vec").to_pylist()), np.uint8).reshape(-1, GROUPS)
             cuts = np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1, [b.num_rows]])
             for i, j in zip(cuts[:-1], cuts[1:]):
                 own = tuple(k[:, i])
@@ -283,7 +289,7 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int
             vec = np.bincount(d * GROUPS + (x & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(size) * GROUPS).reshape(-1, GROUPS)
             vec[(vec >= FULL).any(1)] = FULL  # too large to count: bounds nothing
             yield pa.RecordBatch.from_arrays(
-                [col(b, "doc_id"), pa.array(size), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array([v.tobytes() for v in vec.astype("<u2")], pa.binary())],
+                [col(b, "doc_id"), pa.array(size), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array([v.tobytes() for v in vec.astype(np.uint8)], pa.binary())],
                 names=["doc_id", "n", "s1", "s2", "vec"],
             )
 
