@@ -60,6 +60,12 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.quality import assess
 
