@@ -72,6 +72,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.secrets import scan, train
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, train(docs)).select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), F.coalesce(F.array_max(F.transform("secrets", lambda x: x["score"])), F.lit(0.0)).alias("top_score"), F.transform("secrets", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.jaccard import link_documents
 
