@@ -92,13 +92,28 @@ def fillings(room: int, lengths: list[int], left: dict[int, int], most: int) ->
     return [f for _, f in sorted(dict.fromkeys(found), key=lambda x: x[0])]
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Martello-Toth's L2: for every threshold k, items over capacity - k stand alone, those over
+    half take a sequence each, and the rest from k on must fit what these leave or need more."""
+    n = np.zeros(capacity + 1, np.int64)
+    for k, v in counts.items():
+        n[k] = v
+    mass = n * np.arange(capacity + 1)
+    cn, cm = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(mass)])
+    half, best = capacity // 2, -(-int(mass.sum()) // capacity)
+    for k in range(half + 1):
+        alone = int(cn[-1] - cn[capacity - k + 1])
+        pairs, weight = int(cn[capacity - k + 1] - cn[half + 1]), int(cm[capacity - k + 1] - cm[half + 1])
+        rest = int(cm[half + 1] - cm[k])
+        best = max(best, alone + pairs + max(0, -(-(rest - (pairs * capacity - weight)) // capacity)))
+    return best
+
+
 def pack_histogram(counts: dict[int, int], capacity: int, max_nodes: int = 4000, width: int = 6) -> list[Run]:
     """Bin completion branch and bound with the best-fit packing as incumbent."""
     total = sum(k * v for k, v in counts.items())
     best = best_fit_decreasing(counts, capacity)
-    need = -(-total // capacity)
-    big = sum(v for k, v in counts.items() if 2 * k > capacity)
-    bound = max(need, big)
+    bound = lower_bound(counts, capacity)
     size = sum(t for _, t in best)
     nodes = max_nodes
 
