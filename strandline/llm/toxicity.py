@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import class_words, col, fold, labelled_sample, prepare, ragged_ranges, slices, text_bytes
+from strandline.llm.common import class_words, col, fold, labelled_sample, prepare, ragged_ranges, slices, span_hashes, text_bytes
 
 _SEP = np.ones(256, bool)
 _SEP[48:58] = _SEP[65:91] = _SEP[97:123] = False
@@ -70,8 +70,6 @@ def bags(data: np.ndarray, offs: np.ndarray, bits: int) -> tuple[list[tuple[np.n
         own = word[ok]
         count += np.bincount(own, minlength=n)
         out.append((own, row.astype(np.int64)))
-    from strandline.llm.common import span_hashes
-
     out.append((np.arange(n), (span_hashes(data, starts, ends) >> shift).astype(np.int64)))
     return out, count, doc
 
@@ -115,27 +113,54 @@ def passages(doc: np.ndarray, docs: int, span: int) -> tuple[np.ndarray, np.ndar
     return a, np.minimum(a + span, base + n[own]), own
 
 
+def _vocabulary(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each distinct word's bag once: word number of every occurrence, flat rows, first row and
+    number of rows of each word, document of every occurrence."""
+    data, offs = text_bytes(texts)
+    data = lowered(data)
+    starts, ends, doc = class_words(data, offs, _SEP)
+    h = np.zeros(len(starts), np.uint64)
+    for lo in range(0, len(starts), 200_000):
+        hi = min(len(starts), lo + 200_000)
+        at = starts[lo]
+        h[lo:hi] = span_hashes(data[at : ends[hi - 1]], starts[lo:hi] - at, ends[lo:hi] - at)
+    _, head, words = np.unique(h, return_index=True, return_inverse=True)
+    rows, counts = [], []
+    for lo in range(0, len(head), 50_000):
+        k = head[lo : lo + 50_000]
+        size = ends[k] - starts[k]
+        at = np.cumsum(size + 1) - size - 1
+        flat = np.full(int((size + 1).sum()), 32, np.uint8)
+        flat[ragged_ranges(at, size)] = data[ragged_ranges(starts[k], size)]
+        grams, count, _ = bags(flat, np.array([0, len(flat)]), bits)
+        own = np.concatenate([o for o, _ in grams])
+        row = np.concatenate([r for _, r in grams])
+        rows.append(row[np.argsort(own, kind="stable")].astype(np.int32))
+        counts.append(count)
+    row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    return words.astype(np.int32), row, np.cumsum(count) - count, count, doc
+
+
 def fit(texts: pa.Array, y: np.ndarray, bits: int = 18, dim: int = 8, span: int = 2, rounds: int = 4, rate: float = 0.2, batch: int = 256, least: int = 4, seed: int = 7) -> Model:
     """Train on whole labelled texts (y in 0/1). Embedding rows met in fewer than ``least`` texts
     stay zero: they could only memorise."""
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << bits), -20.0, bits, span)
     rng = np.random.default_rng(seed)
-    data, offs = text_bytes(texts)
-    grams, count, doc = bags(data, offs, bits)
-    own = np.concatenate([o for o, _ in grams])
-    row = np.concatenate([r for _, r in grams])
-    order = np.argsort(own, kind="stable")
-    row = row[order].astype(np.int32)
-    first = np.cumsum(count) - count
-    pairs = np.unique(row.astype(np.int64) * len(y) + np.repeat(doc, count))
-    met = np.bincount(pairs // len(y), minlength=1 << bits)
+    words, row, first, count, doc = _vocabulary(texts, bits)
+    met, toxic = np.zeros(1 << bits), np.zeros(1 << bits)
+    for lo in range(0, len(y), 256):  # texts in blocks: bounded memory
+        i, j = np.searchsorted(doc, [lo, lo + 256])
+        met_by = np.unique(words[i:j].astype(np.int64) * 256 + (doc[i:j] - lo))
+        u = met_by // 256
+        rows = np.unique(row[ragged_ranges(first[u], count[u])].astype(np.int64) * 256 + np.repeat(met_by % 256, count[u]))
+        met += np.bincount(rows // 256, minlength=1 << bits)
+        toxic += np.bincount(rows // 256, y[lo + rows % 256], 1 << bits)
     known = (met >= least).astype(np.float32)
-    toxic = np.bincount(pairs // len(y), y[pairs % len(y)], 1 << bits)
     odds = known * (np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((met - toxic + 0.5) / (len(y) - y.sum() + 1)))
-    del own, grams, order, pairs
-    a, b, p_doc = passages(doc, len(y), span)
-    p_y = y[p_doc]
+    a, b, p_doc = (x.astype(np.int32) for x in passages(doc, len(y), span))
+    p_y = y[p_doc].astype(np.int8)
     emb = ((rng.random((1 << bits, dim)) - 0.5) / dim * known[:, None]).astype(np.float32)
     soft = ((rng.random((dim, 2)) - 0.5) / dim).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -143,7 +168,7 @@ def fit(texts: pa.Array, y: np.ndarray, bits: int = 18, dim: int = 8, span: int
 
     def step(sel: np.ndarray) -> None:
         n = b[sel] - a[sel]
-        w = ragged_ranges(a[sel], n)
+        w = words[ragged_ranges(a[sel], n)]
         c = count[w]
         r = row[ragged_ranges(first[w], c)]
         share = np.repeat((1 / np.repeat(n, n) / c).astype(np.float32), c) * known[r]
@@ -174,10 +199,11 @@ def fit(texts: pa.Array, y: np.ndarray, bits: int = 18, dim: int = 8, span: int
     hard = np.zeros(0, np.int64)
     weight = odds
     for _ in range(rounds):
-        s = np.zeros(len(doc))
-        for lo in range(0, len(doc), 200_000):  # words in blocks: bounded memory
-            hi = min(len(doc), lo + 200_000)
-            s[lo:hi] = np.add.reduceat(weight[row[first[lo] : first[hi - 1] + count[hi - 1]]], first[lo:hi] - first[lo]) / count[lo:hi]
+        own = np.zeros(len(count))
+        for lo in range(0, len(count), 100_000):  # words in blocks: bounded memory
+            hi = min(len(count), lo + 100_000)
+            own[lo:hi] = np.add.reduceat(weight[row[first[lo] : first[hi - 1] + count[hi - 1]]], first[lo:hi] - first[lo]) / count[lo:hi]
+        s = own[words]
         c = np.concatenate([[0], np.cumsum(s)])
         z = (c[b] - c[a]) / (b - a)
         best, other = (first_of(np.lexsort((k, p_doc)), p_doc) for k in (-z, rng.random(len(a))))
@@ -199,7 +225,7 @@ def first_of(order: np.ndarray, key: np.ndarray) -> np.ndarray:
     return order[np.concatenate([[True], k[1:] != k[:-1]])]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, max_rows: int = 8_000, max_bytes: int = 8_000, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, max_rows: int = 6_000, max_bytes: int = 8_000, **options) -> Model:
     """Fit on at most ``max_rows`` labelled texts of at most ``max_bytes`` bytes each; those two
     parameters bound what comes to the driver."""
     rows = labelled_sample(docs, labels, label, modulus, held, max_rows, max_bytes).select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
