@@ -14,10 +14,10 @@ sets link when 100 * intersection >= ``percent`` * union.
    token groups; a set is the point of its group counts. An R-tree (sort-tile packed) holds
    the points; the sum of coordinate minima with a node's upper corner bounds the overlap of any
    point below it, and the sum with a point bounds that pair's overlap.
-4. First round: each class is paired with its best-bounded partners only, groups larger than
-   ``block`` in independent blocks. Pairs are verified on the texts' shingles, and components are
-   formed. Second round: groups whose classes are all in one component are done; in the others
-   all candidate pairs of different components are verified, large groups as pairs of blocks. So
+4. In up to ``rounds`` rounds each class is paired with its best-bounded partner of another
+   component, groups larger than ``block`` in blocks dealt anew each round. Pairs are verified on the texts'
+   shingles, and components are formed. Groups whose classes are all in one component are done.
+   In a last round all candidate pairs of different components are verified, large groups as pairs of blocks. So
    a group of thousands of near copies costs a few pairs each, and no link between components is lost.
 
 Null, empty and wordless texts have an empty set, link with nothing and are their own component;
@@ -147,7 +147,7 @@ class RTree:
 
 def _pairs(ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int, best: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Candidate pairs of one group: (a, b, bound). ``best`` > 0: that many partners of each at
-    most; 0: all of other components. ``side``: 0 and 1 in a pair of blocks (only pairs across)."""
+    most; 0: all. Partners are of other components. ``side``: 0 and 1 in a pair of blocks (only pairs across)."""
     if len(ids) < 2:
         return
     across = side.any() and not side.all()
@@ -156,7 +156,7 @@ def _pairs(ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray,
         bound = np.minimum(v[:, None], v[None]).sum(2)
         both = size[:, None] + size
         ok = ((100 + percent) * bound >= percent * both) & (100 * size[:, None] >= percent * size) & (100 * size >= percent * size[:, None])
-        ok &= (ids[:, None] < ids) & (True if best else comp[:, None] != comp)
+        ok &= (ids[:, None] < ids) & (comp[:, None] != comp)
         i, j = np.nonzero(ok)
         if len(i):
             yield ids[i], ids[j], bound[i, j]
@@ -166,6 +166,7 @@ def _pairs(ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray,
         j, bound = tree.search(wide(vec[i]), int(size[i]), percent)
         ok = (ids[j] != ids[i]) & ((side[j] == 1) if across else True)
         if best:
+            ok &= comp[j] != comp[i]
             j, bound = j[ok], bound[ok]
             j, bound = (x[np.lexsort((ids[j], np.abs(size[j] - size[i]), -bound))[:best]] for x in (j, bound))
         else:
@@ -275,7 +276,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, fan: int =
     return out
 
 
-def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int = 50_000, least_hot: int = 256, block: int = 1024) -> DataFrame:
+def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int = 50_000, least_hot: int = 256, block: int = 1024, rounds: int = 4) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, n_links (verified links of its class; all
     that the components needed)."""
     spark = docs.sparkSession
@@ -360,27 +361,43 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int
         return ready.select(*keys, "id", "n", "comp", "side", "vec").mapInArrow(_by_group(keys, percent, best), "a long, b long, w long")
 
     zero = F.lit(0)
-    first = at.join(sizes, ["k", "band"]).select("k", "band", spread.alias("i"), zero.alias("j"), "id", "n", F.lit(0).cast("long").alias("comp"), zero.alias("side"), "vec")
     texts = base.withColumnRenamed("doc_id", "id").where("id is not null")
-    pairs = candidates(first, 1).groupBy("a", "b").agg(F.max("w").alias("w"))
-    either = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("o"), "w"), F.struct(F.col("b").alias("id"), F.col("a").alias("o"), "w"))).alias("e")).select("e.*")
-    best = either.groupBy("id").agg(F.max_by("o", F.struct("w", -F.col("o"))).alias("o"))
-    pairs = stored(best.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), "jac-pairs")
-    links = _verify(pairs, texts, n, percent)
-    comps = stored(components(links), "jac-comps")
-
-    of = at.join(sizes, ["k", "band"]).join(comps.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = of.groupBy("k", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k", "band")
-    of = of.join(mixed, ["k", "band"]).withColumn("own", spread)
+    none = spark.createDataFrame([], "id long, component long")
+    links, tried, comps = None, None, none
+
+    def mixed() -> DataFrame:
+        """Rows of the groups that still hold several components."""
+        of = at.join(sizes, ["k", "band"]).join(comps.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        open_ = of.groupBy("k", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k", "band")
+        return of.join(open_, ["k", "band"])
+
+    # every class takes its best partner of another component, in blocks dealt anew each round, so
+    # that components of near copies grow together in few rounds of at most one pair a class
+    for r in range(rounds):
+        own = F.pmod(F.xxhash64(F.lit(r), "id"), F.col("blocks")).cast("int")
+        rows = mixed().select("k", "band", own.alias("i"), zero.alias("j"), "id", "n", "comp", zero.alias("side"), "vec")
+        pairs = candidates(rows, 1).groupBy("a", "b").agg(F.max("w").alias("w"))
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        either = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("o"), "w"), F.struct(F.col("b").alias("id"), F.col("a").alias("o"), "w"))).alias("e")).select("e.*")
+        best = either.groupBy("id").agg(F.max_by("o", F.struct("w", -F.col("o"))).alias("o"))
+        pairs = stored(best.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), "jac-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        more = _verify(pairs, texts, n, percent)
+        links = more if links is None else links.unionByName(more)
+        if not more.take(1):
+            break
+        comps = stored(components(links), "jac-comps")
+
+    of = mixed().withColumn("own", spread)
     # pairs of blocks (i, j), i <= j: a class of block s is on side 0 of (s, j) and on side 1 of (i, s)
     other = F.explode(F.sequence(zero, F.col("blocks") - 1))
     of = of.withColumn("o", other).select("k", "band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "id", "n", "comp", (F.col("own") > F.col("o")).cast("int").alias("side"), "vec")
-    rest = candidates(of, 0).select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    rest = candidates(of, 0).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     rest = stored(rest, "jac-rest")
     if rest.take(1):
         links = stored(links.unionByName(_verify(rest, texts, n, percent)), "jac-links")
         comps = stored(components(links), "jac-comps")
-    discard(met, pairs, rest)
+    discard(met, rest)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     per_class = classes.select("s1", "s2", "id").join(comps, "id", "left").join(degree, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     linked = named.where("n > 0 and doc_id is not null").join(per_class, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
