@@ -15,8 +15,9 @@ sets link when 100 * intersection >= ``percent`` * union.
    the points; the sum of coordinate minima with a node's upper corner bounds the overlap of any
    point below it, and the sum with a point bounds that pair's overlap.
 4. In up to ``rounds`` rounds each class is paired with its best-bounded partner of another
-   component, groups larger than ``block`` in blocks dealt anew each round. Pairs are verified on the texts'
-   shingles, and components are formed. Groups whose classes are all in one component are done.
+   component in two of its groups, groups larger than ``block`` in blocks dealt anew each round. Pairs
+   are verified on the texts' shingles, and components are formed. Groups whose classes are all in one
+   component are done.
    In a last round all candidate pairs of different components are verified, large groups as pairs of blocks. So
    a group of thousands of near copies costs a few pairs each, and no link between components is lost.
 
@@ -161,16 +162,25 @@ def _pairs(ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray,
         if len(i):
             yield ids[i], ids[j], bound[i, j]
         return
+    # of two components one is not the largest: its members ask, and find the pairs of both
+    names, count = np.unique(comp, return_counts=True)
+    largest = names[count.argmax()]
+    asking = np.flatnonzero(comp != largest)
+    if not len(asking):
+        return
     tree = RTree(vec, size)
-    for i in np.flatnonzero(side == 0) if across else range(len(ids)):
+    for i in asking:
         j, bound = tree.search(wide(vec[i]), int(size[i]), percent)
-        ok = (ids[j] != ids[i]) & ((side[j] == 1) if across else True)
+        ok = comp[j] != comp[i]
         if best:
-            ok &= comp[j] != comp[i]
             j, bound = j[ok], bound[ok]
             j, bound = (x[np.lexsort((ids[j], np.abs(size[j] - size[i]), -bound))[:best]] for x in (j, bound))
         else:
-            ok &= (comp[j] != comp[i]) & ((ids[j] > ids[i]) | across)
+            # a pair that both members ask for is given once
+            once = (side[i] == 0) if across else (ids[j] > ids[i])
+            ok &= (comp[j] == largest) | once
+            if across:
+                ok &= side[j] != side[i]
             j, bound = j[ok], bound[ok]
         if len(j):
             yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), bound
@@ -202,6 +212,10 @@ def _by_group(keys: list[str], percent: int, best: int):
             if out:
                 a, b, w = (np.concatenate([o[k] for o in out]) for k in range(3))
                 out.clear()
+                order = np.lexsort((-w, b, a))
+                a, b, w = a[order], b[order], w[order]
+                new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                a, b, w = a[new], b[new], w[new]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(w.astype(np.int64))], names=["a", "b", "w"])
 
         last = None
@@ -341,10 +355,10 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int
         if not len(new):
             break
         hot = np.union1d(hot, new)
-    met = rows.join(counts.select("k"), "k").select("k", "s1").distinct().join(classes.select("s1", "id", "n", "vec"), "s1")
+    met = rows.join(counts.select("k"), "k").select("k", "s1").distinct().join(classes.select("s1", "id", "n"), "s1")
     log = -math.log(percent / 100)
     bands = F.floor(F.log(F.col("n")) / F.lit(log) + F.lit(1e-9)).cast("int")
-    met = stored(met.select("k", "id", "n", "vec", bands.alias("band")), "jac-met")
+    met = stored(met.select("k", "id", "n", bands.alias("band")), "jac-met")
     discard(rows, counts)
 
     # every class stands in its band and the next, so neighbours in size meet in one group
@@ -352,30 +366,41 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int
     # near copies share many shingles: of groups with the same members one is kept
     members = at.groupBy("k", "band").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "id")).alias("y")).where("c > 1")
     sizes = members.groupBy("c", "x", "y").agg(F.min(F.struct("k", "band")).alias("g")).select("g.k", "g.band", "c").withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
-    sizes = stored(sizes, "jac-groups")
+    # vectors follow only where they are compared
+    of = stored(at.join(sizes, ["k", "band"]), "jac-of")
+    discard(met)
     spread = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     keys = ["k", "band", "i", "j"]
 
     def candidates(rows: DataFrame, best: int) -> DataFrame:
-        ready = rows.repartition(*keys).sortWithinPartitions(*keys)
+        ready = rows.join(classes.select("id", "vec"), "id").repartition(*keys).sortWithinPartitions(*keys)
         return ready.select(*keys, "id", "n", "comp", "side", "vec").mapInArrow(_by_group(keys, percent, best), "a long, b long, w long")
 
     zero = F.lit(0)
     texts = base.withColumnRenamed("doc_id", "id").where("id is not null")
     none = spark.createDataFrame([], "id long, component long")
-    links, tried, comps = None, None, none
+    links, tried, pending, comps, total = None, None, None, none, 0
+
+    def grown(more: DataFrame) -> DataFrame:
+        """Components after ``more`` links: the known ones stand as stars, so few steps are left."""
+        stars = comps.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        return stored(components(stars.unionByName(more)), "jac-comps")
 
     def mixed() -> DataFrame:
         """Rows of the groups that still hold several components."""
-        of = at.join(sizes, ["k", "band"]).join(comps.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = of.groupBy("k", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k", "band")
-        return of.join(open_, ["k", "band"])
+        rows = of.join(comps.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        open_ = rows.groupBy("k", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k", "band")
+        return rows.join(open_, ["k", "band"])
 
-    # every class takes its best partner of another component, in blocks dealt anew each round, so
-    # that components of near copies grow together in few rounds of at most one pair a class
+    # every class takes its best partner of another component from two of its groups (the largest, and the
+    # first in an order of the round), in blocks dealt anew each round, so that components of near
+    # copies grow together in few rounds of at most one pair a class; what they miss is left to the last round
     for r in range(rounds):
         own = F.pmod(F.xxhash64(F.lit(r), "id"), F.col("blocks")).cast("int")
-        rows = mixed().select("k", "band", own.alias("i"), zero.alias("j"), "id", "n", "comp", zero.alias("side"), "vec")
+        group, order = F.struct("k", "band", "blocks"), F.xxhash64(F.lit(r), "k", "band")
+        two = mixed().groupBy("id", "n", "comp").agg(F.max_by(group, F.struct("c", order)).alias("x"), F.min_by(group, order).alias("y"))
+        two = two.select("id", "n", "comp", F.explode(F.array_distinct(F.array("x", "y"))).alias("g")).select("id", "n", "comp", "g.*")
+        rows = two.select("k", "band", own.alias("i"), zero.alias("j"), "id", "n", "comp", zero.alias("side"))
         pairs = candidates(rows, 1).groupBy("a", "b").agg(F.max("w").alias("w"))
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         either = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("o"), "w"), F.struct(F.col("b").alias("id"), F.col("a").alias("o"), "w"))).alias("e")).select("e.*")
@@ -384,20 +409,26 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int
         tried = pairs if tried is None else tried.unionByName(pairs)
         more = _verify(pairs, texts, n, percent)
         links = more if links is None else links.unionByName(more)
-        if not more.take(1):
+        new = more.count()
+        total += new
+        if 20 * new < total or not new:  # little is left to join: the last round takes it
+            pending = more
             break
-        comps = stored(components(links), "jac-comps")
+        comps = grown(more)
 
-    of = mixed().withColumn("own", spread)
+    left = mixed().withColumn("own", spread)
     # pairs of blocks (i, j), i <= j: a class of block s is on side 0 of (s, j) and on side 1 of (i, s)
     other = F.explode(F.sequence(zero, F.col("blocks") - 1))
-    of = of.withColumn("o", other).select("k", "band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "id", "n", "comp", (F.col("own") > F.col("o")).cast("int").alias("side"), "vec")
-    rest = candidates(of, 0).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    left = left.withColumn("o", other).select("k", "band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "id", "n", "comp", (F.col("own") > F.col("o")).cast("int").alias("side"))
+    rest = candidates(left, 0).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     rest = stored(rest, "jac-rest")
     if rest.take(1):
-        links = stored(links.unionByName(_verify(rest, texts, n, percent)), "jac-links")
-        comps = stored(components(links), "jac-comps")
-    discard(met, rest)
+        more = _verify(rest, texts, n, percent)
+        links = links.unionByName(more)
+        pending = more if pending is None else pending.unionByName(more)
+    if pending is not None:
+        comps = grown(pending)
+    discard(of, rest)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     per_class = classes.select("s1", "s2", "id").join(comps, "id", "left").join(degree, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     linked = named.where("n > 0 and doc_id is not null").join(per_class, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
