@@ -14,11 +14,12 @@ sets link when 100 * intersection >= ``percent`` * union.
    token groups; a set is the point of its group counts. An R-tree (sort-tile packed) holds
    the points; the sum of coordinate minima with a node's upper corner bounds the overlap of any
    point below it, and the sum with a point bounds that pair's overlap.
-4. In up to ``rounds`` rounds each class is paired with its best-bounded partner of another
-   component in two of its groups, groups larger than ``block`` in blocks dealt anew each round. Pairs
-   are verified on the texts' shingles, and components are formed. Groups whose classes are all in one
+4. First round: each class stands in two of its groups, groups larger than ``block`` in blocks that share
+   a few classes. In each block the R-tree feeds a maximum spanning forest of the bounded similarities (Prim), so
+   one candidate a class at most comes out, and, bounds being near the truth, nearly all components do.
+   Pairs are verified on the texts' shingles, and components are formed. Groups whose classes are all in one
    component are done.
-   In a last round all candidate pairs of different components are verified, large groups as pairs of blocks. So
+5. Last round: all candidate pairs of different components are verified, large groups as pairs of blocks. So
    a group of thousands of near copies costs a few pairs each, and no link between components is lost.
 
 Null, empty and wordless texts have an empty set, link with nothing and are their own component;
@@ -146,21 +147,52 @@ class RTree:
         return self.order[at[ok]], bound[ok]
 
 
-def _pairs(ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int, best: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Candidate pairs of one group: (a, b, bound). ``best`` > 0: that many partners of each at
-    most; 0: all. Partners are of other components. ``side``: 0 and 1 in a pair of blocks (only pairs across)."""
-    if len(ids) < 2:
-        return
+def _forest(ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges (a, b) of a maximum spanning forest of one block's candidate pairs, the most similar
+    by bound first: thresholds split such a forest as they split the whole graph."""
+    m = len(ids)
+    if m <= LEAF:
+        both = _dense(size, vec, percent)
+        near = lambda i: ((j := np.flatnonzero(both[i])), both[i, j])
+    else:
+        tree = RTree(vec, size)
+        near = lambda i: tree.search(wide(vec[i]), int(size[i]), percent)
+    best, link, out = np.full(m, -1.0), np.full(m, -1), np.zeros(m, bool)
+    a, b = [], []
+    for _ in range(m):
+        v = int(np.where(out, -2.0, best).argmax())
+        out[v] = True
+        if link[v] >= 0:
+            a.append(link[v])
+            b.append(v)
+        j, bound = near(v)
+        bound = np.minimum(bound, np.minimum(size[j], size[v]))
+        like = bound / (size[j] + size[v] - bound)
+        up = ~out[j] & (like > best[j])
+        best[j[up]], link[j[up]] = like[up], v
+    if a:
+        x, y = ids[a], ids[b]
+        yield np.minimum(x, y), np.maximum(x, y)
+
+
+def _dense(size: np.ndarray, vec: np.ndarray, percent: int) -> np.ndarray:
+    """Overlap bounds within one leaf; 0 where a pair cannot link."""
+    v = wide(vec)
+    bound = np.minimum(v[:, None], v[None]).sum(2)
+    ok = ((100 + percent) * bound >= percent * (size[:, None] + size)) & (100 * size[:, None] >= percent * size) & (100 * size >= percent * size[:, None])
+    np.fill_diagonal(ok, False)
+    return np.where(ok, bound, 0)
+
+
+def _across(ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All candidate pairs (a, b) of different components in one group. ``side``: 0 and 1 in a pair of
+    blocks (only pairs across)."""
     across = side.any() and not side.all()
     if len(ids) <= LEAF and not across:  # one leaf: compare its points at once
-        v = wide(vec)
-        bound = np.minimum(v[:, None], v[None]).sum(2)
-        both = size[:, None] + size
-        ok = ((100 + percent) * bound >= percent * both) & (100 * size[:, None] >= percent * size) & (100 * size >= percent * size[:, None])
-        ok &= (ids[:, None] < ids) & (comp[:, None] != comp)
+        ok = (_dense(size, vec, percent) > 0) & (ids[:, None] < ids) & (comp[:, None] != comp)
         i, j = np.nonzero(ok)
         if len(i):
-            yield ids[i], ids[j], bound[i, j]
+            yield ids[i], ids[j]
         return
     # of two components one is not the largest: its members ask, and find the pairs of both
     names, count = np.unique(comp, return_counts=True)
@@ -170,24 +202,20 @@ def _pairs(ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray,
         return
     tree = RTree(vec, size)
     for i in asking:
-        j, bound = tree.search(wide(vec[i]), int(size[i]), percent)
-        ok = comp[j] != comp[i]
-        if best:
-            j, bound = j[ok], bound[ok]
-            j, bound = (x[np.lexsort((ids[j], np.abs(size[j] - size[i]), -bound))[:best]] for x in (j, bound))
-        else:
-            # a pair that both members ask for is given once
-            once = (side[i] == 0) if across else (ids[j] > ids[i])
-            ok &= (comp[j] == largest) | once
-            if across:
-                ok &= side[j] != side[i]
-            j, bound = j[ok], bound[ok]
+        j, _ = tree.search(wide(vec[i]), int(size[i]), percent)
+        # a pair that both members ask for is given once
+        once = (side[i] == 0) if across else (ids[j] > ids[i])
+        ok = (comp[j] != comp[i]) & ((comp[j] == largest) | once)
+        if across:
+            ok &= side[j] != side[i]
+        j = j[ok]
         if len(j):
-            yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), bound
+            yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
 
-def _by_group(keys: list[str], percent: int, best: int):
-    """mapInArrow over rows sorted by ``keys``: streams one group after another."""
+def _by_group(keys: list[str], percent: int, pairs_of):
+    """mapInArrow over rows sorted by ``keys``: streams one group after another through ``pairs_of``
+    (``_forest`` or ``_across``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         seen: set[bytes] = set()
@@ -206,17 +234,13 @@ def _by_group(keys: list[str], percent: int, best: int):
             if len(seen) > 500_000:
                 seen.clear()
             seen.add(name)
-            out.extend(_pairs(ids, size, vec, comp, side, percent, best))
+            out.extend(pairs_of(ids, size, vec, comp, side, percent))
 
         def flush() -> Iterator[pa.RecordBatch]:
             if out:
-                a, b, w = (np.concatenate([o[k] for o in out]) for k in range(3))
+                pairs = np.unique(np.concatenate([np.stack(o, 1) for o in out]), axis=0)
                 out.clear()
-                order = np.lexsort((-w, b, a))
-                a, b, w = a[order], b[order], w[order]
-                new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                a, b, w = a[new], b[new], w[new]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(w.astype(np.int64))], names=["a", "b", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         last = None
         for b in batches:
@@ -290,7 +314,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, fan: int =
     return out
 
 
-def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int = 50_000, least_hot: int = 256, block: int = 1024, rounds: int = 4) -> DataFrame:
+def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int = 50_000, least_hot: int = 256, block: int = 1024, shared: int = 16) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, n_links (verified links of its class; all
     that the components needed)."""
     spark = docs.sparkSession
@@ -303,12 +327,15 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int
             name = _set_names(x, size)
             vec = np.bincount(d * GROUPS + (x & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(size) * GROUPS).reshape(-1, GROUPS)
             vec[(vec >= FULL).any(1)] = FULL  # too large to count: bounds nothing
+            place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+            lead = place < prefix(size, percent)[d]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(d[lead], minlength=len(size)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [col(b, "doc_id"), pa.array(size), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array([v.tobytes() for v in vec.astype(np.uint8)], pa.binary())],
-                names=["doc_id", "n", "s1", "s2", "vec"],
+                [col(b, "doc_id"), pa.array(size), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array([v.tobytes() for v in vec.astype(np.uint8)], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(x[lead].view(np.int64)))],
+                names=["doc_id", "n", "s1", "s2", "vec", "lead"],
             )
 
-    named = stored(base.mapInArrow(profile, "doc_id long, n long, s1 long, s2 long, vec binary"), "jac-named")
+    named = stored(base.mapInArrow(profile, "doc_id long, n long, s1 long, s2 long, vec binary, lead array<long>"), "jac-named")
     classes = stored(named.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("vec").alias("vec")), "jac-classes")
 
     def routed(hot: np.ndarray) -> DataFrame:
@@ -340,26 +367,19 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int
 
         return base.select("text").mapInArrow(run, "k long, s1 long")
 
-    hot = np.zeros(0, np.uint64)
-    rows, counts = None, None
-    for _ in range(3):
-        rows_new = stored(routed(hot), "jac-rows")
-        counts_new = stored(rows_new.groupBy("k").agg(F.count("*").alias("c"), F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("k", "c"), "jac-keys")
-        if rows is not None:
-            discard(rows, counts)
-        rows, counts = rows_new, counts_new
-        least = max(least_hot, rows.count() // most_hot)
-        # more than ``least`` routed rows each: at most ``most_hot`` of them
-        more = np.array([r[0] for r in counts.where(F.col("c") > least).select("k").collect()], np.int64).view(np.uint64)
-        new = np.setdiff1d(more, hot)
-        if not len(new):
-            break
-        hot = np.union1d(hot, new)
+    # the first pass counts the leading shingles in hash order, the second routes by the final order
+    led = named.where("n > 0")
+    least = max(least_hot, (led.agg(F.sum(F.size("lead"))).first()[0] or 0) // most_hot)
+    often = led.select(F.explode("lead").alias("k"), "s1").groupBy("k").agg(F.count("*").alias("c"), F.min("s1").alias("lo"), F.max("s1").alias("hi"))
+    # more than ``least`` routed rows each: at most ``most_hot`` of them
+    hot = np.sort(np.array([r[0] for r in often.where((F.col("c") > least) & (F.col("lo") != F.col("hi"))).select("k").collect()], np.int64).view(np.uint64))
+    rows = stored(routed(hot), "jac-rows")
+    counts = rows.groupBy("k").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi")
     met = rows.join(counts.select("k"), "k").select("k", "s1").distinct().join(classes.select("s1", "id", "n"), "s1")
     log = -math.log(percent / 100)
     bands = F.floor(F.log(F.col("n")) / F.lit(log) + F.lit(1e-9)).cast("int")
     met = stored(met.select("k", "id", "n", bands.alias("band")), "jac-met")
-    discard(rows, counts)
+    discard(rows)
 
     # every class stands in its band and the next, so neighbours in size meet in one group
     at = met.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
@@ -370,21 +390,23 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int
     of = stored(at.join(sizes, ["k", "band"]), "jac-of")
     discard(met)
     spread = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    keys = ["k", "band", "i", "j"]
+    keys, zero = ["k", "band", "i", "j"], F.lit(0)
 
-    def candidates(rows: DataFrame, best: int) -> DataFrame:
+    def candidates(rows: DataFrame, pairs_of) -> DataFrame:
         ready = rows.join(classes.select("id", "vec"), "id").repartition(*keys).sortWithinPartitions(*keys)
-        return ready.select(*keys, "id", "n", "comp", "side", "vec").mapInArrow(_by_group(keys, percent, best), "a long, b long, w long")
+        return ready.select(*keys, "id", "n", "comp", "side", "vec").mapInArrow(_by_group(keys, percent, pairs_of), "a long, b long").distinct()
 
-    zero = F.lit(0)
+    # first round: each class in two of its groups, the largest and one by hash; about ``shared`` classes
+    # of a group stand in all its blocks, so that near copies in different blocks meet
     texts = base.withColumnRenamed("doc_id", "id").where("id is not null")
-    none = spark.createDataFrame([], "id long, component long")
-    links, tried, pending, comps, total = None, None, None, none, 0
-
-    def grown(more: DataFrame) -> DataFrame:
-        """Components after ``more`` links: the known ones stand as stars, so few steps are left."""
-        stars = comps.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        return stored(components(stars.unionByName(more)), "jac-comps")
+    group, order = F.struct("k", "band", "blocks", "c"), F.xxhash64("k", "band")
+    two = of.groupBy("id", "n").agg(F.max_by(group, F.struct("c", order)).alias("x"), F.min_by(group, order).alias("y"))
+    two = two.select("id", "n", F.explode(F.array_distinct(F.array("x", "y"))).alias("g")).select("id", "n", "g.*")
+    everywhere = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(1), "id"), F.col("c")) < shared)
+    at_block = F.explode(F.when(everywhere, F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array(spread)))
+    tried = stored(candidates(two.select("k", "band", at_block.alias("i"), zero.alias("j"), "id", "n", F.col("id").alias("comp"), zero.alias("side")), _forest), "jac-pairs")
+    links = _verify(tried, texts, n, percent)
+    comps = stored(components(links), "jac-comps")
 
     def mixed() -> DataFrame:
         """Rows of the groups that still hold several components."""
@@ -392,42 +414,18 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int
         open_ = rows.groupBy("k", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k", "band")
         return rows.join(open_, ["k", "band"])
 
-    # every class takes its best partner of another component from two of its groups (the largest, and the
-    # first in an order of the round), in blocks dealt anew each round, so that components of near
-    # copies grow together in few rounds of at most one pair a class; what they miss is left to the last round
-    for r in range(rounds):
-        own = F.pmod(F.xxhash64(F.lit(r), "id"), F.col("blocks")).cast("int")
-        group, order = F.struct("k", "band", "blocks"), F.xxhash64(F.lit(r), "k", "band")
-        two = mixed().groupBy("id", "n", "comp").agg(F.max_by(group, F.struct("c", order)).alias("x"), F.min_by(group, order).alias("y"))
-        two = two.select("id", "n", "comp", F.explode(F.array_distinct(F.array("x", "y"))).alias("g")).select("id", "n", "comp", "g.*")
-        rows = two.select("k", "band", own.alias("i"), zero.alias("j"), "id", "n", "comp", zero.alias("side"))
-        pairs = candidates(rows, 1).groupBy("a", "b").agg(F.max("w").alias("w"))
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        either = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("o"), "w"), F.struct(F.col("b").alias("id"), F.col("a").alias("o"), "w"))).alias("e")).select("e.*")
-        best = either.groupBy("id").agg(F.max_by("o", F.struct("w", -F.col("o"))).alias("o"))
-        pairs = stored(best.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), "jac-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        more = _verify(pairs, texts, n, percent)
-        links = more if links is None else links.unionByName(more)
-        new = more.count()
-        total += new
-        if 20 * new < total or not new:  # little is left to join: the last round takes it
-            pending = more
-            break
-        comps = grown(more)
-
+    # last round: all that is left
     left = mixed().withColumn("own", spread)
     # pairs of blocks (i, j), i <= j: a class of block s is on side 0 of (s, j) and on side 1 of (i, s)
     other = F.explode(F.sequence(zero, F.col("blocks") - 1))
     left = left.withColumn("o", other).select("k", "band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "id", "n", "comp", (F.col("own") > F.col("o")).cast("int").alias("side"))
-    rest = candidates(left, 0).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    rest = stored(rest, "jac-rest")
+    rest = stored(candidates(left, _across).join(tried, ["a", "b"], "left_anti"), "jac-rest")
     if rest.take(1):
         more = _verify(rest, texts, n, percent)
         links = links.unionByName(more)
-        pending = more if pending is None else pending.unionByName(more)
-    if pending is not None:
-        comps = grown(pending)
+        # the known components stand as stars, so few steps are left
+        stars = comps.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        comps = stored(components(stars.unionByName(more)), "jac-comps")
     discard(of, rest)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     per_class = classes.select("s1", "s2", "id").join(comps, "id", "left").join(degree, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
