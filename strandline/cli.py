@@ -6,7 +6,7 @@ import argparse
 import json
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,10 +31,11 @@ def main(args: list[str] | None = None) -> None:
     c.add_argument("archive")
     c.add_argument("output")
     c.add_argument("--reverse-aliases", action="store_true")
+    c.add_argument("--ontology", help="folder of the five ontology tables as Parquet")
     a = top.parse_args(args)
     spark = SparkSession.builder.appName("strandline").getOrCreate()
     if a.command == "convert":
-        convert(spark, a.archive, a.output, a.reverse_aliases)
+        convert(spark, a.archive, a.output, a.reverse_aliases, a.ontology)
         return
     from strandline.operators import paths
     from strandline.sources.records import write_paths
@@ -51,23 +52,26 @@ def main(args: list[str] | None = None) -> None:
             print(json.dumps({"path_length": k, "path_count": n, "seconds": round(time.time() - t, 3)}))
 
 
-def convert(spark: SparkSession, archive: str, output: str, reverse: bool = False) -> None:
-    """Unpack once, then write edges, adjacency and triples in parallel."""
+def convert(spark: SparkSession, archive: str, output: str, reverse: bool = False, ontology: str | None = None) -> None:
+    """Unpack once, then write edges, adjacency and all triples in parallel."""
+    from strandline.operators import convert as whole
     from strandline.operators import graph, triples
     from strandline.sources import archive as source
     from strandline.sources import records
 
+    def store(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{output}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{output}/{name}")
+
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last value stands
     source.register(spark)
-    spark.read.format("record_archive").option("path", archive).load().write.partitionBy("member").text(f"{output}/records")
-    records.read_edges(spark, f"{output}/records/member=edges.jsonl").select("edge", "s", "p", "o").write.parquet(f"{output}/edges")
-    edges = spark.read.parquet(f"{output}/edges")
-    records.write_adjacency(graph.oriented(edges), f"{output}/adjacency")
-    t = triples.reify(edges)
-    t = t.unionByName(triples.reverse_aliases(edges)) if reverse else t
-    nodes = records.read_nodes(spark, f"{output}/records/member=nodes.jsonl")
-    kinds = nodes.select(F.col("id").alias("subject"), F.explode("categories").alias("category"))
-    t = t.unionByName(triples.type_assignments(kinds.select("subject").distinct(), kinds))
-    records.write_lines(triples.lines(t.distinct()), f"{output}/triples")
+    rows = store(spark.read.format("record_archive").option("path", archive).load(), "records")
+    lines = {m: rows.where(F.col("member") == m).select("value") for m in source.MEMBERS}
+    nodes, edges = records.node_rows(lines["nodes.jsonl"]), records.edge_rows(lines["edges.jsonl"])
+    plain = store(edges.select("edge", "s", "p", "o"), "edges")
+    records.write_adjacency(graph.oriented(plain), f"{output}/adjacency")
+    found = whole.all_triples(nodes, edges, whole.read_ontology(spark, ontology), reverse, store)
+    records.write_lines(triples.lines(found), f"{output}/triples")
 
 
 if __name__ == "__main__":

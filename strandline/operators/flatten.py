@@ -42,14 +42,19 @@ def render_scalar(value: str = "value", enum: Column | None = None, permitted: C
     return out.when((kind == "string") & is_curie(text), curie_to_iri(text)).when(kind == "string", plain_literal(text))
 
 
-def fan_out(df: DataFrame, key: str, attr: str = "attr", value: str = "value", depth: int = 8) -> DataFrame:
-    """Lists to rows with index, level by level; the innermost list's index stands. Scalars get index 0."""
+def fan_out(df: DataFrame, key: str, attr: str = "attr", value: str = "value", depth: int | None = 8) -> DataFrame:
+    """Lists to rows with index, level by level; the innermost list's index stands. Scalars get index 0.
+    ``depth``: levels to unfold; None looks after each level whether any list is left."""
     level = df.select(key, attr, F.lit(0).alias("idx"), F.col(value).alias("value"))
     done = None
-    for _ in range(depth):
+    level_no = 0
+    while depth is None or level_no < depth:
+        level_no += 1
         is_list = scalar_kind("value") == "list"
         flat = level.where(~is_list)
         done = flat if done is None else done.unionByName(flat)
+        if depth is None and not level.where(is_list).take(1):
+            break
         level.where(is_list).createOrReplaceTempView("__lists")
         level = df.sparkSession.sql(f"SELECT r.{key}, r.{attr}, x.pos AS idx, x.value AS value FROM __lists r, LATERAL variant_explode(r.value) AS x")
     return done
@@ -61,10 +66,10 @@ def generated_id(parent: str, key: str, value: object, index: int) -> str:
     return NODE_NS + hashlib.sha256(text.encode()).hexdigest()
 
 
-def nested_nodes(records: DataFrame) -> DataFrame:
+def nested_nodes(records: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     """(parent_iri, key, idx, child_iri, child) of the objects, at any depth, in the attributes of
     (parent_iri, value) records; a child with a CURIE or IRI as ``id`` is named by it, else by a hash
-    of its original JSON. Duplicate keys keep the last value."""
+    of its original JSON. Duplicate keys keep the last value. Attributes in ``skip`` are not entered."""
     from urllib.parse import quote
     import re
 
@@ -95,7 +100,8 @@ def nested_nodes(records: DataFrame) -> DataFrame:
             for parent, text in zip(f["parent_iri"], f["value"]):
                 record = json.loads(text) if text and text.strip() else {}
                 for k, v in record.items():
-                    walk(parent, k, v, 0, out)
+                    if k not in skip:
+                        walk(parent, k, v, 0, out)
             yield pd.DataFrame(out, columns=["parent_iri", "key", "idx", "child_iri", "child"])
 
     return records.select("parent_iri", "value").mapInPandas(run, "parent_iri string, key string, idx int, child_iri string, child string")

@@ -16,21 +16,29 @@ def _parsed(lines: DataFrame) -> DataFrame:
     return lines.select("value", v.alias("v")).select("value", F.coalesce("v", F.when(F.col("value").isNotNull(), F.raise_error(F.concat(F.lit("not a JSON record: "), F.substring("value", 1, 200))).cast("variant"))).alias("v"))
 
 
-def _categories(v: str) -> str:
-    # a category that is not a list is ignored
+def category_list(v: str) -> str:
+    """SQL for the categories of a record; a category that is not a list is ignored."""
     return f"CASE WHEN schema_of_variant(variant_get({v}, '$.category')) LIKE 'ARRAY%' THEN try_variant_get({v}, '$.category', 'array<string>') ELSE array() END"
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    return node_rows(read_lines(spark, path))
+
+
+def node_rows(lines: DataFrame) -> DataFrame:
     """(id, categories, attrs VARIANT, value)."""
-    return _parsed(read_lines(spark, path)).select(F.expr("variant_get(v, '$.id', 'string')").alias("id"), F.expr(_categories("v")).alias("categories"), F.col("v").alias("attrs"), "value")
+    return _parsed(lines).select(F.expr("variant_get(v, '$.id', 'string')").alias("id"), F.expr(category_list("v")).alias("categories"), F.col("v").alias("attrs"), "value")
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    return edge_rows(read_lines(spark, path))
+
+
+def edge_rows(lines: DataFrame) -> DataFrame:
     """(edge, s, p, o, categories, attrs VARIANT, value); a record without one of the four keys is an error."""
-    rows = _parsed(read_lines(spark, path))
+    rows = _parsed(lines)
     need = [F.expr(f"variant_get(v, '$.{k}', 'string')").alias(c) for k, c in (("id", "edge"), ("subject", "s"), ("predicate", "p"), ("object", "o"))]
-    out = rows.select(*need, F.expr(_categories("v")).alias("categories"), F.col("v").alias("attrs"), "value")
+    out = rows.select(*need, F.expr(category_list("v")).alias("categories"), F.col("v").alias("attrs"), "value")
     checked = [F.coalesce(c, F.raise_error(F.lit(f"edge record without {c}")).cast("string")).alias(c) for c in ("edge", "s", "p", "o")]
     return out.select(*checked, "categories", "attrs", "value")
 
