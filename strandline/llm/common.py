@@ -158,6 +158,20 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
 
 
+def lowest(df: DataFrame, h: Column, most: int) -> DataFrame:
+    """The rows of ``df`` that can be among the ``most`` distinct rows of smallest 64-bit hash ``h``: a few
+    times as many. One pass counts distinct hashes by power of two (64 numbers), so that a sort with
+    a limit gets about ``most`` rows, however many partitions there are."""
+    share = (h.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    level = F.coalesce(F.least(F.floor(-F.log2(share)), F.lit(63)), F.lit(63)).cast("int")
+    found, above, least = {r[0]: r[1] for r in df.select(level.alias("l"), h.alias("h")).groupBy("l").agg(F.approx_count_distinct("h")).collect()}, 0, 0
+    for least in range(63, -1, -1):
+        above += found.get(least, 0)
+        if above >= 1.5 * most:
+            break
+    return df.where(level >= least)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int, max_bytes: int | None = None) -> DataFrame:
     """At most ``max_rows`` labelled texts (doc_id, text, y) for fitting, none held out.
 
@@ -165,8 +179,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     the join has at most ``max_rows`` rows of two numbers and is broadcast. Rows without id, label or
     text are not used, nor (with ``max_bytes``) texts longer than that.
     """
+    able = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), modulus) != held))
     few = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), modulus) != held))
+        lowest(able, F.xxhash64("doc_id"), max_rows)
         .groupBy("doc_id").agg(F.max(label).cast("string").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )

@@ -308,3 +308,15 @@ def test_pipeline(spark):
     left = cp.secret_scan(spark, cp.decontamination(spark, kept, BASE), BASE)
     assert left.columns == docs.columns
     assert {r["doc_id"] for r in cp.run(spark, BASE).collect()} <= {r["doc_id"] for r in left.collect()}
+
+
+def test_lowest_holds_the_smallest_hashes(spark):
+    from strandline.llm.common import lowest
+
+    h = F.xxhash64("id")
+    for rows, most in ((20_000, 100), (50, 100), (0, 5)):
+        df = spark.range(rows).union(spark.range(3000 * min(rows, 1)).select(F.lit(0).cast("long").alias("id")))  # one id on thousands of rows
+        few = lowest(df, h, most)
+        best = lambda d: [r[0] for r in d.distinct().orderBy(h, "id").limit(most).collect()]
+        assert best(few) == best(df)
+        assert few.distinct().count() <= 6 * most
