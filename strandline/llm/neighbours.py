@@ -6,11 +6,15 @@ bucket; the width grows with the logarithm of the number of rows so that buckets
 its ``probes`` most promising buckets of every table (next-best axes, ranked by the loss of
 projection), and the candidates found there are reranked by exact cosine in double precision.
 
+Recall: a sample of queries is answered exactly first. ``probes`` is doubled until the tables hold
+``target`` of the sample's neighbours. Where that would cost more than comparing every query with every
+class, they are all compared and the result is exact, but the work grows with the square of the table.
+
 Scale: equal vectors are one class, of which only the ``k + 1`` smallest ids matter to any query,
 so copies cost one candidate. Buckets larger than ``block`` are dealt over several tasks by a salt, with the
 queries copied to each, so no bucket lands in one task. Every bucket returns its best ``k + 1`` per
 query. Queries that found fewer than ``k`` neighbours are compared with all classes, in blocks of
-queries.
+queries and classes.
 
 Vectors that are null, empty, zero, of another dimension than most or hold null or non-finite components take no
 part. Rows without id take none either; repeated (id, vector) rows count once, an id with two vectors is two candidates.
@@ -88,18 +92,21 @@ def _matrix(arr: pa.Array, dim: int) -> np.ndarray:
 
 
 def _best(queries: np.ndarray, q_norm: np.ndarray, rows: np.ndarray, keys: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query: positions and cosines of its k best rows, ties by key."""
+    """Per query: positions and cosines of its k best rows, ties by key. A matrix product leaves out
+    only rows that its rounding cannot lift to the k best."""
     norm = np.sqrt((rows * rows).sum(1))
-    for a in range(0, len(queries), 256):
-        c = cosine(queries[a : a + 256], q_norm[a : a + 256], rows, norm)
-        for i, s in enumerate(c):
+    unit = rows / norm[:, None]
+    for a in range(0, len(queries), 64):
+        rough = (queries[a : a + 64] / q_norm[a : a + 64, None]) @ unit.T
+        for i, s in enumerate(rough, a):
             if len(s) > 4 * k:
                 edge = np.partition(s, len(s) - k)[len(s) - k]
-                sel = np.flatnonzero(s >= edge)
+                sel = np.flatnonzero(s >= edge - 1e-9)
             else:
                 sel = np.arange(len(s))
-            sel = sel[np.lexsort((keys[sel], -s[sel]))][:k]
-            yield a + i, sel, s[sel]
+            c = cosine(queries[i : i + 1], q_norm[i : i + 1], rows[sel], norm[sel])[0]
+            best = np.lexsort((keys[sel], -c))[:k]
+            yield i, sel[best], c[best]
 
 
 def cosine(q: np.ndarray, q_norm: np.ndarray, rows: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -108,7 +115,61 @@ def cosine(q: np.ndarray, q_norm: np.ndarray, rows: np.ndarray, norm: np.ndarray
     return np.stack([np.einsum("ij,j->i", rows, x) for x in q]) / (q_norm[:, None] * norm[None, :])
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 12, probes: int = 24, block: int = 4096, seed: int = 5) -> DataFrame:
+def _sample(classes: DataFrame, dim: int, k: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of at most ``rows`` asking classes in hash order: their vectors, and the vectors of the exact ``k``
+    nearest other classes of each with the number of its query."""
+    some = classes.where("asks").orderBy(F.xxhash64("c"), "c").limit(rows).select("c", "v").collect()
+    own, q = np.array([r["c"] for r in some], np.int64), np.array([r["v"] for r in some], float).reshape(-1, dim)
+    unit = q / np.sqrt((q * q).sum(1))[:, None]
+    sent = classes.sparkSession.sparkContext.broadcast((own, unit))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, u = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, c = _matrix(col(b, "v"), dim), col(b, "c").to_numpy()
+            s = u @ (x / np.sqrt((x * x).sum(1))[:, None]).T
+            s[ids[:, None] == c[None, :]] = -np.inf
+            m = min(k, len(c))
+            top = np.argpartition(-s, m - 1, 1)[:, :m]
+            i = np.repeat(np.arange(len(ids)), m)
+            keep = np.isfinite(s[i, top.ravel()])
+            i, j = i[keep], top.ravel()[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(i), col(b, "c").take(pa.array(j)), pa.array(s[i, j])], names=["i", "c", "s"])
+
+    if not some:
+        return q, q, own
+    found = classes.select("c", "v").mapInArrow(run, "i long, c long, s double")
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s"), "c"))).where(F.col("r") <= k)
+    near = F.broadcast(found.select("i", "c")).join(classes.select("c", "v"), "c").select("i", "v").collect()
+    return q, np.array([r["v"] for r in near], float).reshape(-1, dim), np.array([r["i"] for r in near], np.int64)
+
+
+def _enough(lsh: CrossPolytope, sample: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, probes: int, target: float, worth: int) -> int:
+    """Fewest probes (doubled from ``probes``) that find ``target`` of the sample's neighbours; 0 where
+    comparing with all ``n`` classes is cheaper. A probe costs about as much as ``worth`` comparisons in one
+    large block: those in its small bucket, and its way there through shuffle and pandas."""
+    q, near, owner = sample
+    most = n // (worth * lsh.tables)
+    if not len(near):
+        return probes if probes <= most else 0
+    codes = [lsh.probes(near, t, 1)[0] for t in range(lsh.tables)]
+    while probes <= most:
+        hit = np.zeros(len(near), bool)
+        step = max(1, (1 << 21) // (probes * lsh.n))
+        for a in range(0, len(q), step):
+            mine = np.flatnonzero((owner >= a) & (owner < a + step))
+            for t in range(lsh.tables):
+                tried = np.stack(lsh.probes(q[a : a + step], t, probes), 1)
+                hit[mine] |= (tried[owner[mine] - a] == codes[t][mine, None]).any(1)
+        if hit.mean() >= target:
+            return probes
+        probes = 2 * probes if probes == most else min(2 * probes, most)
+    return 0
+
+
+def search(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 12, probes: int = 24, block: int = 4096, seed: int = 5, target: float = 0.95, worth: int = 8192) -> DataFrame:
     """Rows whose vec_id is divisible by ``every`` against all rows: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     prepare(spark)
@@ -131,28 +192,21 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 12, pr
     width, axes = _plan(n, dim)
     lsh = CrossPolytope(dim, tables, width, axes, seed)
     sent = spark.sparkContext.broadcast(lsh)
+    probes = _enough(lsh, _sample(classes, dim, k, 256), n, probes, target, worth) if probes * tables * worth <= n else 0
 
     def hashed(most: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            step = max(1, (1 << 21) // (most * lsh.n))
+            for b in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
                 x = _matrix(col(b, "v"), dim)
                 x = x / np.sqrt((x * x).sum(1))[:, None]
-                rows = pa.array(np.arange(len(x)))
                 for t in range(lsh.tables):
-                    for code in sent.value.probes(x, t, most):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code), col(b, "c"), col(b, "v").take(rows)], names=["t", "b", "c", "v"])
+                    codes = sent.value.probes(x, t, most)
+                    rows = pa.array(np.tile(np.arange(len(x)), len(codes)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(np.concatenate(codes)), col(b, "c").take(rows), col(b, "v").take(rows)], names=["t", "b", "c", "v"])
 
         return run
 
-    shape = "t int, b long, c long, v array<double>"
-    base = classes.select("c", "v").mapInArrow(hashed(1), shape)
-    # a bucket of many rows is dealt over salts
-    sizes = base.groupBy("t", "b").count().select("t", "b", F.ceil(F.col("count") / block).cast("int").alias("salts"))
-    probed = classes.where("asks").select("c", "v").mapInArrow(hashed(probes), shape).join(sizes, ["t", "b"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    rows = base.join(sizes, ["t", "b"]).withColumn("salt", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int"))
-
     def near(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, float]] = []
         if len(q) and len(r):
@@ -162,9 +216,17 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 12, pr
                 found += zip([own[i]] * len(sel), keys[sel], s)
         return pd.DataFrame(found, columns=["q", "c", "score"])
 
-    cols = ["t", "b", "salt"]
-    hits = probed.select(*cols, "c", "v").groupBy(*cols).cogroup(rows.select(*cols, "c", "v").groupBy(*cols)).applyInPandas(near, "q long, c long, score double")
-    hits = stored(hits.groupBy("q", "c").agg(F.max("score").alias("score")), "ann-hits")
+    hits = None
+    if probes:
+        shape = "t int, b long, c long, v array<double>"
+        base = classes.select("c", "v").mapInArrow(hashed(1), shape)
+        # a bucket of many rows is dealt over salts
+        sizes = base.groupBy("t", "b").count().select("t", "b", F.ceil(F.col("count") / block).cast("int").alias("salts"))
+        probed = classes.where("asks").select("c", "v").mapInArrow(hashed(probes), shape).join(sizes, ["t", "b"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        rows = base.join(sizes, ["t", "b"]).withColumn("salt", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int"))
+        cols = ["t", "b", "salt"]
+        hits = probed.select(*cols, "c", "v").groupBy(*cols).cogroup(rows.select(*cols, "c", "v").groupBy(*cols)).applyInPandas(near, "q long, c long, score double")
+        hits = stored(hits.groupBy("q", "c").agg(F.max("score").alias("score")), "ann-hits")
 
     # ids of a class: a query needs at most k + 1 of each
     few = ids.join(classes.select("h", "c"), "h").select("c", "vec_id")
@@ -183,15 +245,17 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 12, pr
         own = asks.join(lists, "q").withColumn("l", F.slice(F.filter("l", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
         return own.select("query_id", F.posexplode("l").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
-    got = hits.join(small.groupBy("c").agg(F.count("*").alias("n")), "c").groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") > k)
-    short = classes.where("asks").select(F.col("c").alias("q"), "v").join(got, "q", "left_anti")
+    short = classes.where("asks").select(F.col("c").alias("q"), "v")
+    if hits is not None:
+        got = hits.join(small.groupBy("c").agg(F.count("*").alias("n")), "c").groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") > k)
+        short = short.join(got, "q", "left_anti")
     short = stored(short, "ann-short")
     m = short.count()
-    if m:
-        blocks = short.withColumn("g", F.pmod(F.xxhash64("q"), F.lit(-(-m // 512)))).groupBy("g").agg(F.collect_list(F.struct("q", "v")).alias("qs")).select("qs")
-        parts = max(1, -(-n // 65536))
-        spread = classes.select("c", "v").withColumn("p", F.pmod(F.xxhash64("c"), F.lit(parts)))
-        asked = blocks.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("p", F.explode("qs").alias("x")).select("p", F.col("x.q").alias("c"), F.col("x.v").alias("v"))
-        full = asked.groupBy("p").cogroup(spread.groupBy("p")).applyInPandas(lambda key, q, r: near(key, q, r), "q long, c long, score double")
-        hits = hits.join(short.select("q"), "q", "left_anti").unionByName(full)
+    if m or hits is None:
+        groups, parts = max(1, -(-m // 32768)), max(1, -(-n // min(65536, max(4096, n // 16))))
+        copies = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+        spread = classes.select("c", "v").withColumn("p", F.pmod(F.xxhash64("c"), F.lit(parts)).cast("int")).withColumn("g", copies(groups))
+        asked = short.select(F.col("q").alias("c"), "v").withColumn("g", F.pmod(F.xxhash64("c"), F.lit(groups)).cast("int")).withColumn("p", copies(parts))
+        full = asked.groupBy("g", "p").cogroup(spread.groupBy("g", "p")).applyInPandas(lambda key, q, r: near(key, q, r), "q long, c long, score double")
+        hits = full if hits is None else hits.join(short.select("q"), "q", "left_anti").unionByName(full)
     return ranked(hits)

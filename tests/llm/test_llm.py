@@ -280,6 +280,35 @@ def test_neighbours(spark):
     assert search(frame.where("false")).count() == 0 and search(frame.where("vec_id in (0, 50)")).count() == 2
 
 
+def test_neighbours_recall_follows_the_sample(spark):
+    from strandline.llm.neighbours import CrossPolytope, _best, _enough, _plan, cosine, search
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(50, 32))
+    spread = {"even": rng.normal(size=(4000, 32)), "groups": centres[np.arange(4000) % 50] + 0.15 * rng.normal(size=(4000, 32))}
+    used = {}
+    for name, x in spread.items():
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = defaultdict(set)
+        for r in search(frame, tables=2, probes=1, worth=128).collect():
+            got[r["query_id"]].add(r["vec_id"])
+        hits, near = 0, []
+        for q in range(0, 4000, 50):
+            c = u @ u[q]
+            c[q] = -9
+            near.append(np.argsort(-c)[:5])
+            hits += len(got[q] & set(near[-1].tolist()))
+        assert hits >= 0.9 * 400, (name, hits)
+        lsh = CrossPolytope(32, 2, *_plan(4000, 32), 5)
+        used[name] = _enough(lsh, (u[::50], u[np.concatenate(near)], np.repeat(np.arange(80), 5)), 4000, 1, 0.95, 128)
+    assert used["even"] == 0 and used["groups"] > 1  # all compared; more probes
+    keys, norm = np.arange(4000)[::-1], np.linalg.norm(x, axis=1)
+    for (i, sel, c), s in zip(_best(x[:9], norm[:9], x, keys, 6), cosine(x[:9], norm[:9], x, norm)):
+        want = np.lexsort((keys, -s))[:6]
+        assert sel.tolist() == want.tolist() and c.tolist() == s[want].tolist()
+
+
 def test_secrets(spark, docs):
     from strandline.llm.secrets import features, findings, redact, scan, train
 
