@@ -339,6 +339,19 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in cp.run(spark, BASE).collect()} <= {r["doc_id"] for r in left.collect()}
 
 
+def test_pipeline_links_five_words_at_four_fifths(spark, docs, texts):
+    import corpus_pipeline as cp
+
+    base = [f"w{i}" for i in range(200)]
+    near = {1: base, 2: base[:165], 3: [*base[:150], *(f"v{i}" for i in range(50))]}  # 161 and 146 of 196 shingles
+    near = {d: " ".join(w) for d, w in near.items()}
+    frame = spark.createDataFrame([(d, t, "en", "s", 0, "clash") for d, t in near.items()], docs.schema)
+    assert {r["doc_id"] for r in cp.near_duplicates(spark, frame, BASE).collect()} == {1, 3} == {c for _, c in brute_components(near, 5, 80).values()}
+    assert {c for _, c in brute_components(near).values()} == {1, 2, 3}
+    kept = cp.near_duplicates(spark, docs.where("doc_id is not null"), BASE)
+    assert {r["doc_id"] for r in kept.collect()} == {c for _, c in brute_components(texts, 5, 80).values()}
+
+
 def test_lowest_holds_the_smallest_hashes(spark):
     from strandline.llm.common import lowest
 
