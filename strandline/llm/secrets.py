@@ -9,7 +9,8 @@ trees) trained from labelled findings decides.
 Labelled findings are rows (before, candidate, after, label). ``findings`` makes a fixed,
 seeded set of ``n`` of them (keys, tokens and passwords in assignments against checksums,
 identifiers, paths, versions, placeholders); ``train`` takes any other table of that form. The
-dictionary is learnt from at most ``max_rows`` texts in hash order.
+dictionary and transitions are counted over all rows' whole texts: tasks count words, Spark adds them up, and only the
+most frequent words and one matrix a task reach the driver.
 
 Null, empty and candidate-free texts have no findings. Repeated rows are scanned alike; other columns pass
 through ``redact`` unchanged.
@@ -23,13 +24,14 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import class_words, col, lowest, prepare, slices, text_bytes
+from strandline.llm.common import class_words, col, discard, prepare, slices, stored, text_bytes
 
 _SEP = np.ones(256, bool)
 _SEP[48:58] = _SEP[65:91] = _SEP[97:123] = False
@@ -59,17 +61,51 @@ class Lexicon:
     words: frozenset[str]
 
     @classmethod
-    def learn(cls, texts: list[str], most: int = 20_000) -> Lexicon:
-        counts: Counter[str] = Counter()
-        for t in texts:
-            counts.update(_WORD.findall(t.lower()))
-        counts.update({w: 1 for w in (*KEYWORDS, *BENIGN, "user", "section", "chapter", "number", "server", "node", "page", "data")})
-        m = np.ones((54, 54))
-        for w, c in counts.items():
+    def learn(cls, docs: DataFrame, most: int = 20_000) -> Lexicon:
+        """From every text of ``docs``: the ``most`` frequent words, the transitions inside all words."""
+        spark = docs.sparkSession
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts: Counter[str] = Counter()
+            for b in slices(batches):
+                for t in col(b, "text").to_pylist():
+                    if t:
+                        counts.update(m[0] for m in _WORD.finditer(t.lower()))
+                if len(counts) > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
+                    counts.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = np.zeros(54 * 54, np.int64)
+            for b in slices(batches, "w"):
+                data, offs = text_bytes(col(b, "w"))
+                inside = np.ones(len(data), bool)
+                inside[offs[1:] - 1] = False
+                at = np.flatnonzero(inside)
+                times = np.repeat(col(b, "n").to_numpy(), np.diff(offs))[at]
+                np.add.at(m, (data[at].astype(np.int64) - 97) * 54 + data[at + 1] - 97, times)
+            own = np.flatnonzero(m)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(m[own])], names=["k", "n"])
+
+        known = sorted({*KEYWORDS, *BENIGN, "user", "section", "chapter", "number", "server", "node", "page", "data"})
+        words = stored(docs.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "lexicon")
+        m = np.ones(54 * 54)
+        for w in known:
             for a, b in zip(w, w[1:]):
-                m[_alphabet(a), _alphabet(b)] += c
-        words = sorted(counts, key=lambda w: (-counts[w], w))[:most]
-        return cls(np.log(m / m.sum(1, keepdims=True)), frozenset(w for w in words if len(w) >= 4))
+                m[_alphabet(a) * 54 + _alphabet(b)] += 1
+        for r in words.mapInArrow(step, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+            m[r["k"]] += r["n"]
+        m = m.reshape(54, 54)
+        more = spark.createDataFrame([(w, 1) for w in known], "w string, n long")
+        top = words.unionByName(more).groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()
+        discard(words)
+        return cls(np.log(m / m.sum(1, keepdims=True)), frozenset(r["w"] for r in top if len(r["w"]) >= 4))
+
+    @cached_property
+    def sizes(self) -> list[int]:
+        """Lengths of the words, longest first."""
+        return sorted({len(w) for w in self.words}, reverse=True)
 
 
 def features(before: str, cand: str, after: str, lex: Lexicon) -> list[float]:
@@ -82,7 +118,7 @@ def features(before: str, cand: str, after: str, lex: Lexicon) -> list[float]:
     step = float(np.mean(lex.steps[code[:-1], code[1:]])) if n > 1 else 0.0
     covered = 0
     for w in _WORD.findall(low):
-        size = next((k for k in range(len(w), 3, -1) if any(w[i : i + k] in lex.words for i in range(len(w) - k + 1))), 0)
+        size = next((k for k in lex.sizes if k <= len(w) and any(w[i : i + k] in lex.words for i in range(len(w) - k + 1))), 0)
         covered += size
     b, a = before.lower(), after.lower()
     near = re.findall(r"[a-z]+", b)[-3:]
@@ -240,13 +276,10 @@ class Scanner:
         return out
 
 
-def train(docs: DataFrame, labelled: list[tuple[str, str, str, int]] | None = None, max_rows: int = 500, max_bytes: int = 8_000) -> Scanner:
-    """Lexicon from at most ``max_rows`` distinct texts of at most ``max_bytes`` bytes, those of smallest hash
-    with their ids; forest from labelled findings."""
-    able = docs.select("doc_id", "text").where((F.octet_length("text") <= max_bytes) & F.col("doc_id").isNotNull())
-    h = F.xxhash64("doc_id", "text")
-    few = lowest(able, h, max_rows).dropDuplicates(["doc_id", "text"]).orderBy(h, "doc_id", "text").limit(max_rows)
-    lex = Lexicon.learn([r["text"] for r in few.collect()])
+def train(docs: DataFrame, labelled: list[tuple[str, str, str, int]] | None = None) -> Scanner:
+    """Lexicon from every text; forest from labelled findings."""
+    prepare(docs.sparkSession)
+    lex = Lexicon.learn(docs)
     rows = labelled if labelled is not None else findings()
     x = np.array([features(b[-NEAR:], c, a[:NEAR], lex) for b, c, a, _ in rows])
     return Scanner(lex, grow(x, np.array([r[3] for r in rows], float)))

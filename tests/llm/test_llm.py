@@ -325,6 +325,26 @@ def test_secrets(spark, docs):
     assert scan(empty(docs), s).count() == 0
 
 
+def test_lexicon_counts_all_texts(spark, docs, texts):
+    from strandline.llm.secrets import BENIGN, KEYWORDS, Lexicon, _alphabet, train
+
+    rare = [(i, "zyxquov " * 20, "en", "s", 0, "clash") for i in (1, 2)] + [(3, "pad. " * 3000 + "qjxvolk " * 300, "en", "s", 0, "clash")]
+    frame = docs.unionByName(spark.createDataFrame(rare, docs.schema))
+    many = frame.unionByName(spark.range(1000).select((F.col("id") + 10_000).alias("doc_id"), F.lit("filler text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast(docs.schema["n_chars"].dataType).alias("n_chars"), F.lit("clash").alias("score")))
+    lex = train(many).lexicon
+    assert {"zyxquov", "qjxvolk"} <= lex.words
+    counts = Counter(w for t in [*texts.values(), *(r[1] for r in rare)] for w in re.findall("[a-z]{3,}", (t or "").lower()))
+    counts.update({w: 1000 for w in ("filler", "text")})
+    counts.update({*KEYWORDS, *BENIGN, "user", "section", "chapter", "number", "server", "node", "page", "data"})
+    m = np.ones((54, 54))
+    for w, c in counts.items():
+        for a, b in zip(w, w[1:]):
+            m[_alphabet(a), _alphabet(b)] += c
+    assert np.allclose(lex.steps, np.log(m / m.sum(1, keepdims=True)))
+    best = sorted(counts, key=lambda w: (-counts[w], w))[:50]
+    assert Lexicon.learn(many, 50).words == {w for w in best if len(w) >= 4}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
