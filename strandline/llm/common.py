@@ -15,23 +15,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass works on; bounds a task's memory for any document mix.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package and keep Arrow batches small."""
+    """Let Python workers import this package and keep Arrow batches small: 2000 rows or 4 MB. Spark
+    reads the two settings when it plans a job, so they stay in the session that runs these operators."""
     top = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if top not in have:
         env["PYTHONPATH"] = os.pathsep.join([top, *have])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is named (tests)."""
+    """The cluster's shared folder. Only a local session may do without ``spark.checkpoint.dir``; on
+    a cluster a machine's own folder would be unseen by the others, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='strandline-shared-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -172,12 +177,15 @@ def lowest(df: DataFrame, h: Column, most: int) -> DataFrame:
     return df.where(level >= least)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int, max_bytes: int | None = None) -> DataFrame:
-    """At most ``max_rows`` labelled texts (doc_id, text, y) for fitting, none held out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int, max_bytes: int = 16 << 20) -> DataFrame:
+    """At most ``max_rows`` labelled whole texts (doc_id, text, y) for fitting, none held out, of at
+    most ``max_bytes`` bytes together.
 
-    Rows are taken in the order of a hash of doc_id. The bound is on labels, so the small side of
-    the join has at most ``max_rows`` rows of two numbers and is broadcast. Rows without id, label or
-    text are not used, nor (with ``max_bytes``) texts longer than that.
+    Rows are taken in the order of a hash of doc_id, whatever their length, until either bound is
+    met. The small side of the join has at most ``max_rows`` rows of two numbers and is broadcast; only
+    hashes and lengths of at most ``max_rows`` rows come to the driver to find the cut. Rows
+    without id, label or text are not used; repeated rows count once, and a doc_id on many rows cannot
+    exceed the bounds.
     """
     able = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), modulus) != held))
     few = (
@@ -185,10 +193,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .groupBy("doc_id").agg(F.max(label).cast("string").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    own = docs.select("doc_id", "text").where("text is not null")
-    if max_bytes:
-        own = own.where(F.octet_length("text") <= max_bytes)
-    return own.join(F.broadcast(few), "doc_id")
+    own = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id")
+    own = stored(own.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("o", F.xxhash64("doc_id")).dropDuplicates(["o", "h"]), "labelled")
+    order = [F.col("o"), F.col("h")]
+    first = own.select("o", "h", F.octet_length("text").cast("long").alias("n")).orderBy(*order).limit(max_rows).toArrow()
+    if not first.num_rows:
+        return own.select("doc_id", "text", "y")
+    taken = int(np.searchsorted(np.cumsum(first["n"].to_numpy()), max_bytes, "right"))
+    taken = max(1, min(taken, first.num_rows)) - 1
+    cut = F.struct(F.lit(first["o"][taken].as_py()).alias("o"), F.lit(first["h"][taken].as_py()).alias("h"))
+    return own.where(F.struct("o", "h") <= cut).select("doc_id", "text", "y")
 
 
 def class_words(data: np.ndarray, offs: np.ndarray, is_sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -41,8 +41,9 @@ def _letters() -> np.ndarray:
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trigram codes, their documents, letters per document); words are closed by one gap on
-    either side and a trigram never crosses a document."""
+    """(trigram codes, their documents, letters per document); gaps between words count as one
+    letter, a text's first and last word have no outer gap unless the text has one there, and a
+    trigram never crosses a document."""
     rows = texts.to_pylist()
     raw = "\n".join("" if t is None else t.replace("\n", " ") for t in rows) + "\n"
     cp = np.frombuffer(raw.encode("utf-32-le", "replace"), np.uint32)
@@ -123,10 +124,10 @@ class Profiles:
         return [self.names[k] if s else "und" for k, s in zip(best, some)], np.where(some, np.clip(cos[np.arange(len(n)), best], 0, 1), 0.0)
 
 
-def learn(docs: DataFrame, modulus: int = 4, held: int = 2, max_rows: int = 8_000, size: int = 1024, seed: int = 11) -> Profiles:
-    """Prototypes from at most ``max_rows`` documents outside the held-out fold. Each task bundles its
+def learn(docs: DataFrame, modulus: int = 4, held: int = 2, max_rows: int = 8_000, max_bytes: int = 64 << 20, size: int = 1024, seed: int = 11) -> Profiles:
+    """Prototypes from at most ``max_rows`` documents (``max_bytes`` together) outside the held-out fold. Each task bundles its
     own documents, so one vector per task and language comes to the driver, at most ``max_rows``."""
-    few = labelled_sample(docs, docs.select("doc_id", "lang"), "lang", modulus, held, max_rows)
+    few = labelled_sample(docs, docs.select("doc_id", "lang"), "lang", modulus, held, max_rows, max_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, total = Space(size, seed), {}
@@ -155,7 +156,7 @@ def assess(docs: DataFrame, modulus: int = 4, held: int = 2, **options) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         space = Space(model.size, model.seed)
-        for b in slices(batches):
+        for b in slices(batches, most=2 << 20):
             lang, s = model.predict(col(b, "text"), space)
             yield pa.RecordBatch.from_arrays([col(b, "doc_id").cast(pa.int64()), pa.array(lang, pa.string()), pa.array(s, pa.float64())], names=["doc_id", "lang_pred", "score"])
 

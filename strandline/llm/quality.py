@@ -174,15 +174,15 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: flo
     return Forest(base, np.array(all_f), np.array(all_t), np.array(all_v), depth)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held: int = 0, max_rows: int = 20_000) -> Forest:
-    """Fit on at most ``max_rows`` labelled documents outside the held-out fold; only their
-    statistics (``len(NAMES)`` numbers a row) come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held: int = 0, max_rows: int = 20_000, max_bytes: int = 256 << 20) -> Forest:
+    """Fit on at most ``max_rows`` labelled documents (``max_bytes`` together) outside the held-out
+    fold; only their statistics (``len(NAMES)`` numbers a row) come to the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x = features(col(b, "text"))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), col(b, "y").cast(pa.int32()), col(b, "doc_id").cast(pa.int64())], names=["x", "y", "doc_id"])
 
-    rows = labelled_sample(docs, labels, label, modulus, held, max_rows).mapInArrow(run, "x array<double>, y int, doc_id long").toArrow()
+    rows = labelled_sample(docs, labels, label, modulus, held, max_rows, max_bytes).mapInArrow(run, "x array<double>, y int, doc_id long").toArrow()
     if not rows.num_rows:
         return fit(np.zeros((0, len(NAMES))), np.zeros(0))
     rows = rows.sort_by("doc_id")

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strandline.llm.common import class_words, col, fold, labelled_sample, prepare, ragged_ranges, slices, span_hashes, text_bytes
 
@@ -74,6 +75,26 @@ def bags(data: np.ndarray, offs: np.ndarray, bits: int) -> tuple[list[tuple[np.n
     return out, count, doc
 
 
+#: Text bytes whose words are looked at together.
+BLOCK = 512 << 10
+
+
+def blocks(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``BLOCK`` bytes that cut no word: each ends at a separator or a text's end."""
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = min(n, lo + BLOCK)
+        while hi < n:
+            nearest = offs[np.searchsorted(offs, hi, "left")]
+            part = _SEP[data[hi : hi + 4096]]
+            at = int(np.argmax(part)) if part.any() else len(part)
+            hi = min(hi + at, int(nearest))
+            if at < len(part) or hi == nearest:
+                break
+        yield lo, hi
+        lo = hi
+
+
 @dataclass
 class Model:
     weight: np.ndarray  # 2**bits numbers, class difference of each embedding row
@@ -82,11 +103,25 @@ class Model:
     span: int
 
     def words(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        grams, count, doc = bags(data, offs, self.bits)
-        s = np.zeros(len(doc))
-        for own, row in grams:
-            s += np.bincount(own, self.weight[row], len(doc)) if len(own) else 0
-        return s / count, doc
+        """Each word's mean weight and its document. Within a block of text a distinct word's bag is
+        summed once."""
+        scores, docs = [np.zeros(0)], [np.zeros(0, np.int32)]
+        for lo, hi in blocks(data, offs):
+            part = lowered(data[lo:hi])
+            first = int(np.searchsorted(offs, lo, "right")) - 1
+            last = int(np.searchsorted(offs, hi, "left"))
+            starts, ends, doc = class_words(part, np.clip(offs[first : last + 1] - lo, 0, hi - lo), _SEP)
+            if not len(starts):
+                continue
+            _, head, inv = np.unique(span_hashes(part, starts, ends), return_index=True, return_inverse=True)
+            flat, edge = spaced(part, starts[head], ends[head])
+            grams, count, _ = bags(flat, edge, self.bits)
+            s = np.zeros(len(head))
+            for own, row in grams:
+                s += np.bincount(own, self.weight[row], len(head)) if len(own) else 0
+            scores.append((s / count)[inv])
+            docs.append((doc + first).astype(np.int32))
+        return np.concatenate(scores), np.concatenate(docs)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         data, offs = text_bytes(texts)
@@ -102,15 +137,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words parted by single spaces as one text, and its two offsets."""
+    size = ends - starts
+    at = np.cumsum(size + 1) - size - 1
+    flat = np.full(int((size + 1).sum()), 32, np.uint8)
+    flat[ragged_ranges(at, size)] = data[ragged_ranges(starts, size)]
+    return flat, np.array([0, len(flat)])
+
+
 def passages(doc: np.ndarray, docs: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Half-overlapping passages as word ranges: starts, ends and documents."""
     n = np.bincount(doc, minlength=docs)
     step = max(1, span // 2)
     k = np.where(n > span, -(-(n - span) // step) + 1, (n > 0).astype(np.int64))
-    own = np.repeat(np.arange(docs), k)
-    base = (np.cumsum(n) - n)[own]
-    a = base + (np.arange(len(own)) - np.repeat(np.cumsum(k) - k, k)) * step
-    return a, np.minimum(a + span, base + n[own]), own
+    own = np.repeat(np.arange(docs, dtype=np.int32), k)
+    before = np.cumsum(n) - n
+    a = (np.arange(len(own), dtype=np.int32) - np.repeat((np.cumsum(k) - k).astype(np.int32), k)) * np.int32(step)
+    a += before.astype(np.int32)[own]
+    return a, np.minimum(a + np.int32(span), (before + n).astype(np.int32)[own]), own
 
 
 def _vocabulary(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,22 +169,20 @@ def _vocabulary(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.
         hi = min(len(starts), lo + 200_000)
         at = starts[lo]
         h[lo:hi] = span_hashes(data[at : ends[hi - 1]], starts[lo:hi] - at, ends[lo:hi] - at)
+    doc = doc.astype(np.int32)
     _, head, words = np.unique(h, return_index=True, return_inverse=True)
+    words = words.astype(np.int32)
     rows, counts = [], []
     for lo in range(0, len(head), 50_000):
         k = head[lo : lo + 50_000]
-        size = ends[k] - starts[k]
-        at = np.cumsum(size + 1) - size - 1
-        flat = np.full(int((size + 1).sum()), 32, np.uint8)
-        flat[ragged_ranges(at, size)] = data[ragged_ranges(starts[k], size)]
-        grams, count, _ = bags(flat, np.array([0, len(flat)]), bits)
+        grams, count, _ = bags(*spaced(data, starts[k], ends[k]), bits)
         own = np.concatenate([o for o, _ in grams])
         row = np.concatenate([r for _, r in grams])
         rows.append(row[np.argsort(own, kind="stable")].astype(np.int32))
         counts.append(count)
     row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
     count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    return words.astype(np.int32), row, np.cumsum(count) - count, count, doc
+    return words, row, np.cumsum(count) - count, count, doc
 
 
 def fit(texts: pa.Array, y: np.ndarray, bits: int = 18, dim: int = 8, span: int = 2, rounds: int = 4, rate: float = 0.2, batch: int = 256, least: int = 4, seed: int = 7) -> Model:
@@ -225,26 +268,27 @@ def first_of(order: np.ndarray, key: np.ndarray) -> np.ndarray:
     return order[np.concatenate([[True], k[1:] != k[:-1]])]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, max_rows: int = 6_000, max_bytes: int = 8_000, **options) -> Model:
-    """Fit on at most ``max_rows`` labelled texts of at most ``max_bytes`` bytes each; those two
-    parameters bound what comes to the driver."""
-    rows = labelled_sample(docs, labels, label, modulus, held, max_rows, max_bytes).select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, max_rows: int = 6_000, max_bytes: int = 16 << 20, **options) -> Model:
+    """Fit on at most ``max_rows`` labelled texts of at most ``max_bytes`` bytes together; those two
+    parameters bound what comes to the driver. Texts of any length can be among them."""
+    rows = labelled_sample(docs, labels, label, modulus, held, max_rows, max_bytes).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     y = np.array([int(v) > 0 for v in rows["y"].to_pylist()], np.int64)
     return fit(rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string()), y, **options)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Every column of ``docs`` kept, and ``toxicity``."""
+def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
+    """Every column of ``docs`` kept, and the score as column ``into``, which must not be there yet."""
+    if into.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the documents have a column {into} already: name another one")
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != "toxicity"]
-    schema = docs.select(*kept).schema.add("toxicity", "double")
+    schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(col(b, "text")))], names=[*b.schema.names, "toxicity"])
+        for b in slices(batches, most=BLOCK):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(col(b, "text")))], names=[*b.schema.names, into])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def assess(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus: int = 3, held: int = 1, **options) -> DataFrame:
