@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Text bytes that one numpy pass works on; bounds a task's memory for any document mix.
 SLICE_BYTES = 1 << 20
 
+#: Workers give freed arrays back to the system, so that reused ones stay small.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package and keep Arrow batches small: 2000 rows or 4 MB. Spark
@@ -26,6 +29,8 @@ def prepare(spark: SparkSession) -> None:
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if top not in have:
         env["PYTHONPATH"] = os.pathsep.join([top, *have])
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 

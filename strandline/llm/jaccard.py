@@ -231,7 +231,7 @@ def _by_group(keys: list[str], percent: int, pairs_of):
             name = hashlib.blake2b(ids.tobytes() + side.tobytes(), digest_size=16).digest()
             if name in seen:  # near copies share many shingles: the same group again
                 return
-            if len(seen) > 500_000:
+            if len(seen) > 50_000:  # a group seen longer ago is compared once more
                 seen.clear()
             seen.add(name)
             out.extend(pairs_of(ids, size, vec, comp, side, percent))
@@ -266,6 +266,18 @@ def _by_group(keys: list[str], percent: int, pairs_of):
     return run
 
 
+def _by_size(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Cuts of about ``most`` bytes of text behind the compressed column ``z``, or one row."""
+    import zstandard
+
+    ends = np.cumsum([zstandard.frame_content_size(z) for z in col(batch, "z").to_pylist()])
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, fan: int = 256) -> DataFrame:
     """The pairs (a, b) that link, decided on the whole texts' shingles.
 
@@ -284,7 +296,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, fan: int =
         z = zstandard.ZstdDecompressor()
         held, sets = None, []
         for big in batches:
-            for b in slices([big], "z", 1 << 20):
+            for b in _by_size(big, 1 << 20):
                 x, _, size = shingles(pa.array([z.decompress(t) for t in col(b, "z").to_pylist()], pa.binary()).cast(pa.string()), n)
                 ends = np.cumsum(size)
                 found = []

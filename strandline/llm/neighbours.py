@@ -2,22 +2,25 @@
 
 A vector is padded to a power of two, multiplied three times by random signs and a fast Hadamard
 transform, and assigned to the nearest signed axis. A table joins ``width`` such hashes into a
-bucket; the width grows with the logarithm of the number of rows so that buckets stay small. Each query probes
-its ``probes`` most promising buckets of every table (next-best axes, ranked by the loss of
-projection), and the candidates found there are reranked by exact cosine in double precision.
+bucket; the width grows with the logarithm of the number of rows so that buckets keep about ``fill`` rows. Each query
+probes its most promising buckets of every table (next-best axes, ranked by the loss of projection).
 
-Recall: a sample of queries is answered exactly first. ``probes`` is doubled until the tables hold
-``target`` of the sample's neighbours. Where that would cost more than comparing every query with every
-class, they are all compared and the result is exact, but the work grows with the square of the table.
+Recall: a sample of at most 256 queries is answered exactly first, and ``probes`` is doubled until the tables hold
+``target`` of the sample's neighbours (at most until every bucket is probed). All queries then go through the tables.
 
-Scale: equal vectors are one class, of which only the ``k + 1`` smallest ids matter to any query,
-so copies cost one candidate. Buckets larger than ``block`` are dealt over several tasks by a salt, with the
-queries copied to each, so no bucket lands in one task. Every bucket returns its best ``k + 1`` per
-query. Queries that found fewer than ``k`` neighbours are compared with all classes, in blocks of
-queries and classes.
+What is shuffled: rows and probes carry ids and quantised vectors (four bits a component for a row, eight for a query),
+not the vectors. A task merges what its buckets found, so that at most ``keep`` candidates a query leave it. The ``keep``
+best of a query by quantised cosine fetch their vectors once and are ranked by exact cosine in double precision.
 
-Vectors that are null, empty, zero, of another dimension than most or hold null or non-finite components take no
-part. Rows without id take none either; repeated (id, vector) rows count once, an id with two vectors is two candidates.
+Scale: equal vectors are one class, of which only the ``k + 1`` smallest ids matter to any query,
+so copies cost one candidate. Buckets with more than ``block`` rows or queries are dealt over a grid of row blocks and
+query blocks, so no bucket lands in one task. (A direction that a large share of all different vectors has in common
+stays quadratic in that share: their queries meet their rows in the grid.) Queries that found fewer than ``k``
+neighbours meet all classes, in blocks of both.
+
+Vectors that are null, empty, zero or hold null or non-finite components take no part; neither do rows without
+id. Vectors of different dimensions have no cosine: each dimension is searched by itself. Repeated rows are rows: a
+query finds its own copies, and each copy of a query asks alike. Of a query's candidates only its own row is left out.
 Ties go to the smaller id.
 """
 
@@ -26,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,11 +79,11 @@ class CrossPolytope:
         return [options[0][:, i] for i in range(options[0].shape[1])]
 
 
-def _plan(n: int, dim: int) -> tuple[int, int]:
-    """(hashes per table, axes of the last) for buckets of about 64 rows: the number of buckets
+def _plan(n: int, dim: int, fill: int) -> tuple[int, int]:
+    """(hashes per table, axes of the last) for buckets of about ``fill`` rows: the number of buckets
     follows the number of rows."""
     full = 1 << max(1, (dim - 1).bit_length())
-    bits = max(1.0, np.log2(max(n, 2) / 64))
+    bits = max(1.0, np.log2(max(n, 2) / fill))
     per = np.log2(2 * full)
     width = max(1, int(np.ceil(bits / per)))
     return width, max(1, int(round(2 ** (bits - per * (width - 1) - 1))))
@@ -91,28 +93,91 @@ def _matrix(arr: pa.Array, dim: int) -> np.ndarray:
     return arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _best(queries: np.ndarray, q_norm: np.ndarray, rows: np.ndarray, keys: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query: positions and cosines of its k best rows, ties by key. A matrix product leaves out
-    only rows that its rounding cannot lift to the k best."""
-    norm = np.sqrt((rows * rows).sum(1))
-    unit = rows / norm[:, None]
-    for a in range(0, len(queries), 64):
-        rough = (queries[a : a + 64] / q_norm[a : a + 64, None]) @ unit.T
-        for i, s in enumerate(rough, a):
-            if len(s) > 4 * k:
-                edge = np.partition(s, len(s) - k)[len(s) - k]
-                sel = np.flatnonzero(s >= edge - 1e-9)
-            else:
-                sel = np.arange(len(s))
-            c = cosine(queries[i : i + 1], q_norm[i : i + 1], rows[sel], norm[sel])[0]
-            best = np.lexsort((keys[sel], -c))[:k]
-            yield i, sel[best], c[best]
+def _unit(x: np.ndarray) -> np.ndarray:
+    """At unit length; scaled first, so that neither tiny nor huge components are lost."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def quantised(x: np.ndarray, bits: int) -> list[bytes]:
+    """Unit vectors as ``bits`` (4 or 8) a component over three standard deviations."""
+    top = (1 << bits) - 1
+    q = np.rint((np.clip(x * (np.sqrt(x.shape[1]) / 3), -1, 1) + 1) * (top / 2)).astype(np.uint8)
+    if bits == 4:
+        if q.shape[1] % 2:
+            q = np.concatenate([q, np.zeros((len(q), 1), np.uint8)], 1)
+        q = q[:, ::2] << 4 | q[:, 1::2]
+    return [r.tobytes() for r in q]
+
+
+def restored(codes: list[bytes], dim: int, bits: int) -> np.ndarray:
+    """Unit vectors close to those that ``quantised`` got."""
+    q = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    if bits == 4:
+        q = np.stack([q >> 4, q & 15], 2).reshape(len(codes), -1)[:, :dim]
+    x = q.astype(np.float32) * np.float32(2 / ((1 << bits) - 1)) - 1
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-9)[:, None]
 
 
-def cosine(q: np.ndarray, q_norm: np.ndarray, rows: np.ndarray, norm: np.ndarray) -> np.ndarray:
-    """Cosines of float32 vectors in double precision; einsum sums every pair in the same order,
-    so equal pairs score equally in any task."""
-    return np.stack([np.einsum("ij,j->i", rows, x) for x in q]) / (q_norm[:, None] * norm[None, :])
+def best_of(q: np.ndarray, c: np.ndarray, s: np.ndarray, keep: int) -> np.ndarray:
+    """Places of each q's ``keep`` best different c."""
+    order = np.lexsort((-s, c, q))
+    head = np.concatenate([[True], (q[order][1:] != q[order][:-1]) | (c[order][1:] != c[order][:-1])])[: len(q)]
+    order = order[head]
+    order = order[np.lexsort((c[order], -s[order], q[order]))]
+    own = q[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+    nth = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    return order[nth < keep]
+
+
+def _candidates(names: tuple[str, str, str], parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    for arrays in parts:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=list(names))
+
+
+def _meeting(keys: list[str], dim: int, each: int, keep: int, most: int = 400_000):
+    """mapInArrow over queries and rows sorted by ``keys`` and ``ask`` (queries first): each group's ``each`` best
+    rows of every query by quantised cosine, then the task's ``keep`` best of every query."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        have, last, owners, asked = 0, None, np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            q, c, s = (np.concatenate(x) for x in zip(*found))
+            at = best_of(q, c, s, keep)
+            return q[at], c[at], s[at]
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = np.stack([col(b, x).to_numpy(zero_copy_only=False).astype(np.int64) for x in keys])
+            ids, ask, z = col(b, "c").to_numpy(), col(b, "ask").to_numpy(zero_copy_only=False), col(b, "z")
+            cuts = np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1, [b.num_rows]])
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                own = tuple(k[:, i])
+                if own != last:
+                    last, owners, asked = own, np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
+                m = i + int(ask[i:j].sum())
+                if m > i:
+                    owners, asked = np.append(owners, ids[i:m]), np.concatenate([asked, restored(z[i:m].to_pylist(), dim, 8)])
+                if m == j or not len(owners):
+                    continue
+                s = asked @ restored(z[m:j].to_pylist(), dim, 4).T
+                n = min(each, j - m)
+                top = np.argpartition(-s, n - 1, 1)[:, :n] if n < j - m else np.tile(np.arange(n), (len(s), 1))
+                found.append((np.repeat(owners, n), ids[m:j][top.ravel()], np.take_along_axis(s, top, 1).ravel()))
+                have += s.shape[0] * n
+            if have > most:
+                found = [merged()]
+                have = len(found[0][0])
+                if have > most // 2:  # many queries: what is merged goes on
+                    yield from _candidates(("q", "c", "s"), found)
+                    found, have = [], 0
+        if found:
+            yield from _candidates(("q", "c", "s"), [merged()])
+
+    return run
 
 
 def _sample(classes: DataFrame, dim: int, k: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,8 +185,7 @@ def _sample(classes: DataFrame, dim: int, k: int, rows: int) -> tuple[np.ndarray
     nearest other classes of each with the number of its query."""
     some = classes.where("asks").orderBy(F.xxhash64("c"), "c").limit(rows).select("c", "v").collect()
     own, q = np.array([r["c"] for r in some], np.int64), np.array([r["v"] for r in some], float).reshape(-1, dim)
-    unit = q / np.sqrt((q * q).sum(1))[:, None]
-    sent = classes.sparkSession.sparkContext.broadcast((own, unit))
+    sent = classes.sparkSession.sparkContext.broadcast((own, _unit(q) if len(q) else q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, u = sent.value
@@ -129,7 +193,7 @@ def _sample(classes: DataFrame, dim: int, k: int, rows: int) -> tuple[np.ndarray
             if not b.num_rows:
                 continue
             x, c = _matrix(col(b, "v"), dim), col(b, "c").to_numpy()
-            s = u @ (x / np.sqrt((x * x).sum(1))[:, None]).T
+            s = u @ _unit(x).T
             s[ids[:, None] == c[None, :]] = -np.inf
             m = min(k, len(c))
             top = np.argpartition(-s, m - 1, 1)[:, :m]
@@ -143,19 +207,17 @@ def _sample(classes: DataFrame, dim: int, k: int, rows: int) -> tuple[np.ndarray
     found = classes.select("c", "v").mapInArrow(run, "i long, c long, s double")
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s"), "c"))).where(F.col("r") <= k)
     near = F.broadcast(found.select("i", "c")).join(classes.select("c", "v"), "c").select("i", "v").collect()
-    return q, np.array([r["v"] for r in near], float).reshape(-1, dim), np.array([r["i"] for r in near], np.int64)
+    return _unit(q), _unit(np.array([r["v"] for r in near], float).reshape(-1, dim)) if near else q[:0], np.array([r["i"] for r in near], np.int64)
 
 
-def _enough(lsh: CrossPolytope, sample: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, probes: int, target: float, worth: int) -> int:
-    """Fewest probes (doubled from ``probes``) that find ``target`` of the sample's neighbours; 0 where
-    comparing with all ``n`` classes is cheaper. A probe costs about as much as ``worth`` comparisons in one
-    large block: those in its small bucket, and its way there through shuffle and pandas."""
+def _enough(lsh: CrossPolytope, sample: tuple[np.ndarray, np.ndarray, np.ndarray], probes: int, target: float) -> int:
+    """Fewest probes (doubled from ``probes``) that find ``target`` of the sample's neighbours, at most all buckets."""
     q, near, owner = sample
-    most = n // (worth * lsh.tables)
+    every = int(np.prod([2.0 * a for a in lsh.axes]))
     if not len(near):
-        return probes if probes <= most else 0
+        return min(probes, every)
     codes = [lsh.probes(near, t, 1)[0] for t in range(lsh.tables)]
-    while probes <= most:
+    while probes < every:
         hit = np.zeros(len(near), bool)
         step = max(1, (1 << 21) // (probes * lsh.n))
         for a in range(0, len(q), step):
@@ -165,97 +227,159 @@ def _enough(lsh: CrossPolytope, sample: tuple[np.ndarray, np.ndarray, np.ndarray
                 hit[mine] |= (tried[owner[mine] - a] == codes[t][mine, None]).any(1)
         if hit.mean() >= target:
             return probes
-        probes = 2 * probes if probes == most else min(2 * probes, most)
-    return 0
+        probes *= 2
+    return every
+
+
+OUT = "query_id long, rank int, vec_id long, score double"
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 12, probes: int = 24, block: int = 4096, seed: int = 5, target: float = 0.95, worth: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, **options) -> DataFrame:
     """Rows whose vec_id is divisible by ``every`` against all rows: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     prepare(spark)
-    v = F.col("embedding")
-    ok = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("embedding")).where(
-        "vec_id is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
+    ok = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).where(
+        "vec_id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)"
     )
-    dims = ok.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    out_schema = "query_id long, rank int, vec_id long, score double"
-    if dims is None:
-        return spark.createDataFrame([], out_schema)
-    dim = dims["d"]
-    # classes of equal vectors, named by their smallest id; ids of each class are kept beside
-    ok = ok.where(F.size("embedding") == dim).withColumn("h", F.sha2(F.array_join(F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("string")), ","), 256))
-    ids = stored(ok.select("h", "vec_id").distinct(), "ann-ids")
-    classes = stored(ok.groupBy("h").agg(F.min("vec_id").alias("c"), F.first("embedding").alias("v")).join(
-        ids.where(F.col("vec_id") % every == 0).select("h").distinct().withColumn("asks", F.lit(True)), "h", "left"
-    ).select("c", "h", "v", F.coalesce("asks", F.lit(False)).alias("asks")), "ann-classes")
+    out = spark.createDataFrame([], OUT)
+    for (dim,) in ok.select(F.size("v").alias("d")).distinct().orderBy("d").collect():
+        out = out.unionByName(_search(ok.where(F.size("v") == dim), dim, every, k, **options))
+    return out
+
+
+def _search(ok: DataFrame, dim: int, every: int, k: int, tables: int = 8, probes: int = 8, fill: int = 256, block: int = 4096, keep: int = 32, seed: int = 5, target: float = 0.95) -> DataFrame:
+    spark = ok.sparkSession
+    # classes of equal vectors, by a number of their own; ids of each class are kept beside
+    named = ok.withColumn("h", F.sha2(F.array_join(F.transform("v", lambda x: (x.cast("double") + F.lit(0.0)).cast("string")), ","), 256))
+    asks = F.max(F.when(F.col("vec_id") % every == 0, F.lit(True)).otherwise(F.lit(False)))
+    classes = stored(named.groupBy("h").agg(F.min("vec_id").alias("least"), F.first("v").alias("v"), asks.alias("asks")).withColumn("c", F.monotonically_increasing_id()), "ann-classes")
+    ids = stored(named.groupBy("h", "vec_id").agg(F.count("*").alias("copies")).join(classes.select("h", "c"), "h").select("c", "vec_id", "copies"), "ann-ids")
     n = classes.count()
-    width, axes = _plan(n, dim)
+    width, axes = _plan(n, dim, fill)
     lsh = CrossPolytope(dim, tables, width, axes, seed)
     sent = spark.sparkContext.broadcast(lsh)
-    probes = _enough(lsh, _sample(classes, dim, k, 256), n, probes, target, worth) if probes * tables * worth <= n else 0
+    probes = _enough(lsh, _sample(classes, dim, k, 256), probes, target)
 
-    def hashed(most: int):
+    def hashed(most: int, bits: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, (1 << 21) // (most * lsh.n))
+            step = max(1, (1 << 20) // (most * lsh.n))
             for b in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
-                x = _matrix(col(b, "v"), dim)
-                x = x / np.sqrt((x * x).sum(1))[:, None]
+                x = _unit(_matrix(col(b, "v"), dim))
+                z = pa.array(quantised(x, bits), pa.binary())
                 for t in range(lsh.tables):
                     codes = sent.value.probes(x, t, most)
                     rows = pa.array(np.tile(np.arange(len(x)), len(codes)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(np.concatenate(codes)), col(b, "c").take(rows), col(b, "v").take(rows)], names=["t", "b", "c", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(np.concatenate(codes)), col(b, "c").take(rows), z.take(rows)], names=["t", "b", "c", "z"])
 
         return run
 
-    def near(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, float]] = []
-        if len(q) and len(r):
-            a, m = np.stack(q["v"].to_list()), np.stack(r["v"].to_list())
-            own, keys = q["c"].to_numpy(), r["c"].to_numpy()
-            for i, sel, s in _best(a, np.sqrt((a * a).sum(1)), m, keys, k + 1):
-                found += zip([own[i]] * len(sel), keys[sel], s)
-        return pd.DataFrame(found, columns=["q", "c", "score"])
-
-    hits = None
-    if probes:
-        shape = "t int, b long, c long, v array<double>"
-        base = classes.select("c", "v").mapInArrow(hashed(1), shape)
-        # a bucket of many rows is dealt over salts
-        sizes = base.groupBy("t", "b").count().select("t", "b", F.ceil(F.col("count") / block).cast("int").alias("salts"))
-        probed = classes.where("asks").select("c", "v").mapInArrow(hashed(probes), shape).join(sizes, ["t", "b"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        rows = base.join(sizes, ["t", "b"]).withColumn("salt", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int"))
-        cols = ["t", "b", "salt"]
-        hits = probed.select(*cols, "c", "v").groupBy(*cols).cogroup(rows.select(*cols, "c", "v").groupBy(*cols)).applyInPandas(near, "q long, c long, score double")
-        hits = stored(hits.groupBy("q", "c").agg(F.max("score").alias("score")), "ann-hits")
-
-    # ids of a class: a query needs at most k + 1 of each
-    few = ids.join(classes.select("h", "c"), "h").select("c", "vec_id")
-    small = few.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    shape = "t int, b long, c long, z binary"
+    rows = classes.select("c", "v").mapInArrow(hashed(1, 4), shape)
+    asked = classes.where("asks").select("c", "v").mapInArrow(hashed(probes, 8), shape)
+    rows, asked = stored(rows, "ann-rows"), stored(asked, "ann-asked")
+    keys, zero = ["t", "b", "i", "j"], F.lit(0)
+    # only buckets of more than ``block`` rows or queries need a grid
+    large = rows.groupBy("t", "b").agg(F.count("*").alias("n"), zero.cast("long").alias("m")).unionByName(asked.groupBy("t", "b").agg(zero.cast("long").alias("n"), F.count("*").alias("m")))
+    large = stored(large.groupBy("t", "b").agg(F.ceil(F.sum("n") / block).cast("int").alias("x"), F.ceil(F.sum("m") / block).cast("int").alias("y")).where("x > 1 or y > 1"), "ann-large")
+
+    def spread(side: DataFrame, own: str, many: str, at: str, other: str) -> DataFrame:
+        """Each row stands in one of its own blocks, and there in every block of the other side."""
+        if not large.take(1):
+            return side.select("t", "b", zero.alias("i"), zero.alias("j"), "c", "z")
+        met = side.join(large, ["t", "b"], "left")
+        part = F.pmod(F.xxhash64("c"), F.greatest(F.coalesce(own, F.lit(1)), F.lit(1))).cast("int")
+        copies = F.explode(F.sequence(zero, F.greatest(F.coalesce(many, F.lit(1)), F.lit(1)) - 1))
+        return met.select("t", "b", part.alias(at), copies.alias(other), "c", "z").select(*keys, "c", "z")
+
+    def meet(asked: DataFrame, rows: DataFrame, keys: list[str], each: int) -> DataFrame:
+        both = asked.withColumn("ask", F.lit(True)).unionByName(rows.withColumn("ask", F.lit(False)))
+        return both.repartition(*keys).sortWithinPartitions(*keys, F.desc("ask")).mapInArrow(_meeting(keys, dim, each, keep), "q long, c long, s float")
+
+    found = meet(spread(asked, "y", "x", "j", "i"), spread(rows, "x", "y", "i", "j"), keys, k + 3)
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``keep`` best of each query; rows are sorted by q."""
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            if b.num_rows:
+                held.append(tuple(col(b, x).to_numpy() for x in ("q", "c", "s")))
+            if sum(len(h[0]) for h in held) > 200_000:
+                q, c, s = (np.concatenate(x) for x in zip(*held))
+                at = best_of(q, c, s, keep)
+                q, c, s = q[at], c[at], s[at]
+                done = q < q[-1]
+                yield from _candidates(("q", "c"), [(q[done], c[done])])
+                held = [(q[~done], c[~done], s[~done])]
+        if held:
+            q, c, s = (np.concatenate(x) for x in zip(*held))
+            at = best_of(q, c, s, keep)
+            yield from _candidates(("q", "c"), [(q[at], c[at])])
+
+    narrow = lambda found: found.repartition("q").sortWithinPartitions("q").mapInArrow(narrowed, "q long, c long")
+    hits = stored(narrow(found), "ann-hits")
+    discard(rows, asked, large)
+
+    # ids of a class: a query needs at most k + 1 of each, copies of a row included
+    few = ids.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("copies", F.least("copies", F.lit(k + 1)))
     for by in (["c", "part"], ["c"]):
-        small = small.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    small = stored(small.select("c", "vec_id"), "ann-small")
-
-    def ranked(found: DataFrame) -> DataFrame:
-        """Top k + 1 ids of every asking class, then each query's k without itself."""
-        top = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where(F.col("r") <= k + 1)
-        each = top.join(small, "c").select("q", "vec_id", "score")
-        each = each.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
-        lists = each.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("l"))
-        asks = few.where(F.col("vec_id") % every == 0).select(F.col("c").alias("q"), F.col("vec_id").alias("query_id"))
-        own = asks.join(lists, "q").withColumn("l", F.slice(F.filter("l", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
-        return own.select("query_id", F.posexplode("l").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
-
-    short = classes.where("asks").select(F.col("c").alias("q"), "v")
-    if hits is not None:
-        got = hits.join(small.groupBy("c").agg(F.count("*").alias("n")), "c").groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") > k)
-        short = short.join(got, "q", "left_anti")
-    short = stored(short, "ann-short")
+        few = few.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    few = stored(few.select("c", "vec_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth")), "ann-few")
+
+    # queries without k neighbours meet all classes
+    got = hits.join(few.groupBy("c").agg(F.count("*").alias("n")), "c").groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") > k)
+    short = stored(classes.where("asks").select("c", "v").join(got.select(F.col("q").alias("c")), "c", "left_anti"), "ann-short")
     m = short.count()
-    if m or hits is None:
-        groups, parts = max(1, -(-m // 32768)), max(1, -(-n // min(65536, max(4096, n // 16))))
-        copies = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
-        spread = classes.select("c", "v").withColumn("p", F.pmod(F.xxhash64("c"), F.lit(parts)).cast("int")).withColumn("g", copies(groups))
-        asked = short.select(F.col("q").alias("c"), "v").withColumn("g", F.pmod(F.xxhash64("c"), F.lit(groups)).cast("int")).withColumn("p", copies(parts))
-        full = asked.groupBy("g", "p").cogroup(spread.groupBy("g", "p")).applyInPandas(lambda key, q, r: near(key, q, r), "q long, c long, score double")
-        hits = full if hits is None else hits.join(short.select("q"), "q", "left_anti").unionByName(full)
-    return ranked(hits)
+    if m:
+        groups, parts = -(-m // block), -(-n // (16 * block))
+        copies = lambda many: F.explode(F.sequence(zero, F.lit(many - 1)))
+
+        def coded(side: DataFrame, bits: int) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    if b.num_rows:
+                        yield pa.RecordBatch.from_arrays([col(b, "c"), pa.array(quantised(_unit(_matrix(col(b, "v"), dim)), bits), pa.binary())], names=["c", "z"])
+
+            return side.select("c", "v").mapInArrow(run, "c long, z binary")
+
+        part = lambda many: F.pmod(F.xxhash64("c"), F.lit(many)).cast("int")
+        all_rows = coded(classes, 4).select(part(parts).alias("p"), copies(groups).alias("g"), "c", "z")
+        all_asked = coded(short, 8).select(copies(parts).alias("p"), part(groups).alias("g"), "c", "z")
+        more = narrow(meet(all_asked, all_rows, ["p", "g"], keep))
+        hits = hits.join(short.select(F.col("c").alias("q")), "q", "left_anti").unionByName(more)
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Exact cosines of a query (its own row, without c, comes first) with its candidates."""
+        last, x, length = None, None, 0.0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            q, own, v = col(b, "q").to_numpy(), col(b, "c"), _matrix(col(b, "v"), dim)
+            lengths = np.sqrt((v * v).sum(1))
+            heads = own.is_null().to_numpy(zero_copy_only=False)
+            s = np.zeros(b.num_rows)
+            for i, j in _runs(q):
+                if q[i] != last:
+                    last = q[i]
+                if heads[i]:
+                    x, length = v[i], lengths[i]
+                # one order of summation for every pair, so equal pairs score equally in any task
+                s[i:j] = np.einsum("ij,j->i", v[i:j], x) / (lengths[i:j] * length)
+            at = pa.array(np.flatnonzero(~heads))
+            yield pa.RecordBatch.from_arrays([col(b, "q").take(at), own.take(at), col(b, "least").take(at), pa.array(s).take(at)], names=["q", "c", "least", "score"])
+
+    pairs = hits.join(classes.select("c", "v", "least"), "c").select("q", "c", "least", "v")
+    heads = classes.where("asks").select(F.col("c").alias("q"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("long").alias("least"), "v")
+    scored = pairs.unionByName(heads).repartition("q").sortWithinPartitions("q", F.col("c").asc_nulls_first()).mapInArrow(ranked, "q long, c long, least long, score double")
+    top = scored.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least", "c"))).where(F.col("r") <= k + 1)
+    each = top.join(few, "c").select("q", "c", "vec_id", "nth", "score")
+    each = each.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "nth"))).where(F.col("r") <= k + 1)
+    lists = each.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "c", "nth"))).alias("l"))
+    mine = ids.where(F.col("vec_id") % every == 0).select(F.col("c").alias("q"), F.col("vec_id").alias("query_id"), "copies")
+    own = mine.join(lists, "q").withColumn("l", F.slice(F.filter("l", lambda x: ~((x["vec_id"] == F.col("query_id")) & (x["c"] == F.col("q")) & (x["nth"] == 1))), 1, k))
+    own = own.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return own.select("query_id", F.posexplode("l").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+
+
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    edge = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+    return zip(edge[:-1].tolist(), edge[1:].tolist())

@@ -66,6 +66,26 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth
+  FROM (SELECT doc_id, i, array_slice(b, i, i + 99) AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d))
+), c AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, true) AS fresh FROM w WHERE nth > 1
+), r AS (
+  SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM c) GROUP BY doc_id, g
+), edges AS (
+  SELECT doc_id, s, e FROM r UNION ALL SELECT doc_id, octet_length(b) + 1, octet_length(b) + 1 FROM d
+), k AS (
+  SELECT e.doc_id, string_agg(hex(array_slice(b, a, s - 1)), '' ORDER BY a) AS h
+  FROM (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s, e), 1) AS a, s FROM edges) e JOIN d USING (doc_id) WHERE s > a GROUP BY e.doc_id
+), n AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.quality import assess
 
@@ -146,4 +166,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op6_ngram_join": OP6_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op6_ngram_join": OP6_SQL}
