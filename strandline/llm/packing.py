@@ -7,10 +7,10 @@ Lengths are small integers, so packing works on the histogram of piece lengths (
    pieces of exactly the capacity. Each piece gets a running number among the pieces of its
    length in its partition.
 2. The driver solves the histogram by bin completion: around the largest length left it
-   enumerates undominated fillings of the rest (Martello-Toth dominance: a filling is dropped if
-   another one replaces its items by ones at least as long), tries the least waste first, and
+   enumerates fillings of the rest that no swap dominates (Martello-Toth dominance: a filling is dropped if
+   one or two of its items can give way to a longer one), tries the least waste first, and
    repeats the filling as often as the counts allow. The best-fit-decreasing packing is the first
-   incumbent; a branch is cut when its waste so far plus the lower bound on the rest cannot beat
+   incumbent; a branch is cut when the L2 bound of the rest, or its waste so far, cannot beat
    the incumbent. ``max_nodes`` bounds the search, after which the incumbent stands.
 3. The solution is a list of runs (filling, times). A piece's number within its length, counted
    over all partitions, finds its run, sequence and offset by binary search.
@@ -58,104 +58,135 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Run]:
     return runs
 
 
-def fillings(room: int, lengths: list[int], left: dict[int, int], most: int) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated fillings of ``room``, least waste first, at most ``most`` found depth first.
+def fillings(room: int, left: dict[int, int], most_waste: int) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+    """(waste, filling) of ``room`` by lengths of ``left``, least waste first, up to ``most_waste``: all but those
+    dominated by a swap of one length, or of two for one, for a longer one that is left and still fits.
 
-    A filling is kept if nothing that is left fits its rest and no single swap for a longer
-    length fits: both would dominate it.
+    Bit i of a mask says whether the lengths from some place on can sum up to i, so the enumeration
+    enters no dead end.
     """
-    found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
-    budget = 40 * most
-
-    def go(at: int, room: int, took: tuple[tuple[int, int], ...]) -> None:
-        nonlocal budget
-        budget -= 1
-        if budget < 0 or (len(found) >= most and found[-1][0] == 0):
-            return
-        while at < len(lengths) and lengths[at] > room:
-            at += 1
-        if at == len(lengths):
-            used = dict(took)
-            for k, _ in took:  # dominated by a swap for something longer
-                if any(k < j <= k + room and left[j] > used.get(j, 0) for j in lengths):
-                    return
-            found.append((room, took))
-            return
-        k = lengths[at]
-        n = min(room // k, left[k])
-        for m in range(n, -1, -1):
-            go(at + 1, room - m * k, (*took, (k, m)) if m else took)
-            if len(found) >= most or budget < 0:
+    lengths = sorted((k for k, v in left.items() if v and k <= room), reverse=True)
+    masks = [1] * (len(lengths) + 1)
+    whole = (1 << (room + 1)) - 1
+    for i in range(len(lengths) - 1, -1, -1):
+        k, m, n, step = lengths[i], masks[i + 1], min(left[lengths[i]], room // lengths[i]), 1
+        while n:  # n copies by powers of two
+            c = min(step, n)
+            m |= (m << (c * k)) & whole
+            n -= c
+            step *= 2
+        masks[i] = m
+
+    def go(i: int, rest: int, took: tuple[tuple[int, int], ...]) -> Iterator[tuple[tuple[int, int], ...]]:
+        while rest:
+            while lengths[i] > rest or not masks[i] >> rest & 1:
+                i += 1
+            k = lengths[i]
+            for n in range(min(left[k], rest // k), 0, -1):
+                if masks[i + 1] >> (rest - n * k) & 1:
+                    yield from go(i + 1, rest - n * k, (*took, (k, n)))
+            if not masks[i + 1] >> rest & 1:
                 return
+            i += 1
+        yield took
+
+    def dominated(took: tuple[tuple[int, int], ...], slack: int) -> bool:
+        used = dict(took)
+        free = lambda a, b: any(left.get(j, 0) > used.get(j, 0) for j in range(a, min(b, room) + 1))
+        if slack and any(free(k + 1, k + slack) for k in used):
+            return True
+        items = sorted(used)
+        return any(free(a + b, a + b + slack) for x, a in enumerate(items) for b in items[x:] if a != b or used[a] > 1)
 
-    go(0, room, ())
-    return [f for _, f in sorted(dict.fromkeys(found), key=lambda x: x[0])]
+    for waste in range(min(room, most_waste) + 1):
+        if masks[0] >> (room - waste) & 1:
+            for took in go(0, room - waste, ()):
+                if not dominated(took, waste):
+                    yield waste, took
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Martello-Toth's L2: for every threshold k, items over capacity - k stand alone, those over
     half take a sequence each, and the rest from k on must fit what these leave or need more."""
-    n = np.zeros(capacity + 1, np.int64)
-    for k, v in counts.items():
-        n[k] = v
-    mass = n * np.arange(capacity + 1)
+    n = np.zeros(capacity + 2, np.int64)
+    n[list(counts)] = list(counts.values())
+    mass = n * np.arange(capacity + 2)
     cn, cm = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(mass)])
-    half, best = capacity // 2, -(-int(mass.sum()) // capacity)
-    for k in range(half + 1):
-        alone = int(cn[-1] - cn[capacity - k + 1])
-        pairs, weight = int(cn[capacity - k + 1] - cn[half + 1]), int(cm[capacity - k + 1] - cm[half + 1])
-        rest = int(cm[half + 1] - cm[k])
-        best = max(best, alone + pairs + max(0, -(-(rest - (pairs * capacity - weight)) // capacity)))
-    return best
-
-
-def pack_histogram(counts: dict[int, int], capacity: int, max_nodes: int = 4000, width: int = 6) -> list[Run]:
-    """Bin completion branch and bound with the best-fit packing as incumbent."""
+    half = capacity // 2
+    k = np.arange(half + 1)
+    alone = cn[-1] - cn[capacity - k + 1]
+    pairs, weight = cn[capacity - k + 1] - cn[half + 1], cm[capacity - k + 1] - cm[half + 1]
+    need = np.maximum(0, -(-(cm[half + 1] - cm[k] - (pairs * capacity - weight)) // capacity))
+    return int(max(-(-int(mass.sum()) // capacity), (alone + pairs + need).max()))
+
+
+def pack_histogram(counts: dict[int, int], capacity: int, max_nodes: int = 4000) -> list[Run]:
+    """Bin completion branch and bound with the best-fit packing as incumbent.
+
+    A node fills the sequence of the largest length left, as often as the counts allow, with its fillings in the
+    order of waste. It is cut when the sequences so far and the L2 bound of the rest reach the incumbent, and
+    it stops asking for fillings when their waste is more than a better packing can have. After a first dive the
+    search goes back and forth over the last sequences; where it runs out of a third of its nodes there, it
+    starts again with the second filling of an earlier one.
+    """
+    counts = {k: v for k, v in counts.items() if v}
     total = sum(k * v for k, v in counts.items())
     best = best_fit_decreasing(counts, capacity)
-    bound = lower_bound(counts, capacity)
-    size = sum(t for _, t in best)
+    size, bound = sum(t for _, t in best), lower_bound(counts, capacity) if counts else 0
     nodes = max_nodes
 
-    def search(left: dict[int, int], runs: list[Run], bins: int, rest: int) -> None:
+    def dive(skip: int, effort: int) -> None:
+        """Depth first from the root; the filling at depth ``skip`` is the second one."""
         nonlocal best, size, nodes
-        if size == bound or nodes <= 0:
-            return
-        nodes -= 1
-        if not rest:
-            if bins < size:
-                best, size = list(runs), bins
-            return
-        if bins + -(-rest // capacity) >= size:
-            return
-        top = max(left)
-        lengths = sorted((k for k in left if k <= capacity - top), reverse=True)
-        left[top] -= 1
-        options = fillings(capacity - top, lengths, left, width) or [()]
-        left[top] += 1
-        for f in options:
-            take: dict[int, int] = dict(f)
+        runs: list[Run] = []
+        # one entry a depth: what is left, sequences so far, waste so far, fillings still to try
+        stack = [(dict(counts), 0, 0, None)]
+        while stack and nodes > 0 and effort > 0 and size > bound:
+            left, bins, waste, options = stack[-1]
+            if options is None:
+                nodes -= 1
+                effort -= 1
+                if not left:
+                    if bins < size:
+                        best, size = list(runs), bins
+                    options = iter(())
+                elif bins + lower_bound(left, capacity) >= size:
+                    options = iter(())
+                else:
+                    top = max(left)
+                    rest = dict(left)
+                    rest[top] -= 1
+                    options = fillings(capacity - top, rest, (size - 1) * capacity - total - waste)
+                    if len(stack) - 1 == skip:
+                        next(options, None)
+                stack[-1] = (left, bins, waste, options)
+            found = next(options, None)
+            if found is None:
+                stack.pop()
+                if runs:
+                    runs.pop()
+                continue
+            lost, filling = found
+            take = dict(filling)
+            top = max(left)
             take[top] = take.get(top, 0) + 1
+            # a filling is repeated as long as better packings can afford its waste
             times = min(left[k] // n for k, n in take.items())
+            if lost:
+                times = max(1, min(times, ((size - 1) * capacity - total - waste) // lost))
             after = dict(left)
             for k, n in take.items():
                 after[k] -= n * times
                 if not after[k]:
                     del after[k]
-            runs.append((tuple(take.items()), times))
-            search(after, runs, bins + times, rest - times * sum(k * n for k, n in take.items()))
-            runs.pop()
-            if size == bound or nodes <= 0:
-                return
-
-    import sys
-
-    deep = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(deep, 20 * capacity + 10_000))
-    try:
-        search({k: v for k, v in counts.items() if v}, [], 0, total)
-    finally:
-        sys.setrecursionlimit(deep)
+            runs.append((tuple(sorted(take.items(), reverse=True)), times))
+            stack.append((after, bins + times, waste + lost * times, None))
+
+    start = 0
+    dive(-1, max(1, max_nodes // 3))
+    while nodes > 0 and size > bound and start < 64:
+        dive(start, max(1, max_nodes // 3))
+        start += 1
     return best
 
 
@@ -196,7 +227,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0)
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in slices(batches):
-            ids, offs = with_end(*encoder(tokenizer, False).encode(col(b, "text")), end_id)
+            ids, offs = with_end(*encoder(tokenizer).encode(col(b, "text")), end_id)
             n = np.diff(offs)
             k = -(-n // capacity)
             doc = np.repeat(np.arange(len(n)), k)

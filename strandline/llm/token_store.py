@@ -4,9 +4,10 @@ A store is a folder of Parquet rows ``(shard, segment, n_docs, n_ids, payload)``
 make it, so it can stand in any file system Spark can write. ``payload`` is one self-contained
 binary file image:
 
-``TOKS`` | version u8 | id width u8 (2 or 4 bytes) | nulls u32 | first doc_id i64 | Elias-Fano of
+``TOKS`` | version u8 (2) | id width u8 (2 or 4 bytes) | nulls u32 | first doc_id i64 | Elias-Fano of
 doc_id minus the first | Elias-Fano of the end offset of each document | ids, little-endian.
 
+An opened segment holds these bytes and no decoded table: offsets and doc_ids come from ``select``.
 Documents stand in ascending doc_id order over (shard, segment, place). Documents without a
 doc_id come first (``nulls`` of them), repeated doc_ids stand side by side, ordered by text hash.
 Null text is an empty document: only the end id. An empty table gives an empty store.
@@ -38,7 +39,7 @@ def pack_segment(doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray) -
     first = int(own[0]) if len(own) else 0
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
     return b"".join([
-        b"TOKS", struct.pack(_HEAD, 1, width, nulls, first),
+        b"TOKS", struct.pack(_HEAD, 2, width, nulls, first),
         EliasFano.build((own - first).view(np.uint64)).to_bytes(), EliasFano.build(ends).to_bytes(),
         ids.astype(f"<u{width}").tobytes(),
     ])
@@ -82,7 +83,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, seg
             )
 
         for b in slices(batches):
-            ids, offs = with_end(*encoder(tokenizer, True).encode(col(b, "text")), end_id)
+            ids, offs = with_end(*encoder(tokenizer).encode(col(b, "text")), end_id)
             names += col(b, "doc_id").to_pylist()
             parts.append(ids)
             ends.append(offs[1:] + have)
@@ -93,8 +94,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, seg
         if names:
             yield close()
 
+    # rows of one doc_id, or of none, are dealt over several ranges too
+    order = ["doc_id", "h", "nth"]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("nth"))
     (
-        docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
         .mapInArrow(run, STORE_SCHEMA).write.option("compression", "zstd").parquet(path)
     )
 
@@ -112,17 +116,19 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for shard, seg, raw in zip(*(col(b, c).to_pylist() for c in ("shard", "segment", "payload"))):
                 nulls, first, docs, ends, ids = open_segment(raw)
-                e = ends.values()
-                s = np.concatenate([[0], e[:-1]]).astype(np.int64)
-                flat = ids.astype("<u4")
-                crc = [zlib.crc32(flat[i:j]) for i, j in zip(s, e)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([None] * nulls + (docs.values() + first).tolist(), pa.int64()), pa.array(s), pa.array((e - s).astype(np.int64)), pa.array(crc, pa.int64()),
-                        pa.array(np.full(len(e), shard), pa.int32()), pa.array(np.full(len(e), seg), pa.int32()), pa.array(np.arange(len(e)), pa.int32()),
-                    ],
-                    names=["doc_id", "inner", "n_tokens", "ids_crc32", "shard", "segment", "place"],
-                )
+                for lo in range(0, len(ends), 4096):
+                    place = np.arange(lo, min(lo + 4096, len(ends)))
+                    e = ends.select(place)
+                    s = np.concatenate([[ends.select(lo - 1) if lo else 0], e[:-1]])
+                    crc = [zlib.crc32(ids[i:j].astype("<u4")) for i, j in zip(s, e)]
+                    known = place[place >= nulls]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([None] * (len(place) - len(known)) + (docs.select(known - nulls) + first).tolist(), pa.int64()), pa.array(s), pa.array(e - s), pa.array(crc, pa.int64()),
+                            pa.array(np.full(len(e), shard), pa.int32()), pa.array(np.full(len(e), seg), pa.int32()), pa.array(place.astype(np.int32)),
+                        ],
+                        names=["doc_id", "inner", "n_tokens", "ids_crc32", "shard", "segment", "place"],
+                    )
 
     rows = store.select("shard", "segment", "payload").mapInArrow(run, "doc_id long, inner long, n_tokens long, ids_crc32 long, shard int, segment int, place int")
     heads = store.select("shard", "segment", "n_ids")

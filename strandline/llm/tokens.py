@@ -3,11 +3,14 @@
 A tokenizer's ids for a text are the concatenation of the ids of its pre-tokens, so each
 distinct pre-token needs the tokenizers library only once per worker. The split is done here
 for texts of printable ASCII, line breaks, tabs and the letters U+00C0-U+00FF; any other
-text (or one holding ``<|``) goes to the library whole, so ids are the library's for all texts.
+text (or one holding ``<|``) goes to the library whole, so ids are the library's for all texts. The split
+rules are those of two kinds of file; a file's own rules are read from it, and any other file's texts all go
+to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -15,8 +18,32 @@ import pyarrow as pa
 
 from strandline.llm.common import ragged_ranges, text_bytes
 
-#: Distinct pre-tokens kept per worker and tokenizer; beyond it the memo starts afresh.
-MEMO = 1_000_000
+#: Distinct pre-tokens, and bytes of them, kept per worker and tokenizer; beyond it the memo starts afresh.
+MEMO, MEMO_BYTES = 500_000, 32 << 20
+
+#: Fixed values: (normalizer, pre-tokenizer) of the tokenizer files that ``Splitter`` knows, by its ``spaced``.
+RULES = {
+    True: (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    False: (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    ),
+}
+
+
+def rule_of(path: str) -> bool | None:
+    """Which of the two split rules a tokenizer file has; None for any other file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec["model"].get("dropout") or any(not t["content"].startswith("<|") for t in spec.get("added_tokens", [])):
+        return None
+    return next((k for k, v in RULES.items() if v == (spec.get("normalizer"), spec.get("pre_tokenizer"))), None)
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _BAD = 0, 1, 2, 3, 4
 _CLASS = np.full(256, _BAD, np.uint8)
@@ -100,12 +127,13 @@ class Splitter:
 class Encoder:
     """Ids of many texts at once, as one flat array and offsets."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.split = Splitter(spaced)
+        rule = rule_of(path)
+        self.split = None if rule is None else Splitter(rule)
         self._fresh()
 
     def _fresh(self) -> None:
@@ -113,7 +141,7 @@ class Encoder:
         self.at = np.zeros(1 << 16, np.int64)  # start of each piece's ids in flat
         self.len = np.zeros(1 << 16, np.int32)
         self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+        self.used = self.held = 0
 
     def _learn(self, words: list[str]) -> None:
         got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
@@ -128,6 +156,7 @@ class Encoder:
         self.len[base : base + len(words)] = n
         self.flat[self.used : top] = flat
         self.used = top
+        self.held += sum(map(len, words))
         self.memo.update(zip(words, range(base, base + len(words))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +165,8 @@ class Encoder:
         docs = len(offs) - 1
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(docs + 1, np.int64)
+        if self.split is None:
+            return self._library(texts)
         data, starts, ends, fine = self.split(raw, offs)
         doc = np.searchsorted(offs, starts, "right") - 1
         keep = fine[doc]
@@ -147,7 +178,7 @@ class Encoder:
         np.cumsum(size, out=at[1:])
         pieces = pa.StringArray.from_buffers(len(size), pa.py_buffer(at), pa.py_buffer(packed)).dictionary_encode()
         words = pieces.dictionary.to_pylist()
-        if len(self.memo) + len(words) > MEMO:
+        if len(self.memo) + len(words) > MEMO or self.held > MEMO_BYTES:
             self._fresh()
         memo = self.memo
         new = [w for w in words if w not in memo]
@@ -164,6 +195,10 @@ class Encoder:
         np.cumsum(per_doc, out=out[1:])
         return ids, out
 
+    def _library(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tok.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.array([i for x in got for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int64)
+
     def _whole(self, texts: pa.Array, fine: np.ndarray, ids: np.ndarray, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.cumsum(per_doc) - per_doc
         parts, at = [], 0
@@ -176,15 +211,14 @@ class Encoder:
         return np.concatenate([*parts, ids[at:]]), per_doc
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str) -> Encoder:
     """This worker's encoder for a file; its memo lives on between batches and tasks."""
-    key = (path, spaced)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, spaced)
-    return _ENCODERS[key]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def with_end(ids: np.ndarray, offs: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
