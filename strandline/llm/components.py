@@ -12,7 +12,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``links`` (a, b) of longs -> (id, component) for every id in a link; a component is named by
     its smallest id. Each step writes its (shrinking) links to the shared folder; hubs are
     pre-aggregated to one minimum before they are joined back. The number of steps grows with the
-    logarithm of the longest chain."""
+    logarithm of the longest chain; ``rounds`` steps that do not settle are an error."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
 
     def mark(e: DataFrame):
@@ -31,5 +31,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components did not settle within {rounds} rounds")
     roots = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
     return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct().join(roots.select("id"), "id", "left_anti"))

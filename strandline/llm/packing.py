@@ -120,14 +120,14 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return int(max(-(-int(mass.sum()) // capacity), (alone + pairs + need).max()))
 
 
-def pack_histogram(counts: dict[int, int], capacity: int, max_nodes: int = 4000) -> list[Run]:
+def pack_histogram(counts: dict[int, int], capacity: int, max_nodes: int = 4000, back: int = 32) -> list[Run]:
     """Bin completion branch and bound with the best-fit packing as incumbent.
 
     A node fills the sequence of the largest length left, as often as the counts allow, with its fillings in the
     order of waste. It is cut when the sequences so far and the L2 bound of the rest reach the incumbent, and
     it stops asking for fillings when their waste is more than a better packing can have. After a first dive the
-    search goes back and forth over the last sequences; where it runs out of a third of its nodes there, it
-    starts again with the second filling of an earlier one.
+    search goes back and forth over the last ``back`` fillings (only those are held, which bounds its memory); where
+    it is through with them, or has turned 100 times, it starts again with the second filling at another depth.
     """
     counts = {k: v for k, v in counts.items() if v}
     total = sum(k * v for k, v in counts.items())
@@ -139,13 +139,14 @@ def pack_histogram(counts: dict[int, int], capacity: int, max_nodes: int = 4000)
         """Depth first from the root; the filling at depth ``skip`` is the second one."""
         nonlocal best, size, nodes
         runs: list[Run] = []
+        turned = 0
         # one entry a depth: what is left, sequences so far, waste so far, fillings still to try
         stack = [(dict(counts), 0, 0, None)]
         while stack and nodes > 0 and effort > 0 and size > bound:
             left, bins, waste, options = stack[-1]
             if options is None:
                 nodes -= 1
-                effort -= 1
+                effort -= turned
                 if not left:
                     if bins < size:
                         best, size = list(runs), bins
@@ -162,6 +163,7 @@ def pack_histogram(counts: dict[int, int], capacity: int, max_nodes: int = 4000)
                 stack[-1] = (left, bins, waste, options)
             found = next(options, None)
             if found is None:
+                turned = 1  # the way down is free, going back and forth is not
                 stack.pop()
                 if runs:
                     runs.pop()
@@ -181,12 +183,16 @@ def pack_histogram(counts: dict[int, int], capacity: int, max_nodes: int = 4000)
                     del after[k]
             runs.append((tuple(sorted(take.items(), reverse=True)), times))
             stack.append((after, bins + times, waste + lost * times, None))
-
-    start = 0
-    dive(-1, max(1, max_nodes // 3))
-    while nodes > 0 and size > bound and start < 64:
-        dive(start, max(1, max_nodes // 3))
-        start += 1
+            if len(stack) > back:
+                stack[-1 - back] = ({}, 0, 0, iter(()))  # not gone back to
+
+    skip = -1
+    while nodes > 0 and size > bound:
+        before = nodes
+        dive(skip, 100)
+        skip += 1
+        if nodes > before - 2:  # no such depth
+            break
     return best
 
 

@@ -1,16 +1,19 @@
 """Operator 5: secret scan with a random forest that removes false positives.
 
-Candidates are runs of at least eight characters ``[0-9A-Za-z+/_-]`` that hold a digit and a letter.
-Each is described by its length, character classes, entropy, the mean log-probability of its
-character transitions under a model of ordinary words, the share covered by dictionary words, path
-signs and the neighbouring words. A random forest (bootstrap rows, random feature subsets, flattened
-trees) trained from labelled findings decides.
-
-Labelled findings are rows (before, candidate, after, label). ``findings`` makes a fixed,
-seeded set of ``n`` of them (keys, tokens and passwords in assignments against checksums,
-identifiers, paths, versions, placeholders); ``train`` takes any other table of that form. The
-dictionary and transitions are counted over all rows' whole texts: tasks count words, Spark adds them up, and only the
-most frequent words and one matrix a task reach the driver.
+Candidates are runs of at least eight characters ``[0-9A-Za-z+/_-]`` that hold a digit and a letter, and
+values of any characters that are assigned to a name like ``password`` or ``api_key`` (six characters or more, in
+quotes up to 512, else up to white space). Each is described by its length, character classes, entropy, the mean
+log-probability of its character transitions under a model of ordinary words, the share covered by dictionary words
+(found by one pass of an automaton over the candidate, whatever its length), path signs and the neighbouring
+words. A random forest (bootstrap rows, random feature subsets, flattened trees) trained from labelled findings
+decides. Findings that overlap become one.
+
+Labelled findings are a table (before string, candidate string, after string, label int), of which ``train`` takes at
+most ``max_findings`` rows in the order of a hash. No such table is among the inputs. The default one is synthetic:
+``findings`` writes ``n`` rows from a seed (keys, tokens and passwords in assignments against checksums,
+identifiers, paths, versions, placeholders and prose), so a held-out share of it only measures the generator; the
+tests therefore use findings written by hand. The dictionary and transitions are counted over all rows' whole
+texts: tasks count words, Spark adds them up, and only the most frequent words and one matrix reach the driver.
 
 Null, empty and candidate-free texts have no findings. Repeated rows are scanned alike; other columns pass
 through ``redact`` unchanged.
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import class_words, col, discard, prepare, slices, stored, text_bytes
+from strandline.llm.common import class_words, col, discard, lowest, prepare, slices, stored, text_bytes
 
 _SEP = np.ones(256, bool)
 _SEP[48:58] = _SEP[65:91] = _SEP[97:123] = False
@@ -46,6 +49,13 @@ KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "api", "key", "auth"
 BENIGN = ("example", "sample", "dummy", "test", "placeholder", "your", "sha256", "sha1", "md5", "commit", "checksum", "uuid", "version", "order", "invoice", "isbn", "digest", "hash", "build", "image")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "sk-", "sk_live_", "xox", "AIza", "eyJ", "glpat-")
 _WORD = re.compile(r"[a-z]{3,}")
+_RUN = re.compile(r"[a-z]+")
+#: A value assigned to a name that is like a secret's.
+_VALUE = re.compile(
+    rb"""(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?["']?[ \t]*(?:=>|:=|=|:)[ \t]*"""
+    rb"""(?:"([^"\n]{6,512})"|'([^'\n]{6,512})'|([^\s"',;]{6,}))""",
+    re.IGNORECASE,
+)
 
 
 def _alphabet(c: str) -> int:
@@ -103,9 +113,31 @@ class Lexicon:
         return cls(np.log(m / m.sum(1, keepdims=True)), frozenset(r["w"] for r in top if len(r["w"]) >= 4))
 
     @cached_property
-    def sizes(self) -> list[int]:
-        """Lengths of the words, longest first."""
-        return sorted({len(w) for w in self.words}, reverse=True)
+    def automaton(self):
+        import ahocorasick
+
+        auto = ahocorasick.Automaton()
+        for w in self.words:
+            auto.add_word(w, len(w))
+        if self.words:
+            auto.make_automaton()
+        return auto
+
+    def __getstate__(self) -> dict:
+        return {"steps": self.steps, "words": self.words}
+
+    def covered(self, low: str) -> int:
+        """Letters of ``low`` covered by the longest dictionary word of each of its letter runs."""
+        if not self.words:
+            return 0
+        best, total = 0, 0
+        letters = _RUN.finditer(low)
+        run = next(letters, None)
+        for end, size in self.automaton.iter(low):
+            while run is not None and run.end() <= end:
+                total, best, run = total + best, 0, next(letters, None)
+            best = max(best, size)
+        return total + best
 
 
 def features(before: str, cand: str, after: str, lex: Lexicon) -> list[float]:
@@ -116,18 +148,15 @@ def features(before: str, cand: str, after: str, lex: Lexicon) -> list[float]:
     count = Counter(cand)
     entropy = -sum(v / n * np.log2(v / n) for v in count.values())
     step = float(np.mean(lex.steps[code[:-1], code[1:]])) if n > 1 else 0.0
-    covered = 0
-    for w in _WORD.findall(low):
-        size = next((k for k in lex.sizes if k <= len(w) and any(w[i : i + k] in lex.words for i in range(len(w) - k + 1))), 0)
-        covered += size
     b, a = before.lower(), after.lower()
     near = re.findall(r"[a-z]+", b)[-3:]
     return [
-        n, kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n, entropy, step, covered / n,
+        n, kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n, entropy, step, lex.covered(low) / n,
         float(all(c in "0123456789abcdef" for c in low)), sum(x != y for x, y in zip(kinds, kinds[1:])) / n,
         cand.count("/"), cand.count("-"), cand.count("_"), float(n in (32, 40, 64)), float(bool(re.search(r"[/\\.]$", b)) or a[:1] in "/."), float("://" in b or "www." in b),
         float(any(k in w for w in near for k in KEYWORDS)), float(any(k in b or k in low for k in BENIGN)), float(b.rstrip(" \"'")[-1:] in ("=", ":")), float(b[-1:] in "\"'" and b != ""),
         float(cand.startswith(PREFIXES)), float(b[-1:] in "+@(#" and b != ""), float(a[:1] in "@(#" and a != ""),
+        float(cand[:1] in "<${[(%*"), sum(c in " .(){}[]<>$" for c in cand) / n, float(b[-1:] in "\"'" and a[:1] in "\"'" and a != "" and b != ""),
     ]
 
 
@@ -146,8 +175,15 @@ def findings(n: int = 4000, seed: int = 3) -> list[tuple[str, str, str, int]]:
         if i % 2:
             name = rng.choice(["password", "token", "api_key", "secret", "access_key", "auth_token", "passwd", "pwd"])
             sign = rng.choice(["=", " = ", ": ", "=\"", " = \"", ": '"])
-            shape = rng.randrange(7)
-            if shape == 0:
+            shape = rng.randrange(10)
+            if shape >= 7:  # passwords of letters, digits or any characters
+                quote = rng.choice(["\"", "'", ""])
+                c = rng.choice([
+                    lambda: "".join(word() for _ in range(rng.randint(3, 5)))[:28], lambda: pick(string.ascii_letters, rng.randint(9, 24)), lambda: pick(string.digits, rng.randint(8, 20)),
+                    lambda: pick(alnum + "!@#%^&*?~", rng.randint(8, 20)), lambda: word().capitalize() + rng.choice("!@#%&*") + pick(string.digits, 2) + rng.choice("!$?") + word(),
+                ])()
+                out.append((head + name + rng.choice(["=", " = ", ": ", ":"]) + quote, c if len(c) >= 8 else c + pick(alnum, 8), quote + tail, 1))
+            elif shape == 0:
                 bare = rng.random() < 0.6
                 c = "AKIA" + digit(pick(string.ascii_uppercase + "234567", 16))
                 out.append((head if bare else head + name + sign, c, tail, 1))
@@ -162,7 +198,7 @@ def findings(n: int = 4000, seed: int = 3) -> list[tuple[str, str, str, int]]:
             else:
                 out.append((head + name + sign, "a" + digit(pick(hexa, rng.choice([16, 17, 18, 20, 32, 39, 40, 64]) - 1)) if rng.random() < 0.5 else digit(pick(hexa, rng.choice([18, 32, 40]))), rng.choice(["\"", "'", ""]) + tail, 1))
         else:
-            shape = rng.randrange(12)
+            shape = rng.randrange(16)
             c, b, a = word() + str(rng.randint(10, 99999)) + word(), head, tail
             if shape == 0:
                 b, c = head + rng.choice(["commit ", "sha1: ", "sha256:", "md5 ", "checksum = ", "digest: "]), digit(pick(hexa, rng.choice([32, 40, 64])))
@@ -187,6 +223,14 @@ def findings(n: int = 4000, seed: int = 3) -> list[tuple[str, str, str, int]]:
                 c = str(rng.randint(1990, 2030)) + "-" + rng.choice(["jan", "feb", "may", "oct"]) + "-" + str(rng.randint(1, 28))
             elif shape == 10:
                 c = word() + word() + str(rng.randint(0, 9))
+            elif shape >= 12:  # what stands behind such a name in prose and code
+                b = head + rng.choice(["password", "token", "secret", "api_key", "credentials"]) + rng.choice([": ", "=", " = ", ": "])
+                c = rng.choice([
+                    lambda: rng.choice(["required", "optional", "string", "<password>", "${PASSWORD}", "os.environ[key]", "getpass.getpass()", "{{ token }}", "undefined", "settings.SECRET", "********", "[hidden]"]),
+                    lambda: word() + word() + rng.choice(["", ".", ")"]), lambda: rng.choice(["your_password", "YOUR_TOKEN", "change_me", "example_key"]), lambda: "$" + word().upper() + "_TOKEN",
+                ])()
+                out.append((b, c if len(c) >= 6 else c + "ation", a, 0))
+                continue
             out.append((b, c if len(c) >= 8 else c + word() + "-" + word(), a, 0))
     return out
 
@@ -259,30 +303,54 @@ class Scanner:
         if not len(data):
             return out
         s, e, doc = class_words(data, offs, _SEP)
-        dig, alp = (np.concatenate([[0], np.cumsum(f[data])]) for f in (_DIGIT, _ALPHA))
+        dig, alp = (np.concatenate([[0], np.cumsum(f[data], dtype=np.int64)]) for f in (_DIGIT, _ALPHA))
         ok = np.flatnonzero((e - s >= 8) & (dig[e] > dig[s]) & (alp[e] > alp[s]))
-        if not len(ok):
-            return out
+        spans = set(zip(doc[ok].tolist(), s[ok].tolist(), e[ok].tolist()))
         raw = data.tobytes()
-        rows = []
-        for i in ok:
-            a, b, d = int(s[i]), int(e[i]), int(doc[i])
+        # values: a line feed between texts keeps matches inside them
+        apart = np.insert(data, offs[1:-1], 10).tobytes()
+        edges = offs + np.arange(len(offs))
+        for m in _VALUE.finditer(apart):
+            a, b = m.span(m.lastindex)
+            d = int(np.searchsorted(edges, a, "right")) - 1
+            spans.add((d, a - d, b - d))
+        rows, spans = [], sorted(spans)
+        for d, a, b in spans:
             before = raw[max(int(offs[d]), a - NEAR) : a].decode("utf-8", "ignore")
             after = raw[b : min(int(offs[d + 1]), b + NEAR)].decode("utf-8", "ignore")
-            rows.append(features(before, raw[a:b].decode("ascii"), after, self.lexicon))
-        for i, p in zip(ok, self.forest.score(np.array(rows))):
-            base = int(offs[doc[i]])
-            out[int(doc[i])].append((int(s[i]) - base, int(e[i]) - base, float(p)))
+            rows.append(features(before, raw[a:b].decode("utf-8", "replace"), after, self.lexicon))
+        for (d, a, b), p in zip(spans, self.forest.score(np.array(rows)) if rows else ()):
+            base = int(offs[d])
+            out[d].append((a - base, b - base, float(p)))
+        return out
+
+    def secrets(self, found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+        """Candidates above the threshold, overlapping ones united."""
+        out: list[tuple[int, int, float]] = []
+        for s, e, p in found:
+            if p < self.threshold:
+                continue
+            if out and s < out[-1][1]:
+                a, b, q = out[-1]
+                out[-1] = (a, max(b, e), max(p, q))
+            else:
+                out.append((s, e, p))
         return out
 
 
-def train(docs: DataFrame, labelled: list[tuple[str, str, str, int]] | None = None) -> Scanner:
-    """Lexicon from every text; forest from labelled findings."""
+def train(docs: DataFrame, labelled: DataFrame | None = None, max_findings: int = 20_000) -> Scanner:
+    """Lexicon from every text; forest from labelled findings (see above), at most ``max_findings`` of them."""
     prepare(docs.sparkSession)
     lex = Lexicon.learn(docs)
-    rows = labelled if labelled is not None else findings()
+    rows = findings()
+    if labelled is not None:
+        h = F.xxhash64("before", "candidate", "after")
+        sound = labelled.where("candidate is not null and label is not null and candidate <> ''").withColumn("h", h)
+        rows = [tuple(r) for r in lowest(sound, F.col("h"), max_findings).orderBy("h").limit(max_findings).select(F.coalesce("before", F.lit("")), "candidate", F.coalesce("after", F.lit("")), "label").collect()]
+        if not rows:
+            raise ValueError("no labelled findings")
     x = np.array([features(b[-NEAR:], c, a[:NEAR], lex) for b, c, a, _ in rows])
-    return Scanner(lex, grow(x, np.array([r[3] for r in rows], float)))
+    return Scanner(lex, grow(x, np.array([float(r[3] > 0) for r in rows])))
 
 
 def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
@@ -295,7 +363,7 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
         m = sent.value
         for b in slices(batches):
             found = m.candidates(col(b, "text"))
-            hits = [[{"start": s, "end": e, "score": p} for s, e, p in f if p >= m.threshold] for f in found]
+            hits = [[{"start": s, "end": e, "score": p} for s, e, p in m.secrets(f)] for f in found]
             yield pa.RecordBatch.from_arrays([col(b, "doc_id").cast(pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array(hits, kind)], names=["doc_id", "n_candidates", "secrets"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_candidates long, secrets array<struct<start:long,end:long,score:double>>")
@@ -316,7 +384,7 @@ def redact(docs: DataFrame, scanner: Scanner, mark: str = "[SECRET]") -> DataFra
             texts, sizes = b.column(at).to_pylist(), b.column(chars).to_pylist() if chars >= 0 else None
             changed = False
             for i, f in enumerate(m.candidates(b.column(at))):
-                hits = [(s, e) for s, e, p in f if p >= m.threshold]
+                hits = [(s, e) for s, e, _ in m.secrets(f)]
                 if hits:
                     raw, parts, last = texts[i].encode(), [], 0
                     for s, e in hits:

@@ -297,7 +297,7 @@ def united(doc: np.ndarray, tag: np.ndarray, s: np.ndarray, e: np.ndarray) -> tu
     return doc[heads], tag[heads], s[heads], (reach - lift)[lasts]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], size: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets, row and first byte of each piece): shards of about ``most`` bytes. A longer text comes
     in several, which overlap by ``size`` - 1 bytes, so each window stands in just one."""
     for b in slices(batches, most=most):
@@ -325,7 +325,7 @@ def _fingerprints(data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.n
 SENT = "k long, doc_id long, tag long, s long, e long, place int, ctx binary, w1 long, w2 long"
 
 
-def remove_repeats(docs: DataFrame, size: int = 100, hot: int = 10_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 100, hot: int = 10_000, shard: int = 1 << 20) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining text's bytes)."""
     spark = docs.sparkSession
     prepare(spark)
@@ -333,7 +333,7 @@ def remove_repeats(docs: DataFrame, size: int = 100, hot: int = 10_000) -> DataF
     sound = base.where("doc_id is not null and text is not null")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, data, offs, row, _ in pieces(batches, size):
+        for b, data, offs, row, _ in pieces(batches, size, shard):
             pos, _, _, h = anchors(data, offs, size)
             d = row[np.searchsorted(offs, pos, "right") - 1]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), col(b, "doc_id").take(pa.array(d))], names=["k", "doc_id"])
@@ -356,7 +356,7 @@ def remove_repeats(docs: DataFrame, size: int = 100, hot: int = 10_000) -> DataF
             kinds = {"place": pa.int32(), "ctx": pa.binary()}
             return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(n, kinds.get(c, pa.int64())) for c in names], names=names)
 
-        for b, data, offs, row, first in pieces(batches, size):
+        for b, data, offs, row, first in pieces(batches, size, shard):
             pos, start, count, h = anchors(data, offs, size)
             sel = np.flatnonzero(member(h, col(b, "ks")))
             if not len(sel):
