@@ -8,7 +8,7 @@ prototype has the largest cosine; ``score`` is that cosine, never below 0.
 
 Letters are lower-cased code points whose Unicode category is a letter; all else parts words. A
 null text and a text without letters get ``und`` and score 0, as does every text if nothing could
-be learnt. Ties go to the language first in order. Repeated rows score alike; extra columns are not read.
+be learnt. A text without any trigram (one letter) has cosine 0 with all. Ties go to the language first in order. Repeated rows score alike; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -41,9 +41,9 @@ def _letters() -> np.ndarray:
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trigram codes, their documents, letters per document); gaps between words count as one
-    letter, a text's first and last word have no outer gap unless the text has one there, and a
-    trigram never crosses a document."""
+    """(trigram codes, their documents, letters per document); gaps between words count as one letter. A text's
+    last word has a gap behind it, its first word one in front only if the text has one there; a trigram
+    has a letter in the middle and never crosses a document."""
     rows = texts.to_pylist()
     raw = "\n".join("" if t is None else t.replace("\n", " ") for t in rows) + "\n"
     cp = np.frombuffer(raw.encode("utf-32-le", "replace"), np.uint32)

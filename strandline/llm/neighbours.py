@@ -8,8 +8,7 @@ probes its most promising buckets of every table (next-best axes, ranked by the
 Recall: a sample of at most 256 queries is answered exactly first, and ``probes`` is doubled until the tables hold
 ``target`` of the sample's neighbours (at most until every bucket is probed). All queries then go through the tables.
 
-What is shuffled: rows and probes carry ids and quantised vectors (four bits a component for a row, eight for a query),
-not the vectors. A task merges what its buckets found, so that at most ``keep`` candidates a query leave it. The ``keep``
+What is shuffled: rows and probes carry ids and quantised vectors (one byte a component), not the vectors. A task merges what its buckets found, so that at most ``keep`` candidates a query leave it. The ``keep``
 best of a query by quantised cosine fetch their vectors once and are ranked by exact cosine in double precision.
 
 Scale: equal vectors are one class, of which only the ``k + 1`` smallest ids matter to any query,
@@ -99,24 +98,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def quantised(x: np.ndarray, bits: int) -> list[bytes]:
-    """Unit vectors as ``bits`` (4 or 8) a component over three standard deviations."""
-    top = (1 << bits) - 1
-    q = np.rint((np.clip(x * (np.sqrt(x.shape[1]) / 3), -1, 1) + 1) * (top / 2)).astype(np.uint8)
-    if bits == 4:
-        if q.shape[1] % 2:
-            q = np.concatenate([q, np.zeros((len(q), 1), np.uint8)], 1)
-        q = q[:, ::2] << 4 | q[:, 1::2]
-    return [r.tobytes() for r in q]
+def quantised(x: np.ndarray) -> list[bytes]:
+    """Unit vectors as one byte a component, from minus to plus the vector's largest component, which stands
+    in front."""
+    top = np.abs(x).max(1, keepdims=True).astype(np.float32)
+    q = np.rint(x / np.maximum(top, 1e-30) * 127).astype(np.int8)
+    return [t.tobytes() + r.tobytes() for t, r in zip(top, q)]
 
 
-def restored(codes: list[bytes], dim: int, bits: int) -> np.ndarray:
+def restored(codes: list[bytes], dim: int) -> np.ndarray:
     """Unit vectors close to those that ``quantised`` got."""
-    q = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    if bits == 4:
-        q = np.stack([q >> 4, q & 15], 2).reshape(len(codes), -1)[:, :dim]
-    x = q.astype(np.float32) * np.float32(2 / ((1 << bits) - 1)) - 1
-    return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-9)[:, None]
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), dim + 4)
+    x = raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-30)[:, None]
 
 
 def best_of(q: np.ndarray, c: np.ndarray, s: np.ndarray, keep: int) -> np.ndarray:
@@ -160,10 +154,10 @@ def _meeting(keys: list[str], dim: int, each: int, keep: int, most: int = 400_00
                     last, owners, asked = own, np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
                 m = i + int(ask[i:j].sum())
                 if m > i:
-                    owners, asked = np.append(owners, ids[i:m]), np.concatenate([asked, restored(z[i:m].to_pylist(), dim, 8)])
+                    owners, asked = np.append(owners, ids[i:m]), np.concatenate([asked, restored(z[i:m].to_pylist(), dim)])
                 if m == j or not len(owners):
                     continue
-                s = asked @ restored(z[m:j].to_pylist(), dim, 4).T
+                s = asked @ restored(z[m:j].to_pylist(), dim).T
                 n = min(each, j - m)
                 top = np.argpartition(-s, n - 1, 1)[:, :n] if n < j - m else np.tile(np.arange(n), (len(s), 1))
                 found.append((np.repeat(owners, n), ids[m:j][top.ravel()], np.take_along_axis(s, top, 1).ravel()))
@@ -247,7 +241,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, **options) -> DataFr
     return out
 
 
-def _search(ok: DataFrame, dim: int, every: int, k: int, tables: int = 8, probes: int = 8, fill: int = 256, block: int = 4096, keep: int = 32, seed: int = 5, target: float = 0.95) -> DataFrame:
+def _search(ok: DataFrame, dim: int, every: int, k: int, tables: int = 4, probes: int = 16, fill: int = 256, block: int = 4096, keep: int = 48, seed: int = 5, target: float = 0.95) -> DataFrame:
     spark = ok.sparkSession
     # classes of equal vectors, by a number of their own; ids of each class are kept beside
     named = ok.withColumn("h", F.sha2(F.array_join(F.transform("v", lambda x: (x.cast("double") + F.lit(0.0)).cast("string")), ","), 256))
@@ -260,12 +254,12 @@ def _search(ok: DataFrame, dim: int, every: int, k: int, tables: int = 8, probes
     sent = spark.sparkContext.broadcast(lsh)
     probes = _enough(lsh, _sample(classes, dim, k, 256), probes, target)
 
-    def hashed(most: int, bits: int):
+    def hashed(most: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = max(1, (1 << 20) // (most * lsh.n))
             for b in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
                 x = _unit(_matrix(col(b, "v"), dim))
-                z = pa.array(quantised(x, bits), pa.binary())
+                z = pa.array(quantised(x), pa.binary())
                 for t in range(lsh.tables):
                     codes = sent.value.probes(x, t, most)
                     rows = pa.array(np.tile(np.arange(len(x)), len(codes)))
@@ -274,8 +268,8 @@ def _search(ok: DataFrame, dim: int, every: int, k: int, tables: int = 8, probes
         return run
 
     shape = "t int, b long, c long, z binary"
-    rows = classes.select("c", "v").mapInArrow(hashed(1, 4), shape)
-    asked = classes.where("asks").select("c", "v").mapInArrow(hashed(probes, 8), shape)
+    rows = classes.select("c", "v").mapInArrow(hashed(1), shape)
+    asked = classes.where("asks").select("c", "v").mapInArrow(hashed(probes), shape)
     rows, asked = stored(rows, "ann-rows"), stored(asked, "ann-asked")
     keys, zero = ["t", "b", "i", "j"], F.lit(0)
     # only buckets of more than ``block`` rows or queries need a grid
@@ -295,7 +289,7 @@ def _search(ok: DataFrame, dim: int, every: int, k: int, tables: int = 8, probes
         both = asked.withColumn("ask", F.lit(True)).unionByName(rows.withColumn("ask", F.lit(False)))
         return both.repartition(*keys).sortWithinPartitions(*keys, F.desc("ask")).mapInArrow(_meeting(keys, dim, each, keep), "q long, c long, s float")
 
-    found = meet(spread(asked, "y", "x", "j", "i"), spread(rows, "x", "y", "i", "j"), keys, k + 3)
+    found = meet(spread(asked, "y", "x", "j", "i"), spread(rows, "x", "y", "i", "j"), keys, 3 * k)
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``keep`` best of each query; rows are sorted by q."""
@@ -333,17 +327,17 @@ def _search(ok: DataFrame, dim: int, every: int, k: int, tables: int = 8, probes
         groups, parts = -(-m // block), -(-n // (16 * block))
         copies = lambda many: F.explode(F.sequence(zero, F.lit(many - 1)))
 
-        def coded(side: DataFrame, bits: int) -> DataFrame:
+        def coded(side: DataFrame) -> DataFrame:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
                     if b.num_rows:
-                        yield pa.RecordBatch.from_arrays([col(b, "c"), pa.array(quantised(_unit(_matrix(col(b, "v"), dim)), bits), pa.binary())], names=["c", "z"])
+                        yield pa.RecordBatch.from_arrays([col(b, "c"), pa.array(quantised(_unit(_matrix(col(b, "v"), dim))), pa.binary())], names=["c", "z"])
 
             return side.select("c", "v").mapInArrow(run, "c long, z binary")
 
         part = lambda many: F.pmod(F.xxhash64("c"), F.lit(many)).cast("int")
-        all_rows = coded(classes, 4).select(part(parts).alias("p"), copies(groups).alias("g"), "c", "z")
-        all_asked = coded(short, 8).select(copies(parts).alias("p"), part(groups).alias("g"), "c", "z")
+        all_rows = coded(classes).select(part(parts).alias("p"), copies(groups).alias("g"), "c", "z")
+        all_asked = coded(short).select(copies(parts).alias("p"), part(groups).alias("g"), "c", "z")
         more = narrow(meet(all_asked, all_rows, ["p", "g"], keep))
         hits = hits.join(short.select(F.col("c").alias("q")), "q", "left_anti").unionByName(more)
 

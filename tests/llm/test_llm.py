@@ -223,7 +223,11 @@ def test_tokens_of_one_id(spark):
     rows = [(None, "a b"), (None, None), *[(7, f"same {i % 3}") for i in range(200)], (8, "end")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     path = f"{spark.conf.get('spark.checkpoint.dir')}/tokens-ties"
-    write_store(frame, path, P.path("byte_bpe_50k.json"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_store(frame, path, P.path("byte_bpe_50k.json"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     got = sorted(read_store(spark, path).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [None] * 2 + [7] * 200 + [8]
     assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
@@ -472,7 +476,7 @@ def test_language_gram_by_gram():
     texts = ["Ab cd-éF  g", " lead", "x", None, "12 ..", "ab\ncd ab"]
     names, scores = model.predict(pa.array(texts))
     for t, name, score in zip(texts, names, scores):
-        clean = re.sub(" +", " ", "".join(c.lower() if c.isalpha() else " " for c in t or ""))
+        clean = re.sub(" +", " ", "".join(c.lower() if c.isalpha() else " " for c in t or "") + " ")  # the last word is closed
         v = np.zeros(256)
         for i in range(len(clean) - 2):
             if clean[i + 1] != " ":
@@ -559,9 +563,7 @@ def test_neighbours_recall_follows_the_sample(spark):
         near = np.concatenate([np.argsort(-np.where(np.arange(4000) == q, -9, u @ u[q]))[:5] for q in range(0, 4000, 50)])
         used[name] = _enough(CrossPolytope(32, 2, *_plan(4000, 32, 64), 5), (u[::50], u[near], np.repeat(np.arange(80), 5)), 1, 0.95)
     assert used["even"] > used["groups"] >= 1  # vectors without structure need more probes
-    for bits, off in ((4, 0.07), (8, 0.02)):
-        cos = (restored(quantised(u, bits), 32, bits) * u).sum(1)
-        assert cos.min() > 1 - off
+    assert (restored(quantised(u), 32) * u).sum(1).min() > 0.9999
 
 
 #: Findings written by hand: (before, candidate, after, label).
