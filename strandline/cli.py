@@ -1,4 +1,7 @@
-"""Command line: paths between two endpoints, conversion of an archive, and a timing grid."""
+"""Command line: paths between two endpoints, conversion of an archive, and a timing grid.
+
+``convert`` writes a graph folder (IRIs throughout) that the other two commands read.
+"""
 
 from __future__ import annotations
 
@@ -9,51 +12,93 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PAGE_SIZE = 100_000  # fixed value: rows a page
 
-def main(args: list[str] | None = None) -> None:
+
+def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="strandline")
     sub = top.add_subparsers(dest="command", required=True)
-    p = sub.add_parser("paths", help="exact-length walks between two endpoints")
-    p.add_argument("start")
-    p.add_argument("end")
-    p.add_argument("--adjacency", required=True)
-    p.add_argument("--edges")
-    p.add_argument("--path-length", type=int, default=3)
-    p.add_argument("--limit", type=int)
-    p.add_argument("--include-subclasses", action="store_true")
+    p = sub.add_parser("paths", help="exact-length walks between two endpoints, as one JSON object in ordered parts")
+    p.add_argument("start", help="CURIE or IRI")
+    p.add_argument("end", help="CURIE or IRI")
+    p.add_argument("path_length", type=int)
+    p.add_argument("--graph", required=True, help="folder that convert wrote")
     p.add_argument("--output", required=True)
-    b = sub.add_parser("bench", help="times full retrieval for several lengths")
+    p.add_argument("--include-properties", action="store_true", help="outgoing properties of the nodes and edges on the paths")
+    p.add_argument("--limit", type=int)
+    p.add_argument("--page-size", type=int, default=PAGE_SIZE)
+    p.add_argument("--include-subclasses", action="store_true", help="let both endpoints match through one subclass edge")
+    b = sub.add_parser("bench", help="times full retrieval for several lengths and page sizes")
     b.add_argument("start")
     b.add_argument("end")
-    b.add_argument("--adjacency", required=True)
-    b.add_argument("--lengths", type=int, nargs="+", default=[2, 3])
-    c = sub.add_parser("convert", help="archive to edges, adjacency and N-Triples lines")
+    b.add_argument("--graph", required=True)
+    b.add_argument("--output", required=True, help="folder for the results and one JSON record")
+    b.add_argument("--path-lengths", type=int, nargs="+", default=[2, 3])
+    b.add_argument("--page-sizes", type=int, nargs="+", default=[PAGE_SIZE])
+    c = sub.add_parser("convert", help="archive to edges, adjacency, triples and N-Triples lines")
     c.add_argument("archive")
     c.add_argument("output")
     c.add_argument("--reverse-aliases", action="store_true")
+    c.add_argument("--codec", choices=("none", "gzip", "zstd"), default="gzip", help="of the N-Triples lines")
     c.add_argument("--ontology", help="folder of the five ontology tables as Parquet")
-    a = top.parse_args(args)
+    return top
+
+
+def main(args: list[str] | None = None) -> None:
+    a = parser().parse_args(args)
     spark = SparkSession.builder.appName("strandline").getOrCreate()
     if a.command == "convert":
-        convert(spark, a.archive, a.output, a.reverse_aliases, a.ontology)
-        return
+        convert(spark, a.archive, a.output, a.reverse_aliases, a.ontology, a.codec)
+    elif a.command == "paths":
+        print(json.dumps(retrieve(spark, a.graph, a.start, a.end, a.path_length, a.output, a.limit, a.page_size, a.include_subclasses, a.include_properties), sort_keys=True))
+    else:
+        print(json.dumps(bench(spark, a.graph, a.start, a.end, a.path_lengths, a.page_sizes, a.output), indent=2, sort_keys=True))
+
+
+def retrieve(
+    spark: SparkSession, folder: str, start: str, end: str, k: int, output: str, limit: int | None = None, page_size: int = PAGE_SIZE, subclasses: bool = False, properties: bool = False
+) -> dict:
+    """Write all paths under ``output``: pages as JSON Lines (``pages/page=N``) and the whole answer as one JSON object
+    (``answer``, parts in the order of their names). Returns the counts."""
+    from strandline.functions.terms import VOCAB, curie_to_iri
     from strandline.operators import paths
-    from strandline.sources.records import write_paths
+    from strandline.operators import properties as props
+    from strandline.sources import records
 
-    adj = spark.read.parquet(a.adjacency)
-    if a.command == "paths":
-        edges = spark.read.parquet(a.edges) if a.edges else None
-        found = paths.find_paths(adj, a.start, a.end, a.path_length, a.limit, None, edges, a.include_subclasses, a.include_subclasses)
-        write_paths(paths.documents(found, a.path_length), a.output)
-    else:
-        for k in a.lengths:
-            t = time.time()
-            n = paths.find_paths(adj, a.start, a.end, k).count()
-            print(json.dumps({"path_length": k, "path_count": n, "seconds": round(time.time() - t, 3)}))
+    start, end = spark.range(1).select(curie_to_iri(F.lit(start)), curie_to_iri(F.lit(end))).first()
+    t = time.perf_counter()
+    adjacency = spark.read.parquet(f"{folder}/adjacency")
+    edges = spark.read.parquet(f"{folder}/edges") if subclasses else None
+    found = paths.paged(paths.find_paths(adjacency, start, end, k, limit, None, edges, subclasses, subclasses, VOCAB + "subclass_of"), page_size)
+    document = paths.document(k, subclasses)
+    found.select("page", "nth", document.alias("value")).repartitionByRange("nth").sortWithinPartitions("nth").select("page", "value").write.partitionBy("page").option("compression", "gzip").text(f"{output}/pages")
+    count = found.count()
+    millis = round(1000 * (time.perf_counter() - t))
+    listed = None
+    if properties:
+        wanted = paths.resource_list(found, k, start, end)
+        listed = props.grouped(props.properties(spark.read.parquet(f"{folder}/triple_table"), wanted))
+    records.envelope(found, document, count, start, end, k, millis, listed).write.text(f"{output}/answer")
+    return {"path_length": k, "page_size": page_size, "path_count": count, "query_time_ms": millis, "skipped_malformed_rows": 0, "pages": -(-count // page_size)}
+
+
+def bench(spark: SparkSession, folder: str, start: str, end: str, lengths: list[int], page_sizes: list[int], output: str) -> dict:
+    """The grid of lengths and page sizes; one JSON record of it is written to ``output/record``."""
+    grid = []
+    for k in lengths:
+        for size in page_sizes:
+            t = time.perf_counter()
+            one = retrieve(spark, folder, start, end, k, f"{output}/{k}hop_{size}", None, size)
+            wrote = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{output}/{k}hop_{size}/answer").agg(F.sum("length")).first()[0]
+            grid.append({**one, "wall_time_s": round(time.perf_counter() - t, 3), "result_size_bytes": wrote})
+    record = {"start_curie": start, "end_curie": end, "path_lengths": lengths, "page_sizes": page_sizes, "timestamp": time.strftime("%Y-%m-%d %H:%M:%S"), "benchmarks": grid}
+    spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.text(f"{output}/record")
+    return record
 
 
-def convert(spark: SparkSession, archive: str, output: str, reverse: bool = False, ontology: str | None = None) -> None:
+def convert(spark: SparkSession, archive: str, output: str, reverse: bool = False, ontology: str | None = None, codec: str = "gzip") -> None:
     """Unpack once, then write edges, adjacency and all triples in parallel."""
+    from strandline.functions.terms import curie_to_iri
     from strandline.operators import convert as whole
     from strandline.operators import graph, triples
     from strandline.sources import archive as source
@@ -68,10 +113,10 @@ def convert(spark: SparkSession, archive: str, output: str, reverse: bool = Fals
     rows = store(spark.read.format("record_archive").option("path", archive).load(), "records")
     lines = {m: rows.where(F.col("member") == m).select("value") for m in source.MEMBERS}
     nodes, edges = records.node_rows(lines["nodes.jsonl"]), records.edge_rows(lines["edges.jsonl"])
-    plain = store(edges.select("edge", "s", "p", "o"), "edges")
+    plain = store(edges.select(*(curie_to_iri(c).alias(c) for c in ("edge", "s", "p", "o"))), "edges")
     records.write_adjacency(graph.oriented(plain), f"{output}/adjacency")
-    found = whole.all_triples(nodes, edges, whole.read_ontology(spark, ontology), reverse, store)
-    records.write_lines(triples.lines(found), f"{output}/triples")
+    found = store(whole.all_triples(nodes, edges, whole.read_ontology(spark, ontology), reverse, store), "triple_table")
+    records.write_lines(triples.lines(found), f"{output}/triples", codec)
 
 
 if __name__ == "__main__":

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +20,10 @@ RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 IS_A = VOCAB + "is_a"
 
-#: Python's whitespace and anchors, spelled for Java.
+#: What an IRI begins with, and the prefix of the vocabulary's own terms.
+PLAIN, OWN = ("http://", "https://", "urn:"), "biolink:"
+CURIE_PYTHON = r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s]+$"
+#: The same with Python's whitespace and anchors spelled for Java.
 CURIE = r"(?U)\A[A-Za-z][A-Za-z0-9+.-]*:[^\s\x1c-\x1f]+\n?\z"
 
 
@@ -40,9 +46,18 @@ def percent_encode(c: Column | str, safe: str = "") -> Column:
 def curie_to_iri(c: Column | str) -> Column:
     """IRIs stay; ``biolink:`` terms go to the vocabulary unencoded; the rest is encoded."""
     c = _col(c)
-    plain = c.startswith("http://") | c.startswith("https://") | c.startswith("urn:")
-    own = F.concat(F.lit(VOCAB), F.substring(c, len("biolink:") + 1, 2**31 - 1))
-    return F.when(plain, c).when(c.startswith("biolink:"), own).otherwise(F.concat(F.lit(IDENTIFIERS), percent_encode(c, ":/")))
+    plain = c.startswith(PLAIN[0]) | c.startswith(PLAIN[1]) | c.startswith(PLAIN[2])
+    own = F.concat(F.lit(VOCAB), F.substring(c, len(OWN) + 1, 2**31 - 1))
+    return F.when(plain, c).when(c.startswith(OWN), own).otherwise(F.concat(F.lit(IDENTIFIERS), percent_encode(c, ":/")))
+
+
+def named_by(value: object) -> str | None:
+    """For one value in Python, by the same rules: the IRI of a CURIE or web address, else None."""
+    if not isinstance(value, str) or not (value.startswith(PLAIN[:2]) or re.match(CURIE_PYTHON, value)):
+        return None
+    if value.startswith(PLAIN):
+        return value
+    return VOCAB + value.removeprefix(OWN) if value.startswith(OWN) else IDENTIFIERS + quote(value, safe=":/")
 
 
 def is_curie(c: Column | str) -> Column:
@@ -75,9 +90,28 @@ def enum_value_iri(enum: Column | str, value: Column | str) -> Column:
     return F.concat(F.lit(ENUM_NS), percent_encode(enum, "/"), F.lit("/"), percent_encode(value))
 
 
+def _unicode(unit: Column) -> Column:
+    return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(unit)), 4, "0"))
+
+
 def json_text(c: Column | str) -> Column:
-    """A JSON string of printable ASCII ids: quotes and backslashes escaped."""
-    return F.concat(F.lit('"'), _swap(_col(c), ("\\", "\\\\"), ('"', '\\"')), F.lit('"'))
+    """A JSON string in ASCII: quotes, backslashes, control and all non-ASCII characters escaped, those beyond
+    the basic plane as two units. Plain ids take the short way."""
+    c = _col(c)
+    short = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+    def one(x: Column) -> Column:
+        # UTF-32 gives the code point of any character
+        n = F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("long")
+        out = None
+        for k, v in short.items():
+            out = F.when(x == k, v) if out is None else out.when(x == k, v)
+        two = n - 0x10000
+        pair = F.concat(_unicode(F.shiftright(two, 10) + 0xD800), _unicode(two.bitwiseAND(0x3FF) + 0xDC00))
+        return out.when((n >= 32) & (n < 127), x).when(n < 0x10000, _unicode(n)).otherwise(pair)
+
+    slow = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), one), "")
+    return F.concat(F.lit('"'), F.when(c.rlike(r"\A[ !#-\[\]-~]*\z"), c).otherwise(slow), F.lit('"'))
 
 
 def reverse_iri(edge_id: Column | str) -> Column:

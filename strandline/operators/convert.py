@@ -52,7 +52,7 @@ def values(nodes: DataFrame, edges: DataFrame, children: DataFrame, onto: dict[s
         own = flatten.attributes(df.select(curie_to_iri(key).alias("s"), F.col(text).alias("text")), "s", "text", skip)
         rows = own if rows is None else rows.unionByName(own)
     kind = flatten.scalar_kind("value")
-    rows = flatten.fan_out(rows, "s", depth=None).withColumn("kind", kind).where("kind <> 'object'")
+    rows = flatten.fan_out(rows, "s").withColumn("kind", kind).where("kind <> 'object'")
     rows = rows.withColumn("term", F.when(F.col("kind") == "string", F.expr("try_variant_get(value, '$', 'string')")))
     element = onto["element"].dropDuplicates(["term"])
     slots = element.select(F.col("term").alias("attr"), "slot_uri", F.when(F.col("range").endswith("Enum"), F.col("range")).alias("enum"))

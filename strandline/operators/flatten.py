@@ -11,15 +11,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.terms import NODE_NS, enum_value_iri, curie_to_iri, float_text, is_curie, plain_literal, typed_literal
+from strandline.functions.terms import NODE_NS, enum_value_iri, curie_to_iri, float_text, is_curie, named_by, plain_literal, typed_literal
+
+
+def _exploded(df: DataFrame, value: str) -> DataFrame:
+    """``df`` beside (pos, key, value) of every member of its variant column."""
+    return df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(value).outer()).alias("x"))
 
 
 def attributes(df: DataFrame, key: str, text: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(key, attr, value VARIANT) for every attribute that is not null or skipped."""
-    df = df.select(F.col(key), F.expr(f"try_parse_json({text})").alias("__v"))
-    df.createOrReplaceTempView("__records")
-    out = df.sparkSession.sql(f"SELECT r.{key}, x.key AS attr, x.value AS value FROM __records r, LATERAL variant_explode(r.__v) AS x")
-    return out.where(~F.col("attr").isin(*skip) & ~F.expr("is_variant_null(value)")) if skip else out.where(~F.expr("is_variant_null(value)"))
+    """(key, attr, value VARIANT) for every attribute that is not null or skipped. Null and blank texts have no
+    attributes; a text that is no JSON is an error."""
+    record = F.when(F.trim(text) != "", F.parse_json(F.col(text)))
+    out = _exploded(df.select(F.col(key), record.alias("__v")), "__v").select(key, F.col("x.key").alias("attr"), F.col("x.value").alias("value"))
+    out = out.where(~F.expr("is_variant_null(value)"))
+    return out.where(~F.col("attr").isin(*skip)) if skip else out
 
 
 def scalar_kind(value: str = "value") -> Column:
@@ -42,21 +48,15 @@ def render_scalar(value: str = "value", enum: Column | None = None, permitted: C
     return out.when((kind == "string") & is_curie(text), curie_to_iri(text)).when(kind == "string", plain_literal(text))
 
 
-def fan_out(df: DataFrame, key: str, attr: str = "attr", value: str = "value", depth: int | None = 8) -> DataFrame:
-    """Lists to rows with index, level by level; the innermost list's index stands. Scalars get index 0.
-    ``depth``: levels to unfold; None looks after each level whether any list is left."""
+def fan_out(df: DataFrame, key: str, attr: str = "attr", value: str = "value") -> DataFrame:
+    """Lists of any depth to rows with index, level by level; the innermost list's index stands. Scalars get
+    index 0. Each level is looked at once for lists that are left in it."""
     level = df.select(key, attr, F.lit(0).alias("idx"), F.col(value).alias("value"))
-    done = None
-    level_no = 0
-    while depth is None or level_no < depth:
-        level_no += 1
-        is_list = scalar_kind("value") == "list"
-        flat = level.where(~is_list)
-        done = flat if done is None else done.unionByName(flat)
-        if depth is None and not level.where(is_list).take(1):
-            break
-        level.where(is_list).createOrReplaceTempView("__lists")
-        level = df.sparkSession.sql(f"SELECT r.{key}, r.{attr}, x.pos AS idx, x.value AS value FROM __lists r, LATERAL variant_explode(r.value) AS x")
+    is_list = scalar_kind("value") == "list"
+    done = level.where(~is_list)
+    while not (lists := level.where(is_list)).isEmpty():
+        level = _exploded(lists.select(key, attr, F.col("value").alias("__list")), "__list").select(key, attr, F.col("x.pos").alias("idx"), F.col("x.value").alias("value"))
+        done = done.unionByName(level.where(~is_list))
     return done
 
 
@@ -69,26 +69,14 @@ def generated_id(parent: str, key: str, value: object, index: int) -> str:
 def nested_nodes(records: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     """(parent_iri, key, idx, child_iri, child) of the objects, at any depth, in the attributes of
     (parent_iri, value) records; a child with a CURIE or IRI as ``id`` is named by it, else by a hash
-    of its original JSON. Duplicate keys keep the last value. Attributes in ``skip`` are not entered."""
-    from urllib.parse import quote
-    import re
-
-    curie = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s]+$")
-
-    def name(parent: str, key: str, obj: dict, i: int) -> str:
-        own = obj.get("id")
-        if isinstance(own, str) and (own.startswith(("http://", "https://")) or curie.match(own)):
-            if own.startswith(("http://", "https://", "urn:")):
-                return own
-            return "https://w3id.org/biolink/vocab/" + own[8:] if own.startswith("biolink:") else "https://identifiers.org/" + quote(own, safe=":/._-")
-        return generated_id(parent, key, obj, i)
-
+    of its original JSON. Duplicate keys keep the last value. Attributes in ``skip`` are not entered. Null and blank
+    records have none; a text that is no JSON is an error, as in ``attributes``."""
     def walk(parent: str, key: str, value: object, i: int, out: list) -> None:
         if isinstance(value, list):
             for j, x in enumerate(value):
                 walk(parent, key, x, j, out)
         elif isinstance(value, dict):
-            child = name(parent, key, value, i)
+            child = named_by(value.get("id")) or generated_id(parent, key, value, i)
             out.append((parent, key, i, child, json.dumps(value)))
             for k, v in value.items():
                 if k not in ("id", "category"):

@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.terms import IS_A, RDF, RDFS, curie_to_iri, custom_slot_iri, enum_value_iri, plain_literal
+from strandline.sources.shared import stored
 
 
 def closure(start: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
-    """All keys reachable from ``start`` over (keys, parent) rows, itself included. A level costs one
-    join of what is new; cycles end because known keys are not followed again."""
-    seen = start.select(*keys).distinct()
-    new, up = seen, parents.select(*keys, "parent")
-    while new.take(1):
-        after = new.join(up, keys).select(*keys[:-1], F.col("parent").alias(keys[-1])).distinct().join(seen, keys, "left_anti")
-        seen, new = seen.unionByName(after), after
+    """All keys reachable from ``start`` over (keys, parent) rows, itself included. Each level is one join of
+    what is new, written to the shared folder and read by the next, so plans stay small at any depth;
+    cycles end because known keys are not followed again."""
+    up = parents.select(*keys, "parent")
+    seen = new = stored(start.select(*keys).distinct(), "closure")
+    while not new.isEmpty():
+        above = new.join(up, keys).select(*keys[:-1], F.col("parent").alias(keys[-1])).distinct()
+        new = stored(above.join(seen, keys, "left_anti"), "closure")
+        seen = seen.unionByName(new)  # a union of scans
     return seen
 
 

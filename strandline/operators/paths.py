@@ -1,17 +1,21 @@
 """Exact-length, direction-agnostic walks between two endpoints.
 
-The plan is a left-deep chain of equi-joins over the oriented adjacency. Constants sit in filters
-on the first and last hop, so they reach the Parquet scan (files are range-sorted by ``f``). Lifting
-an endpoint by one stored subclass edge joins a candidate table instead of multiplying branches.
+The adjacency holds both orientations, so a hop can be read from either side. Half of the hops start at
+the first endpoint, half (directions flipped) at the last; both halves begin with a filter on ``f`` that reaches the Parquet
+scan (files are range-sorted by ``f``), and they meet in the middle in one equi-join. Lifting an endpoint by one
+stored subclass edge joins a candidate table instead of multiplying branches.
 """
 
 from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.terms import json_text
+from strandline.sources.shared import stored
+
 SUBCLASS = "biolink:subclass_of"
 
 
@@ -22,14 +26,17 @@ def columns(k: int, lifted: bool) -> list[str]:
     return out + (["match0", "subclass_edge0", f"match{k}", f"subclass_edge{k}"] if lifted else [])
 
 
-def candidates(edges: DataFrame, endpoint: str) -> DataFrame:
+def candidates(edges: DataFrame, endpoint: str, subclass: str = SUBCLASS) -> DataFrame:
     """The endpoint itself (no witness) and every subject of a subclass edge to it."""
     own = edges.sparkSession.range(1).select(F.lit(endpoint).alias("n"), F.lit(None).cast("string").alias("match"), F.lit(None).cast("string").alias("via"))
-    below = edges.where((F.col("p") == SUBCLASS) & (F.col("o") == endpoint)).select(F.col("s").alias("n"), F.col("s").alias("match"), F.col("edge").alias("via"))
+    below = edges.where((F.col("p") == subclass) & (F.col("o") == endpoint)).select(F.col("s").alias("n"), F.col("s").alias("match"), F.col("edge").alias("via"))
     return own.unionByName(below)
 
 
-def find_paths(adjacency: DataFrame, start: str, end: str, k: int, limit: int | None = None, offset: int | None = None, edges: DataFrame | None = None, lift_start: bool = False, lift_end: bool = False) -> DataFrame:
+def find_paths(
+    adjacency: DataFrame, start: str, end: str, k: int, limit: int | None = None, offset: int | None = None, edges: DataFrame | None = None,
+    lift_start: bool = False, lift_end: bool = False, subclass: str = SUBCLASS,
+) -> DataFrame:
     """Distinct walks of exactly ``k`` hops. ``limit`` and ``offset`` apply to the order of all columns."""
     if k < 1:
         raise ValueError("a path has at least one hop")
@@ -37,33 +44,57 @@ def find_paths(adjacency: DataFrame, start: str, end: str, k: int, limit: int |
     if lifted and edges is None:
         raise ValueError("lifting needs the edge table")
 
-    def hop(i: int) -> DataFrame:
-        return adjacency.select(F.col("f").alias(f"f{i}"), F.col("dir").alias(f"dir{i}"), F.col("edge").alias(f"edge{i}"), F.col("pred").alias(f"pred{i}"), F.col("t").alias(f"node{i}"))
+    def hop(i: int, backwards: bool = False) -> DataFrame:
+        way = F.when(F.col("dir") == "forward", "reverse").otherwise("forward") if backwards else F.col("dir")
+        here, there = (f"node{i}", f"f{i}") if backwards else (f"f{i}", f"node{i}")
+        return adjacency.select(F.col("f").alias(here), way.alias(f"dir{i}"), F.col("edge").alias(f"edge{i}"), F.col("pred").alias(f"pred{i}"), F.col("t").alias(there))
 
     def at(df: DataFrame, key: str, i: int, endpoint: str, lift: bool) -> DataFrame:
         if lift:
-            c = candidates(edges, endpoint).select(F.col("n").alias(key), F.col("match").alias(f"match{i}"), F.col("via").alias(f"subclass_edge{i}"))
+            c = candidates(edges, endpoint, subclass).select(F.col("n").alias(key), F.col("match").alias(f"match{i}"), F.col("via").alias(f"subclass_edge{i}"))
             return df.join(c, key)
         df = df.where(F.col(key) == endpoint)
         none = F.lit(None).cast("string")
         return df.withColumns({f"match{i}": none, f"subclass_edge{i}": none}) if lifted else df
 
+    middle = (k + 1) // 2
     walk = at(hop(1), "f1", 0, start, lift_start)
-    for i in range(2, k + 1):
-        after = hop(i)
-        if i == k:
-            after = at(after, f"node{k}", k, end, lift_end)
-        walk = walk.join(after, F.col(f"node{i - 1}") == F.col(f"f{i}"))
-    if k == 1:
-        walk = at(walk, "node1", 1, end, lift_end)
+    for i in range(2, middle + 1):
+        walk = walk.join(hop(i), F.col(f"node{i - 1}") == F.col(f"f{i}"))
+    if middle == k:
+        walk = at(walk, f"node{k}", k, end, lift_end)
+    else:
+        back = at(hop(k, True), f"node{k}", k, end, lift_end)
+        for i in range(k - 1, middle, -1):
+            back = back.join(hop(i, True), F.col(f"node{i}") == F.col(f"f{i + 1}"))
+        walk = walk.join(back, F.col(f"node{middle}") == F.col(f"f{middle + 1}"))
     out = walk.select(*columns(k, lifted)).distinct()
     if limit is not None or offset:
-        out = out.orderBy(*[F.col(c).asc_nulls_first() for c in out.columns])
+        out = in_order(out)
         out = out.offset(offset) if offset else out
         out = out.limit(max(limit, 0)) if limit is not None else out
     return out
 
 
+def in_order(paths: DataFrame) -> DataFrame:
+    return paths.orderBy(*[F.col(c).asc_nulls_first() for c in paths.columns])
+
+
+def paged(paths: DataFrame, page_size: int) -> DataFrame:
+    """``paths`` with ``nth`` (from 0, in the order of all columns) and ``page``. The sorted rows are stored once; a
+    row's number is its place in its range and the sizes of the ranges before it, so no task counts them all."""
+    if page_size < 1:
+        raise ValueError("a page has at least one row")
+    part = F.spark_partition_id()
+    rows = in_order(paths).withColumn("__part", part).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33))
+    rows = stored(rows, "paths")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    base = rows.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    nth = (F.col("__at") + F.col("__base")).alias("nth")
+    out = rows.join(base, "__part").select(*paths.columns, nth)
+    return out.withColumn("page", F.floor(F.col("nth") / page_size).cast("long"))
+
+
 def branch_union(edges: DataFrame, start: str, end: str, k: int) -> DataFrame:
     """The literal form: one chain of joins for each of the 2**k direction patterns. A test oracle."""
     out = None
@@ -80,24 +111,42 @@ def branch_union(edges: DataFrame, start: str, end: str, k: int) -> DataFrame:
     return out.distinct()
 
 
+def document(k: int, lifted: bool) -> Column:
+    """One path as a JSON object with sorted keys: inner nodes, steps and, where there are any, witnesses."""
+    def step(i: int) -> Column:
+        parts = [F.lit('{"direction":'), json_text(f"dir{i}"), F.lit(',"edge":'), json_text(f"edge{i}")]
+        parts += [F.lit(',"next_node":'), json_text(f"node{i}")] if i < k else []
+        return F.concat(*parts, F.lit(',"predicate":'), json_text(f"pred{i}"), F.lit("}"))
+
+    fields = {f"node{i}": F.concat(F.lit('{"id":'), json_text(f"node{i}"), F.lit(',"label":null}')) for i in range(1, k)}
+    fields["steps"] = F.concat(F.lit("["), F.concat_ws(",", *(step(i) for i in range(1, k + 1))), F.lit("]"))
+    if lifted:
+        for name, c in (("start_witness", "match0"), ("start_subclass_edge", "subclass_edge0"), ("end_witness", f"match{k}"), ("end_subclass_edge", f"subclass_edge{k}")):
+            fields[name] = json_text(c)
+    # a null field (no witness) leaves no key behind
+    return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{name}":'), fields[name]) for name in sorted(fields))), F.lit("}"))
+
+
 def documents(paths: DataFrame, k: int) -> DataFrame:
-    """One nested document a path: steps, inner nodes and, if lifted, witnesses."""
-    steps = F.array(*[
-        F.struct(F.col(f"dir{i}").alias("direction"), F.col(f"edge{i}").alias("edge"), F.col(f"pred{i}").alias("predicate"), (F.col(f"node{i}") if i < k else F.lit(None).cast("string")).alias("next_node"))
-        for i in range(1, k + 1)
-    ])
-    out = [steps.alias("steps")]
-    out += [F.struct(F.col(f"node{i}").alias("id"), F.lit(None).cast("string").alias("label")).alias(f"node{i}") for i in range(1, k)]
-    if "match0" in paths.columns:
-        out += [F.col(a).alias(b) for a, b in (("match0", "start_witness"), ("subclass_edge0", "start_subclass_edge"), (f"match{k}", "end_witness"), (f"subclass_edge{k}", "end_subclass_edge"))]
-    return paths.select(*out)
-
-
-def resources(paths: DataFrame, k: int, start: str, end: str) -> DataFrame:
-    """Endpoints, inner nodes, edges and predicates on the paths."""
-    parts = [F.lit(start), F.lit(end)] + [F.col(f"node{i}") for i in range(1, k)] + [F.col(f"{c}{i}") for i in range(1, k + 1) for c in ("edge", "pred")]
-    return paths.select(F.explode(F.array(*parts)).alias("resource")).distinct()
-
-
-def summary(paths: DataFrame, start: str, end: str, k: int) -> DataFrame:
-    return paths.agg(F.count("*").alias("path_count")).select(F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(k).cast("long").alias("path_length"), "path_count", F.lit(0).cast("long").alias("skipped_malformed_rows"))
+    """One JSON document a path."""
+    return paths.select(document(k, "match0" in paths.columns).alias("document"))
+
+
+def resources(paths: DataFrame, k: int, start: str, end: str, predicates: bool = True) -> DataFrame:
+    """Endpoints, inner nodes, edges and (unless left out) predicates on the paths, each once. The endpoints
+    are there without any path too."""
+    parts = [F.col(f"node{i}") for i in range(1, k)] + [F.col(f"{c}{i}") for i in range(1, k + 1) for c in ("edge", *(["pred"] if predicates else []))]
+    ends = paths.sparkSession.range(1).select(F.explode(F.array(F.lit(start), F.lit(end))).alias("resource"))
+    return paths.select(F.explode(F.array(*parts)).alias("resource")).unionByName(ends).distinct()
+
+
+def resource_list(paths: DataFrame, k: int, start: str, end: str) -> DataFrame:
+    """The resources whose properties go with the paths, in order."""
+    return resources(paths, k, start, end, predicates=False).orderBy("resource")
+
+
+def summary(paths: DataFrame, start: str, end: str, k: int, malformed: Column | None = None) -> DataFrame:
+    """One row of counts. ``malformed`` marks rows that are no path (see ``records.bindings``): they are counted apart."""
+    bad = F.coalesce(malformed, F.lit(False)) if malformed is not None else F.lit(False)
+    counts = paths.agg(F.count_if(~bad).alias("path_count"), F.count_if(bad).alias("skipped_malformed_rows"))
+    return counts.select(F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(k).cast("long").alias("path_length"), "path_count", "skipped_malformed_rows")

@@ -14,22 +14,45 @@ def _rows(edges: DataFrame, rows: list[tuple[Column, Column, Column]]) -> DataFr
     return edges.select(F.explode(F.array(*[F.struct(s.alias("s"), p.alias("p"), o.alias("o")) for s, p, o in rows])).alias("x")).select("x.*")
 
 
-def reify(edges: DataFrame) -> DataFrame:
-    """The direct triple and seven about the edge itself; columns s, p, o are IRIs."""
-    e, s, p, o = (curie_to_iri(c) for c in ("edge", "s", "p", "o"))
-    lit = F.lit
-    return _rows(edges, [
-        (s, p, o), (e, lit(TYPE), lit(RDF + "Statement")), (e, lit(TYPE), lit(TRAVERSAL_NS + "TraversalEdge")),
+def named(edges: DataFrame) -> DataFrame:
+    """The edge table with IRIs (e, s, p, o): each is built once, whatever number of triples it goes into."""
+    return edges.select(curie_to_iri("edge").alias("e"), *(curie_to_iri(c).alias(c) for c in ("s", "p", "o")))
+
+
+def _about() -> list[tuple[Column, Column, Column]]:
+    e, s, p, o, lit = F.col("e"), F.col("s"), F.col("p"), F.col("o"), F.lit
+    return [
+        (e, lit(TYPE), lit(RDF + "Statement")), (e, lit(TYPE), lit(TRAVERSAL_NS + "TraversalEdge")),
         (e, lit(RDF + "subject"), s), (e, lit(RDF + "predicate"), p), (e, lit(RDF + "object"), o),
         (e, lit(TRAVERSAL_NS + "traversal_from"), s), (e, lit(TRAVERSAL_NS + "traversal_to"), o),
-    ])
+    ]
+
+
+def reify(edges: DataFrame) -> DataFrame:
+    """The direct triple and seven about the edge itself; columns s, p, o are IRIs."""
+    return _rows(named(edges), [(F.col("s"), F.col("p"), F.col("o")), *_about()])
+
+
+def reified_set(edges: DataFrame) -> DataFrame:
+    """``reify`` without repetitions, for edges with unique ids (``graph.duplicate_ids`` finds others):
+    triples about an edge cannot repeat, so only direct ones are compared."""
+    own = named(edges)
+    return own.select("s", "p", "o").distinct().unionByName(_rows(own, _about()))
+
+
+def of_resources(edges: DataFrame, resources: DataFrame) -> DataFrame:
+    """The triples of ``reify`` whose subject is a listed resource: edges are found by subject or id first, so
+    no other edge is reified."""
+    own, listed = named(edges), resources.select("resource").distinct()
+    direct = own.join(listed, F.col("s") == F.col("resource"), "left_semi").select("s", "p", "o")
+    return direct.unionByName(_rows(own.join(listed, F.col("e") == F.col("resource"), "left_semi"), _about()))
 
 
 def reverse_aliases(edges: DataFrame) -> DataFrame:
     """Five triples a reverse alias, which is named after the raw edge id and is no statement."""
-    e, s, o, r = curie_to_iri("edge"), curie_to_iri("s"), curie_to_iri("o"), reverse_iri("edge")
-    lit = F.lit
-    return _rows(edges, [
+    own = edges.select(curie_to_iri("edge").alias("e"), curie_to_iri("s").alias("s"), curie_to_iri("o").alias("o"), reverse_iri("edge").alias("r"))
+    e, s, o, r, lit = F.col("e"), F.col("s"), F.col("o"), F.col("r"), F.lit
+    return _rows(own, [
         (r, lit(TYPE), lit(TRAVERSAL_NS + "TraversalEdge")), (r, lit(TYPE), lit(TRAVERSAL_NS + "ReverseTraversalEdge")),
         (r, lit(TRAVERSAL_NS + "traverses"), e), (r, lit(TRAVERSAL_NS + "traversal_from"), o), (r, lit(TRAVERSAL_NS + "traversal_to"), s),
     ])

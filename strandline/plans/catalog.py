@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from itertools import product
 
@@ -9,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import terms as T
-from strandline.operators import flatten, graph, ontology, paths, properties, triples
+from strandline.operators import convert, flatten, graph, ontology, paths, properties, triples
 from strandline.plans.projection import adjacency, edges, edges_sql
+from strandline.sources import archive, records
+from strandline.sources.shared import shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -139,26 +142,44 @@ def _(spark, d):
 
 def _step(i: int, k: int) -> str:
     nxt = f"""',"next_node":"' || node{i} || '"'""" if i < k else "''"
-    return f"""'{{"direction":"' || dir{i} || '","edge":"' || edge{i} || '","predicate":"' || pred{i} || '"' || {nxt} || '}}'"""
+    return f"""'{{"direction":"' || dir{i} || '","edge":"' || edge{i} || '"' || {nxt} || ',"predicate":"' || pred{i} || '"}}'"""
 
 
-_DOC_SQL = f"""SELECT '{{"steps":[' || {" || ',' || ".join(_step(i, 3) for i in (1, 2, 3))} || '],"node1":{{"id":"' || node1 || '"}},"node2":{{"id":"' || node2 || '"}}}}' AS document FROM {_P3}"""
+_DOC_SQL = f"""SELECT '{{"node1":{{"id":"' || node1 || '","label":null}},"node2":{{"id":"' || node2 || '","label":null}},"steps":[' || {" || ',' || ".join(_step(i, 3) for i in (1, 2, 3))} || ']}}' AS document FROM {_P3}"""
 
 
 @query("path_documents", _DOC_SQL)
 def _(spark, d):
-    docs = paths.documents(QUERIES["paths_k3"](spark, d), 3)
-    return docs.select(F.to_json(F.struct(*docs.columns)).alias("document"))
+    return paths.documents(QUERIES["paths_k3"](spark, d), 3)
+
+
+_LIFTED_SQL = paths_sql(*LIFTED["paths_lifted_both"][:3], True, True)
+
+
+@query("path_documents_lifted", f"""SELECT '{{' || CASE WHEN subclass_edge2 IS NULL THEN '' ELSE '"end_subclass_edge":"' || subclass_edge2 || '","end_witness":"' || match2 || '",' END || '"node1":{{"id":"' || node1 || '","label":null}},'
+  || CASE WHEN subclass_edge0 IS NULL THEN '' ELSE '"start_subclass_edge":"' || subclass_edge0 || '","start_witness":"' || match0 || '",' END || '"steps":[' || {_step(1, 2)} || ',' || {_step(2, 2)} || ']}}' AS document FROM ({_LIFTED_SQL})""")
+def _(spark, d):
+    return paths.documents(QUERIES["paths_lifted_both"](spark, d), 2)
+
+
+@query("paths_paged", f"SELECT *, CAST(nth // 50 AS BIGINT) AS page FROM (SELECT *, row_number() OVER (ORDER BY {_ORDER}) - 1 AS nth FROM {_P3})")
+def _(spark, d):
+    return paths.paged(QUERIES["paths_k3"](spark, d), 50)
+
+
+@query("resource_list", f"SELECT DISTINCT unnest(['PTYPE:SMALL', 'NATION:3', node1, node2, edge1, edge2, edge3]) AS resource FROM {_P3} ORDER BY resource")
+def _(spark, d):
+    return paths.resource_list(QUERIES["paths_k3"](spark, d), 3, "PTYPE:SMALL", "NATION:3")
 
 
 # scalar functions ----------------------------------------------------------------------------
-_IDS = E + ", ids AS (SELECT s AS v FROM edges UNION SELECT p FROM edges UNION SELECT edge FROM edges UNION SELECT url FROM pages UNION SELECT 'X:' || substr(text, 1, 30) FROM documents WHERE length(text) > 0)"
+_IDS = E + ", ids AS (SELECT s AS v FROM edges UNION SELECT p FROM edges UNION SELECT edge FROM edges UNION SELECT url FROM pages UNION SELECT 'X:' || text FROM documents WHERE length(text) > 0)"
 
 
 def _ids(spark, d):
     e = edges(spark, d)
     docs = _table(spark, d, "documents").where(F.length("text") > 0)
-    return e.select("s").union(e.select("p")).union(e.select("edge")).union(_table(spark, d, "pages").select("url")).union(docs.select(F.concat(F.lit("X:"), F.substring("text", 1, 30)))).toDF("v").where("v is not null").distinct()
+    return e.select("s").union(e.select("p")).union(e.select("edge")).union(_table(spark, d, "pages").select("url")).union(docs.select(F.concat(F.lit("X:"), "text"))).toDF("v").where("v is not null").distinct()
 
 
 _IRI = "CASE WHEN v LIKE 'http://%' OR v LIKE 'https://%' OR v LIKE 'urn:%' THEN v WHEN v LIKE 'biolink:%' THEN 'https://w3id.org/biolink/vocab/' || substr(v, 9) ELSE 'https://identifiers.org/' || replace(replace(url_encode(v), '%3A', ':'), '%2F', '/') END"
@@ -204,14 +225,14 @@ def _(spark, d):
     return t.select(T.normalize_iri("term").alias("bare"), "term")
 
 
-@query("custom_slot_iri", "SELECT DISTINCT doc_id, 'https://w3id.org/kgx/slot/' || url_encode(replace(substr(text, 1, 40), ' ', '_')) AS iri FROM documents WHERE text IS NOT NULL")
+@query("custom_slot_iri", "SELECT DISTINCT doc_id, 'https://w3id.org/kgx/slot/' || url_encode(replace(text, ' ', '_')) AS iri FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
-    return _table(spark, d, "documents").where("text is not null").select("doc_id", T.custom_slot_iri(F.substring("text", 1, 40)).alias("iri")).distinct()
+    return _table(spark, d, "documents").where("text is not null").select("doc_id", T.custom_slot_iri("text").alias("iri")).distinct()
 
 
-@query("enum_value_iri", "SELECT DISTINCT doc_id, 'https://w3id.org/biolink/enum/' || replace(url_encode('Own/' || source || 'Enum'), '%2F', '/') || '/' || url_encode(substr(text, 1, 40)) AS iri FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
+@query("enum_value_iri", "SELECT DISTINCT doc_id, 'https://w3id.org/biolink/enum/' || replace(url_encode('Own/' || source || 'Enum'), '%2F', '/') || '/' || url_encode(text) AS iri FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
 def _(spark, d):
-    return _table(spark, d, "documents").where("text is not null and source is not null").select("doc_id", T.enum_value_iri(F.concat(F.lit("Own/"), "source", F.lit("Enum")), F.substring("text", 1, 40)).alias("iri")).distinct()
+    return _table(spark, d, "documents").where("text is not null and source is not null").select("doc_id", T.enum_value_iri(F.concat(F.lit("Own/"), "source", F.lit("Enum")), "text").alias("iri")).distinct()
 
 
 # triples -------------------------------------------------------------------------------------
@@ -238,7 +259,7 @@ def _(spark, d):
 
 @query("triples_distinct", f"{_I} SELECT DISTINCT * FROM ({_REIFY})")
 def _(spark, d):
-    return triples.reify(edges(spark, d)).distinct()
+    return triples.reified_set(edges(spark, d))
 
 
 @query("triple_lines", f"{_I} SELECT '<' || s || '> <' || p || '> <' || o || '> .' AS value FROM ({_REIFY})")
@@ -256,12 +277,12 @@ def _wanted(spark, d):
 
 @query("properties_for_resources", _PROP + " SELECT * FROM q ORDER BY resource, predicate, value")
 def _(spark, d):
-    return properties.ordered(properties.properties(triples.reify(edges(spark, d)), _wanted(spark, d)))
+    return properties.ordered(properties.properties(triples.of_resources(edges(spark, d), _wanted(spark, d)), _wanted(spark, d)))
 
 
 @query("properties_grouped", _PROP + " SELECT resource, count(*) AS n, string_agg(predicate || ' ' || value, '|' ORDER BY predicate, value) AS listing FROM q GROUP BY resource")
 def _(spark, d):
-    g = properties.grouped(properties.properties(triples.reify(edges(spark, d)), _wanted(spark, d)))
+    g = properties.grouped(properties.properties(triples.of_resources(edges(spark, d), _wanted(spark, d)), _wanted(spark, d)))
     return g.select("resource", F.size("properties").cast("long").alias("n"), F.concat_ws("|", F.transform("properties", lambda x: F.concat_ws(" ", x["predicate"], x["value"]))).alias("listing"))
 
 
@@ -294,6 +315,13 @@ def _(spark, d):
     return flatten.nested_nodes(rec).select("parent_iri", "key", "idx", "child_iri")
 
 
+@query("list_fanout_deep", "SELECT vec_id, CAST(unnest(list_transform(embedding, lambda x: 0)) AS INTEGER) AS idx FROM embeddings WHERE embedding IS NOT NULL")
+def _(spark, d):
+    deep = "array(" * 10 + "e" + ")" * 10  # eleven lists with the outer one
+    v = _table(spark, d, "embeddings").where("embedding is not null").select("vec_id", F.lit("embedding").alias("attr"), F.expr(f"to_variant_object(transform(embedding, e -> {deep}))").alias("value"))
+    return flatten.fan_out(v, "vec_id").select("vec_id", F.col("idx").cast("int").alias("idx"))
+
+
 # ontology: terms, parents and enumerations read off the tables -------------------------------
 _ONTO = """WITH element AS (SELECT 'NATION:' || CAST(n_nationkey AS VARCHAR) AS term, n_name AS name FROM nation UNION ALL SELECT 'REGION:' || CAST(r_regionkey AS VARCHAR), r_name FROM region),
  parent AS (SELECT 'CUST:' || CAST(c_custkey AS VARCHAR) AS term, 'NATION:' || CAST(c_nationkey AS VARCHAR) AS parent FROM customer UNION ALL SELECT 'NATION:' || CAST(n_nationkey AS VARCHAR), 'REGION:' || CAST(n_regionkey AS VARCHAR) FROM nation)"""
@@ -364,3 +392,102 @@ def _(spark, d):
     keys = _table(spark, d, "events").where("event_type is not null").select(F.col("event_type").alias("key")).distinct()
     element = spark.createDataFrame([("click", "biolink:click"), ("error", "biolink:error")], "term string, slot_uri string")
     return ontology.slot_iris(keys, element)
+
+
+_HEAP = "WITH RECURSIVE parent AS (SELECT 'T:' || CAST(p_partkey AS VARCHAR) AS term, 'T:' || CAST(p_partkey // 2 AS VARCHAR) AS parent FROM part WHERE p_partkey > 1), element AS (SELECT 'T:' || CAST(p_partkey AS VARCHAR) AS term, p_brand AS name FROM part)"
+
+
+@query("deep_closure", _HEAP + _closure_sql(T.RDFS + "Class", T.RDFS + "subClassOf", "SELECT 'T:' || CAST(l_partkey AS VARCHAR) FROM lineitem").split("FROM nation)", 1)[1])
+def _(spark, d):
+    """A hierarchy as deep as the logarithm of the number of parts."""
+    p = _table(spark, d, "part")
+    up = p.where("p_partkey > 1").select(_ref("T:", "p_partkey").alias("term"), F.concat(F.lit("T:"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("parent"))
+    return ontology.hierarchy(_table(spark, d, "lineitem").select(_ref("T:", "l_partkey").alias("term")), p.select(_ref("T:", "p_partkey").alias("term"), F.col("p_brand").alias("name")), up, "class")
+
+
+# sources and the converter -------------------------------------------------------------------
+_JSON = r"""'"' || array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t' WHEN c = chr(8) THEN '\b' WHEN c = chr(12) THEN '\f'
+  WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 65536 THEN printf('\u%04x', unicode(c)) ELSE printf('\u%04x\u%04x', 55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)) END), '') || '"'"""
+
+
+@query("reverse_iri_of_texts", f"""SELECT DISTINCT doc_id, '{T.TRAVERSAL_NS}reverse/' || sha256('{{"reverse_traversal_of":' || {_JSON} || '}}') AS iri FROM documents WHERE text IS NOT NULL""")
+def _(spark, d):
+    return _table(spark, d, "documents").where("text is not null").select("doc_id", T.reverse_iri("text").alias("iri")).distinct()
+
+
+def _fresh(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("jsonl_nodes", "SELECT 'CUST:' || CAST(c_custkey AS VARCHAR) AS id, 'biolink:Agent,SEG:' || CAST(c_nationkey AS VARCHAR) AS categories, c_name AS name FROM customer")
+def _(spark, d):
+    c = _table(spark, d, "customer").select(_ref("CUST:", "c_custkey").alias("id"), F.array(F.lit("biolink:Agent"), _ref("SEG:", "c_nationkey")).alias("category"), F.col("c_name").alias("name"))
+    path = _fresh(spark, "nodes")
+    c.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    return records.read_nodes(spark, path).select("id", F.concat_ws(",", "categories").alias("categories"), F.expr("variant_get(attrs, '$.name', 'string')").alias("name"))
+
+
+@query("jsonl_edges", "SELECT 'urn:o:' || CAST(o_orderkey AS VARCHAR) AS edge, 'CUST:' || CAST(o_custkey AS VARCHAR) AS s, 'biolink:places' AS p, 'ORDER:' || CAST(o_orderkey AS VARCHAR) AS o FROM orders")
+def _(spark, d):
+    o = _table(spark, d, "orders").select(_ref("urn:o:", "o_orderkey").alias("id"), _ref("CUST:", "o_custkey").alias("subject"), F.lit("biolink:places").alias("predicate"), _ref("ORDER:", "o_orderkey").alias("object"))
+    path = _fresh(spark, "edges")
+    o.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    return records.read_edges(spark, path).select("edge", "s", "p", "o")
+
+
+@query("tsv_bindings", "SELECT CAST(o_orderkey AS VARCHAR) AS node, CAST(o_custkey AS VARCHAR) AS customer FROM orders")
+def _(spark, d):
+    path = _fresh(spark, "bindings")
+    _table(spark, d, "orders").select(F.col("o_orderkey").alias("?node"), F.col("o_custkey").alias("?customer")).write.option("header", "true").csv(path, sep="\t")
+    return records.read_bindings(spark, path)
+
+
+@query("malformed_rows", "SELECT 'A' AS start, 'B' AS \"end\", CAST(2 AS BIGINT) AS path_length, count(*) FILTER (o_orderkey % 7 <> 0) AS path_count, count(*) FILTER (o_orderkey % 7 = 0) AS skipped_malformed_rows FROM orders")
+def _(spark, d):
+    o = _table(spark, d, "orders").select(F.concat_ws("\t", "o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey"))).alias("value"))
+    rows = records.bindings(o, ["?node", "?customer"])
+    return paths.summary(rows, "A", "B", 2, F.col("malformed"))
+
+
+@query("archive_records", """SELECT 'nodes.jsonl' AS member, '{"id":"NATION:' || CAST(n_nationkey AS VARCHAR) || '"}' AS value FROM nation UNION ALL SELECT 'edges.jsonl', '{"id":"urn:r:' || CAST(r_regionkey AS VARCHAR) || '"}' FROM region""")
+def _(spark, d):
+    rows = lambda name, c, prefix: [f'{{"id":"{prefix}{r[0]}"}}' for r in _table(spark, d, name).select(c).collect()]  # noqa: E731  (25 and 5 rows at any scale)
+    path = _fresh(spark, "archive")
+    archive.write_archive(path, {"nodes.jsonl": rows("nation", "n_nationkey", "NATION:"), "edges.jsonl": rows("region", "r_regionkey", "urn:r:")})
+    archive.register(spark)
+    return spark.read.format("record_archive").option("path", path).load()
+
+
+_XS = "^^<http://www.w3.org/2001/XMLSchema#integer>"
+_CONVERTED = f"""WITH r AS (SELECT CAST(s_suppkey AS VARCHAR) AS k, 'urn:c:' || CAST(s_suppkey AS VARCHAR) AS e, '{T.IDENTIFIERS}SUPP:' || CAST(s_suppkey AS VARCHAR) AS s, '{T.IDENTIFIERS}NATION:' || CAST(s_nationkey AS VARCHAR) AS o, s_suppkey % 2 = 0 AS high,
+  '{T.NODE_NS}' || sha256('{{"index":0,"key":"box","parent_id":"urn:c:' || CAST(s_suppkey AS VARCHAR) || '","value":{{"deep":"y"}}}}') AS child FROM supplier),
+ t AS (
+  SELECT s, '{T.VOCAB}located_in' AS p, o FROM r UNION ALL SELECT e, '{_R}type', '{_R}Statement' FROM r UNION ALL SELECT e, '{_R}type', '{_X}TraversalEdge' FROM r
+  UNION ALL SELECT e, '{_R}subject', s FROM r UNION ALL SELECT e, '{_R}predicate', '{T.VOCAB}located_in' FROM r UNION ALL SELECT e, '{_R}object', o FROM r
+  UNION ALL SELECT e, '{_X}traversal_from', s FROM r UNION ALL SELECT e, '{_X}traversal_to', o FROM r
+  UNION ALL SELECT s, '{T.SLOT_NS}rank', '"' || k || '"{_XS}' FROM r UNION ALL SELECT s, '{T.SLOT_NS}marks', '"' || k || '"{_XS}' FROM r
+  UNION ALL SELECT s, '{T.SLOT_NS}marks', '"2"{_XS}' FROM r UNION ALL SELECT s, '{T.SLOT_NS}marks', '"None"' FROM r
+  UNION ALL SELECT e, '{T.VOCAB}level', CASE WHEN high THEN '{T.ENUM_NS}LevelEnum/high' ELSE '"low"' END FROM r
+  UNION ALL SELECT e, '{T.SLOT_NS}box', child FROM r UNION ALL SELECT child, '{T.SLOT_NS}deep', '"y"' FROM r
+  UNION ALL SELECT s, '{_R}type', '{T.VOCAB}Agent' FROM r UNION ALL SELECT s, '{T.IS_A}', '{T.VOCAB}Agent' FROM r
+  UNION ALL SELECT '{T.ENUM_NS}LevelEnum/high', '{T.RDFS}label', '"high"' FROM r WHERE high UNION ALL SELECT '{T.ENUM_NS}LevelEnum/any', '{T.RDFS}label', '"any"' FROM r WHERE high
+  UNION ALL SELECT '{T.ENUM_NS}LevelEnum/high', '{T.IS_A}', '{T.ENUM_NS}LevelEnum/any' FROM r WHERE high
+  UNION ALL SELECT '{T.VOCAB}' || c, '{_R}type', '{T.RDFS}Class' FROM r, (SELECT unnest(['Agent', 'Thing']) AS c) UNION ALL SELECT '{T.VOCAB}' || c, '{T.RDFS}label', '"' || lower(c) || '"' FROM r, (SELECT unnest(['Agent', 'Thing']) AS c)
+  UNION ALL SELECT '{T.VOCAB}Agent', '{T.RDFS}subClassOf', '{T.VOCAB}Thing' FROM r
+  UNION ALL SELECT '{T.VOCAB}located_in', '{_R}type', '{_R}Property' FROM r UNION ALL SELECT '{T.VOCAB}located_in', '{T.RDFS}label', '"located in"' FROM r)
+ SELECT DISTINCT s, p, o, CASE WHEN o LIKE '"%' THEN 'literal' ELSE 'iri' END AS o_kind FROM t"""
+#: Of the converter's query: one ontology of three terms, an enumeration with one permitted value and its parent.
+_TERMS = {
+    "element": [("level", "slot", "level", "biolink:level", None, "LevelEnum"), ("biolink:located_in", "slot", "located in", "biolink:located_in", None, None), ("biolink:Agent", "class", "agent", None, "biolink:Agent", None), ("biolink:Thing", "class", "thing", None, "biolink:Thing", None)],
+    "parent": [("biolink:Agent", "biolink:Thing")], "ancestor": [("biolink:Agent", "biolink:Thing")], "enum_value": [("LevelEnum", "high")], "enum_parent": [("LevelEnum", "high", "any")],
+}
+
+
+@query("converter_triples", _CONVERTED)
+def _(spark, d):
+    s = _table(spark, d, "supplier")
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    node = F.format_string('{"id":"SUPP:%s","category":["biolink:Thing","biolink:Agent"],"rank":%s,"marks":[[%s,[2]],null]}', k, k, k)
+    edge = F.format_string('{"id":"urn:c:%s","subject":"SUPP:%s","predicate":"biolink:located_in","object":"NATION:%s","level":"%s","box":{"deep":"y"}}', k, k, n, F.when(F.col("s_suppkey") % 2 == 0, "high").otherwise("low"))
+    onto = {name: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in convert.ONTOLOGY[name])) for name, rows in _TERMS.items()}
+    return convert.all_triples(records.node_rows(s.select(node.alias("value"))), records.edge_rows(s.select(edge.alias("value"))), onto, store=stored)

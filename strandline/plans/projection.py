@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators.graph import oriented
 from strandline.sources.records import write_adjacency
+from strandline.sources.shared import shared_dir
 
 
 def _id(prefix: str, *cols: str):
@@ -59,8 +59,7 @@ def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The oriented edges, written once per application and input to the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
-        top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='strandline-')}"
-        path = f"{top.rstrip('/')}/adjacency-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/adjacency-{uuid.uuid4().hex}"
         write_adjacency(oriented(edges(spark, sf_dir)), path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])

@@ -16,17 +16,24 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 MEMBERS = ("nodes.jsonl", "edges.jsonl")
 
 
+def opened(path: str):
+    """A readable file by any URI that Arrow knows (file, hdfs, s3, gs, ...) or by a path that every machine sees."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_file(name)
+
+
 def members(path: str) -> Iterator[tuple[str, str]]:
     """(member, line) of every non-blank line of the two members."""
-    with open(path, "rb") as raw:
+    with opened(path) as raw:
         stream: object = raw
-        if raw.read(4) == b"\x28\xb5\x2f\xfd":
+        zipped = raw.read(4) == b"\x28\xb5\x2f\xfd"
+        raw.seek(0)
+        if zipped:
             import zstandard
 
-            raw.seek(0)
             stream = zstandard.ZstdDecompressor().stream_reader(raw)
-        else:
-            raw.seek(0)
         with tarfile.open(fileobj=stream, mode="r|") as tar:
             for m in tar:
                 name = m.name.rsplit("/", 1)[-1]
@@ -47,7 +54,10 @@ def write_archive(path: str, parts: dict[str, list[str]], level: int = 3) -> Non
             info = tarfile.TarInfo(name)
             info.size = len(data)
             tar.addfile(info, io.BytesIO(data))
-    with open(path, "wb") as f:
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    with system.open_output_stream(name, compression=None) as f:
         f.write(zstandard.ZstdCompressor(level=level).compress(buf.getvalue()))
 
 

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Iterator
+
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+from strandline.functions.terms import json_text
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -49,12 +56,87 @@ def read_bindings(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.lstrip("?") for c in df.columns])
 
 
+def bindings(lines: DataFrame, header: list[str]) -> DataFrame:
+    """Lines of tab-separated values as the columns of ``header`` and ``malformed``: rows with another number of
+    values are marked and keep nulls, blank lines are no rows."""
+    text = F.regexp_replace("value", r"[\r\n]+\z", "")
+    rows = lines.where(text != "").select(F.split(text, "\t", -1).alias("v"))
+    bad = F.size("v") != len(header)
+    return rows.select(*(F.when(~bad, F.col("v")[i]).alias(c.lstrip("?")) for i, c in enumerate(header)), bad.alias("malformed"))
+
+
+def refuse_malformed(rows: DataFrame) -> DataFrame:
+    """The rows of ``bindings`` without the mark; the first malformed one is an error, so no result is cut short."""
+    mark = F.when(F.col("malformed"), F.raise_error(F.lit("malformed row of tab-separated values")).cast("boolean")).otherwise(F.lit(True))
+    return rows.where(mark).drop("malformed")
+
+
 def write_lines(lines: DataFrame, path: str, codec: str = "gzip") -> None:
-    lines.write.option("compression", codec).text(path)
+    """Text parts, ``codec`` none, gzip or zstd (with names ending in .gz or .zst)."""
+    if codec != "zstd":
+        lines.write.option("compression", codec).text(path)
+        return
+    # Hadoop's own zstd codec needs a native library that may be missing
+    lines.sparkSession.dataSource.register(_ZstdLines)
+    lines.select("value").write.format(_ZstdLines.name()).mode("append").option("path", path).save()
+
+
+class _ZstdLines(DataSource):
+    """One zstd file of lines a partition, visible only when its task is done."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "zstd_lines"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def writer(self, schema: object, overwrite: bool) -> DataSourceWriter:
+        return _ZstdWriter(self.options["path"])
+
+
+class _ZstdWriter(DataSourceWriter):
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
+        import zstandard
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(self.path) if ":/" in self.path else (fs.LocalFileSystem(), self.path)
+        system.create_dir(top, recursive=True)
+        context = TaskContext.get()
+        name, draft = f"{top}/part-{context.partitionId():05d}.zst", f"{top}/_draft-{context.partitionId():05d}-{context.taskAttemptId()}"
+        with system.open_output_stream(draft, compression=None) as raw, zstandard.ZstdCompressor(level=3).stream_writer(raw, closefd=False) as out:
+            for r in rows:
+                out.write(r[0].encode() + b"\n")
+        system.move(draft, name)
+        return WriterCommitMessage()
+
+
+def envelope(numbered: DataFrame, document: Column, count: int, start: str, end: str, k: int, millis: int, properties: DataFrame | None = None, malformed: int = 0) -> DataFrame:
+    """One JSON object over ordered lines (``value``): end, paths, counts, properties by resource if given, start. The parts
+    written from it, read in the order of their names, are one document. ``numbered`` has ``nth``."""
+    spark = numbered.sparkSession
+    comma = lambda last: F.when(last, F.lit("")).otherwise(F.lit(","))
+    fixed = [(0, "{"), (1, f'"end": {json.dumps(end)},'), (2, '"paths": ['), (4, "],")]
+    fixed += [(5, f'"path_count": {count},'), (6, f'"path_length": {k},'), (7, f'"query_time_ms": {millis},'), (8, f'"skipped_malformed_rows": {malformed},')]
+    fixed += [(9, '"properties": {'), (11, "},")] if properties is not None else []
+    fixed += [(12, f'"start": {json.dumps(start)}'), (13, "}")]
+    lines = spark.createDataFrame([(a, 0, "", t) for a, t in fixed], "section int, nth long, key string, value string")
+    each = numbered.select(F.lit(3).alias("section"), "nth", F.lit("").alias("key"), F.concat(document, comma(F.col("nth") == count - 1)).alias("value"))
+    lines = lines.unionByName(each)
+    if properties is not None:
+        pair = lambda x: F.concat(F.lit('{"predicate":'), json_text(x["predicate"]), F.lit(',"value":'), json_text(x["value"]), F.lit("}"))
+        own = properties.select("resource", F.concat(json_text("resource"), F.lit(":["), F.array_join(F.transform("properties", pair), ","), F.lit("]")).alias("text"))
+        last = F.col("resource") == F.lit(properties.agg(F.max("resource")).first()[0])
+        lines = lines.unionByName(own.select(F.lit(10).alias("section"), F.lit(0).cast("long").alias("nth"), F.col("resource").alias("key"), F.concat("text", comma(last)).alias("value")))
+    return lines.orderBy("section", "nth", "key").select("value")
 
 
 def write_paths(documents: DataFrame, path: str) -> None:
-    documents.write.option("ignoreNullFields", "true").json(path)
+    """JSON Lines of ``document``, gzip."""
+    documents.select(F.col("document").alias("value")).write.option("compression", "gzip").text(path)
 
 
 def write_adjacency(adjacency: DataFrame, path: str) -> None:

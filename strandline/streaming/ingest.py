@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strandline.operators.graph import oriented
+from strandline.sources.records import edge_rows
 
 
 def stream_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """(edge, s, p, o) of the records. One that is no JSON or lacks a key stops the stream, as it does a batch."""
     lines = spark.readStream.option("lineSep", "\n").text(folder).where(F.trim("value") != "")
-    v = F.from_json("value", "id string, subject string, predicate string, object string")
-    return lines.select(v.alias("r")).select(F.col("r.id").alias("edge"), F.col("r.subject").alias("s"), F.col("r.predicate").alias("p"), F.col("r.object").alias("o")).where("edge is not null and s is not null and p is not null and o is not null")
+    return edge_rows(lines).select("edge", "s", "p", "o")
 
 
 def append_adjacency(edges: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
