@@ -95,6 +95,17 @@ def blocks(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def block_words(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each block with words: its lower-cased bytes, the words' starts and ends in them, their documents."""
+    for lo, hi in blocks(data, offs):
+        part = lowered(data[lo:hi])
+        first = int(np.searchsorted(offs, lo, "right")) - 1
+        last = int(np.searchsorted(offs, hi, "left"))
+        starts, ends, doc = class_words(part, np.clip(offs[first : last + 1] - lo, 0, hi - lo), _SEP)
+        if len(starts):
+            yield part, starts, ends, (doc + first).astype(np.int32)
+
+
 @dataclass
 class Model:
     weight: np.ndarray  # 2**bits numbers, class difference of each embedding row
@@ -106,13 +117,7 @@ class Model:
         """Each word's mean weight and its document. Within a block of text a distinct word's bag is
         summed once."""
         scores, docs = [np.zeros(0)], [np.zeros(0, np.int32)]
-        for lo, hi in blocks(data, offs):
-            part = lowered(data[lo:hi])
-            first = int(np.searchsorted(offs, lo, "right")) - 1
-            last = int(np.searchsorted(offs, hi, "left"))
-            starts, ends, doc = class_words(part, np.clip(offs[first : last + 1] - lo, 0, hi - lo), _SEP)
-            if not len(starts):
-                continue
+        for part, starts, ends, doc in block_words(data, offs):
             _, head, inv = np.unique(span_hashes(part, starts, ends), return_index=True, return_inverse=True)
             flat, edge = spaced(part, starts[head], ends[head])
             grams, count, _ = bags(flat, edge, self.bits)
@@ -120,7 +125,7 @@ class Model:
             for own, row in grams:
                 s += np.bincount(own, self.weight[row], len(head)) if len(own) else 0
             scores.append((s / count)[inv])
-            docs.append((doc + first).astype(np.int32))
+            docs.append(doc)
         return np.concatenate(scores), np.concatenate(docs)
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -162,24 +167,28 @@ def _vocabulary(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.
     """Each distinct word's bag once: word number of every occurrence, flat rows, first row and
     number of rows of each word, document of every occurrence."""
     data, offs = text_bytes(texts)
-    data = lowered(data)
-    starts, ends, doc = class_words(data, offs, _SEP)
-    h = np.zeros(len(starts), np.uint64)
-    for lo in range(0, len(starts), 200_000):
-        hi = min(len(starts), lo + 200_000)
-        at = starts[lo]
-        h[lo:hi] = span_hashes(data[at : ends[hi - 1]], starts[lo:hi] - at, ends[lo:hi] - at)
-    doc = doc.astype(np.int32)
-    _, head, words = np.unique(h, return_index=True, return_inverse=True)
-    words = words.astype(np.int32)
+    words, docs = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     rows, counts = [], []
-    for lo in range(0, len(head), 50_000):
-        k = head[lo : lo + 50_000]
-        grams, count, _ = bags(*spaced(data, starts[k], ends[k]), bits)
-        own = np.concatenate([o for o, _ in grams])
-        row = np.concatenate([r for _, r in grams])
-        rows.append(row[np.argsort(own, kind="stable")].astype(np.int32))
-        counts.append(count)
+    seen, number = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order, and their word numbers
+    for part, starts, ends, doc in block_words(data, offs):
+        h, head, inv = np.unique(span_hashes(part, starts, ends), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(seen, h), max(len(seen) - 1, 0))
+        new = seen[at] != h if len(seen) else np.ones(len(h), bool)
+        own = np.empty(len(h), np.int32)
+        own[~new] = number[at[~new]]
+        own[new] = len(seen) + np.arange(new.sum(), dtype=np.int32)
+        words.append(own[inv])
+        docs.append(doc)
+        if new.any():
+            k = head[new]
+            grams, count, _ = bags(*spaced(part, starts[k], ends[k]), bits)
+            of, row = (np.concatenate([g[i] for g in grams]) for i in (0, 1))
+            rows.append(row[np.argsort(of, kind="stable")].astype(np.int32))
+            counts.append(count)
+            seen, number = np.concatenate([seen, h[new]]), np.concatenate([number, own[new]])
+            order = np.argsort(seen)
+            seen, number = seen[order], number[order]
+    words, doc = np.concatenate(words), np.concatenate(docs)
     row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
     count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
     return words, row, np.cumsum(count) - count, count, doc
@@ -203,7 +212,7 @@ def fit(texts: pa.Array, y: np.ndarray, bits: int = 18, dim: int = 8, span: int
     known = (met >= least).astype(np.float32)
     odds = known * (np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((met - toxic + 0.5) / (len(y) - y.sum() + 1)))
     a, b, p_doc = (x.astype(np.int32) for x in passages(doc, len(y), span))
-    p_y = y[p_doc].astype(np.int8)
+    p_y = y.astype(np.int8)[p_doc]
     emb = ((rng.random((1 << bits, dim)) - 0.5) / dim * known[:, None]).astype(np.float32)
     soft = ((rng.random((dim, 2)) - 0.5) / dim).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -240,19 +249,25 @@ def fit(texts: pa.Array, y: np.ndarray, bits: int = 18, dim: int = 8, span: int
         np.subtract(bias, 0.1 * rate * gb / np.sqrt(sq_bias), out=bias)
 
     hard = np.zeros(0, np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], p_doc[1:] != p_doc[:-1]]))  # each text's first passage
+    many = np.diff(np.append(heads, len(p_doc)))
     weight = odds
     for _ in range(rounds):
         own = np.zeros(len(count))
         for lo in range(0, len(count), 100_000):  # words in blocks: bounded memory
             hi = min(len(count), lo + 100_000)
             own[lo:hi] = np.add.reduceat(weight[row[first[lo] : first[hi - 1] + count[hi - 1]]], first[lo:hi] - first[lo]) / count[lo:hi]
-        s = own[words]
-        c = np.concatenate([[0], np.cumsum(s)])
-        z = (c[b] - c[a]) / (b - a)
-        best, other = (first_of(np.lexsort((k, p_doc)), p_doc) for k in (-z, rng.random(len(a))))
+        z = np.empty(len(a), np.float32)
+        for lo in range(0, len(a), 200_000):  # passages in blocks, too
+            i, j = a[lo : lo + 200_000], b[lo : lo + 200_000]
+            c = np.concatenate([[0], np.cumsum(own[words[i[0] : j[-1]]])])
+            z[lo : lo + 200_000] = (c[j - i[0]] - c[i - i[0]]) / (j - i)
+        top = np.flatnonzero(z == np.repeat(np.maximum.reduceat(z, heads), many))
+        best = first_of(top, p_doc)
+        other = heads + rng.integers(0, many)
         # a toxic text: its best passage; clean ones: all best passages so far and two others
         hard = np.union1d(hard, best[p_y[best] == 0])
-        more = rng.choice(len(a), min(len(a), len(y)), replace=False)
+        more = rng.integers(0, len(a), min(len(a), len(y)))
         pick = np.unique(np.concatenate([best, hard, other[p_y[other] == 0], more[p_y[more] == 0]]))
         for _ in range(2):
             pick = rng.permutation(pick)
@@ -270,10 +285,21 @@ def first_of(order: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, max_rows: int = 6_000, max_bytes: int = 16 << 20, **options) -> Model:
     """Fit on at most ``max_rows`` labelled texts of at most ``max_bytes`` bytes together; those two
-    parameters bound what comes to the driver. Texts of any length can be among them."""
-    rows = labelled_sample(docs, labels, label, modulus, held, max_rows, max_bytes).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    y = np.array([int(v) > 0 for v in rows["y"].to_pylist()], np.int64)
-    return fit(rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string()), y, **options)
+    parameters bound the sample. Texts of any length can be among them. One task fits them, so the driver gets
+    the model alone."""
+    bits, span = options.get("bits", 18), options.get("span", 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches([*batches], schema).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        y = np.array([int(v) > 0 for v in rows["y"].to_pylist()], np.int64)
+        text = rows["text"].combine_chunks()
+        m = fit(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text, y, **options)
+        yield pa.RecordBatch.from_arrays([pa.array([m.weight.astype("<f8").tobytes()], pa.binary()), pa.array([m.bias])], names=["weight", "bias"])
+
+    sample = labelled_sample(docs, labels, label, modulus, held, max_rows, max_bytes).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "y")
+    schema = pa.schema([("doc_id", pa.string()), ("text", pa.string()), ("y", pa.string())])
+    found = sample.repartition(1).mapInArrow(run, "weight binary, bias double").first()
+    return Model(np.frombuffer(bytes(found["weight"]), "<f8"), found["bias"], bits, span) if found else fit(pa.array([], pa.string()), np.zeros(0, np.int64), bits=bits, span=span)
 
 
 def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
