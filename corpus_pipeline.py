@@ -37,8 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = jaccard.link_documents(rows.select(F.col(MARK).alias("doc_id"), "text"), n=5, percent=80).where("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", MARK)
     linked = rows.select(MARK, "doc_id").join(groups.select(F.col("doc_id").alias(MARK), "component_id"), MARK)
-    first = linked.groupBy("component_id").agg(F.count("*").alias("n"), F.min(order)[MARK].alias("first")).where("n > 1")
-    gone = linked.join(first, "component_id").where(F.col(MARK) != F.col("first")).select(MARK)
+    first = linked.groupBy("component_id").agg(F.min(order)[MARK].alias(MARK)).select(MARK)
+    # rows meet by their own number, not by group: a group of any size is dealt over all tasks
+    gone = linked.select(MARK).join(first, MARK, "left_anti")
     return rows.join(gone, MARK, "left_anti").select(*docs.columns)
 
 
