@@ -39,8 +39,11 @@ def _swap(c: Column, *pairs: tuple[str, str]) -> Column:
 
 def percent_encode(c: Column | str, safe: str = "") -> Column:
     """RFC 3986 encoding of UTF-8 bytes; ``safe`` may add ``:`` and ``/`` to letters, digits and ``-._~``."""
-    out = _swap(F.url_encode(_col(c)), ("+", "%20"), ("*", "%2A"), ("%7E", "~"))
-    return _swap(out, *((f"%{ord(x):02X}", x) for x in safe if x in ":/"))
+    c, kept = _col(c), [x for x in safe if x in ":/"]
+    out = _swap(F.url_encode(c), ("+", "%20"), ("*", "%2A"), ("%7E", "~"))
+    out = _swap(out, *((f"%{ord(x):02X}", x) for x in kept))
+    # most ids need nothing encoded: one look instead of six passes
+    return F.when(c.rlike(r"\A[A-Za-z0-9._~" + "".join(kept) + r"-]*\z"), c).otherwise(out)
 
 
 def curie_to_iri(c: Column | str) -> Column:
