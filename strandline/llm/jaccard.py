@@ -327,8 +327,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, fan: int =
 
 
 def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int = 50_000, least_hot: int = 256, block: int = 1024, shared: int = 16) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, n_links (verified links of its class; all
-    that the components needed)."""
+    """Per document: doc_id, n_shingles, component_id, n_verified (links of its class that were
+    verified: all that the components needed, not every link inside a component)."""
     spark = docs.sparkSession
     prepare(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -439,8 +439,8 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int
         stars = comps.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         comps = stored(components(stars.unionByName(more)), "jac-comps")
     discard(of, rest)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    per_class = classes.select("s1", "s2", "id").join(comps, "id", "left").join(degree, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    linked = named.where("n > 0 and doc_id is not null").join(per_class, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
-    alone = named.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_verified"))
+    per_class = classes.select("s1", "s2", "id").join(comps, "id", "left").join(degree, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"), F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified"))
+    linked = named.where("n > 0 and doc_id is not null").join(per_class, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_verified")
+    alone = named.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_verified"))
     return linked.unionByName(alone)
