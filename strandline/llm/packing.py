@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import col, prepare, slices, stored
-from strandline.llm.tokens import encoder, with_end
+from strandline.llm.tokens import ENCODED_BYTES, encoder, with_end
 
 Run = tuple[tuple[tuple[int, int], ...], int]  # ((length, how many), ...), times
 
@@ -232,7 +232,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0)
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in slices(batches):
+        for b in slices(batches, most=ENCODED_BYTES):
             ids, offs = with_end(*encoder(tokenizer).encode(col(b, "text")), end_id)
             n = np.diff(offs)
             k = -(-n // capacity)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import col, prepare, slices
 from strandline.llm.elias_fano import EliasFano
-from strandline.llm.tokens import encoder, with_end
+from strandline.llm.tokens import ENCODED_BYTES, encoder, with_end
 
 _HEAD = "<BBIq"
 STORE_SCHEMA = "shard int, segment int, n_docs long, n_ids long, payload binary"
@@ -82,7 +82,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, seg
                 names=["shard", "segment", "n_docs", "n_ids", "payload"],
             )
 
-        for b in slices(batches):
+        for b in slices(batches, most=ENCODED_BYTES):
             ids, offs = with_end(*encoder(tokenizer).encode(col(b, "text")), end_id)
             names += col(b, "doc_id").to_pylist()
             parts.append(ids)

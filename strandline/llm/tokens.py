@@ -21,6 +21,9 @@ from strandline.llm.common import ragged_ranges, text_bytes
 #: Distinct pre-tokens, and bytes of them, kept per worker and tokenizer; beyond it the memo starts afresh.
 MEMO, MEMO_BYTES = 500_000, 32 << 20
 
+#: Text bytes encoded together: the more, the fewer times a common pre-token is looked up.
+ENCODED_BYTES = 4 << 20
+
 #: Fixed values: (normalizer, pre-tokenizer) of the tokenizer files that ``Splitter`` knows, by its ``spaced``.
 RULES = {
     True: (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
