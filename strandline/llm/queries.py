@@ -206,6 +206,14 @@ FROM c
 """
 
 
+def op13_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.fertility import assess
+
+    import public_tokenizers
+
+    return assess(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
