@@ -64,12 +64,13 @@ def retrieve(
     from strandline.operators import paths
     from strandline.operators import properties as props
     from strandline.sources import records
+    from strandline.sources.adjacency import open_adjacency
 
     start, end = spark.range(1).select(curie_to_iri(F.lit(start)), curie_to_iri(F.lit(end))).first()
     t = time.perf_counter()
-    adjacency = spark.read.parquet(f"{folder}/adjacency")
-    edges = spark.read.parquet(f"{folder}/edges") if subclasses else None
-    found = paths.paged(paths.find_paths(adjacency, start, end, k, limit, None, edges, subclasses, subclasses, VOCAB + "subclass_of"), page_size)
+    adjacency = open_adjacency(spark, f"{folder}/adjacency")
+    search = paths.find_paths if k < 3 else paths.reduced_paths
+    found = paths.paged(search(adjacency, start, end, k, limit, None, None, subclasses, subclasses, VOCAB + "subclass_of"), page_size)
     document = paths.document(k, subclasses)
     found.select("page", "nth", document.alias("value")).repartitionByRange("nth").sortWithinPartitions("nth").select("page", "value").write.partitionBy("page").option("compression", "gzip").text(f"{output}/pages")
     count = found.count()
@@ -103,6 +104,7 @@ def convert(spark: SparkSession, archive: str, output: str, reverse: bool = Fals
     from strandline.operators import graph, triples
     from strandline.sources import archive as source
     from strandline.sources import records
+    from strandline.sources.adjacency import write_adjacency
 
     def store(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{output}/{name}")
@@ -114,7 +116,7 @@ def convert(spark: SparkSession, archive: str, output: str, reverse: bool = Fals
     lines = {m: rows.where(F.col("member") == m).select("value") for m in source.MEMBERS}
     nodes, edges = records.node_rows(lines["nodes.jsonl"]), records.edge_rows(lines["edges.jsonl"])
     plain = store(edges.select(*(curie_to_iri(c).alias(c) for c in ("edge", "s", "p", "o"))), "edges")
-    records.write_adjacency(graph.oriented(plain), f"{output}/adjacency")
+    write_adjacency(graph.oriented(plain), f"{output}/adjacency")
     found = store(whole.all_triples(nodes, edges, whole.read_ontology(spark, ontology), reverse, store), "triple_table")
     records.write_lines(triples.lines(found), f"{output}/triples", codec)
 

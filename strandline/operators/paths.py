@@ -2,8 +2,11 @@
 
 The adjacency holds both orientations, so a hop can be read from either side. Half of the hops start at
 the first endpoint, half (directions flipped) at the last; both halves begin with a filter on ``f`` that reaches the Parquet
-scan (files are range-sorted by ``f``), and they meet in the middle in one equi-join. Lifting an endpoint by one
+scan (files are sorted by ``f``), and they meet in the middle in one equi-join. Lifting an endpoint by one
 stored subclass edge joins a candidate table instead of multiplying branches.
+
+``reduced_paths`` first finds the nodes that lie on complete walks, by semi-joins of nodes alone, and joins only edges
+between those; ``count_paths`` adds up walks per node and hop and lists none.
 """
 
 from __future__ import annotations
@@ -14,10 +17,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.terms import json_text
+from strandline.operators.graph import EDGE, Adjacency
 from strandline.sources.shared import stored
 
 SUBCLASS = "biolink:subclass_of"
 
+#: So many candidates of a lifted endpoint go into the scan's filter as a list; more are joined.
+LISTED = 1000
+
+EXACT = "decimal(38,0)"
+
 
 def columns(k: int, lifted: bool) -> list[str]:
     out = []
@@ -26,49 +35,100 @@ def columns(k: int, lifted: bool) -> list[str]:
     return out + (["match0", "subclass_edge0", f"match{k}", f"subclass_edge{k}"] if lifted else [])
 
 
-def candidates(edges: DataFrame, endpoint: str, subclass: str = SUBCLASS) -> DataFrame:
-    """The endpoint itself (no witness) and every subject of a subclass edge to it."""
-    own = edges.sparkSession.range(1).select(F.lit(endpoint).alias("n"), F.lit(None).cast("string").alias("match"), F.lit(None).cast("string").alias("via"))
-    below = edges.where((F.col("p") == subclass) & (F.col("o") == endpoint)).select(F.col("s").alias("n"), F.col("s").alias("match"), F.col("edge").alias("via"))
-    return own.unionByName(below)
+def opened(adjacency: Adjacency | DataFrame) -> Adjacency:
+    return adjacency if isinstance(adjacency, Adjacency) else Adjacency(adjacency)
+
+
+def candidates(edges: DataFrame | Adjacency, endpoint: str, subclass: str = SUBCLASS) -> DataFrame:
+    """The endpoint itself (no witness) and every subject of a subclass edge to it, from an edge table or from the
+    adjacency, where those edges stand together."""
+    none = F.lit(None).cast("string")
+    if isinstance(edges, Adjacency):
+        below = edges.rows.where((F.col("f") == endpoint) & (F.col("dir") == "reverse") & (F.col("pred") == subclass)).select(F.col("t").alias("s"), "edge")
+    else:
+        below = edges.where((F.col("p") == subclass) & (F.col("o") == endpoint))
+    own = below.sparkSession.range(1).select(F.lit(endpoint).alias("n"), none.alias("match"), none.alias("via"))
+    return own.unionByName(below.select(F.col("s").alias("n"), F.col("s").alias("match"), F.col("edge").alias("via")))
+
+
+class _Ends:
+    """Both endpoints' candidates; those of a lifted one are looked up once. Up to ``LISTED`` of them come to the driver and
+    go into the scan's filter; more stay a table that is joined."""
+
+    def __init__(self, adjacency: Adjacency, start: str, end: str, k: int, edges: DataFrame | None, lift: tuple[bool, bool], subclass: str):
+        self.spark, self.lifted, self.k, self.nodes = adjacency.rows.sparkSession, any(lift), k, (start, end)
+        self.tables, self.listed = [], []
+        for endpoint, up in zip((start, end), lift):
+            table, few = None, [endpoint]
+            if up:
+                table = candidates(adjacency if edges is None else edges, endpoint, subclass).distinct()
+                rows = table.limit(LISTED + 1).collect()
+                few = sorted({r["n"] for r in rows}) if len(rows) <= LISTED else None
+                if few:
+                    table = F.broadcast(self.spark.createDataFrame(rows, table.schema))
+            self.tables.append(table)
+            self.listed.append(few)
+
+    def narrowed(self, side: int, df: DataFrame, key: str) -> DataFrame:
+        """The rows of ``df`` that can stand at this end."""
+        few = self.listed[side]
+        if few is None:
+            return df.join(self.tables[side].select(F.col("n").alias(key)).distinct(), key, "left_semi")
+        return df.where(F.col(key) == few[0]) if len(few) == 1 else df.where(F.col(key).isin(few))
+
+    def at(self, side: int, df: DataFrame, key: str) -> DataFrame:
+        """``df`` at this end, with its witness columns if any endpoint is lifted."""
+        i, table = (0, self.k)[side], self.tables[side]
+        df = self.narrowed(side, df, key)
+        if table is not None:
+            return df.join(table.select(F.col("n").alias(key), F.col("match").alias(f"match{i}"), F.col("via").alias(f"subclass_edge{i}")), key)
+        none = F.lit(None).cast("string")
+        return df.withColumns({f"match{i}": none, f"subclass_edge{i}": none}) if self.lifted else df
+
+    def counted(self, side: int) -> DataFrame:
+        """(n, ways): each node that can stand at this end, with the number of its different witnesses."""
+        table = self.tables[side]
+        if table is None:
+            return self.spark.range(1).select(F.lit(self.nodes[side]).alias("n"), F.lit(1).cast(EXACT).alias("ways"))
+        return table.groupBy("n").agg(F.count("*").cast(EXACT).alias("ways"))
+
+
+def _hop(rows: DataFrame, i: int, backwards: bool = False) -> DataFrame:
+    way = F.when(F.col("dir") == "forward", "reverse").otherwise("forward") if backwards else F.col("dir")
+    here, there = (f"node{i}", f"f{i}") if backwards else (f"f{i}", f"node{i}")
+    slot = [F.col("slot").alias(f"slot{i}")] if "slot" in rows.columns else []
+    return rows.select(F.col("f").alias(here), way.alias(f"dir{i}"), F.col("edge").alias(f"edge{i}"), F.col("pred").alias(f"pred{i}"), F.col("t").alias(there), *slot)
+
+
+def _joined(own: Adjacency, ends: _Ends, hops: dict[int, DataFrame], k: int) -> DataFrame:
+    """The walks over ``hops`` (edges by hop), from both ends to the middle."""
+    middle = (k + 1) // 2
+    walk = ends.at(0, _hop(hops[1], 1), "f1")
+    for i in range(2, middle + 1):
+        walk = own.onto(walk, f"node{i - 1}", _hop(hops[i], i), f"f{i}", f"slot{i}")
+    if middle == k:
+        return ends.at(1, walk, f"node{k}")
+    back = ends.at(1, _hop(hops[k], k, True), f"node{k}")
+    for i in range(k - 1, middle, -1):
+        back = own.onto(back, f"f{i + 1}", _hop(hops[i], i, True), f"node{i}", f"slot{i}")
+    return walk.join(back, F.col(f"node{middle}") == F.col(f"f{middle + 1}"))
 
 
 def find_paths(
-    adjacency: DataFrame, start: str, end: str, k: int, limit: int | None = None, offset: int | None = None, edges: DataFrame | None = None,
+    adjacency: Adjacency | DataFrame, start: str, end: str, k: int, limit: int | None = None, offset: int | None = None, edges: DataFrame | None = None,
     lift_start: bool = False, lift_end: bool = False, subclass: str = SUBCLASS,
 ) -> DataFrame:
-    """Distinct walks of exactly ``k`` hops. ``limit`` and ``offset`` apply to the order of all columns."""
+    """Distinct walks of exactly ``k`` hops. ``limit`` and ``offset`` apply to the order of all columns. Subclass edges come
+    from ``edges`` if given, else from the adjacency."""
     if k < 1:
         raise ValueError("a path has at least one hop")
-    lifted = lift_start or lift_end
-    if lifted and edges is None:
-        raise ValueError("lifting needs the edge table")
-
-    def hop(i: int, backwards: bool = False) -> DataFrame:
-        way = F.when(F.col("dir") == "forward", "reverse").otherwise("forward") if backwards else F.col("dir")
-        here, there = (f"node{i}", f"f{i}") if backwards else (f"f{i}", f"node{i}")
-        return adjacency.select(F.col("f").alias(here), way.alias(f"dir{i}"), F.col("edge").alias(f"edge{i}"), F.col("pred").alias(f"pred{i}"), F.col("t").alias(there))
-
-    def at(df: DataFrame, key: str, i: int, endpoint: str, lift: bool) -> DataFrame:
-        if lift:
-            c = candidates(edges, endpoint, subclass).select(F.col("n").alias(key), F.col("match").alias(f"match{i}"), F.col("via").alias(f"subclass_edge{i}"))
-            return df.join(c, key)
-        df = df.where(F.col(key) == endpoint)
-        none = F.lit(None).cast("string")
-        return df.withColumns({f"match{i}": none, f"subclass_edge{i}": none}) if lifted else df
+    own = opened(adjacency)
+    ends = _Ends(own, start, end, k, edges, (lift_start, lift_end), subclass)
+    walk = _joined(own, ends, dict.fromkeys(range(1, k + 1), own.rows), k)
+    return _cut(walk.select(*columns(k, ends.lifted)).distinct(), limit, offset)
 
-    middle = (k + 1) // 2
-    walk = at(hop(1), "f1", 0, start, lift_start)
-    for i in range(2, middle + 1):
-        walk = walk.join(hop(i), F.col(f"node{i - 1}") == F.col(f"f{i}"))
-    if middle == k:
-        walk = at(walk, f"node{k}", k, end, lift_end)
-    else:
-        back = at(hop(k, True), f"node{k}", k, end, lift_end)
-        for i in range(k - 1, middle, -1):
-            back = back.join(hop(i, True), F.col(f"node{i}") == F.col(f"f{i + 1}"))
-        walk = walk.join(back, F.col(f"node{middle}") == F.col(f"f{middle + 1}"))
-    out = walk.select(*columns(k, lifted)).distinct()
+
+def _cut(out: DataFrame, limit: int | None, offset: int | None) -> DataFrame:
     if limit is not None or offset:
         out = in_order(out)
         out = out.offset(offset) if offset else out
@@ -76,6 +136,89 @@ def find_paths(
     return out
 
 
+def _spread(own: Adjacency, nodes: DataFrame, column: str = "n") -> DataFrame:
+    """(f, t) of the edges at ``nodes``."""
+    hop = own.rows.select("f", "t", *(["slot"] if "slot" in own.rows.columns else []))
+    return own.onto(nodes.select(F.col(column).alias("__n")), "__n", hop, "f", "slot").select("f", "t")
+
+
+def levels(adjacency: Adjacency | DataFrame, start: str, end: str, k: int, edges: DataFrame | None = None, lift_start: bool = False, lift_end: bool = False, subclass: str = SUBCLASS) -> list[DataFrame]:
+    """The nodes ``n`` at each place (0 to ``k``) of complete walks, and no others: reached from both ends up to the
+    middle, then taken back to the ends. Every set is stored, so a join knows how small it is."""
+    own = opened(adjacency)
+    return _levels(own, _Ends(own, start, end, k, edges, (lift_start, lift_end), subclass), k)
+
+
+def _levels(own: Adjacency, ends: _Ends, k: int) -> list[DataFrame]:
+    middle, found = (k + 1) // 2, {}
+    for side, places in ((0, range(0, middle + 1)), (1, range(k, middle - 1, -1))):
+        own_set = None
+        for place in places:
+            if own_set is None:
+                own_set = ends.counted(side).select("n")
+            else:
+                own_set = _spread(own, own_set).select(F.col("t").alias("n")).distinct()
+            own_set = found[side, place] = stored(own_set, "level")
+    out = {middle: stored(found[0, middle].join(found[1, middle], "n", "left_semi"), "level")}
+    for side, places in ((0, range(middle - 1, -1, -1)), (1, range(middle + 1, k + 1))):
+        for place in places:
+            back = _spread(own, out[place + 1 if side == 0 else place - 1]).select(F.col("t").alias("n")).distinct()
+            out[place] = stored(found[side, place].join(back, "n", "left_semi"), "level")
+    return [out[i] for i in range(k + 1)]
+
+
+def reduced_hops(adjacency: Adjacency | DataFrame, at: list[DataFrame]) -> dict[int, DataFrame]:
+    """By hop, the edges between the nodes of two neighbouring ``levels``: each lies on a complete walk. Rows of the half
+    that is joined backwards are kept as they are stored, by their later node."""
+    own, k = opened(adjacency), len(at) - 1
+    middle, out = (k + 1) // 2, {}
+    for i in range(1, k + 1):
+        f, t = (at[i - 1], at[i]) if i <= middle else (at[i], at[i - 1])
+        rows = own.rows.join(f.select(F.col("n").alias("f")), "f", "left_semi")
+        out[i] = rows.join(t.select(F.col("n").alias("t")), "t", "left_semi").select(*own.rows.columns)
+    return out
+
+
+def reduced_paths(
+    adjacency: Adjacency | DataFrame, start: str, end: str, k: int, limit: int | None = None, offset: int | None = None, edges: DataFrame | None = None,
+    lift_start: bool = False, lift_end: bool = False, subclass: str = SUBCLASS,
+) -> DataFrame:
+    """``find_paths`` after a full reduction: no wide row exists that does not end in a walk. Worth its passes over
+    the nodes where many half-walks lead nowhere."""
+    if k < 1:
+        raise ValueError("a path has at least one hop")
+    own = opened(adjacency)
+    ends = _Ends(own, start, end, k, edges, (lift_start, lift_end), subclass)
+    hops = reduced_hops(own, _levels(own, ends, k))
+    walk = _joined(own, ends, hops, k)
+    return _cut(walk.select(*columns(k, ends.lifted)).distinct(), limit, offset)
+
+
+def count_paths(
+    adjacency: Adjacency | DataFrame, start: str, end: str, k: int, edges: DataFrame | None = None, lift_start: bool = False, lift_end: bool = False, subclass: str = SUBCLASS,
+) -> DataFrame:
+    """One row: start, end, path_length, path_count (38 digits; more is an error), without listing a walk.
+
+    Walks are added up per node, hop by hop from both ends, and multiplied where the halves meet, so what is shuffled are
+    nodes with one number each. Repeated rows of the adjacency count once, edges that share an id as the edges they are."""
+    if k < 1:
+        raise ValueError("a path has at least one hop")
+    own = opened(adjacency)
+    if not own.distinct:
+        own = Adjacency(own.rows.select(*EDGE).distinct(), None, True)
+    ends, middle, halves = _Ends(own, start, end, k, edges, (lift_start, lift_end), subclass), (k + 1) // 2, []
+    hop = own.rows.select("f", "t", *(["slot"] if "slot" in own.rows.columns else []))
+    for side, hops in ((0, middle), (1, k - middle)):
+        ways = ends.counted(side)
+        for i in range(hops):
+            reached = own.onto(ways, "n", ends.narrowed(side, hop, "f") if not i else hop, "f", "slot")
+            ways = reached.groupBy(F.col("t").alias("n")).agg(F.sum("ways").cast(EXACT).alias("ways"))
+        halves.append(ways)
+    met = halves[0].join(halves[1].withColumnRenamed("ways", "more"), "n")
+    total = F.coalesce(F.sum((F.col("ways") * F.col("more")).cast(EXACT)), F.lit(0)).cast(EXACT)
+    return met.agg(total.alias("path_count")).select(F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(k).cast("long").alias("path_length"), "path_count")
+
+
 def in_order(paths: DataFrame) -> DataFrame:
     return paths.orderBy(*[F.col(c).asc_nulls_first() for c in paths.columns])
 

@@ -13,6 +13,7 @@ from strandline.functions import terms as T
 from strandline.operators import convert, flatten, graph, ontology, paths, properties, triples
 from strandline.plans.projection import adjacency, edges, edges_sql
 from strandline.sources import archive, records
+from strandline.sources.adjacency import open_adjacency, write_adjacency
 from strandline.sources.shared import shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,10 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _fresh(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # graph ---------------------------------------------------------------------------------------
 @query("kg_edges", E + " SELECT * FROM edges")
 def _(spark, d):
@@ -46,7 +51,7 @@ def _(spark, d):
 
 @query("kg_adjacency", ADJ + " SELECT * FROM adj")
 def _(spark, d):
-    return adjacency(spark, d)
+    return adjacency(spark, d).rows.select(*graph.EDGE)
 
 
 LINES = "SELECT 'urn:l:' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS edge, 'ORDER:' || CAST(l_orderkey AS VARCHAR) AS s, 'biolink:contains' AS p, 'PART:' || CAST(l_partkey AS VARCHAR) AS o FROM lineitem"
@@ -97,7 +102,7 @@ LIFTED = {
     "paths_lifted_both": ("PTYPE:SMALL", "REGION:3", 2, True, True),
 }
 for _name, (_s, _e, _k, _a, _b) in LIFTED.items():
-    query(_name, paths_sql(_s, _e, _k, _a, _b))(lambda spark, d, s=_s, e=_e, k=_k, a=_a, b=_b: paths.find_paths(adjacency(spark, d), s, e, k, edges=edges(spark, d), lift_start=a, lift_end=b))
+    query(_name, paths_sql(_s, _e, _k, _a, _b))(lambda spark, d, s=_s, e=_e, k=_k, a=_a, b=_b: paths.find_paths(adjacency(spark, d), s, e, k, lift_start=a, lift_end=b))
 
 
 def _branches(start: str, end: str, k: int) -> str:
@@ -132,6 +137,55 @@ def _(spark, d):
     return paths.summary(QUERIES["paths_k3"](spark, d), "PTYPE:SMALL", "NATION:3", 3)
 
 
+def _count_sql(start: str, end: str, k: int, a: bool = False, b: bool = False) -> str:
+    return f"SELECT '{start}' AS start, '{end}' AS \"end\", CAST({k} AS BIGINT) AS path_length, count(*) AS path_count FROM ({paths_sql(start, end, k, a, b)})"
+
+
+#: Counted without being listed: lengths up to five, both endpoints lifted, and no walk at all.
+COUNTED = {
+    "path_count_k1": ("NATION:1", "REGION:1", 1), "path_count_k2": ("PTYPE:SMALL", "SUPP:5", 2), "path_count_k3": ("PTYPE:SMALL", "NATION:3", 3), "path_count_k4": ("PART:1", "NATION:3", 4),
+    "path_count_k5": ("PART:1", "NATION:3", 5), "path_count_lifted": ("PTYPE:SMALL", "REGION:3", 3, True, True), "path_count_none": ("PART:1", "X:none", 3),
+}
+for _name, _c in COUNTED.items():
+    query(_name, _count_sql(*_c))(lambda spark, d, c=_c: paths.count_paths(adjacency(spark, d), *c[:3], None, *c[3:]).withColumn("path_count", F.col("path_count").cast("long")))
+
+#: By way of the full reduction.
+REDUCED = {"paths_reduced_k3": ("PTYPE:SMALL", "NATION:3", 3), "paths_reduced_k4": ("PART:1", "NATION:3", 4), "paths_reduced_k5": ("PTYPE:SMALL", "SUPP:5", 5), "paths_reduced_lifted": ("PTYPE:SMALL", "REGION:3", 3, True, True)}
+for _name, _c in REDUCED.items():
+    query(_name, paths_sql(*_c))(lambda spark, d, c=_c: paths.reduced_paths(adjacency(spark, d), *c[:3], None, None, None, *c[3:]))
+
+
+_LEVELS = ["SELECT DISTINCT 1 AS place, node1 AS n FROM w", "SELECT DISTINCT 2, node2 FROM w", "SELECT DISTINCT 3, node3 FROM w"]
+
+
+@query("path_levels", f"WITH w AS ({paths_sql('PART:1', 'NATION:3', 4)}) SELECT 0 AS place, 'PART:1' AS n UNION ALL SELECT 4, 'NATION:3' UNION ALL " + " UNION ALL ".join(_LEVELS))
+def _(spark, d):
+    """The nodes at each place of the walks, found without the walks."""
+    out = None
+    for i, nodes in enumerate(paths.levels(adjacency(spark, d), "PART:1", "NATION:3", 4)):
+        own = nodes.select(F.lit(i).alias("place"), "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("adjacency_hubs", ADJ + " SELECT f, count(*) AS n, CAST(CASE WHEN count(*) > 50 THEN ceil(count(*) / 50.0) ELSE 1 END AS INTEGER) AS slots, true AS dealt FROM adj GROUP BY f")
+def _(spark, d):
+    """An adjacency whose nodes have at most 50 edges a slot, wherever they are stored; walks over it are those of the other."""
+    path = _fresh(spark, "hubs")
+    write_adjacency(graph.oriented(edges(spark, d)), path, hub=50)
+    own = open_adjacency(spark, path)
+    held = own.rows.groupBy("f").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("used"))
+    slots = F.coalesce("slots", F.lit(1))
+    return held.join(own.hubs.select("f", "slots"), "f", "left").select("f", "n", slots.alias("slots"), (F.col("used") > F.when(slots > 1, 1).otherwise(0)).alias("dealt"))
+
+
+@query("paths_over_hubs", paths_sql("PART:1", "NATION:3", 4))
+def _(spark, d):
+    path = _fresh(spark, "hubs")
+    write_adjacency(graph.oriented(edges(spark, d)), path, hub=50)
+    return paths.reduced_paths(open_adjacency(spark, path), "PART:1", "NATION:3", 4)
+
+
 _RES = f"SELECT DISTINCT unnest(['PTYPE:SMALL', 'NATION:3', node1, node2, edge1, edge2, edge3, pred1, pred2, pred3]) AS resource FROM {_P3}"
 
 
@@ -415,10 +469,6 @@ def _(spark, d):
     return _table(spark, d, "documents").where("text is not null").select("doc_id", T.reverse_iri("text").alias("iri")).distinct()
 
 
-def _fresh(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("jsonl_nodes", "SELECT 'CUST:' || CAST(c_custkey AS VARCHAR) AS id, 'biolink:Agent,SEG:' || CAST(c_nationkey AS VARCHAR) AS categories, c_name AS name FROM customer")
 def _(spark, d):
     c = _table(spark, d, "customer").select(_ref("CUST:", "c_custkey").alias("id"), F.array(F.lit("biolink:Agent"), _ref("SEG:", "c_nationkey")).alias("category"), F.col("c_name").alias("name"))

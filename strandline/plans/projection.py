@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators.graph import oriented
-from strandline.sources.records import write_adjacency
-from strandline.sources.shared import shared_dir
+from strandline.operators.graph import Adjacency, oriented
+from strandline.sources.adjacency import open_adjacency, write_adjacency
+from strandline.sources.shared import shared_dir, stored
 
 
 def _id(prefix: str, *cols: str):
@@ -55,11 +55,11 @@ def edges_sql() -> str:
 _STORED: dict[tuple[str, str], str] = {}
 
 
-def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+def adjacency(spark: SparkSession, sf_dir: str) -> Adjacency:
     """The oriented edges, written once per application and input to the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
         path = f"{shared_dir(spark)}/adjacency-{uuid.uuid4().hex}"
-        write_adjacency(oriented(edges(spark, sf_dir)), path)
+        write_adjacency(oriented(stored(edges(spark, sf_dir), "edges")), path)
         _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    return open_adjacency(spark, _STORED[key])

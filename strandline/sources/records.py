@@ -137,8 +137,3 @@ def envelope(numbered: DataFrame, document: Column, count: int, start: str, end:
 def write_paths(documents: DataFrame, path: str) -> None:
     """JSON Lines of ``document``, gzip."""
     documents.select(F.col("document").alias("value")).write.option("compression", "gzip").text(path)
-
-
-def write_adjacency(adjacency: DataFrame, path: str) -> None:
-    """Parquet sorted by ``f`` across files: an endpoint filter skips row groups."""
-    adjacency.repartitionByRange("f").sortWithinPartitions("f").write.option("parquet.block.size", str(8 << 20)).parquet(path)

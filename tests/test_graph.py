@@ -64,10 +64,10 @@ def test_bad_length_limits_and_empty(spark):
 
 
 def test_filter_reaches_the_scan(spark, tmp_path):
-    from strandline.sources.records import write_adjacency
+    from strandline.sources.adjacency import open_adjacency, write_adjacency
 
     write_adjacency(graph.oriented(edges(spark, ("e1", "A", "p", "B"))), f"{tmp_path}/adj")
-    plan = paths.find_paths(spark.read.parquet(f"{tmp_path}/adj"), "A", "B", 2)._jdf.queryExecution().toString()
+    plan = paths.find_paths(open_adjacency(spark, f"{tmp_path}/adj"), "A", "B", 2)._jdf.queryExecution().toString()
     assert "EqualTo(f,A)" in plan and "EqualTo(f,B)" in plan  # both halves begin where files are sorted
 
 
