@@ -25,13 +25,14 @@ import io
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SLICE_BYTES, col, mix64, slices, stored, text_bytes
+from strandline.llm.common import SLICE_BYTES, col, mix64, ragged_ranges, slices, stored, text_bytes
 
 SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: What does not begin a character of a word.
@@ -78,44 +79,86 @@ class Vocabularies:
         self.byte = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.size = self.piece.get_piece_size()
         self.is_fallback = np.array([self.piece.is_byte(i) or self.piece.is_unknown(i) for i in range(self.size)])
-        self.memo: dict[bytes, tuple[int, tuple[int, ...]]] = {}
-        self.held = 0
+        self._fresh()
 
-    def look_up(self, words: list[bytes]) -> list[tuple[int, tuple[int, ...]]]:
-        """(byte-level tokens, piece ids) of each word."""
+    def _fresh(self) -> None:
+        self.memo: dict[bytes, int] = {}
+        self.held = 0
+        # by word: byte-level tokens, where its piece ids begin in flat, and how many they are
+        self.n_byte, self.at, self.n_piece = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.flat, self.used = np.zeros(1 << 14, np.int32), 0
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        pieces, byte = self.piece.encode(texts, num_threads=1), self.byte.encode_ordinary
+        base, n = len(self.memo), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        top, used = base + len(words), self.used + int(n.sum())
+        while len(self.at) < top:
+            self.n_byte, self.at, self.n_piece = (np.resize(x, 2 * len(x)) for x in (self.n_byte, self.at, self.n_piece))
+        while len(self.flat) < used:
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.n_byte[base:top] = [len(byte(" " + t)) for t in texts]
+        self.at[base:top] = self.used + np.cumsum(n) - n
+        self.n_piece[base:top] = n
+        self.flat[self.used : used] = list(chain.from_iterable(pieces))
+        self.used = used
+        self.held += sum(map(len, words))
+        self.memo.update(zip(words, range(base, top)))
+
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        """Each word's number; valid until the next call."""
         if len(self.memo) > MEMO or self.held > MEMO_BYTES:
-            self.memo, self.held = {}, 0
+            self._fresh()
         new = list(set(words).difference(self.memo))
-        texts = [w.decode() for w in new]
-        pieces = self.piece.encode(texts, num_threads=1) if new else []
-        byte = self.byte.encode_ordinary
-        self.memo.update((w, (len(byte(" " + t)), tuple(p))) for w, t, p in zip(new, texts, pieces))
-        self.held += sum(map(len, new))
-        memo = self.memo
-        return [memo[w] for w in words]
-
-    def tokens(self, words: list[bytes]) -> tuple[int, np.ndarray]:
-        """(byte-level tokens, count of each piece id) of all ``words``."""
-        n, counts = 0, np.zeros(self.size, np.int64)
-        for part in encodable(words):
-            got = self.look_up(part)
-            n += sum(t[0] for t in got)
-            counts += np.bincount(np.fromiter((x for _, ids in got for x in ids), np.int64), minlength=self.size)
-        return n, counts
-
-
-def encodable(words: list[bytes]) -> Iterator[list[bytes]]:
-    """All words, those beyond ``WORD_CHARS`` in pieces, some hundred at a time."""
-    if max(map(len, words), default=0) <= WORD_CHARS:
-        yield words
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+
+    def count(self, words: list[bytes], doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(byte-level tokens of each document, keys, counts): how often a document has a piece, its key being the document's
+        number times ``size`` and the piece's id. ``doc`` has each word's document."""
+        n_byte, keys, counts = np.zeros(docs, np.int64), [], []
+        for part, own in encodable(words, doc):
+            known = self.look_up(part)
+            n_byte += np.bincount(own, weights=self.n_byte[known], minlength=docs).astype(np.int64)
+            n = self.n_piece[known]
+            key, count = np.unique(np.repeat(own * self.size, n) + self.flat[ragged_ranges(self.at[known], n)], return_counts=True)
+            keys, counts = [*keys, key], [*counts, count]
+        return n_byte, *merged(keys, counts)
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if len(keys) == 1:
+        return keys[0], counts[0]
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+
+
+def encodable(words: list[bytes], doc: np.ndarray) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """All words with their documents, those beyond ``WORD_CHARS`` in pieces, about ``SLICE_BYTES`` at a time."""
+    if max(map(len, words), default=0) > WORD_CHARS:
+        parts, owner = [], []
+        for w, d in zip(words, doc):
+            text = w.decode() if len(w) > WORD_CHARS else ""
+            own = [text[i : i + WORD_CHARS].encode() for i in range(0, len(text), WORD_CHARS)] or [w]
+            parts += own
+            owner += [d] * len(own)
+        words, doc = parts, np.array(owner, np.int64)
+    step = max(1, len(words) * SLICE_BYTES // max(SLICE_BYTES, sum(map(len, words))))
+    for a in range(0, len(words), step):
+        yield words[a : a + step], doc[a : a + step]
+
+
+def blocks(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words and their documents: a slice of short texts at once, a single text in blocks."""
+    if len(texts) == 1:
+        for words in word_blocks(texts[0]):
+            yield words, np.zeros(len(words), np.int64)
         return
-    yield [w for w in words if len(w) <= WORD_CHARS]
-    for w in words:
-        if len(w) > WORD_CHARS:
-            text = w.decode()
-            step = 500 * WORD_CHARS
-            for a in range(0, len(text), step):
-                yield [text[i : i + WORD_CHARS].encode() for i in range(a, min(a + step, len(text)), WORD_CHARS)]
+    lists = [t.split() for t in texts]
+    yield list(chain.from_iterable(lists)), np.repeat(np.arange(len(texts)), np.fromiter(map(len, lists), np.int64, len(lists)))
 
 
 def word_blocks(data: bytes, size: int = SLICE_BYTES) -> Iterator[list[bytes]]:
@@ -196,31 +239,28 @@ def measured(docs: DataFrame, piece_path: str, byte_path: str, pattern: str, kee
         for b in slices(batches):
             data, offs = text_bytes(col(b, "text"))
             raw, n = memoryview(data), b.num_rows
-            rows, hashes = np.zeros((n, 7), np.int64), []
-            entropy, scripts = np.zeros(n), []
-            for i in range(n):
-                text = bytes(raw[offs[i] : offs[i + 1]])
-                counts = np.zeros(known.size, np.int64)
-                for words in word_blocks(text):
-                    n_byte, own = known.tokens(words)
-                    counts += own
-                    hashes.append(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64))
-                    rows[i, 0] += len(words)
-                    rows[i, 5] += n_byte
-                used = counts[counts > 0]
-                total = used.sum()
-                rows[i, 1] = len(text.translate(None, NOT_HEADS))
-                rows[i, 2] = len(text) - len(text.translate(None, SYMBOLS))
-                rows[i, 3] = repeated_lines(text)
-                rows[i, 4], rows[i, 6] = total, counts[known.is_fallback].sum()
-                entropy[i] = np.log2(total) - (used * np.log2(used)).sum() / total if total else 0.0
-                scripts.append(script_of(text))
+            texts = [bytes(raw[offs[i] : offs[i + 1]]) for i in range(n)]
+            n_words, n_byte, hashes, keys, counts = np.zeros(n, np.int64), np.zeros(n, np.int64), [], [], []
+            for words, doc in blocks(texts):
+                byte, key, count = known.count(words, doc, n)
+                n_byte += byte
+                n_words += np.bincount(doc, minlength=n)
+                keys, counts = ([x] for x in merged([*keys, key], [*counts, count]))
+                hashes.append(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64))
+            key, count = merged(keys, counts)
+            add = lambda weights: np.bincount(key // known.size, weights=weights, minlength=n)
+            total = add(count)
+            entropy = np.where(total > 0, np.log2(np.maximum(total, 1)) - add(count * np.log2(count)) / np.maximum(total, 1), 0.0)
+            fallback = add(count * known.is_fallback[key % known.size])
+            chars = [len(t.translate(None, NOT_HEADS)) for t in texts]
+            symbols = [len(t) - len(t.translate(None, SYMBOLS)) for t in texts]
+            lines, scripts = list(map(repeated_lines, texts)), list(map(script_of, texts))
             every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             del hashes
-            again = repeated_words(every, rows[:, 0])
+            again = repeated_words(every, n_words)
             out = {k: col(b, k) for k in keep}
-            out |= {"n_words": rows[:, 0], "word_chars": rows[:, 1], "n_symbols": rows[:, 2], "n_dup_lines": rows[:, 3], "n_repeat_words": again, "script": scripts}
-            yield pa.record_batch(out | {"n_tokens": rows[:, 4], "n_byte_tokens": rows[:, 5], "n_fallback": rows[:, 6], "token_entropy": entropy})
+            out |= {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": again, "script": scripts}
+            yield pa.record_batch(out | {"n_tokens": total.astype(np.int64), "n_byte_tokens": n_byte, "n_fallback": fallback.astype(np.int64), "token_entropy": entropy})
 
     own = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
     return docs.select(*keep, "text").mapInArrow(run, f"{own}, {SCHEMA}")
