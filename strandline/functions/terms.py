@@ -130,14 +130,27 @@ def typed_literal(text: Column, kind: str) -> Column:
     return F.concat(F.lit('"'), text, F.lit(f'"^^<{XSD}{kind}>'))
 
 
+def _digits(c: Column) -> Column:
+    """The shortest digits that read back as the same double, as ``d.dE-n`` or ``ddd.d``. The JVM's own text of a double may have
+    too many before version 19; Spark brings Jackson, whose writer has not."""
+    text = F.java_method(F.lit("com.fasterxml.jackson.core.io.schubfach.DoubleToDecimal"), F.lit("toString"), c)
+    # it writes two digits at least; among the smallest numbers of all, one may do
+    first, second = F.regexp_extract(text, r"(\d)\.(\d)E", 1), F.regexp_extract(text, r"(\d)\.(\d)E", 2)
+    power, minus = F.regexp_extract(text, r"E-(\d+)$", 1).try_cast("int"), F.when(text.startswith("-"), "-").otherwise("")
+    up = (first.try_cast("int") + F.when(second.try_cast("int") >= 5, 1).otherwise(0)).cast("string")
+    one = F.when(up == "10", F.concat(minus, F.lit("1.0E-"), (power - 1).cast("string"))).otherwise(F.concat(minus, up, F.lit(".0E-"), power.cast("string")))
+    tiny = (F.abs(c) < 1e-320) & (c != 0) & text.rlike(r"^-?\d\.[1-9]E-\d+$")
+    return F.when(tiny & (one.try_cast("double") == c), one).otherwise(text)
+
+
 def float_text(c: Column | str) -> Column:
     """Shortest round-trip text in Python's style."""
-    c = _col(c)
-    size, text = F.abs(c), c.cast("string")
+    c = _col(c).cast("double")
+    size, text = F.abs(c), _digits(c)
     e = F.regexp_extract(text, r"E(-?)(\d+)$", 2)
     sign = F.when(text.rlike(r"E-"), F.lit("-")).otherwise(F.lit("+"))
     exp = F.concat(F.regexp_replace(F.regexp_extract(text, r"^(.*)E", 1), r"\.0$", ""), F.lit("e"), sign, F.lpad(e, F.greatest(F.length(e), F.lit(2)), F.lit("0")))
-    dec = F.regexp_replace(c.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
+    dec = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), r"0+$", "")
     dec = F.when(dec.endswith("."), F.concat(dec, F.lit("0"))).otherwise(dec)
     return (
         F.when(F.isnan(c), F.lit("nan")).when(c == float("inf"), F.lit("inf")).when(c == float("-inf"), F.lit("-inf"))

@@ -53,7 +53,7 @@ def values(nodes: DataFrame, edges: DataFrame, children: DataFrame, onto: dict[s
         rows = own if rows is None else rows.unionByName(own)
     kind = flatten.scalar_kind("value")
     rows = flatten.fan_out(rows, "s").withColumn("kind", kind).where("kind <> 'object'")
-    rows = rows.withColumn("term", F.when(F.col("kind") == "string", F.expr("try_variant_get(value, '$', 'string')")))
+    rows = rows.withColumn("term", F.when(F.col("kind") == "string", flatten.scalar_text("value")))
     element = onto["element"].dropDuplicates(["term"])
     slots = element.select(F.col("term").alias("attr"), "slot_uri", F.when(F.col("range").endswith("Enum"), F.col("range")).alias("enum"))
     permitted = onto["enum_value"].select("enum", F.col("value").alias("term"), F.lit(True).alias("permitted")).distinct()

@@ -344,7 +344,7 @@ def _(spark, d):
 @query("json_flatten", "SELECT event_id, j.key AS attr, CAST(j.value AS VARCHAR) AS value FROM events, json_each(CAST(props AS JSON)) j WHERE j.type <> 'NULL'")
 def _(spark, d):
     rows = flatten.attributes(_table(spark, d, "events").select("event_id", "props"), "event_id", "props")
-    return rows.select("event_id", "attr", F.expr("variant_get(value, '$', 'string')").alias("value"))
+    return rows.select("event_id", "attr", flatten.scalar_text("value").alias("value"))
 
 
 @query("attribute_literals", """SELECT event_id, 'https://w3id.org/kgx/slot/' || url_encode(j.key) AS p, '"' || CAST(j.value AS VARCHAR) || '"^^<http://www.w3.org/2001/XMLSchema#integer>' AS o FROM events, json_each(CAST(props AS JSON)) j WHERE j.type <> 'NULL'""")

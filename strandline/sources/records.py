@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from strandline.functions.json_values import try_parsed
 from strandline.functions.terms import json_text
 
 
@@ -19,8 +20,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
-    v = F.expr("try_parse_json(value)")
-    return lines.select("value", v.alias("v")).select("value", F.coalesce("v", F.when(F.col("value").isNotNull(), F.raise_error(F.concat(F.lit("not a JSON record: "), F.substring("value", 1, 200))).cast("variant"))).alias("v"))
+    return lines.select("value", try_parsed("value").alias("v")).select("value", F.coalesce("v", F.when(F.col("value").isNotNull(), F.raise_error(F.concat(F.lit("not a JSON record: "), F.substring("value", 1, 200))).cast("variant"))).alias("v"))
 
 
 def category_list(v: str) -> str:
@@ -33,8 +33,9 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def node_rows(lines: DataFrame) -> DataFrame:
-    """(id, categories, attrs VARIANT, value)."""
-    return _parsed(lines).select(F.expr("variant_get(v, '$.id', 'string')").alias("id"), F.expr(category_list("v")).alias("categories"), F.col("v").alias("attrs"), "value")
+    """(id, categories, attrs VARIANT, value); a record without ``id`` is an error."""
+    key = F.coalesce(F.expr("variant_get(v, '$.id', 'string')"), F.raise_error(F.concat(F.lit("node record without id: "), F.substring("value", 1, 200))).cast("string"))
+    return _parsed(lines).select(key.alias("id"), F.expr(category_list("v")).alias("categories"), F.col("v").alias("attrs"), "value")
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -51,8 +52,9 @@ def edge_rows(lines: DataFrame) -> DataFrame:
 
 
 def read_bindings(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated query results with a header of ``?name`` columns; malformed rows fail."""
-    df = spark.read.csv(path, sep="\t", header=True, mode="FAILFAST")
+    """Tab-separated query results with a header of ``?name`` columns; malformed rows fail. Cells are taken as they stand,
+    quotes and backslashes too; an empty cell is null."""
+    df = spark.read.csv(path, sep="\t", header=True, mode="FAILFAST", quote="", escape="")
     return df.toDF(*[c.lstrip("?") for c in df.columns])
 
 
