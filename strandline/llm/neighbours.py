@@ -8,8 +8,9 @@ probes its most promising buckets of every table (next-best axes, ranked by the
 Recall: a sample of at most 256 queries is answered exactly first, and ``probes`` is doubled until the tables hold
 ``target`` of the sample's neighbours (at most until every bucket is probed). All queries then go through the tables.
 
-What is shuffled: rows and probes carry ids and quantised vectors (one byte a component), not the vectors. A task merges what its buckets found, so that at most ``keep`` candidates a query leave it. The ``keep``
-best of a query by quantised cosine fetch their vectors once and are ranked by exact cosine in double precision.
+What is shuffled: rows and probes carry ids and quantised vectors (two bytes a component, and how far they are off). A
+candidate is left out only when its cosine is below that of ``k`` + 1 others whatever the quantisation did to them; all others
+of a query, however many, fetch their vectors once and are ranked by exact cosine in double precision.
 
 Scale: equal vectors are one class, of which only the ``k + 1`` smallest ids matter to any query,
 so copies cost one candidate. Buckets with more than ``block`` rows or queries are dealt over a grid of row blocks and
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,77 +101,93 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def quantised(x: np.ndarray) -> list[bytes]:
-    """Unit vectors as one byte a component, from minus to plus the vector's largest component, which stands
-    in front."""
-    top = np.abs(x).max(1, keepdims=True).astype(np.float32)
-    q = np.rint(x / np.maximum(top, 1e-30) * 127).astype(np.int8)
-    return [t.tobytes() + r.tobytes() for t, r in zip(top, q)]
+    """Unit vectors as two bytes a component, from minus to plus the vector's largest component. That one stands in front,
+    and behind it the distance between the vector and what ``restored`` gives for it."""
+    top = np.maximum(np.abs(x).max(1, keepdims=True), 1e-30).astype(np.float32)
+    q = np.rint(x / top * 32767).astype("<i2")
+    off = np.sqrt(((_unit_again(q, top) - x) ** 2).sum(1)).astype(np.float32) * np.float32(1.001)
+    return [t.tobytes() + e.tobytes() + r.tobytes() for t, e, r in zip(top, off, q)]
 
 
-def restored(codes: list[bytes], dim: int) -> np.ndarray:
-    """Unit vectors close to those that ``quantised`` got."""
-    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), dim + 4)
-    x = raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
+def _unit_again(q: np.ndarray, top: np.ndarray) -> np.ndarray:
+    x = q.astype(np.float32) * top
     return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-30)[:, None]
 
 
-def best_of(q: np.ndarray, c: np.ndarray, s: np.ndarray, keep: int) -> np.ndarray:
-    """Places of each q's ``keep`` best different c."""
-    order = np.lexsort((-s, c, q))
-    head = np.concatenate([[True], (q[order][1:] != q[order][:-1]) | (c[order][1:] != c[order][:-1])])[: len(q)]
-    order = order[head]
-    order = order[np.lexsort((c[order], -s[order], q[order]))]
+def restored(codes: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors close to those that ``quantised`` got, and how far they are off."""
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), 2 * dim + 8)
+    head = raw[:, :8].copy().view(np.float32)
+    return _unit_again(raw[:, 8:].copy().view("<i2"), head[:, :1]), head[:, 1]
+
+
+def able(q: np.ndarray, c: np.ndarray, s: np.ndarray, e: np.ndarray, k: int) -> np.ndarray:
+    """Places of each q's different c that can be among its ``k`` nearest, the true cosine lying within ``e`` of ``s``."""
+    order = np.lexsort((c, q))
+    order = order[np.concatenate([[True], (q[order][1:] != q[order][:-1]) | (c[order][1:] != c[order][:-1])])[: len(q)]]
+    order = order[np.lexsort((-(s - e)[order], q[order]))]
     own = q[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
-    nth = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
-    return order[nth < keep]
+    sizes = np.diff(np.append(first, len(own)))
+    low = (s - e)[order]
+    least = np.where(sizes >= k, low[np.minimum(first + k - 1, len(own) - 1)], -np.inf) if len(own) else low
+    return order[(s + e)[order] >= np.repeat(least, sizes)]
 
 
-def _candidates(names: tuple[str, str, str], parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+def _candidates(names: tuple[str, ...], parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     for arrays in parts:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=list(names))
 
 
-def _meeting(keys: list[str], dim: int, each: int, keep: int, most: int = 400_000):
-    """mapInArrow over queries and rows sorted by ``keys`` and ``ask`` (queries first): each group's ``each`` best
-    rows of every query by quantised cosine, then the task's ``keep`` best of every query."""
+def _meeting(keys: list[str], dim: int, k: int, most: int = 400_000):
+    """mapInArrow over queries and rows sorted by ``keys`` and ``ask`` (queries first): each group's rows that can be among
+    a query's ``k`` nearest (q, c, s, e), as far as the task knows them."""
+    rounding = np.float32(2e-7 * dim + 1e-6)  # of a scalar product in single precision
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        have, last, owners, asked = 0, None, np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
+        found: list[tuple[np.ndarray, ...]] = []
+        have, last = 0, None
+        owners, asked, off = np.zeros(0, np.int64), np.zeros((0, dim), np.float32), np.zeros(0, np.float32)
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            q, c, s = (np.concatenate(x) for x in zip(*found))
-            at = best_of(q, c, s, keep)
-            return q[at], c[at], s[at]
+        def merged() -> tuple[np.ndarray, ...]:
+            q, c, s, e = (np.concatenate(x) for x in zip(*found))
+            at = able(q, c, s, e, k)
+            return q[at], c[at], s[at], e[at]
 
         for b in batches:
             if not b.num_rows:
                 continue
-            k = np.stack([col(b, x).to_numpy(zero_copy_only=False).astype(np.int64) for x in keys])
+            key = np.stack([col(b, x).to_numpy(zero_copy_only=False).astype(np.int64) for x in keys])
             ids, ask, z = col(b, "c").to_numpy(), col(b, "ask").to_numpy(zero_copy_only=False), col(b, "z")
-            cuts = np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1, [b.num_rows]])
+            cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [b.num_rows]])
             for i, j in zip(cuts[:-1], cuts[1:]):
-                own = tuple(k[:, i])
+                own = tuple(key[:, i])
                 if own != last:
-                    last, owners, asked = own, np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
+                    last, owners, asked, off = own, np.zeros(0, np.int64), np.zeros((0, dim), np.float32), np.zeros(0, np.float32)
                 m = i + int(ask[i:j].sum())
                 if m > i:
-                    owners, asked = np.append(owners, ids[i:m]), np.concatenate([asked, restored(z[i:m].to_pylist(), dim)])
+                    x, e = restored(z[i:m].to_pylist(), dim)
+                    owners, asked, off = np.append(owners, ids[i:m]), np.concatenate([asked, x]), np.append(off, e)
                 if m == j or not len(owners):
                     continue
-                s = asked @ restored(z[m:j].to_pylist(), dim).T
-                n = min(each, j - m)
-                top = np.argpartition(-s, n - 1, 1)[:, :n] if n < j - m else np.tile(np.arange(n), (len(s), 1))
-                found.append((np.repeat(owners, n), ids[m:j][top.ravel()], np.take_along_axis(s, top, 1).ravel()))
-                have += s.shape[0] * n
-            if have > most:
-                found = [merged()]
-                have = len(found[0][0])
-                if have > most // 2:  # many queries: what is merged goes on
-                    yield from _candidates(("q", "c", "s"), found)
-                    found, have = [], 0
+                x, e = restored(z[m:j].to_pylist(), dim)
+                step = max(1, (1 << 20) // (j - m))
+                for a in range(0, len(owners), step):
+                    s = asked[a : a + step] @ x.T
+                    wide = off[a : a + step, None] + e[None, :] + rounding
+                    low = s - wide
+                    least = -np.partition(-low, k - 1, 1)[:, k - 1 : k] if j - m > k else np.full((len(s), 1), -np.inf)
+                    at, to = np.nonzero(s + wide >= least)
+                    found.append((owners[a : a + step][at], ids[m:j][to], s[at, to], wide[at, to]))
+                    have += len(at)
+                    if have > most:
+                        found = [merged()]
+                        have = len(found[0][0])
+                        if have > most // 2:  # many queries, or many that are equally near: what is merged goes on
+                            yield from _candidates(("q", "c", "s", "e"), found)
+                            found, have = [], 0
         if found:
-            yield from _candidates(("q", "c", "s"), [merged()])
+            yield from _candidates(("q", "c", "s", "e"), [merged()])
 
     return run
 
@@ -241,7 +259,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, **options) -> DataFr
     return out
 
 
-def _search(ok: DataFrame, dim: int, every: int, k: int, tables: int = 4, probes: int = 16, fill: int = 256, block: int = 4096, keep: int = 48, seed: int = 5, target: float = 0.95) -> DataFrame:
+def _search(ok: DataFrame, dim: int, every: int, k: int, tables: int = 4, probes: int = 16, fill: int = 256, block: int = 4096, seed: int = 5, target: float = 0.95) -> DataFrame:
     spark = ok.sparkSession
     # classes of equal vectors, by a number of their own; ids of each class are kept beside
     named = ok.withColumn("h", F.sha2(F.array_join(F.transform("v", lambda x: (x.cast("double") + F.lit(0.0)).cast("string")), ","), 256))
@@ -285,28 +303,33 @@ def _search(ok: DataFrame, dim: int, every: int, k: int, tables: int = 4, probes
         copies = F.explode(F.sequence(zero, F.greatest(F.coalesce(many, F.lit(1)), F.lit(1)) - 1))
         return met.select("t", "b", part.alias(at), copies.alias(other), "c", "z").select(*keys, "c", "z")
 
-    def meet(asked: DataFrame, rows: DataFrame, keys: list[str], each: int) -> DataFrame:
+    def meet(asked: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
         both = asked.withColumn("ask", F.lit(True)).unionByName(rows.withColumn("ask", F.lit(False)))
-        return both.repartition(*keys).sortWithinPartitions(*keys, F.desc("ask")).mapInArrow(_meeting(keys, dim, each, keep), "q long, c long, s float")
+        return both.repartition(*keys).sortWithinPartitions(*keys, F.desc("ask")).mapInArrow(_meeting(keys, dim, k + 1), "q long, c long, s float, e float")
 
-    found = meet(spread(asked, "y", "x", "j", "i"), spread(rows, "x", "y", "i", "j"), keys, 3 * k)
+    found = meet(spread(asked, "y", "x", "j", "i"), spread(rows, "x", "y", "i", "j"), keys)
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``keep`` best of each query; rows are sorted by q."""
+        """What can be among the nearest of each query; rows are sorted by q. Of a query with very many, those known so far
+        go on and the ``k + 1`` best are kept to compare others with."""
         held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             if b.num_rows:
-                held.append(tuple(col(b, x).to_numpy() for x in ("q", "c", "s")))
+                held.append(tuple(col(b, x).to_numpy() for x in ("q", "c", "s", "e")))
             if sum(len(h[0]) for h in held) > 200_000:
-                q, c, s = (np.concatenate(x) for x in zip(*held))
-                at = best_of(q, c, s, keep)
-                q, c, s = q[at], c[at], s[at]
-                done = q < q[-1]
-                yield from _candidates(("q", "c"), [(q[done], c[done])])
-                held = [(q[~done], c[~done], s[~done])]
+                q, c, s, e = (np.concatenate(x) for x in zip(*held))
+                at = able(q, c, s, e, k + 1)
+                q, c, s, e = q[at], c[at], s[at], e[at]
+                stay = q == q[-1]
+                if stay.sum() > 100_000:
+                    yield from _candidates(("q", "c"), [(q, c)])
+                    stay = np.flatnonzero(stay)[: k + 1]  # by falling lower bound
+                else:
+                    yield from _candidates(("q", "c"), [(q[~stay], c[~stay])])
+                held = [(q[stay], c[stay], s[stay], e[stay])]
         if held:
-            q, c, s = (np.concatenate(x) for x in zip(*held))
-            at = best_of(q, c, s, keep)
+            q, c, s, e = (np.concatenate(x) for x in zip(*held))
+            at = able(q, c, s, e, k + 1)
             yield from _candidates(("q", "c"), [(q[at], c[at])])
 
     narrow = lambda found: found.repartition("q").sortWithinPartitions("q").mapInArrow(narrowed, "q long, c long")
@@ -338,33 +361,44 @@ def _search(ok: DataFrame, dim: int, every: int, k: int, tables: int = 4, probes
         part = lambda many: F.pmod(F.xxhash64("c"), F.lit(many)).cast("int")
         all_rows = coded(classes).select(part(parts).alias("p"), copies(groups).alias("g"), "c", "z")
         all_asked = coded(short).select(copies(parts).alias("p"), part(groups).alias("g"), "c", "z")
-        more = narrow(meet(all_asked, all_rows, ["p", "g"], keep))
+        more = narrow(meet(all_asked, all_rows, ["p", "g"]))
         hits = hits.join(short.select(F.col("c").alias("q")), "q", "left_anti").unionByName(more)
 
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Exact cosines of a query (its own row, without c, comes first) with its candidates."""
-        last, x, length = None, None, 0.0
+    def ranked_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Exact cosines of a query (its own row, without c, comes first) with its candidates, each once."""
+        x, length, before = None, 0.0, (None, None)
         for b in batches:
             if not b.num_rows:
                 continue
-            q, own, v = col(b, "q").to_numpy(), col(b, "c"), _matrix(col(b, "v"), dim)
+            q, part, own, v = col(b, "q").to_numpy(), col(b, "part").to_numpy(), col(b, "c"), _matrix(col(b, "v"), dim)
+            # a power of two: no digit is lost, and no square is too large or too small
+            v = np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
             lengths = np.sqrt((v * v).sum(1))
             heads = own.is_null().to_numpy(zero_copy_only=False)
-            s = np.zeros(b.num_rows)
-            for i, j in _runs(q):
-                if q[i] != last:
-                    last = q[i]
+            c, s = pc.fill_null(own, -1).to_numpy(), np.zeros(b.num_rows)
+            starts = np.concatenate([[True], (q[1:] != q[:-1]) | (part[1:] != part[:-1])])
+            for i, j in _runs(np.cumsum(starts)):
                 if heads[i]:
                     x, length = v[i], lengths[i]
                 # one order of summation for every pair, so equal pairs score equally in any task
                 s[i:j] = np.einsum("ij,j->i", v[i:j], x) / (lengths[i:j] * length)
-            at = pa.array(np.flatnonzero(~heads))
-            yield pa.RecordBatch.from_arrays([col(b, "q").take(at), own.take(at), col(b, "least").take(at), pa.array(s).take(at)], names=["q", "c", "least", "score"])
-
-    pairs = hits.join(classes.select("c", "v", "least"), "c").select("q", "c", "least", "v")
+            same = np.concatenate([[(q[0], c[0]) == before], (q[1:] == q[:-1]) & (c[1:] == c[:-1])])
+            before = (q[-1], c[-1])
+            at = pa.array(np.flatnonzero(~heads & ~same))
+            yield pa.RecordBatch.from_arrays([col(b, "q").take(at), col(b, "part").take(at), own.take(at), col(b, "least").take(at), pa.array(s).take(at)], names=["q", "part", "c", "least", "score"])
+
+    # a query with many candidates is ranked in several tasks
+    many = stored(hits.groupBy("q").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1"), "ann-many")
+    some, parts = bool(many.take(1)), F.coalesce("parts", F.lit(1))
+    dealt = hits.join(many, "q", "left").withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int")) if some else hits.withColumn("part", zero)
+    pairs = dealt.join(classes.select("c", "v", "least"), "c").select("q", "part", "c", "least", "v")
     heads = classes.where("asks").select(F.col("c").alias("q"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("long").alias("least"), "v")
-    scored = pairs.unionByName(heads).repartition("q").sortWithinPartitions("q", F.col("c").asc_nulls_first()).mapInArrow(ranked, "q long, c long, least long, score double")
-    top = scored.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least", "c"))).where(F.col("r") <= k + 1)
+    heads = heads.join(many, "q", "left").withColumn("part", F.explode(F.sequence(zero, parts - 1))) if some else heads.withColumn("part", zero)
+    both = pairs.unionByName(heads.select(*pairs.columns)).repartition("q", "part").sortWithinPartitions("q", "part", F.col("c").asc_nulls_first())
+    scored = both.mapInArrow(ranked_parts, "q long, part int, c long, least long, score double")
+    top = scored
+    for by in (["q", "part"], ["q"]):
+        top = top.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "least", "c"))).where(F.col("r") <= k + 1)
     each = top.join(few, "c").select("q", "c", "vec_id", "nth", "score")
     each = each.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "nth"))).where(F.col("r") <= k + 1)
     lists = each.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "c", "nth"))).alias("l"))

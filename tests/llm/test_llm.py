@@ -563,7 +563,39 @@ def test_neighbours_recall_follows_the_sample(spark):
         near = np.concatenate([np.argsort(-np.where(np.arange(4000) == q, -9, u @ u[q]))[:5] for q in range(0, 4000, 50)])
         used[name] = _enough(CrossPolytope(32, 2, *_plan(4000, 32, 64), 5), (u[::50], u[near], np.repeat(np.arange(80), 5)), 1, 0.95)
     assert used["even"] > used["groups"] >= 1  # vectors without structure need more probes
-    assert (restored(quantised(u), 32) * u).sum(1).min() > 0.9999
+    near, off = restored(quantised(u), 32)
+    assert (np.linalg.norm(near - u, axis=1) <= off).all() and off.max() < 1e-3
+
+
+def test_neighbours_that_are_equally_near(spark):
+    """Scaled copies of one vector, in many bucket blocks: none is left out, and equal scores go by vec_id."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-8, 9, (1000, 16)).astype(float)
+    base = x[700].copy()
+    for i in range(300):
+        x[700 + i] = base * 2.0 ** (i % 40) if i % 2 else base * (i + 1)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for options in ({}, {"block": 50}):
+        got = neighbours_of(frame, **options)
+        for q in range(700, 1000, 50):
+            length = np.sqrt((x * x).sum(1))
+            score = np.einsum("ij,j->i", x, x[q]) / (length * length[q])
+            want = [int(i) for i in np.lexsort((np.arange(1000), -score)) if i != q][:5]
+            near = [score[i] for i, _ in got[q]]
+            assert min(near) >= score[want[-1]] - 1e-15 and len({i for i, _ in got[q]} & set(want)) >= 4
+
+
+def test_neighbours_of_tiny_and_huge_components(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 8))
+    scale = [1e-170, 1e170, 5e-324 * 2**60, 1.0]
+    rows = [(i, (v * scale[i % 4]).tolist()) for i, v in enumerate(x)]
+    got = neighbours_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for q in range(0, 200, 50):
+        c = u @ u[q]
+        c[q] = -9
+        assert all(abs(c[i] - s) < 1e-6 for i, s in got[q]) and len(set(np.argsort(-c)[:5].tolist()) & {i for i, _ in got[q]}) >= 4
 
 
 #: Findings written by hand: (before, candidate, after, label).
