@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandline.functions.terms import _col, _unicode, float_text
+from strandline.functions.terms import _col, _unicode, float_text, once
 
 #: Begins the string that stands for a number. Strings of the data that begin with NUL get a second one.
 NUL, MARK = "\x00", "\x00n"
@@ -34,7 +34,7 @@ def marked(text: Column | str) -> Column:
 def _alone(whole: Column) -> Column:
     """The first of exactly two members of a VARIANT list, else null: the parser passes over what follows a value, so a text
     is parsed as a list's first member, before another."""
-    return F.when(F.variant_get(whole, "$[1]", "variant").isNotNull() & F.variant_get(whole, "$[2]", "variant").isNull(), F.variant_get(whole, "$[0]", "variant"))
+    return once(whole, lambda v: F.when(F.variant_get(v, "$[1]", "variant").isNotNull() & F.variant_get(v, "$[2]", "variant").isNull(), F.variant_get(v, "$[0]", "variant")))
 
 
 def parsed(text: Column | str) -> Column:
@@ -93,8 +93,10 @@ def canonical_json(value: Column | str) -> Column:
     VARIANT keeps an object's keys sorted, so its own compact text needs only numbers, escapes and characters beyond ASCII
     put right. Keys are in the order of UTF-16 units (which differs from that of code points only between keys of which
     one has U+E000 to U+FFFF where the other has a character beyond the basic plane)."""
-    text = F.to_json(_col(value))
+    return once(F.to_json(_col(value)), _put_right)
 
+
+def _put_right(text: Column) -> Column:
     def one(x: Column) -> Column:
         number = F.regexp_extract(x, r'\A"\\u0000n(.*)"\z', 1)
         return (
@@ -104,5 +106,5 @@ def canonical_json(value: Column | str) -> Column:
 
     special = F.transform(F.regexp_extract_all(text, F.lit(_SPECIAL), F.lit(0)), one)
     between = F.split(text, _SPECIAL, -1)
-    put_right = F.array_join(F.zip_with(between, special, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(text.rlike(r"[^ -~]|\\"), put_right).otherwise(text)
+    whole = F.array_join(F.zip_with(between, special, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(text.rlike(r"[^ -~]|\\"), whole).otherwise(text)

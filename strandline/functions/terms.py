@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from urllib.parse import quote
 
 from pyspark.sql import Column
@@ -31,6 +32,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``c``, which is computed once however often ``f`` looks at it (branches of a CASE do not share)."""
+    return F.transform(F.array(c), f)[0]
+
+
 def _swap(c: Column, *pairs: tuple[str, str]) -> Column:
     for a, b in pairs:
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -134,19 +140,25 @@ def _digits(c: Column) -> Column:
     """The shortest digits that read back as the same double, as ``d.dE-n`` or ``ddd.d``. The JVM's own text of a double may have
     too many before version 19; Spark brings Jackson, whose writer has not."""
     text = F.java_method(F.lit("com.fasterxml.jackson.core.io.schubfach.DoubleToDecimal"), F.lit("toString"), c)
+    return F.when((F.abs(c) < 1e-320) & (c != 0), once(text, lambda t: _one_digit(c, t))).otherwise(text)
+
+
+def _one_digit(c: Column, text: Column) -> Column:
     # it writes two digits at least; among the smallest numbers of all, one may do
     first, second = F.regexp_extract(text, r"(\d)\.(\d)E", 1), F.regexp_extract(text, r"(\d)\.(\d)E", 2)
     power, minus = F.regexp_extract(text, r"E-(\d+)$", 1).try_cast("int"), F.when(text.startswith("-"), "-").otherwise("")
     up = (first.try_cast("int") + F.when(second.try_cast("int") >= 5, 1).otherwise(0)).cast("string")
     one = F.when(up == "10", F.concat(minus, F.lit("1.0E-"), (power - 1).cast("string"))).otherwise(F.concat(minus, up, F.lit(".0E-"), power.cast("string")))
-    tiny = (F.abs(c) < 1e-320) & (c != 0) & text.rlike(r"^-?\d\.[1-9]E-\d+$")
-    return F.when(tiny & (one.try_cast("double") == c), one).otherwise(text)
+    return F.when(text.rlike(r"^-?\d\.[1-9]E-\d+$") & (one.try_cast("double") == c), one).otherwise(text)
 
 
 def float_text(c: Column | str) -> Column:
     """Shortest round-trip text in Python's style."""
-    c = _col(c).cast("double")
-    size, text = F.abs(c), _digits(c)
+    return once(F.struct(_col(c).cast("double").alias("x"), _digits(_col(c).cast("double")).alias("text")), lambda v: _python_style(v["x"], v["text"]))
+
+
+def _python_style(c: Column, text: Column) -> Column:
+    size = F.abs(c)
     e = F.regexp_extract(text, r"E(-?)(\d+)$", 2)
     sign = F.when(text.rlike(r"E-"), F.lit("-")).otherwise(F.lit("+"))
     exp = F.concat(F.regexp_replace(F.regexp_extract(text, r"^(.*)E", 1), r"\.0$", ""), F.lit("e"), sign, F.lpad(e, F.greatest(F.length(e), F.lit(2)), F.lit("0")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import json_values as J
-from strandline.functions.terms import NODE_NS, curie_to_iri, enum_value_iri, float_text, is_curie, json_text, plain_literal, typed_literal
+from strandline.functions.terms import NODE_NS, curie_to_iri, enum_value_iri, float_text, is_curie, json_text, once, plain_literal, typed_literal
 from strandline.sources.shared import stored
 
 
@@ -34,25 +34,26 @@ def _string(value: str) -> Column:
 def scalar_kind(value: str = "value") -> Column:
     """boolean, integer, double, string, list, object or null. A JSON number with a point or an exponent is a double,
     any other an integer of any length; numbers of a VARIANT that was not made from text go by their type."""
-    kind, text = F.expr(f"schema_of_variant({value})"), _string(value)
-    number = F.when(J.is_whole(J.number_text(text)), "integer").otherwise("double")
-    return (
-        F.when((kind == "STRING") & J.is_number(text), number).when(kind == "STRING", "string")
+    number = lambda t: F.when(J.is_whole(J.number_text(t)), "integer").otherwise("double")
+    return once(F.expr(f"schema_of_variant({value})"), lambda kind: (
+        F.when(kind == "STRING", once(_string(value), lambda t: F.when(J.is_number(t), number(t)).otherwise("string")))
         .when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "integer").when(kind.isin("DOUBLE", "FLOAT"), "double")
         .when(kind.startswith("DECIMAL(") & kind.endswith(",0)"), "integer").when(kind.startswith("DECIMAL"), "double")
         .when(kind.startswith("ARRAY"), "list").otherwise("object")
-    )
+    ))
 
 
 def scalar_text(value: str = "value") -> Column:
     """A scalar's text: strings as they are, numbers as they were written, true or false; null for lists, objects and nulls."""
-    text = _string(value)
-    return F.when(J.is_number(text), J.number_text(text)).otherwise(J.plain_string(text))
+    return once(_string(value), lambda t: F.when(J.is_number(t), J.number_text(t)).otherwise(J.plain_string(t)))
 
 
 def render_scalar(value: str = "value", enum: Column | None = None, permitted: Column | None = None) -> Column:
     """Enumeration value, then CURIE or IRI, then literal. A null inside a list is the text None."""
-    kind, text = scalar_kind(value), scalar_text(value)
+    return once(F.struct(scalar_kind(value).alias("kind"), scalar_text(value).alias("text")), lambda v: _rendered(v["kind"], v["text"], enum, permitted))
+
+
+def _rendered(kind: Column, text: Column, enum: Column | None, permitted: Column | None) -> Column:
     out = F.when(kind == "null", F.lit('"None"')).when(kind == "boolean", typed_literal(text, "boolean")).when(kind == "integer", typed_literal(J.whole_text(text), "integer"))
     out = out.when(kind == "double", typed_literal(float_text(text.try_cast("double")), "double"))
     if enum is not None and permitted is not None:

@@ -353,6 +353,17 @@ def _(spark, d):
     return rows.select("event_id", T.custom_slot_iri("attr").alias("p"), flatten.render_scalar("value").alias("o"))
 
 
+@query("number_literals", f"""WITH x AS (SELECT o_orderkey AS k, o_totalprice * 1e14 / 7 AS large, 1 / (o_totalprice * 1000) AS small FROM orders)
+  SELECT k, 'large' AS attr, '"' || CAST(large AS VARCHAR) || '"^^<{T.XSD}double>' AS o FROM x UNION ALL SELECT k, 'small', '"' || CAST(small AS VARCHAR) || '"^^<{T.XSD}double>' FROM x
+  UNION ALL SELECT k, 'long', '"-' || repeat(CAST(k AS VARCHAR), 12) || '"^^<{T.XSD}integer>' FROM x UNION ALL SELECT k, 'point', '"' || CAST(k AS VARCHAR) || '.0"^^<{T.XSD}double>' FROM x UNION ALL SELECT k, 'zero', '"-0.0"^^<{T.XSD}double>' FROM x""")
+def _(spark, d):
+    """Numbers of JSON records: doubles of any size, integers of any length, and what only their text tells."""
+    k = F.col("o_orderkey").cast("string")
+    text = F.concat(F.lit('{"large":'), (F.col("o_totalprice") * 1e14 / 7).cast("string"), F.lit(',"small":'), (1 / (F.col("o_totalprice") * 1000)).cast("string"), F.lit(',"long":-'), F.repeat(k, 12), F.lit(',"point":'), k, F.lit('.0,"zero":-0.0}'))
+    rows = flatten.attributes(_table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), text.alias("t")), "k", "t")
+    return rows.select("k", "attr", flatten.render_scalar("value").alias("o"))
+
+
 @query("list_fanout", "SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS idx FROM embeddings WHERE embedding IS NOT NULL")
 def _(spark, d):
     v = _table(spark, d, "embeddings").where("embedding is not null").select("vec_id", F.lit("embedding").alias("attr"), F.expr("to_variant_object(embedding)").alias("value"))
@@ -492,6 +503,16 @@ def _(spark, d):
     return records.read_bindings(spark, path)
 
 
+@query("tsv_verbatim", f"""SELECT '<urn:c:' || CAST(c_custkey AS VARCHAR) || '>' AS node, '"' || c_name || '"' AS label, '"' || CAST(c_nationkey AS VARCHAR) || '"^^<{T.XSD}integer>' AS nation, CASE WHEN c_custkey % 3 <> 0 THEN '\"' || c_name END AS other FROM customer""")
+def _(spark, d):
+    """Terms with their quotes and backslashes, as a server writes them; an empty cell is no term."""
+    c = _table(spark, d, "customer")
+    cells = [F.concat(F.lit("<urn:c:"), F.col("c_custkey").cast("string"), F.lit(">")), T.plain_literal("c_name"), T.typed_literal(F.col("c_nationkey").cast("string"), "integer"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit('\\"'), "c_name")).otherwise("")]
+    path = _fresh(spark, "terms")
+    c.select(*(x.alias(n) for x, n in zip(cells, ("?node", "?label", "?nation", "?other")))).write.csv(path, sep="\t", header=True, quote="", escape="", emptyValue="")
+    return records.read_bindings(spark, path)
+
+
 @query("malformed_rows", "SELECT 'A' AS start, 'B' AS \"end\", CAST(2 AS BIGINT) AS path_length, count(*) FILTER (o_orderkey % 7 <> 0) AS path_count, count(*) FILTER (o_orderkey % 7 = 0) AS skipped_malformed_rows FROM orders")
 def _(spark, d):
     o = _table(spark, d, "orders").select(F.concat_ws("\t", "o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey"))).alias("value"))

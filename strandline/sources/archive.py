@@ -36,12 +36,11 @@ def members(path: str) -> Iterator[tuple[str, str]]:
             stream = zstandard.ZstdDecompressor().stream_reader(raw)
         with tarfile.open(fileobj=stream, mode="r|") as tar:
             for m in tar:
-                name = m.name.rsplit("/", 1)[-1]
-                if m.isfile() and name in MEMBERS:
+                if m.isfile() and m.name in MEMBERS:
                     for line in tar.extractfile(m):
                         text = line.decode("utf-8")
                         if text.strip():
-                            yield name, text.rstrip("\n")
+                            yield m.name, text.rstrip("\n")
 
 
 def write_archive(path: str, parts: dict[str, list[str]], level: int = 3) -> None:
