@@ -2,7 +2,7 @@
 
 Candidates are runs of at least eight characters ``[0-9A-Za-z+/_-]`` that hold a digit and a letter, and
 values of any characters that are assigned to a name like ``password`` or ``api_key`` (six characters or more, in
-quotes up to 512, else up to white space). Each is described by its length, character classes, entropy, the mean
+quotes up to the closing one on the line, else up to white space), of any length. Each is described by its length, character classes, entropy, the mean
 log-probability of its character transitions under a model of ordinary words, the share covered by dictionary words
 (found by one pass of an automaton over the candidate, whatever its length), path signs and the neighbouring
 words. A random forest (bootstrap rows, random feature subsets, flattened trees) trained from labelled findings
@@ -53,7 +53,7 @@ _RUN = re.compile(r"[a-z]+")
 #: A value assigned to a name that is like a secret's.
 _VALUE = re.compile(
     rb"""(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?["']?[ \t]*(?:=>|:=|=|:)[ \t]*"""
-    rb"""(?:"([^"\n]{6,512})"|'([^'\n]{6,512})'|([^\s"',;]{6,}))""",
+    rb"""(?:"([^"\n]{6,}+)"|'([^'\n]{6,}+)'|([^\s"',;]{6,}+))""",
     re.IGNORECASE,
 )
 
@@ -140,24 +140,49 @@ class Lexicon:
         return total + best
 
 
-def features(before: str, cand: str, after: str, lex: Lexicon) -> list[float]:
-    n = len(cand)
-    low = cand.lower()
-    code = [_alphabet(c) for c in cand]
-    kinds = [0 if c < 26 else 1 if c < 52 else 2 if c == 52 else 3 for c in code]
-    count = Counter(cand)
-    entropy = -sum(v / n * np.log2(v / n) for v in count.values())
-    step = float(np.mean(lex.steps[code[:-1], code[1:]])) if n > 1 else 0.0
-    b, a = before.lower(), after.lower()
-    near = re.findall(r"[a-z]+", b)[-3:]
-    return [
-        n, kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n, entropy, step, lex.covered(low) / n,
-        float(all(c in "0123456789abcdef" for c in low)), sum(x != y for x, y in zip(kinds, kinds[1:])) / n,
-        cand.count("/"), cand.count("-"), cand.count("_"), float(n in (32, 40, 64)), float(bool(re.search(r"[/\\.]$", b)) or a[:1] in "/."), float("://" in b or "www." in b),
-        float(any(k in w for w in near for k in KEYWORDS)), float(any(k in b or k in low for k in BENIGN)), float(b.rstrip(" \"'")[-1:] in ("=", ":")), float(b[-1:] in "\"'" and b != ""),
-        float(cand.startswith(PREFIXES)), float(b[-1:] in "+@(#" and b != ""), float(a[:1] in "@(#" and a != ""),
-        float(cand[:1] in "<${[(%*"), sum(c in " .(){}[]<>$" for c in cand) / n, float(b[-1:] in "\"'" and a[:1] in "\"'" and a != "" and b != ""),
-    ]
+_CODE = np.array([_alphabet(chr(i)) for i in range(128)])
+_HEX, _OPEN = np.zeros(128, bool), np.zeros(128, bool)
+_HEX[[ord(c) for c in "0123456789abcdefABCDEF"]] = True
+_OPEN[[ord(c) for c in " .(){}[]<>$"]] = True
+#: Candidates, and characters of them, that are described and scored together.
+BLOCK_ROWS, BLOCK_CHARS = 4096, 1 << 20
+
+
+def features(rows: list[tuple[str, str, str]], lex: Lexicon) -> np.ndarray:
+    """One row of numbers for each (before, candidate, after); what depends on single characters is counted for all of
+    them at once."""
+    cands = [c for _, c, _ in rows]
+    n = np.fromiter(map(len, cands), np.int64, len(cands))
+    points = np.frombuffer("".join(cands).encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = np.repeat(np.arange(len(cands)), n)
+    ascii_ = np.minimum(points, 127).astype(np.int64)  # 127 is as unlike letters and digits as all beyond it
+    code = _CODE[ascii_]
+    kind = np.digitize(code, [26, 52, 53])
+    per = lambda mask: np.bincount(own[mask], minlength=len(cands)).astype(float)
+    safe = np.maximum(n, 1)
+    key, count = np.unique(own * (1 << 21) + points, return_counts=True)
+    share = count / safe[key >> 21]
+    entropy = np.bincount(key >> 21, weights=-share * np.log2(share), minlength=len(cands))
+    inside = own[1:] == own[:-1]
+    step = np.bincount(own[1:][inside], weights=lex.steps[code[:-1][inside], code[1:][inside]], minlength=len(cands)) / np.maximum(n - 1, 1)
+    turns = np.bincount(own[1:][inside & (kind[1:] != kind[:-1])], minlength=len(cands))
+    hexa = per(_HEX[ascii_]) == n
+    out = []
+    for before, cand, after in rows:
+        low, b, a = cand.lower(), before.lower(), after.lower()
+        near = re.findall(r"[a-z]+", b)[-3:]
+        out.append([
+            lex.covered(low) / max(len(cand), 1),
+            float(bool(re.search(r"[/\\.]$", b)) or a[:1] in "/."), float("://" in b or "www." in b),
+            float(any(k in w for w in near for k in KEYWORDS)), float(any(k in b or k in low for k in BENIGN)), float(b.rstrip(" \"'")[-1:] in ("=", ":")), float(b[-1:] in "\"'" and b != ""),
+            float(cand.startswith(PREFIXES)), float(b[-1:] in "+@(#" and b != ""), float(a[:1] in "@(#" and a != ""),
+            float(cand[:1] in "<${[(%*"), float(b[-1:] in "\"'" and a[:1] in "\"'" and a != "" and b != ""),
+        ])
+    text = np.array(out, float).reshape(-1, 12).T
+    return np.stack([
+        n, per(kind == 0) / safe, per(kind == 1) / safe, per(kind == 2) / safe, per(kind == 3) / safe, entropy, step, text[0], hexa, turns / safe,
+        per(points == ord("/")), per(points == ord("-")), per(points == ord("_")), np.isin(n, (32, 40, 64)), *text[1:11], per(_OPEN[ascii_]) / safe, text[11],
+    ], 1).astype(float)
 
 
 def findings(n: int = 4000, seed: int = 3) -> list[tuple[str, str, str, int]]:
@@ -314,14 +339,21 @@ class Scanner:
             a, b = m.span(m.lastindex)
             d = int(np.searchsorted(edges, a, "right")) - 1
             spans.add((d, a - d, b - d))
-        rows, spans = [], sorted(spans)
-        for d, a, b in spans:
-            before = raw[max(int(offs[d]), a - NEAR) : a].decode("utf-8", "ignore")
-            after = raw[b : min(int(offs[d + 1]), b + NEAR)].decode("utf-8", "ignore")
-            rows.append(features(before, raw[a:b].decode("utf-8", "replace"), after, self.lexicon))
-        for (d, a, b), p in zip(spans, self.forest.score(np.array(rows)) if rows else ()):
-            base = int(offs[d])
-            out[d].append((a - base, b - base, float(p)))
+        spans = sorted(spans)
+        at = 0
+        while at < len(spans):
+            # about so many rows and characters, or one candidate
+            rows, held, end = [], 0, at
+            while end < len(spans) and end - at < BLOCK_ROWS and (end == at or held + spans[end][2] - spans[end][1] <= BLOCK_CHARS):
+                d, a, b = spans[end]
+                before = raw[max(int(offs[d]), a - NEAR) : a].decode("utf-8", "ignore")
+                after = raw[b : min(int(offs[d + 1]), b + NEAR)].decode("utf-8", "ignore")
+                rows.append((before, raw[a:b].decode("utf-8", "replace"), after))
+                held, end = held + b - a, end + 1
+            for (d, a, b), p in zip(spans[at:end], self.forest.score(features(rows, self.lexicon))):
+                base = int(offs[d])
+                out[d].append((a - base, b - base, float(p)))
+            at = end
         return out
 
     def secrets(self, found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
@@ -349,7 +381,7 @@ def train(docs: DataFrame, labelled: DataFrame | None = None, max_findings: int
         rows = [tuple(r) for r in lowest(sound, F.col("h"), max_findings).orderBy("h").limit(max_findings).select(F.coalesce("before", F.lit("")), "candidate", F.coalesce("after", F.lit("")), "label").collect()]
         if not rows:
             raise ValueError("no labelled findings")
-    x = np.array([features(b[-NEAR:], c, a[:NEAR], lex) for b, c, a, _ in rows])
+    x = features([(b[-NEAR:], c, a[:NEAR]) for b, c, a, _ in rows], lex)
     return Scanner(lex, grow(x, np.array([float(r[3] > 0) for r in rows])))
 
 
