@@ -43,7 +43,6 @@ from strandline.llm.components import components
 
 GROUPS = 256
 LEAF = 16
-FULL = 255
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA24BAED4963EE407)]
@@ -104,9 +103,18 @@ def prefix(size: np.ndarray, percent: int) -> np.ndarray:
     return np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
 
 
-def wide(points: np.ndarray) -> np.ndarray:
-    """Counts for bounds; a full count bounds nothing."""
-    return np.where(points == FULL, 1 << 22, points.astype(np.int32)).astype(np.int32)
+def packed(counts: np.ndarray) -> list[bytes]:
+    """Each row of counts as bytes: one a group, four where a count needs them."""
+    small = (counts < 256).all(1)
+    return [(v.astype(np.uint8) if one else v.astype("<u4")).tobytes() for v, one in zip(counts, small)]
+
+
+def unpacked(blobs: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(blobs), GROUPS), np.int32)
+    short = np.array([len(x) == GROUPS for x in blobs], bool)
+    for own, kind in ((short, np.uint8), (~short, "<u4")):
+        out[own] = np.frombuffer(b"".join(x for x, o in zip(blobs, own) if o), kind).reshape(-1, GROUPS)
+    return out
 
 
 class RTree:
@@ -120,7 +128,7 @@ class RTree:
         for k, d in enumerate(spread):
             cuts = np.array_split(self.order, slabs ** (k + 1))
             self.order = np.concatenate([c[np.argsort(points[c, d], kind="stable")] for c in cuts])
-        self.points, self.sizes = wide(points[self.order]), sizes[self.order]
+        self.points, self.sizes = points[self.order], sizes[self.order]
         heads = np.arange(0, len(points), LEAF)
         self.upper = np.maximum.reduceat(self.points, heads, axis=0)
         self.low = np.minimum.reduceat(self.sizes, heads)
@@ -156,7 +164,7 @@ def _forest(ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray
         near = lambda i: ((j := np.flatnonzero(both[i])), both[i, j])
     else:
         tree = RTree(vec, size)
-        near = lambda i: tree.search(wide(vec[i]), int(size[i]), percent)
+        near = lambda i: tree.search(vec[i], int(size[i]), percent)
     best, link, out = np.full(m, -1.0), np.full(m, -1), np.zeros(m, bool)
     a, b = [], []
     for _ in range(m):
@@ -177,8 +185,7 @@ def _forest(ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray
 
 def _dense(size: np.ndarray, vec: np.ndarray, percent: int) -> np.ndarray:
     """Overlap bounds within one leaf; 0 where a pair cannot link."""
-    v = wide(vec)
-    bound = np.minimum(v[:, None], v[None]).sum(2)
+    bound = np.minimum(vec[:, None], vec[None]).sum(2)
     ok = ((100 + percent) * bound >= percent * (size[:, None] + size)) & (100 * size[:, None] >= percent * size) & (100 * size >= percent * size[:, None])
     np.fill_diagonal(ok, False)
     return np.where(ok, bound, 0)
@@ -202,7 +209,7 @@ def _across(ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray
         return
     tree = RTree(vec, size)
     for i in asking:
-        j, _ = tree.search(wide(vec[i]), int(size[i]), percent)
+        j, _ = tree.search(vec[i], int(size[i]), percent)
         # a pair that both members ask for is given once
         once = (side[i] == 0) if across else (ids[j] > ids[i])
         ok = (comp[j] != comp[i]) & ((comp[j] == largest) | once)
@@ -248,7 +255,7 @@ def _by_group(keys: list[str], percent: int, pairs_of):
                 continue
             k = np.stack([col(b, x).to_numpy(zero_copy_only=False).astype(np.int64) for x in keys])
             cols = [col(b, x).to_numpy(zero_copy_only=False) for x in ("id", "n", "comp", "side")]
-            vec = np.frombuffer(b"".join(col(b, "vec").to_pylist()), np.uint8).reshape(-1, GROUPS)
+            vec = unpacked(col(b, "vec").to_pylist())
             cuts = np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1, [b.num_rows]])
             for i, j in zip(cuts[:-1], cuts[1:]):
                 own = tuple(k[:, i])
@@ -338,12 +345,11 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, most_hot: int
             x, d, size = shingles(col(b, "text"), n)
             name = _set_names(x, size)
             vec = np.bincount(d * GROUPS + (x & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(size) * GROUPS).reshape(-1, GROUPS)
-            vec[(vec >= FULL).any(1)] = FULL  # too large to count: bounds nothing
             place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
             lead = place < prefix(size, percent)[d]
             ends = np.concatenate([[0], np.cumsum(np.bincount(d[lead], minlength=len(size)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [col(b, "doc_id"), pa.array(size), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array([v.tobytes() for v in vec.astype(np.uint8)], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(x[lead].view(np.int64)))],
+                [col(b, "doc_id"), pa.array(size), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(packed(vec), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(x[lead].view(np.int64)))],
                 names=["doc_id", "n", "s1", "s2", "vec", "lead"],
             )
 
