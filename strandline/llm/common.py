@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -148,13 +149,23 @@ def _powers(n: int, kind: str) -> np.ndarray:
     return have[:n]
 
 
+#: Longer spans are hashed one by one: a polynomial modulo a power of two is the same for some unlike texts of this kind.
+POLYNOMIAL_BYTES = 64
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span, equal for equal bytes wherever they stand: a
-    polynomial prefix sum modulo 2**64, shifted back by the base's inverse power."""
+    polynomial prefix sum modulo 2**64, shifted back by the base's inverse power; BLAKE2 for spans beyond
+    ``POLYNOMIAL_BYTES``."""
     c = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(max(len(data), 1), "up")[: len(data)], out=c[1:])
     h = (c[ends] - c[starts]) * _powers(len(data) + 1, "down")[starts]
-    return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+    h = mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+    long = np.flatnonzero(ends - starts > POLYNOMIAL_BYTES)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = [int.from_bytes(hashlib.blake2b(raw[i:j], digest_size=8).digest(), "little") for i, j in zip(starts[long].tolist(), ends[long].tolist())]
+    return h
 
 
 def lowest(df: DataFrame, h: Column, most: int) -> DataFrame:

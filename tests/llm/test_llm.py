@@ -613,7 +613,7 @@ def test_secrets(spark, docs):
 
     s = train(docs)
     for rows, least in ((findings(1000, seed=77), 0.95), (HAND, 0.9)):
-        p = s.forest.score(np.array([features(b, c, a, s.lexicon) for b, c, a, _ in rows])) >= 0.5
+        p = s.forest.score(features([(b, c, a) for b, c, a, _ in rows], s.lexicon)) >= 0.5
         assert (p == np.array([r[3] for r in rows])).mean() > least
     t = spark.createDataFrame(
         [(1, 'é token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" end', 9), (2, "commit 4b825dc642cb6eb9a060e54bf8d69288fbee4904 merged", 9), (3, None, None), (4, "", 0), (5, "pwd: 'S3cr3t!pw#9'", 1), (5, "password =", 1), (6, '"correcthorsebattery"', 1)],
@@ -710,3 +710,84 @@ def test_components_must_settle(spark):
 
     with pytest.raises(RuntimeError):
         components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), rounds=1)
+
+
+def plain_features(before, cand, after, lex):
+    """What the forest sees of one candidate, character by character."""
+    import re
+
+    from strandline.llm import secrets as S
+
+    n, low, b, a = len(cand), cand.lower(), before.lower(), after.lower()
+    code = [S._alphabet(c) for c in cand]
+    kinds = [0 if c < 26 else 1 if c < 52 else 2 if c == 52 else 3 for c in code]
+    count, near = Counter(cand), re.findall(r"[a-z]+", b)[-3:]
+    return [
+        n, *(kinds.count(k) / n for k in range(4)), -sum(v / n * np.log2(v / n) for v in count.values()), float(np.mean(lex.steps[code[:-1], code[1:]])) if n > 1 else 0.0, lex.covered(low) / n,
+        all(c in "0123456789abcdef" for c in low), sum(x != y for x, y in zip(kinds, kinds[1:])) / n, cand.count("/"), cand.count("-"), cand.count("_"), n in (32, 40, 64),
+        bool(re.search(r"[/\\.]$", b)) or a[:1] in "/.", "://" in b or "www." in b, any(k in w for w in near for k in S.KEYWORDS), any(k in b or k in low for k in S.BENIGN), b.rstrip(" \"'")[-1:] in ("=", ":"),
+        b[-1:] in "\"'" and b != "", cand.startswith(S.PREFIXES), b[-1:] in "+@(#" and b != "", a[:1] in "@(#" and a != "", cand[:1] in "<${[(%*", sum(c in " .(){}[]<>$" for c in cand) / n,
+        b[-1:] in "\"'" and a[:1] in "\"'" and a != "" and b != "",
+    ]
+
+
+def test_features_equal_a_plain_version():
+    from strandline.llm.secrets import Lexicon, features, findings
+
+    rng = np.random.default_rng(5)
+    lex = Lexicon(rng.normal(size=(54, 54)), frozenset(["token", "word", "ation"]))
+    rows = [(b, c, a) for b, c, a, _ in findings(300)] + [("key = \"", "pä😀ss w0rd$", "\" x"), ("", "x", ""), ("a/", "AB" * 3000, ".b")]
+    want = np.array([plain_features(b, c, a, lex) for b, c, a in rows], float)
+    assert np.allclose(features(rows, lex), want, atol=1e-9)
+
+
+def test_quoted_values_of_any_length(spark):
+    from strandline.llm.secrets import train
+
+    rng = np.random.default_rng(2)
+    scanner = train(spark.createDataFrame([(1, "the words of an ordinary text")], "doc_id long, text string"))
+    for n in (400, 600, 10_000, 300_000):
+        value = "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789!@#%"), n))
+        text = f'set password = "{value}" and go'
+        assert (text.index(value), text.index(value) + n) in {(a, b) for a, b, _ in scanner.candidates(pa.array([text]))[0]}, n
+    # without a closing quote on the line there is no value
+    assert scanner.candidates(pa.array(['password = "unclosed ' + "x" * 50_000])) == [[]]
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n)), "".join((b, a)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_unlike_words_never_hash_alike(spark):
+    """Words whose polynomials agree modulo any power of two."""
+    from strandline.llm.decontaminate import find_overlaps
+    from strandline.llm.jaccard import link_documents
+
+    for parts in (("a", "b"), ("abcdefghijklmnop", "abcdefgh12345678")):
+        one, two = thue_morse(1024, *parts)
+        docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+        assert {r["doc_id"]: r["component_id"] for r in link_documents(docs).collect()} == {1: 1, 2: 2}
+        items = spark.createDataFrame([("x", two)], "item_id string, text string")
+        assert {r["doc_id"]: len(r["item_ids"]) for r in find_overlaps(docs, items).collect()} == {1: 0, 2: 1}
+
+
+def test_trees_prune_texts_of_any_length(spark):
+    from strandline.llm.jaccard import RTree, link_documents, packed, shingles, unpacked
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 100_000))) for _ in range(40)]
+    vec = []
+    for t in texts:
+        x, _, _ = shingles(pa.array([t]), 4)
+        vec.append(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256))
+    vec = unpacked(packed(np.array(vec)))
+    assert vec.max() > 255 and (vec.sum(1) > 90_000).all()
+    size = vec.sum(1).astype(np.int64)
+    # counts of unrelated texts overlap less the more groups differ: halves of one text are told from it
+    half = vec // 2
+    tree = RTree(np.concatenate([vec[:20], half[:20]]), np.concatenate([size[:20], half[:20].sum(1)]))
+    found, bound = tree.search(vec[0], int(size[0]), 85)
+    assert 0 in found and not (set(found.tolist()) & set(range(20, 40))) and (bound <= size[0]).all()
+    near = texts[0].rsplit(" ", 500)[0]
+    docs = spark.createDataFrame([(1, texts[0]), (2, near), (3, texts[1])], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in link_documents(docs).collect()} == {1: 1, 2: 1, 3: 3}
