@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandline.sources.package import ship
+
 MEMBERS = ("nodes.jsonl", "edges.jsonl")
 
 
@@ -84,4 +86,5 @@ class ArchiveSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(ArchiveSource)

@@ -12,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from strandline.functions.json_values import try_parsed
 from strandline.functions.terms import json_text
+from strandline.sources.package import ship
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -79,6 +80,7 @@ def write_lines(lines: DataFrame, path: str, codec: str = "gzip") -> None:
         lines.write.option("compression", codec).text(path)
         return
     # Hadoop's own zstd codec needs a native library that may be missing
+    ship(lines.sparkSession)
     lines.sparkSession.dataSource.register(_ZstdLines)
     lines.select("value").write.format(_ZstdLines.name()).mode("append").option("path", path).save()
 
