@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import col, discard, stored
+from strandline.llm.common import col, discard, prepare, stored
 
 #: Dimensions that are added up between two looks at the current best.
 STEP = 8
@@ -138,6 +138,7 @@ def digest(centroid: np.ndarray) -> str:
 def cluster(vectors: DataFrame, k: int = 8, dims: int = 64, rounds: int = 10, scale: int = 1024, seed: int = 3, key: str = "vec_id", value: str = "embedding") -> tuple[DataFrame, list[np.ndarray]]:
     """((vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256), centroids) of all vectors that take part."""
     spark = vectors.sparkSession
+    prepare(spark)
     schema = f"vec_id {vectors.schema[key].dataType.simpleString()}, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
     own = stored(whole_vectors(vectors, dims, scale, key, value), "vectors")
     centroids = first_centroids(own, k, seed)

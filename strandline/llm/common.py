@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.sources.package import ship
 from strandline.sources.shared import shared_dir
 
 #: Text bytes that one numpy pass works on; bounds a task's memory for any document mix.
@@ -26,11 +25,8 @@ WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_":
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package and keep Arrow batches small: 2000 rows or 4 MB. Spark
     reads the two settings when it plans a job, so they stay in the session that runs these operators."""
-    top = str(Path(__file__).resolve().parents[2])
+    ship(spark)
     env = spark.sparkContext.environment
-    have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if top not in have:
-        env["PYTHONPATH"] = os.pathsep.join([top, *have])
     for name, value in WORKER_MEMORY.items():
         env.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SLICE_BYTES, col, mix64, ragged_ranges, slices, stored, text_bytes
+from strandline.llm.common import SLICE_BYTES, col, mix64, prepare, ragged_ranges, slices, stored, text_bytes
 
 SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: What does not begin a character of a word.
@@ -233,6 +233,7 @@ def repeated_words(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def measured(docs: DataFrame, piece_path: str, byte_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """``keep`` and the columns of ``SCHEMA``, one row a document."""
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vocabularies(piece_path, byte_path, pattern)
