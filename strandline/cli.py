@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
 import time
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("end", help="CURIE or IRI")
     p.add_argument("path_length", type=int)
     p.add_argument("--graph", required=True, help="folder that convert wrote")
-    p.add_argument("--output", required=True)
+    p.add_argument("--output", help="folder of the pages and the answer; without it the answer is printed as it comes")
     p.add_argument("--include-properties", action="store_true", help="outgoing properties of the nodes and edges on the paths")
     p.add_argument("--limit", type=int)
     p.add_argument("--page-size", type=int, default=PAGE_SIZE)
@@ -49,6 +51,8 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("strandline").getOrCreate()
     if a.command == "convert":
         convert(spark, a.archive, a.output, a.reverse_aliases, a.ontology, a.codec)
+    elif a.command == "paths" and a.output is None:
+        printed(spark, sys.stdout, a.graph, a.start, a.end, a.path_length, a.limit, a.include_subclasses, a.include_properties)
     elif a.command == "paths":
         print(json.dumps(retrieve(spark, a.graph, a.start, a.end, a.path_length, a.output, a.limit, a.page_size, a.include_subclasses, a.include_properties), sort_keys=True))
     else:
@@ -83,6 +87,37 @@ def retrieve(
     return {"path_length": k, "page_size": page_size, "path_count": count, "query_time_ms": millis, "skipped_malformed_rows": 0, "pages": -(-count // page_size)}
 
 
+def printed(spark: SparkSession, out: TextIO, folder: str, start: str, end: str, k: int, limit: int | None = None, subclasses: bool = False, properties: bool = False) -> int:
+    """Write the answer to ``out`` as one JSON object while it is read; the driver holds two ranges of the sorted paths at most.
+    Returns the number of paths."""
+    import uuid
+
+    from strandline.functions.terms import VOCAB, curie_to_iri
+    from strandline.operators import paths
+    from strandline.operators import properties as props
+    from strandline.sources.adjacency import open_adjacency
+    from strandline.sources.pages import store_pages
+    from strandline.sources.package import ship
+    from strandline.sources.shared import shared_dir
+    from strandline.sources.stream import write_document
+
+    ship(spark)
+    start, end = spark.range(1).select(curie_to_iri(F.lit(start)), curie_to_iri(F.lit(end))).first()
+    t = time.perf_counter()
+    adjacency = open_adjacency(spark, f"{folder}/adjacency")
+    lift = {"lift_start": subclasses, "lift_end": subclasses, "subclass": VOCAB + "subclass_of"}
+    expected = int(paths.count_paths(adjacency, start, end, k, **lift).first()["path_count"])
+    found = (paths.find_paths if k < 3 else paths.reduced_paths)(adjacency, start, end, k, limit, **lift)
+    held = store_pages(found, f"{shared_dir(spark)}/answer-{uuid.uuid4().hex}", expected=expected if limit is None else min(expected, limit))
+    rows = held.rows.orderBy("__range", "__at")
+    listed = None
+    if properties:
+        wanted = paths.resource_list(held.rows.select(*held.columns), k, start, end)
+        listed = props.grouped(props.properties(spark.read.parquet(f"{folder}/triple_table"), wanted)).orderBy("resource")
+    about = {"end": end, "path_length": k, "query_time_ms": round(1000 * (time.perf_counter() - t)), "skipped_malformed_rows": 0, "start": start}
+    return write_document(out, rows, paths.document(k, subclasses), about, listed)
+
+
 def bench(spark: SparkSession, folder: str, start: str, end: str, lengths: list[int], page_sizes: list[int], output: str) -> dict:
     """The grid of lengths and page sizes; one JSON record of it is written to ``output/record``."""
     grid = []

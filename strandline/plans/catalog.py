@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandline.functions import terms as T
 from strandline.operators import convert, flatten, graph, ontology, paths, properties, triples
 from strandline.plans.projection import adjacency, edges, edges_sql
-from strandline.sources import archive, records
+from strandline.sources import archive, pages, records
 from strandline.sources.adjacency import open_adjacency, write_adjacency
 from strandline.sources.shared import shared_dir, stored
 
@@ -221,6 +221,26 @@ def _(spark, d):
     return paths.paged(QUERIES["paths_k3"](spark, d), 50)
 
 
+@query("paths_by_token", f"SELECT *, CAST((row_number() OVER (ORDER BY {_ORDER}) - 1) // 60 AS INTEGER) AS page FROM {_P3}")
+def _(spark, d):
+    """All pages of 60 rows, each found by the token of the one before."""
+    stored_pages = pages.store_pages(QUERIES["paths_k3"](spark, d), _fresh(spark, "pages"), range_rows=50, expected=239)
+    out = None
+    for i, (page, _token) in enumerate(stored_pages.follow(60)):
+        own = page.withColumn("page", F.lit(i))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+_O = ", ".join(f"{c} NULLS FIRST" for c in paths.columns(2, True))
+
+
+@query("paths_page_seven", f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {_O}) - 1 AS nth FROM ({paths_sql(*LIFTED['paths_lifted_both'][:3], True, True)})) WHERE nth BETWEEN 700 AND 799")
+def _(spark, d):
+    """One page by its number; no earlier row is read."""
+    return pages.store_pages(QUERIES["paths_lifted_both"](spark, d), _fresh(spark, "pages"), range_rows=150, expected=1266).page(7, 100)
+
+
 @query("resource_list", f"SELECT DISTINCT unnest(['PTYPE:SMALL', 'NATION:3', node1, node2, edge1, edge2, edge3]) AS resource FROM {_P3} ORDER BY resource")
 def _(spark, d):
     return paths.resource_list(QUERIES["paths_k3"](spark, d), 3, "PTYPE:SMALL", "NATION:3")
@@ -353,14 +373,14 @@ def _(spark, d):
     return rows.select("event_id", T.custom_slot_iri("attr").alias("p"), flatten.render_scalar("value").alias("o"))
 
 
-@query("number_literals", f"""WITH x AS (SELECT o_orderkey AS k, o_totalprice * 1e14 / 7 AS large, 1 / (o_totalprice * 1000) AS small FROM orders)
+@query("number_literals", f"""WITH x AS (SELECT o_orderkey + 1 AS k, o_totalprice * 1e14 / 7 AS large, 1 / (o_totalprice * 1000) AS small FROM orders)
   SELECT k, 'large' AS attr, '"' || CAST(large AS VARCHAR) || '"^^<{T.XSD}double>' AS o FROM x UNION ALL SELECT k, 'small', '"' || CAST(small AS VARCHAR) || '"^^<{T.XSD}double>' FROM x
   UNION ALL SELECT k, 'long', '"-' || repeat(CAST(k AS VARCHAR), 12) || '"^^<{T.XSD}integer>' FROM x UNION ALL SELECT k, 'point', '"' || CAST(k AS VARCHAR) || '.0"^^<{T.XSD}double>' FROM x UNION ALL SELECT k, 'zero', '"-0.0"^^<{T.XSD}double>' FROM x""")
 def _(spark, d):
     """Numbers of JSON records: doubles of any size, integers of any length, and what only their text tells."""
-    k = F.col("o_orderkey").cast("string")
+    k = (F.col("o_orderkey") + 1).cast("string")
     text = F.concat(F.lit('{"large":'), (F.col("o_totalprice") * 1e14 / 7).cast("string"), F.lit(',"small":'), (1 / (F.col("o_totalprice") * 1000)).cast("string"), F.lit(',"long":-'), F.repeat(k, 12), F.lit(',"point":'), k, F.lit('.0,"zero":-0.0}'))
-    rows = flatten.attributes(_table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), text.alias("t")), "k", "t")
+    rows = flatten.attributes(_table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("k"), text.alias("t")), "k", "t")
     return rows.select("k", "attr", flatten.render_scalar("value").alias("o"))
 
 
@@ -503,7 +523,7 @@ def _(spark, d):
     return records.read_bindings(spark, path)
 
 
-@query("tsv_verbatim", f"""SELECT '<urn:c:' || CAST(c_custkey AS VARCHAR) || '>' AS node, '"' || c_name || '"' AS label, '"' || CAST(c_nationkey AS VARCHAR) || '"^^<{T.XSD}integer>' AS nation, CASE WHEN c_custkey % 3 <> 0 THEN '\"' || c_name END AS other FROM customer""")
+@query("tsv_verbatim", f"""SELECT '<urn:c:' || CAST(c_custkey AS VARCHAR) || '>' AS node, '"' || c_name || '"' AS label, '"' || CAST(c_nationkey AS VARCHAR) || '"^^<{T.XSD}integer>' AS nation, CASE WHEN c_custkey % 3 <> 0 THEN chr(92) || chr(34) || c_name END AS other FROM customer""")
 def _(spark, d):
     """Terms with their quotes and backslashes, as a server writes them; an empty cell is no term."""
     c = _table(spark, d, "customer")
