@@ -60,6 +60,14 @@ def curie_to_iri(c: Column | str) -> Column:
     return F.when(plain, c).when(c.startswith(OWN), own).otherwise(F.concat(F.lit(IDENTIFIERS), percent_encode(c, ":/")))
 
 
+def raw_ids(iri: Column | str) -> Column:
+    """An array of the ids that ``curie_to_iri`` may have turned into ``iri``: itself, a term of the vocabulary, and an identifier
+    with and without percent-encoding. Not each of them leads back; whoever uses them checks that."""
+    c = _col(iri)
+    own, other = (F.when(c.startswith(ns), F.concat(F.lit(pre), F.substring(c, len(ns) + 1, 2**31 - 1))) for ns, pre in ((VOCAB, OWN), (IDENTIFIERS, "")))
+    return F.array_distinct(F.array_compact(F.array(c, own, F.try_url_decode(F.replace(other, F.lit("+"), F.lit("%2B"))))))
+
+
 def named_by(value: object) -> str | None:
     """For one value in Python, by the same rules: the IRI of a CURIE or web address, else None."""
     if not isinstance(value, str) or not (value.startswith(PLAIN[:2]) or re.match(CURIE_PYTHON, value)):

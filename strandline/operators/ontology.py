@@ -8,22 +8,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.terms import IS_A, RDF, RDFS, curie_to_iri, custom_slot_iri, enum_value_iri, plain_literal
-from strandline.sources.shared import stored
-
-
-def closure(start: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
-    """All keys reachable from ``start`` over (keys, parent) rows, itself included. Each level is one join of
-    what is new, written to the shared folder and read by the next, so plans stay small at any depth;
-    cycles end because known keys are not followed again."""
-    up = parents.select(*keys, "parent")
-    seen = new = stored(start.select(*keys).distinct(), "closure")
-    while not new.isEmpty():
-        above = new.join(up, keys).select(*keys[:-1], F.col("parent").alias(keys[-1])).distinct()
-        new = stored(above.join(seen, keys, "left_anti"), "closure")
-        seen = seen.unionByName(new)  # a union of scans
+from strandline.sources.shared import discard, stored
+
+
+#: Jumps may outnumber the parent rows by this before the climb goes on in single steps.
+SPREAD = 4
+
+
+def closure(start: DataFrame, parents: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """All keys reachable from ``start`` over (keys, parent) rows, itself included; columns to ``carry`` stay with what is reached.
+
+    By path doubling: a round adds what one jump from the known keys reaches, then joins the jumps to themselves, so that they
+    are twice as long. After n rounds all keys within 2**n - 1 steps are known; a round that adds none ends the climb, on cycles
+    too. Where keys have so many parents that jumps outgrow the parent rows ``SPREAD`` times, single steps go on from what is
+    known. Each round is written to the shared folder, and the one before it is deleted. ``rounds`` of the result counts them."""
+    scope, last = keys[:-1], keys[-1]
+    up = parents.select(*keys, "parent").where("parent is not null").distinct()
+    seen, jumps = stored(start.select(*carry, *keys).distinct(), "closure"), stored(up, "closure")
+    have, most, rounds = seen.count(), SPREAD * jumps.count(), 0
+
+    def reached(known: DataFrame, by: DataFrame) -> DataFrame:
+        return known.join(by, keys).select(*carry, *scope, F.col("parent").alias(last))
+
+    while True:
+        rounds += 1
+        more = stored(seen.unionByName(reached(seen, jumps)).distinct(), "closure")
+        discard(seen)
+        seen, before, have = more, have, more.count()
+        if have == before:
+            break
+        onward = jumps.select(*keys, F.col("parent").alias("__by")).join(jumps.select(*scope, F.col(last).alias("__by"), "parent"), [*scope, "__by"])
+        longer = stored(onward.select(*keys, "parent").distinct(), "closure")
+        discard(jumps)
+        jumps = longer
+        size = jumps.count()
+        if not size:
+            break
+        if size > most:
+            seen, more_rounds = _single_steps(seen, up, keys, carry)
+            rounds += more_rounds
+            break
+    discard(jumps)
+    seen.rounds = rounds
     return seen
 
 
+def _single_steps(seen: DataFrame, up: DataFrame, keys: list[str], carry: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """All that is reachable from ``seen``, one step a round, of what is new only."""
+    new, parts, rounds = seen, [seen], 0
+    while True:
+        rounds += 1
+        above = new.join(up, keys).select(*carry, *keys[:-1], F.col("parent").alias(keys[-1])).distinct()
+        for known in parts:
+            above = above.join(known, [*carry, *keys], "left_anti")
+        new = stored(above, "closure")
+        if new.isEmpty():
+            whole = parts[0]
+            for x in parts[1:]:
+                whole = whole.unionByName(x)
+            out = stored(whole, "closure")
+            discard(new, *parts)
+            return out, rounds
+        parts.append(new)
+        if len(parts) > 8:  # few tables to compare with
+            whole = parts[0]
+            for x in parts[1:]:
+                whole = whole.unionByName(x)
+            merged = stored(whole, "closure")
+            discard(*parts[:-1])
+            parts = [merged]
+
+
 def hierarchy(terms: DataFrame, element: DataFrame, parent: DataFrame, kind: str) -> DataFrame:
     """Type, label and parent triples of the touched terms and all above them. Terms the ontology does not know
     keep their type triple alone."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.terms import RDF, TRAVERSAL_NS, curie_to_iri, iri_escape, resource, reverse_iri
+from strandline.functions.terms import RDF, TRAVERSAL_NS, curie_to_iri, iri_escape, raw_ids, resource, reverse_iri
 
 TYPE = RDF + "type"
 
@@ -40,12 +40,23 @@ def reified_set(edges: DataFrame) -> DataFrame:
     return own.select("s", "p", "o").distinct().unionByName(_rows(own, _about()))
 
 
+#: So many listed ids go into the scan's filter; more are joined.
+LISTED = 1000
+
+
 def of_resources(edges: DataFrame, resources: DataFrame) -> DataFrame:
     """The triples of ``reify`` whose subject is a listed resource: edges are found by subject or id first, so
-    no other edge is reified."""
-    own, listed = named(edges), resources.select("resource").distinct()
-    direct = own.join(listed, F.col("s") == F.col("resource"), "left_semi").select("s", "p", "o")
-    return direct.unionByName(_rows(own.join(listed, F.col("e") == F.col("resource"), "left_semi"), _about()))
+    no other edge is reified. The resources are turned back into the ids that edges carry; up to ``LISTED`` of them reach the
+    scan as a list, more are joined."""
+    ids = resources.select(F.explode(raw_ids("resource")).alias("id")).distinct()
+    few = [r[0] for r in ids.limit(LISTED + 1).collect()]
+    listed = resources.select("resource").distinct()
+
+    def found(column: str) -> DataFrame:
+        near = edges.where(F.col(column).isin(few)) if len(few) <= LISTED else edges.join(ids.select(F.col("id").alias(column)), column, "left_semi")
+        return named(near).join(listed, F.col("e" if column == "edge" else column) == F.col("resource"), "left_semi")
+
+    return found("s").select("s", "p", "o").unionByName(_rows(found("edge"), _about()))
 
 
 def reverse_aliases(edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import terms as T
-from strandline.operators import convert, flatten, graph, ontology, paths, properties, triples
+from strandline.operators import convert, flatten, graph, ontology, paths, properties, reachability, triples
 from strandline.plans.projection import adjacency, edges, edges_sql
 from strandline.sources import archive, pages, records
 from strandline.sources.adjacency import open_adjacency, write_adjacency
@@ -360,6 +360,28 @@ def _(spark, d):
     return g.select("resource", F.size("properties").cast("long").alias("n"), F.concat_ws("|", F.transform("properties", lambda x: F.concat_ws(" ", x["predicate"], x["value"]))).alias("listing"))
 
 
+_PARTS = f"{_I}, t AS (SELECT DISTINCT * FROM ({_REIFY})), q AS (SELECT s AS resource, p AS predicate, o AS value, row_number() OVER (PARTITION BY s ORDER BY p, o) - 1 AS nth FROM t WHERE s LIKE 'https://identifiers.org/CUST:%')"
+
+
+@query("properties_chunked", _PARTS + " SELECT resource, CAST(nth // 4 AS BIGINT) AS chunk, count(*) AS n, string_agg(predicate || ' ' || value, '|' ORDER BY predicate, value) AS listing FROM q GROUP BY ALL")
+def _(spark, d):
+    """Lists of any length in chunks, here of four."""
+    t = triples.reified_set(edges(spark, d)).where(F.col("s").startswith(T.IDENTIFIERS + "CUST:"))
+    g = properties.chunked(t.select(F.col("s").alias("resource"), F.col("p").alias("predicate"), F.col("o").alias("value")), 4)
+    return g.select("resource", "chunk", F.size("properties").cast("long").alias("n"), F.concat_ws("|", F.transform("properties", lambda x: F.concat_ws(" ", x["predicate"], x["value"]))).alias("listing"))
+
+
+_CHAIN = "WITH RECURSIVE parent AS (SELECT 'P:' || CAST(p_partkey AS VARCHAR) AS term, 'P:' || CAST(p_partkey - 1 AS VARCHAR) AS parent FROM part WHERE p_partkey > 1)"
+
+
+@query("chain_closure", _CHAIN + ", up(term) AS (SELECT 'P:' || CAST(max(p_partkey) AS VARCHAR) FROM part UNION SELECT parent.parent FROM up JOIN parent ON parent.term = up.term) SELECT term FROM up")
+def _(spark, d):
+    """A hierarchy as deep as the table is long, in rounds as many as its logarithm."""
+    p = _table(spark, d, "part")
+    up = p.where("p_partkey > 1").select(_ref("P:", "p_partkey").alias("term"), F.concat(F.lit("P:"), (F.col("p_partkey") - 1).cast("string")).alias("parent"))
+    return ontology.closure(p.agg(F.max("p_partkey").alias("k")).select(_ref("P:", "k").alias("term")), up, ["term"])
+
+
 # nested records ------------------------------------------------------------------------------
 @query("json_flatten", "SELECT event_id, j.key AS attr, CAST(j.value AS VARCHAR) AS value FROM events, json_each(CAST(props AS JSON)) j WHERE j.type <> 'NULL'")
 def _(spark, d):
@@ -466,6 +488,36 @@ def _(spark, d):
     return _specific(spark, d)
 
 
+_DAG = """WITH RECURSIVE up AS (SELECT 'NATION:' || CAST(n_nationkey AS VARCHAR) AS term, 'REGION:' || CAST(n_regionkey AS VARCHAR) AS parent FROM nation UNION SELECT 'NATION:' || CAST(n_nationkey AS VARCHAR), 'REGION:' || CAST(n_nationkey % 5 AS VARCHAR) FROM nation
+   UNION SELECT 'REGION:' || CAST(r_regionkey AS VARCHAR), 'WORLD:' || CAST(r_regionkey % 2 AS VARCHAR) FROM region),
+ anc AS (SELECT term, parent AS ancestor FROM up UNION SELECT anc.term, up.parent FROM anc JOIN up ON up.term = anc.ancestor),
+ cats AS (SELECT CAST(s_suppkey AS VARCHAR) AS subject, 'NATION:' || CAST(s_nationkey AS VARCHAR) AS category FROM supplier UNION SELECT CAST(s_suppkey AS VARCHAR), 'REGION:' || CAST(s_suppkey % 5 AS VARCHAR) FROM supplier UNION SELECT CAST(s_suppkey AS VARCHAR), 'WORLD:' || CAST(s_suppkey % 2 AS VARCHAR) FROM supplier)"""
+
+
+def _dag(spark, d):
+    n, r, s = _table(spark, d, "nation"), _table(spark, d, "region"), _table(spark, d, "supplier")
+    mod = lambda prefix, c, m: F.concat(F.lit(prefix), (F.col(c) % m).cast("string"))
+    up = n.select(_ref("NATION:", "n_nationkey").alias("term"), _ref("REGION:", "n_regionkey").alias("parent")).union(n.select(_ref("NATION:", "n_nationkey"), mod("REGION:", "n_nationkey", 5))).union(r.select(_ref("REGION:", "r_regionkey"), mod("WORLD:", "r_regionkey", 2)))
+    key = F.col("s_suppkey").cast("string").alias("subject")
+    cats = s.select(key, _ref("NATION:", "s_nationkey").alias("category")).union(s.select(key, mod("REGION:", "s_suppkey", 5))).union(s.select(key, mod("WORLD:", "s_suppkey", 2)))
+    return up, cats
+
+
+@query("most_specific_by_labels", f"{_DAG} SELECT subject, category FROM cats WHERE NOT EXISTS (SELECT 1 FROM cats c JOIN anc ON c.category = anc.term WHERE c.subject = cats.subject AND anc.ancestor = cats.category)")
+def _(spark, d):
+    """Several parents a term; intervals in place of a table of ancestors."""
+    up, cats = _dag(spark, d)
+    return reachability.most_specific(cats, reachability.label(up))
+
+
+@query("ancestor_tests", f"{_DAG}, pairs AS (SELECT DISTINCT a.category AS ancestor, b.category AS term FROM cats a JOIN cats b USING (subject)) SELECT ancestor, term, EXISTS (SELECT 1 FROM anc WHERE anc.term = pairs.term AND anc.ancestor = pairs.ancestor) AS above FROM pairs")
+def _(spark, d):
+    up, cats = _dag(spark, d)
+    each = cats.groupBy("subject").agg(F.collect_set("category").alias("c"))  # three a subject
+    pairs = each.select(F.explode("c").alias("ancestor"), "c").select("ancestor", F.explode("c").alias("term")).distinct()
+    return reachability.is_ancestor(pairs, reachability.label(up))
+
+
 @query("edge_type_assignments", f"WITH {_CATS}, m AS ({_SPEC}) SELECT 'https://identifiers.org/' || subject AS s, p, 'https://identifiers.org/' || category AS o FROM m, (SELECT unnest(['{T.RDF}type', '{T.IS_A}']) AS p)")
 def _(spark, d):
     m = _specific(spark, d)
@@ -549,6 +601,16 @@ def _(spark, d):
     return spark.read.format("record_archive").option("path", path).load()
 
 
+@query("archive_splits", """SELECT 'nodes.jsonl' AS member, '{"id":"CUST:' || CAST(c_custkey AS VARCHAR) || '"}' AS value FROM customer UNION ALL SELECT 'edges.jsonl', '{"id":"urn:s:' || CAST(s_suppkey AS VARCHAR) || '"}' FROM supplier""")
+def _(spark, d):
+    """An archive of many frames, read by many tasks."""
+    path = _fresh(spark, "archive")
+    lines = lambda name, c, prefix: (f'{{"id":"{prefix}{r[0]}"}}' for r in _table(spark, d, name).select(c).toLocalIterator())
+    archive.write_archive(path, {"nodes.jsonl": lines("customer", "c_custkey", "CUST:"), "edges.jsonl": lines("supplier", "s_suppkey", "urn:s:")}, frame_bytes=1000)
+    archive.register(spark)
+    return spark.read.format("record_archive").option("path", path).option("splitBytes", 4000).load()
+
+
 _XS = "^^<http://www.w3.org/2001/XMLSchema#integer>"
 _CONVERTED = f"""WITH r AS (SELECT CAST(s_suppkey AS VARCHAR) AS k, 'urn:c:' || CAST(s_suppkey AS VARCHAR) AS e, '{T.IDENTIFIERS}SUPP:' || CAST(s_suppkey AS VARCHAR) AS s, '{T.IDENTIFIERS}NATION:' || CAST(s_nationkey AS VARCHAR) AS o, s_suppkey % 2 = 0 AS high,
   '{T.NODE_NS}' || sha256('{{"index":0,"key":"box","parent_id":"urn:c:' || CAST(s_suppkey AS VARCHAR) || '","value":{{"deep":"y"}}}}') AS child FROM supplier),

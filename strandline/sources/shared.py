@@ -25,4 +25,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: its lineage ends here, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._strandline_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``stored`` made and nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_strandline_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)

@@ -78,3 +78,55 @@ def test_no_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         shared.shared_dir(Cluster())
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_archives_are_read_in_ranges(spark, tmp_path, zipped):
+    """Whatever the frames and ranges: each line once, members under other names left out."""
+    import random
+
+    r = random.Random(4)
+    nodes = ["x" * r.choice([0, 1, 3, 700, 5000]) + str(i) for i in range(300)] + ["é漢" * 50, ""]
+    parts = {"notes.txt": ["n" * 3000], "nodes.jsonl": nodes, "x/nodes.jsonl": ["never"], "edges.jsonl": [f"e{i}" for i in range(2000)]}
+    want = sorted([("nodes.jsonl", x) for x in nodes if x.strip()] + [("edges.jsonl", x) for x in parts["edges.jsonl"]])
+    for frame, split in ((100_000, 50_000), (511, 512), (777, 3000), (4096, 1), (None, 1000)):
+        path = f"{tmp_path}/{zipped}-{frame}-{split}.tar"
+        archive.write_archive(path, parts, frame_bytes=frame, zipped=zipped)
+        found = archive.layout(path, split)
+        if zipped and frame is None:
+            assert found is None  # one frame, one task
+            got = list(archive.members(path))
+        else:
+            own, known, ranges = found
+            assert len(ranges) > 1 or frame == 100_000
+            got = [x for a, b in ranges for x in archive.lines_between(path, own, known, a, b)]
+        assert sorted(got) == want, (frame, split)
+    archive.register(spark)
+    df = spark.read.format("record_archive").option("path", f"{tmp_path}/{zipped}-777-3000.tar").option("splitBytes", 3000).load()
+    assert df.rdd.getNumPartitions() > 10 and sorted(map(tuple, df.collect())) == want
+
+
+def test_frames_of_every_kind(tmp_path):
+    """Sizes known and unknown, checksums, skippable frames, incompressible and repeated blocks."""
+    import io as _io
+    import os as _os
+
+    import zstandard
+
+    parts = [b"", b"a" * 1_000_000, _os.urandom(300_000), b"xyz" * 70]
+    for checksum in (True, False):
+        for size in (True, False):
+            data, want = b"", []
+            for p in parts:
+                want.append((len(data), len(p) if size else None))
+                data += zstandard.ZstdCompressor(write_checksum=checksum, write_content_size=size).compress(p)
+                data += b"\x50\x2a\x4d\x18" + (5).to_bytes(4, "little") + b"noise"
+            (tmp_path / "f.zst").write_bytes(data)
+            with archive.opened(str(tmp_path / "f.zst")) as raw:
+                assert archive.frames(raw) == want
+                if size:
+                    plain = _io.BufferedReader(archive.Unpacked(raw, [w for w in want]), 1000)
+                    whole = b"".join(parts)
+                    for at, n in ((0, 10), (999_990, 30), (len(whole) - 5, 9), (1_200_000, 100_500), (3, 2)):
+                        plain.seek(at)
+                        assert plain.read(n) == whole[at : at + n]
