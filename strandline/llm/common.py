@@ -152,12 +152,23 @@ POLYNOMIAL_BYTES = 64
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span, equal for equal bytes wherever they stand: a
     polynomial prefix sum modulo 2**64, shifted back by the base's inverse power; BLAKE2 for spans beyond
-    ``POLYNOMIAL_BYTES``."""
-    c = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(max(len(data), 1), "up")[: len(data)], out=c[1:])
-    h = (c[ends] - c[starts]) * _powers(len(data) + 1, "down")[starts]
-    h = mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
-    long = np.flatnonzero(ends - starts > POLYNOMIAL_BYTES)
+    ``POLYNOMIAL_BYTES``. Works on about ``SLICE_BYTES`` of ``data`` at a time."""
+    size = ends - starts
+    h = np.zeros(len(starts), np.uint64)
+    short = np.flatnonzero(size <= POLYNOMIAL_BYTES)
+    if len(short) and (np.diff(starts[short]) < 0).any():
+        short = short[np.argsort(starts[short], kind="stable")]
+    own, i = starts[short], 0
+    while i < len(short):
+        j = int(np.searchsorted(own, own[i] + SLICE_BYTES, "right"))
+        at, low = short[i:j], own[i]
+        part = data[low : ends[at].max()]
+        c = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers(max(len(part), 1), "up")[: len(part)], out=c[1:])
+        h[at] = (c[ends[at] - low] - c[starts[at] - low]) * _powers(len(part) + 1, "down")[starts[at] - low]
+        i = j
+    h = mix64(h ^ (size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+    long = np.flatnonzero(size > POLYNOMIAL_BYTES)
     if len(long):
         raw = memoryview(np.ascontiguousarray(data))
         h[long] = [int.from_bytes(hashlib.blake2b(raw[i:j], digest_size=8).digest(), "little") for i, j in zip(starts[long].tolist(), ends[long].tolist())]
@@ -208,21 +219,37 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
 def class_words(data: np.ndarray, offs: np.ndarray, is_sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words as maximal runs of bytes outside ``is_sep`` (256 flags) that do not cross documents:
-    starts, ends and each word's document."""
-    n = len(data)
+    starts, ends and each word's document. Works on ``SLICE_BYTES`` at a time."""
+    n, starts, ends = len(data), [], []
+    for a in range(0, n, SLICE_BYTES):
+        b = min(a + SLICE_BYTES, n)
+        # the byte before the block and the one behind it; beyond the data nothing is a word
+        w, head = np.zeros(b - a + 2, bool), np.zeros(b - a + 2, bool)
+        low, high = max(a - 1, 0), min(b + 1, n)
+        w[low - a + 1 : high - a + 1] = ~is_sep[data[low:high]]
+        edges = offs[np.searchsorted(offs, a) : np.searchsorted(offs, b, "right")]
+        head[edges - a + 1] = True
+        head[-1] |= b == n
+        own = w[1:-1]
+        starts.append(np.flatnonzero(own & (~w[:-2] | head[1:-1])) + a)
+        ends.append(np.flatnonzero(own & (~w[2:] | head[2:])) + a + 1)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    w = ~is_sep[data]
-    head = np.zeros(n + 1, bool)
-    head[offs] = True
-    head = head[:n]
-    before = np.concatenate([[False], w[:-1]])
-    starts = np.flatnonzero(w & (~before | head))
-    after = np.concatenate([w[1:], [False]])
-    tail = np.concatenate([head[1:], [True]])
-    ends = np.flatnonzero(w & (~after | tail)) + 1
-    return starts, ends, np.searchsorted(offs, starts, "right") - 1
+    s, e = np.concatenate(starts), np.concatenate(ends)
+    return s, e, np.searchsorted(offs, s, "right") - 1
+
+
+def counts_before(flags: np.ndarray, data: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """How many bytes before each of the ascending ``positions`` are flagged (256 flags), ``SLICE_BYTES`` at a time."""
+    out, base = np.zeros(len(positions), np.int64), 0
+    for a in range(0, len(data), SLICE_BYTES):
+        c = np.concatenate([[0], np.cumsum(flags[data[a : a + SLICE_BYTES]])])
+        i, j = np.searchsorted(positions, [a, a + len(c) - 1])
+        out[i:j] = base + c[positions[i:j] - a]
+        base += int(c[-1])
+    out[np.searchsorted(positions, len(data)) :] = base
+    return out
 
 
 def per_doc(values: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:

@@ -99,13 +99,29 @@ class Automaton:
             open_, s, w = open_[more], self.fail[s[more]].astype(np.int64), w[more]
         return out
 
-    def scan(self, h: np.ndarray, row: np.ndarray, lane: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scan(self, h: np.ndarray, row: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Over the words of several texts: hit words as a mask, then each text's row and item of every
-        occurring item (once)."""
+        occurring item (once). ``block`` words at a time, behind the few before them that a window may begin with."""
         none = np.zeros(0, np.int64)
         hit = np.zeros(len(h) + 1, np.int32)
-        if not len(self.edges) or not len(h):
-            return hit[:-1] > 0, none, none
+        seen = none
+        for a in range(0, len(h) if len(self.edges) else 0, block):
+            low = max(0, a - self.window + 1)
+            last, ended = self._found(h[low : a + block], row[low : a + block])
+            own = last + low >= a
+            last, ended = last[own] + low, ended[own]
+            np.add.at(hit, last - self.depth[ended] + 1, 1)
+            np.add.at(hit, last + 1, -1)
+            seen = np.unique(np.concatenate([seen, (row[last] << 32) | ended]))
+        text, ended = seen >> 32, seen & 0xFFFFFFFF
+        a, b = np.searchsorted(self.pair_state, ended, "left"), np.searchsorted(self.pair_state, ended, "right")
+        item = self.pair_item[ragged_ranges(a, b - a)]
+        both = np.unique((np.repeat(text, b - a) << 32) | item) if len(item) else none
+        return np.cumsum(hit)[:-1] > 0, both >> 32, both & 0xFFFFFFFF
+
+    def _found(self, h: np.ndarray, row: np.ndarray, lane: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows end, and in which state."""
+        none = np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         ids = np.where(self.words[at] == h, at, -1)
         # a gap between texts leads back to the root
@@ -135,15 +151,7 @@ class Automaton:
                 what.append(s)
                 s = self.out[self.fail[s]].astype(np.int64)
                 found, s = found[s > 0], s[s > 0]
-        last, ended = np.concatenate(where), np.concatenate(what)
-        np.add.at(hit, last - self.depth[ended] + 1, 1)
-        np.add.at(hit, last + 1, -1)
-        seen = np.unique((row[last] << 32) | ended) if len(last) else none
-        text, ended = seen >> 32, seen & 0xFFFFFFFF
-        a, b = np.searchsorted(self.pair_state, ended, "left"), np.searchsorted(self.pair_state, ended, "right")
-        item = self.pair_item[ragged_ranges(a, b - a)]
-        both = np.unique((np.repeat(text, b - a) << 32) | item) if len(item) else none
-        return np.cumsum(hit)[:-1] > 0, both >> 32, both & 0xFFFFFFFF
+        return np.concatenate(where), np.concatenate(what)
 
 
 SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long,word:long,n_words:long>>, item_ids array<string>"

@@ -56,6 +56,7 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     s, e, doc = class_words(data, offs, _SEP)
     words = np.bincount(doc, minlength=docs)
     h = span_hashes(data, s, e)
+    del s, e, data  # of a long text these are the most
     k = len(h) - n + 1
     keys, own = [], []
     if k > 0:
@@ -76,6 +77,9 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         own.append(short)
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(docs, np.int64)
+    if docs == 1:  # a text as long as its slice: one sort
+        x = np.unique(np.concatenate(keys))
+        return x, np.zeros(len(x), np.int64), np.array([len(x)])
     x, d = np.concatenate(keys), np.concatenate(own)
     order = np.lexsort((x, d))
     x, d = x[order], d[order]

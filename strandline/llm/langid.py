@@ -8,11 +8,13 @@ prototype has the largest cosine; ``score`` is that cosine, never below 0.
 
 Letters are lower-cased code points whose Unicode category is a letter; all else parts words. A
 null text and a text without letters get ``und`` and score 0, as does every text if nothing could
-be learnt. A text without any trigram (one letter) has cosine 0 with all. Ties go to the language first in order. Repeated rows score alike; extra columns are not read.
+be learnt. A text without any trigram (one letter) has cosine 0 with all. Ties go to the language first in order. Repeated rows score alike, empty
+tables give no rows; extra columns are not read. Texts of any length are bundled in pieces of about 1 MB.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import col, fold, labelled_sample, prepare, slices
+from strandline.llm.common import SLICE_BYTES, col, fold, labelled_sample, prepare, slices
 
+_NO_LETTER = re.compile(r"[\W\d_]")
 _FOLDED: np.ndarray | None = None
 
 
@@ -85,8 +88,28 @@ class Space:
         return out
 
 
+def pieces(text: str) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        gap = _NO_LETTER.search(text, at + SLICE_BYTES)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
 def bundles(texts: pa.Array, space: Space, block: int = 8_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(one bundled vector per text, letters per text); blocks bound the count matrix."""
+    """(one bundled vector per text, letters per text); blocks bound the count matrix. A long text is bundled in pieces
+    that begin where no letter stands, which have the same trigrams as the whole."""
+    if len(texts) == 1 and len(texts[0].as_py() or "") > 2 * SLICE_BYTES:
+        total, letters = np.zeros((1, space.size)), np.zeros(1, np.int64)
+        for p in pieces(texts[0].as_py()):
+            v, n = _bundled(pa.array([p], pa.string()), space, block)
+            total, letters = total + v, letters + n
+        return total.astype(np.float32), letters
+    return _bundled(texts, space, block)
+
+
+def _bundled(texts: pa.Array, space: Space, block: int) -> tuple[np.ndarray, np.ndarray]:
     codes, doc, n = trigrams(texts)
     out = np.zeros((len(n), space.size), np.float32)
     if not len(codes):

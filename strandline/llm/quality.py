@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import class_words, col, fold, labelled_sample, per_doc, prepare, slices, span_hashes, text_bytes
+from strandline.llm.common import class_words, col, counts_before, fold, labelled_sample, per_doc, prepare, slices, span_hashes, text_bytes
 
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
@@ -53,8 +53,7 @@ def features(texts: pa.Array) -> np.ndarray:
     whole = np.maximum(size, 1)
 
     def share(flag: np.ndarray) -> np.ndarray:
-        c = np.concatenate([[0], np.cumsum(flag[data])])
-        return (c[offs[1:]] - c[offs[:-1]]) / whole
+        return np.diff(counts_before(flag, data, offs)) / whole
 
     high = np.arange(256) >= 128
     out[:, 0] = np.log1p(size)
@@ -74,6 +73,8 @@ def features(texts: pa.Array) -> np.ndarray:
         out[:, 14] = per_doc(((h[1:] == h[:-1]) & joined).astype(float), doc[1:], docs) / some
 
         def distinct(key: np.ndarray, own: np.ndarray) -> np.ndarray:
+            if docs == 1:  # a text as long as its slice: one sort
+                return np.array([len(np.unique(key)) / max(len(key), 1)])
             order = np.lexsort((key, own))
             k, o = key[order], own[order]
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])[: len(k)]
@@ -82,11 +83,9 @@ def features(texts: pa.Array) -> np.ndarray:
         out[:, 15] = distinct(h, doc)
         pair = (h[:-1] * np.uint64(31) + h[1:])[joined]
         out[:, 16] = distinct(pair, doc[1:][joined]) if len(pair) else 0
-        up = np.concatenate([[0], np.cumsum(_UPPER[data])])
-        low = np.concatenate([[0], np.cumsum(_LOWER[data])])
-        mk = np.concatenate([[0], np.cumsum(_MARKS[data])])
-        out[:, 17] = per_doc(((up[ends] - up[starts] > 1) & (low[ends] == low[starts])).astype(float), doc, docs) / some
-        out[:, 18] = per_doc((mk[ends] > mk[starts]).astype(float), doc, docs) / some
+        held = lambda flag: counts_before(flag, data, ends) - counts_before(flag, data, starts)
+        out[:, 17] = per_doc(((held(_UPPER) > 1) & (held(_LOWER) == 0)).astype(float), doc, docs) / some
+        out[:, 18] = per_doc((held(_MARKS) > 0).astype(float), doc, docs) / some
         out[:, 19] = per_doc((length > 20).astype(float), doc, docs) / some
     ls, le, ld = class_words(data, offs, _LINE)
     ln = np.bincount(ld, minlength=docs)

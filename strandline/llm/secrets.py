@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import class_words, col, discard, lowest, prepare, slices, stored, text_bytes
+from strandline.llm.common import class_words, col, counts_before, discard, lowest, prepare, slices, stored, text_bytes
 
 _SEP = np.ones(256, bool)
 _SEP[48:58] = _SEP[65:91] = _SEP[97:123] = False
@@ -328,8 +328,8 @@ class Scanner:
         if not len(data):
             return out
         s, e, doc = class_words(data, offs, _SEP)
-        dig, alp = (np.concatenate([[0], np.cumsum(f[data], dtype=np.int64)]) for f in (_DIGIT, _ALPHA))
-        ok = np.flatnonzero((e - s >= 8) & (dig[e] > dig[s]) & (alp[e] > alp[s]))
+        held = lambda flags: counts_before(flags, data, e) > counts_before(flags, data, s)
+        ok = np.flatnonzero((e - s >= 8) & held(_DIGIT) & held(_ALPHA))
         spans = set(zip(doc[ok].tolist(), s[ok].tolist(), e[ok].tolist()))
         raw = data.tobytes()
         # values: a line feed between texts keeps matches inside them

@@ -791,3 +791,30 @@ def test_trees_prune_texts_of_any_length(spark):
     near = texts[0].rsplit(" ", 500)[0]
     docs = spark.createDataFrame([(1, texts[0]), (2, near), (3, texts[1])], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in link_documents(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_long_texts_are_read_in_blocks(monkeypatch):
+    """What works on blocks inside a text gives what the whole gives."""
+    from strandline.llm import common, decontaminate, langid, quality
+
+    rng = np.random.default_rng(12)
+    words = ["the", "of", "Ein", "é", "漢字", "x1", "UP", "a!b", "long" * 30, "|"]
+    text = " ".join(rng.choice(words, 3000)) + "\n" + "\n".join(rng.choice(words, 500)) + "é" * 300 + "x"
+    arr = pa.array([text])
+    space = langid.Space(64, 3)
+    whole = langid.bundles(arr, space), quality.features(arr), quality.features(pa.array([text, "a b", None]))
+    data, offs = common.text_bytes(pa.array([text, "", "b c", None, text[:50]]))
+    spans = common.class_words(data, offs, quality._SEP)
+    hashes = common.span_hashes(data, *spans[:2])
+    auto = decontaminate.Automaton([("i", " ".join(words[:3])), ("j", text[200:500])], 10)
+    h, row, *_ = decontaminate.words_of(pa.array([text, text[100:900]]))
+    found = auto.scan(h, row)
+    for size in (64, 1000):
+        for module in (common, langid):
+            monkeypatch.setattr(module, "SLICE_BYTES", size)
+        assert all((a == b).all() for a, b in zip(whole[0], langid.bundles(arr, space)))
+        assert np.allclose(whole[1], quality.features(arr)) and np.allclose(whole[2], quality.features(pa.array([text, "a b", None])))
+        again = common.class_words(data, offs, quality._SEP)
+        assert all((a == b).all() for a, b in zip(spans, again)) and (hashes == common.span_hashes(data, *again[:2])).all()
+        assert all((a == b).all() for a, b in zip(found, auto.scan(h, row, size)))
+    assert found[0].any() and len(found[1]) >= 2
