@@ -42,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("output")
     c.add_argument("--reverse-aliases", action="store_true")
     c.add_argument("--codec", choices=("none", "gzip", "zstd"), default="gzip", help="of the N-Triples lines")
+    c.add_argument("--zstd-level", type=int, default=3)
     c.add_argument("--ontology", help="folder of the five ontology tables as Parquet")
     return top
 
@@ -50,7 +51,7 @@ def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("strandline").getOrCreate()
     if a.command == "convert":
-        convert(spark, a.archive, a.output, a.reverse_aliases, a.ontology, a.codec)
+        convert(spark, a.archive, a.output, a.reverse_aliases, a.ontology, a.codec, a.zstd_level)
     elif a.command == "paths" and a.output is None:
         printed(spark, sys.stdout, a.graph, a.start, a.end, a.path_length, a.limit, a.include_subclasses, a.include_properties)
     elif a.command == "paths":
@@ -69,6 +70,7 @@ def retrieve(
     from strandline.operators import properties as props
     from strandline.sources import records
     from strandline.sources.adjacency import open_adjacency
+    from strandline.sources.shared import stored
 
     start, end = spark.range(1).select(curie_to_iri(F.lit(start)), curie_to_iri(F.lit(end))).first()
     t = time.perf_counter()
@@ -82,7 +84,7 @@ def retrieve(
     listed = None
     if properties:
         wanted = paths.resource_list(found, k, start, end)
-        listed = props.grouped(props.properties(spark.read.parquet(f"{folder}/triple_table"), wanted))
+        listed = stored(props.grouped(props.properties(spark.read.parquet(f"{folder}/triple_table"), wanted)), "properties")
     records.envelope(found, document, count, start, end, k, millis, listed).write.text(f"{output}/answer")
     return {"path_length": k, "page_size": page_size, "path_count": count, "query_time_ms": millis, "skipped_malformed_rows": 0, "pages": -(-count // page_size)}
 
@@ -132,7 +134,7 @@ def bench(spark: SparkSession, folder: str, start: str, end: str, lengths: list[
     return record
 
 
-def convert(spark: SparkSession, archive: str, output: str, reverse: bool = False, ontology: str | None = None, codec: str = "gzip") -> None:
+def convert(spark: SparkSession, archive: str, output: str, reverse: bool = False, ontology: str | None = None, codec: str = "gzip", level: int = 3) -> None:
     """Unpack once, then write edges, adjacency and all triples in parallel."""
     from strandline.functions.terms import curie_to_iri
     from strandline.operators import convert as whole
@@ -153,7 +155,7 @@ def convert(spark: SparkSession, archive: str, output: str, reverse: bool = Fals
     plain = store(edges.select(*(curie_to_iri(c).alias(c) for c in ("edge", "s", "p", "o"))), "edges")
     write_adjacency(graph.oriented(plain), f"{output}/adjacency")
     found = store(whole.all_triples(nodes, edges, whole.read_ontology(spark, ontology), reverse, store), "triple_table")
-    records.write_lines(triples.lines(found), f"{output}/triples", codec)
+    records.write_lines(triples.lines(found), f"{output}/triples", codec, level)
 
 
 if __name__ == "__main__":

@@ -74,15 +74,15 @@ def refuse_malformed(rows: DataFrame) -> DataFrame:
     return rows.where(mark).drop("malformed")
 
 
-def write_lines(lines: DataFrame, path: str, codec: str = "gzip") -> None:
-    """Text parts, ``codec`` none, gzip or zstd (with names ending in .gz or .zst)."""
+def write_lines(lines: DataFrame, path: str, codec: str = "gzip", level: int = 3) -> None:
+    """Text parts, ``codec`` none, gzip or zstd (with names ending in .gz or .zst); ``level`` is that of zstd."""
     if codec != "zstd":
         lines.write.option("compression", codec).text(path)
         return
     # Hadoop's own zstd codec needs a native library that may be missing
     ship(lines.sparkSession)
     lines.sparkSession.dataSource.register(_ZstdLines)
-    lines.select("value").write.format(_ZstdLines.name()).mode("append").option("path", path).save()
+    lines.select("value").write.format(_ZstdLines.name()).mode("append").option("path", path).option("level", level).save()
 
 
 class _ZstdLines(DataSource):
@@ -96,12 +96,12 @@ class _ZstdLines(DataSource):
         return "value string"
 
     def writer(self, schema: object, overwrite: bool) -> DataSourceWriter:
-        return _ZstdWriter(self.options["path"])
+        return _ZstdWriter(self.options["path"], int(self.options["level"]))
 
 
 class _ZstdWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, level: int):
+        self.path, self.level = path, level
 
     def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
         import zstandard
@@ -111,7 +111,7 @@ class _ZstdWriter(DataSourceWriter):
         system.create_dir(top, recursive=True)
         context = TaskContext.get()
         name, draft = f"{top}/part-{context.partitionId():05d}.zst", f"{top}/_draft-{context.partitionId():05d}-{context.taskAttemptId()}"
-        with system.open_output_stream(draft, compression=None) as raw, zstandard.ZstdCompressor(level=3).stream_writer(raw, closefd=False) as out:
+        with system.open_output_stream(draft, compression=None) as raw, zstandard.ZstdCompressor(level=self.level).stream_writer(raw, closefd=False) as out:
             for r in rows:
                 out.write(r[0].encode() + b"\n")
         system.move(draft, name)

@@ -130,3 +130,18 @@ def test_frames_of_every_kind(tmp_path):
                     for at, n in ((0, 10), (999_990, 30), (len(whole) - 5, 9), (1_200_000, 100_500), (3, 2)):
                         plain.seek(at)
                         assert plain.read(n) == whole[at : at + n]
+
+
+def test_zstd_levels(spark, tmp_path):
+    import io as _io
+
+    import zstandard
+
+    lines = spark.range(20_000).select(F.concat(F.lit("urn:"), F.sha2(F.col("id").cast("string"), 256)).alias("value")).coalesce(1)
+    size = {}
+    for level in (1, 19):
+        records.write_lines(lines, f"{tmp_path}/l{level}", "zstd", level)
+        (part,) = (tmp_path / f"l{level}").glob("*.zst")
+        size[level] = part.stat().st_size
+        assert zstandard.ZstdDecompressor().stream_reader(_io.BytesIO(part.read_bytes())).read().count(b"\n") == 20_000
+    assert size[19] < size[1]
