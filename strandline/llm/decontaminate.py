@@ -11,11 +11,13 @@ words map to byte offsets of the original text by the words' own offsets.
 Size: the driver reads the whole benchmark and each worker holds the automaton, at most 10 states of 16 bytes for
 each of its words (measured: 151 bytes a word over 60,000 words; half a million words, about ten thousand
 questions, are 76 MB). It grows with the benchmark only, never with the documents, and there is no switch at any size.
-Words are compared by 64-bit hashes.
+Words are compared by 64-bit hashes (BLAKE2 beyond 64 bytes).
 
 Null or empty texts have no words: zero counts, no items. Items without words or without an id
 are ignored. Repeated item_ids count once. Every row is scanned by itself: repeated rows and rows that share a doc_id
 give one row each. Extra columns are not read, so clashing names do no harm.
+Empty tables give no rows (documents) or no hits (benchmark). Texts of any length are scanned in blocks of words; of a long
+text a task holds its bytes twice and 32 bytes a word.
 """
 
 from __future__ import annotations

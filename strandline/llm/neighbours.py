@@ -21,7 +21,7 @@ neighbours meet all classes, in blocks of both.
 Vectors that are null, empty, zero or hold null or non-finite components take no part; neither do rows without
 id. Vectors of different dimensions have no cosine: each dimension is searched by itself. Repeated rows are rows: a
 query finds its own copies, and each copy of a query asks alike. Of a query's candidates only its own row is left out.
-Ties go to the smaller id.
+Ties go to the smaller id. An empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ and ``score`` walks all rows through all trees with array indexing.
 
 Null and empty texts have all-zero statistics and get the score of such a row. Without labels
 every score is 0.5; with one class only, the smoothed share of that class. Repeated rows are
-scored alike; extra columns are not read.
+scored alike; extra columns are not read. Empty tables give no rows. Of equally good splits the first feature and
+lowest threshold stand. Of a long text a task holds its bytes and about 80 bytes a word, the rest in blocks.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ identifiers, paths, versions, placeholders and prose), so a held-out share of it
 tests therefore use findings written by hand. The dictionary and transitions are counted over all rows' whole
 texts: tasks count words, Spark adds them up, and only the most frequent words and one matrix reach the driver.
 
-Null, empty and candidate-free texts have no findings. Repeated rows are scanned alike; other columns pass
+Null, empty and candidate-free texts have no findings; empty tables give no rows; a score of exactly the threshold counts as
+a secret. Candidates of a long text are described and scored in blocks of 4,096 or 1 MB. Repeated rows are scanned alike; other columns pass
 through ``redact`` unchanged.
 """
 

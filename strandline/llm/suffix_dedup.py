@@ -25,6 +25,8 @@ and an earlier start) is removed; strings never cross documents and are judged o
 Null and empty texts have nothing to remove. Rows without doc_id are returned untouched. Rows with
 the same doc_id and text are one document: they get the same result and never remove each other.
 Different texts under one doc_id are different documents in the order of a hash of their text. Extra columns are not read.
+An empty table gives no rows. Of equal strings, and of documents that tie by doc_id, the first in that order stays. A long text is
+cut by the same spans as any other, within one task.
 """
 
 from __future__ import annotations

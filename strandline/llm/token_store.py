@@ -10,7 +10,8 @@ doc_id minus the first | Elias-Fano of the end offset of each document | ids, li
 An opened segment holds these bytes and no decoded table: offsets and doc_ids come from ``select``.
 Documents stand in ascending doc_id order over (shard, segment, place). Documents without a
 doc_id come first (``nulls`` of them), repeated doc_ids stand side by side, ordered by text hash.
-Null text is an empty document: only the end id. An empty table gives an empty store.
+Null text is an empty document: only the end id. An empty table gives an empty store. Extra columns are not
+read. A long text is encoded whole by one task, which holds its ids (4 bytes each).
 """
 
 from __future__ import annotations

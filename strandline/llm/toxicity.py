@@ -15,7 +15,8 @@ class difference, so scoring uses one number per row. Misspellings share most n-
 the word meant.
 
 Null, empty and wordless texts get the probability of an empty passage (the bias alone), capped
-below one half. Without labels of both classes every score is 0.
+below one half. Repeated rows score alike; of a text's passages with equal scores the first represents it; empty tables give no
+rows. Long texts are scored in blocks of words. Without labels of both classes every score is 0.
 """
 
 from __future__ import annotations
