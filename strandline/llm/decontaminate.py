@@ -101,7 +101,7 @@ class Automaton:
             open_, s, w = open_[more], self.fail[s[more]].astype(np.int64), w[more]
         return out
 
-    def scan(self, h: np.ndarray, row: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scan(self, h: np.ndarray, row: np.ndarray, lane: int = 128, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Over the words of several texts: hit words as a mask, then each text's row and item of every
         occurring item (once). ``block`` words at a time, behind the few before them that a window may begin with."""
         none = np.zeros(0, np.int64)
@@ -109,7 +109,7 @@ class Automaton:
         seen = none
         for a in range(0, len(h) if len(self.edges) else 0, block):
             low = max(0, a - self.window + 1)
-            last, ended = self._found(h[low : a + block], row[low : a + block])
+            last, ended = self._found(h[low : a + block], row[low : a + block], lane)
             own = last + low >= a
             last, ended = last[own] + low, ended[own]
             np.add.at(hit, last - self.depth[ended] + 1, 1)
@@ -121,7 +121,7 @@ class Automaton:
         both = np.unique((np.repeat(text, b - a) << 32) | item) if len(item) else none
         return np.cumsum(hit)[:-1] > 0, both >> 32, both & 0xFFFFFFFF
 
-    def _found(self, h: np.ndarray, row: np.ndarray, lane: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    def _found(self, h: np.ndarray, row: np.ndarray, lane: int) -> tuple[np.ndarray, np.ndarray]:
         """Where windows end, and in which state."""
         none = np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)

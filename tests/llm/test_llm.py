@@ -80,7 +80,7 @@ def test_automaton_on_random_words():
         items, docs = [(str(i), text(13)) for i in range(int(rng.integers(0, 6)))], [None, *(text(int(rng.choice([5, 40, 200]))) for _ in range(6))]
         a = Automaton(items, window)
         h, row, *_ = words_of(pa.array(docs, pa.string()))
-        mask, at, item = a.scan(h, row, lane=int(rng.choice([4, 16, 128])))
+        mask, at, item = a.scan(h, row, lane=int(rng.choice([4, 16, 128])), block=int(rng.choice([7, 50, 1 << 18])))
         found, hits = set(), []
         for d, t in enumerate(docs):
             w = (t or "").lower().split()
@@ -816,5 +816,5 @@ def test_long_texts_are_read_in_blocks(monkeypatch):
         assert np.allclose(whole[1], quality.features(arr)) and np.allclose(whole[2], quality.features(pa.array([text, "a b", None])))
         again = common.class_words(data, offs, quality._SEP)
         assert all((a == b).all() for a, b in zip(spans, again)) and (hashes == common.span_hashes(data, *again[:2])).all()
-        assert all((a == b).all() for a, b in zip(found, auto.scan(h, row, size)))
+        assert all((a == b).all() for a, b in zip(found, auto.scan(h, row, block=size)))
     assert found[0].any() and len(found[1]) >= 2
