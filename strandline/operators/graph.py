@@ -14,21 +14,24 @@ EDGE = ("f", "dir", "edge", "pred", "t")
 @dataclass(frozen=True)
 class Adjacency:
     """Oriented edges and how they are stored: ``hubs`` (f, slots) names the nodes whose edges are split over several
-    values of ``slot``; ``distinct`` says that no row repeats."""
+    values of ``slot``; ``distinct`` says that no row repeats; ``buckets`` is how many the rows are stored in."""
 
     rows: DataFrame
     hubs: DataFrame | None = None
     distinct: bool = False
+    buckets: int | None = None
 
     def onto(self, walks: DataFrame, key: str, hop: DataFrame, f: str, slot: str) -> DataFrame:
         """``walks`` joined to ``hop`` (the edges, renamed) where ``key`` is their first node ``f``. Walks go to each slot of
         a hub, and equal keys meet where the edges are stored."""
+        # walks that come dealt over more tasks than there are buckets would have the edges shuffled to them
+        dealt = (lambda df, *keys: df.repartition(self.buckets, *keys)) if self.buckets else (lambda df, *keys: df)
         if self.hubs is None:
-            return walks.join(hop, F.col(key) == F.col(f))
+            return dealt(walks, key).join(hop, F.col(key) == F.col(f))
         where = self.hubs.select(F.col("f").alias("__hub"), "slots")
         spread = walks.join(where, F.col(key) == F.col("__hub"), "left")
         spread = spread.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1))).drop("__hub", "slots")
-        return spread.join(hop, (F.col(key) == F.col(f)) & (F.col("__slot") == F.col(slot))).drop("__slot", slot)
+        return dealt(spread, key, "__slot").join(hop, (F.col(key) == F.col(f)) & (F.col("__slot") == F.col(slot))).drop("__slot", slot)
 
 
 def oriented(edges: DataFrame) -> DataFrame:

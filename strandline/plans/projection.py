@@ -31,12 +31,14 @@ EDGES = [
 ]
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, unique: bool = False) -> DataFrame:
+    """The edge table; ``unique`` leaves out repeated rows where they are still numbers (every one of them is also in the
+    subject or object, so different numbers are different edges)."""
     out = None
     for pre, ids, s, p, o, name, repeats in EDGES:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         need = dict.fromkeys((*ids, s[1], o[1]))
-        df = df.select(*need).distinct() if repeats else df.select(*need)
+        df = df.select(*need).distinct() if repeats or unique else df.select(*need)
         one = df.select(_id(pre, *ids).alias("edge"), _id(*s).alias("s"), F.lit(p).alias("p"), _id(*o).alias("o"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -60,6 +62,6 @@ def adjacency(spark: SparkSession, sf_dir: str) -> Adjacency:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
         path = f"{shared_dir(spark)}/adjacency-{uuid.uuid4().hex}"
-        write_adjacency(oriented(stored(edges(spark, sf_dir), "edges")), path)
+        write_adjacency(oriented(stored(edges(spark, sf_dir, unique=True), "edges")), path, distinct=True)
         _STORED[key] = path
     return open_adjacency(spark, _STORED[key])

@@ -10,35 +10,33 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.graph import EDGE, Adjacency
 
-#: Edges a node may have in one slot, and rows a bucket is meant to hold.
-HUB, BUCKET_ROWS = 1_000_000, 4_000_000
+#: Edges a node may have in one slot, and rows a bucket is meant to hold: one task sorts a bucket, whatever the table's size.
+HUB, BUCKET_ROWS = 1_000_000, 1_000_000
 LAYOUT = "buckets int, split boolean"
 
 
-def write_adjacency(edges: DataFrame, path: str, hub: int = HUB, bucket_rows: int = BUCKET_ROWS, least_buckets: int = 8) -> None:
+def write_adjacency(edges: DataFrame, path: str, hub: int = HUB, bucket_rows: int = BUCKET_ROWS, least_buckets: int = 8, distinct: bool = False) -> None:
     """``edges`` (f, dir, edge, pred, t) are read twice: once for the degrees, once to be written. Repeated rows are
-    written once."""
-    spark = edges.sparkSession
-    degrees = edges.groupBy("f").agg(F.count("*").alias("n"))
-    hubs = degrees.where(F.col("n") > hub).select("f", F.ceil(F.col("n") / hub).cast("int").alias("slots"), "n")
-    total = F.sum("n").alias("n")
-    hubs.write.parquet(f"{path}/hubs")
+    written once; ``distinct`` says that there are none, which spares looking for them."""
+    spark, seen = edges.sparkSession, Observation()
+    degrees = edges.groupBy("f").agg(F.count("*").alias("n")).observe(seen, F.sum("n").alias("rows"))
+    degrees.where(F.col("n") > hub).select("f", F.ceil(F.col("n") / hub).cast("int").alias("slots"), "n").write.parquet(f"{path}/hubs")
     hubs = spark.read.parquet(f"{path}/hubs")
     split = not hubs.isEmpty()
-    rows = edges.agg(F.count("*")).first()[0] if not split else degrees.agg(total).first()[0] or 0
-    buckets = min(max(least_buckets, -(-rows // bucket_rows)), 100_000)
+    buckets = min(max(least_buckets, -(-(seen.get["rows"] or 0) // bucket_rows)), 100_000)
     keys = ["f"]
     if split:
         place = F.pmod(F.xxhash64("dir", "edge", "pred", "t"), F.col("slots")).cast("int")
         edges = edges.join(hubs.select("f", "slots"), "f", "left").select(*EDGE, F.coalesce(place, F.lit(0)).alias("slot"))
         keys = ["f", "slot"]
     # the same dealing as the buckets': one file each, and repeated rows meet in one task
-    dealt = edges.repartition(buckets, *keys).dropDuplicates([*EDGE, *keys[1:]])
+    dealt = edges.repartition(buckets, *keys)
+    dealt = dealt if distinct else dealt.dropDuplicates([*EDGE, *keys[1:]])
     name = _name(path)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     dealt.write.bucketBy(buckets, *keys).sortBy("f").option("path", f"{path}/rows").option("parquet.block.size", str(8 << 20)).format("parquet").saveAsTable(name)
@@ -58,4 +56,4 @@ def open_adjacency(spark: SparkSession, path: str) -> Adjacency:
         where = f"{path}/rows".replace("'", "''")
         spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY (f) INTO {buckets} BUCKETS LOCATION '{where}'")
     hubs = spark.read.schema("f string, slots int, n long").parquet(f"{path}/hubs") if split else None
-    return Adjacency(spark.table(name), hubs, distinct=True)
+    return Adjacency(spark.table(name), hubs, distinct=True, buckets=buckets)

@@ -127,3 +127,38 @@ def test_many_candidates_are_joined_not_listed(spark, monkeypatch):
         monkeypatch.setattr(paths, "LISTED", most)
         assert {tuple(r) for r in paths.find_paths(own, "X", "E", 1, lift_end=True).collect()} == want
         assert int(paths.count_paths(own, "X", "E", 1, lift_end=True).first()["path_count"]) == len(want) == 5
+
+
+def test_counts_over_many_tasks_do_not_shuffle_the_adjacency(merged, tmp_path):
+    spark, path = merged, f"{tmp_path}/adj"
+    rows = some_graph(3, 9, 60)
+    write_adjacency(graph.oriented(table(spark, rows)), path)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")  # more than buckets
+    try:
+        counted = paths.count_paths(open_adjacency(spark, path), "N0", "N1", 4)
+        plan = counted._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert int(counted.first()["path_count"]) == len(plain_walks(rows, "N0", "N1", 4))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert plan.count("Bucketed: true") >= 2
+
+
+def test_rows_said_to_be_distinct_are_written_as_they_are(spark, tmp_path):
+    rows = sorted(set(some_graph(5, 6, 40)))
+    found = []
+    for hub, distinct in ((10**6, False), (10**6, True), (5, True)):
+        path = f"{tmp_path}/adj-{hub}-{distinct}"
+        write_adjacency(graph.oriented(table(spark, rows)), path, hub=hub, distinct=distinct)
+        found.append(sorted(tuple(r) for r in open_adjacency(spark, path).rows.select(*graph.EDGE).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 2 * len(rows)
+
+
+def test_graph_edges_are_unique_where_table_rows_repeat(spark, tmp_path):
+    from strandline.plans import projection
+
+    small = "/root/testdata/sf0.001"
+    for name in ("nation", "customer", "supplier", "orders", "part", "lineitem"):
+        df = spark.read.parquet(f"{small}/{name}.parquet")
+        df.union(df.limit(5)).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert sorted(projection.edges(spark, str(tmp_path), unique=True).collect()) == sorted(projection.edges(spark, small).distinct().collect())
