@@ -67,6 +67,14 @@ class Pages:
     def count(self) -> int:
         return self.bounds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
+    def pages(self, size: int) -> DataFrame:
+        """Every row with ``nth``, its number in the whole, and ``page``, those that ``follow`` gives one after the other: one
+        job, whatever the number of pages."""
+        if size < 1:
+            raise ValueError("a page has at least one row")
+        numbered = self.rows.join(self.bounds.select(F.col("range").alias("__range"), "base"), "__range").withColumn("nth", F.col("base") + F.col("__at"))
+        return numbered.select(*self.columns, "nth", F.floor(F.col("nth") / size).cast("long").alias("page"))
+
     def _between(self, first: int, last: int) -> DataFrame:
         """Rows ``first`` to ``last`` (not included), with their number ``nth``."""
         near = self.bounds.where((F.col("base") < last) & (F.col("base") + F.col("n") > first)).orderBy("range")

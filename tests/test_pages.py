@@ -45,6 +45,16 @@ def test_pages_by_token_are_the_whole_in_order(held, rows):
         assert got == ordered(rows)[: len(got)] and (size == 7 or (len(got) == len(rows) and tokens[-1] is None))
 
 
+def test_all_pages_in_one_job_are_those_by_token(held):
+    own, _ = held
+    for size in (1000, 144, 50, 37):
+        want = [(*r, i) for i, (page, _) in enumerate(own.follow(size)) for r in page.collect()]
+        got = own.pages(size).orderBy("nth").collect()
+        assert [(*r[:2], r["page"]) for r in got] == want and [r["nth"] for r in got] == list(range(own.count()))
+    with pytest.raises(ValueError):
+        own.pages(0)
+
+
 def test_any_page_by_number(held, rows):
     own, _ = held
     assert own.count() == len(rows)
