@@ -115,19 +115,15 @@ def json_text(c: Column | str) -> Column:
     """A JSON string in ASCII: quotes, backslashes, control and all non-ASCII characters escaped, those beyond
     the basic plane as two units. Plain ids take the short way."""
     c = _col(c)
-    short = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
-
-    def one(x: Column) -> Column:
-        # UTF-32 gives the code point of any character
-        n = F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("long")
-        out = None
-        for k, v in short.items():
-            out = F.when(x == k, v) if out is None else out.when(x == k, v)
-        two = n - 0x10000
-        pair = F.concat(_unicode(F.shiftright(two, 10) + 0xD800), _unicode(two.bitwiseAND(0x3FF) + 0xDC00))
-        return out.when((n >= 32) & (n < 127), x).when(n < 0x10000, _unicode(n)).otherwise(pair)
-
-    slow = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), one), "")
+    short = _swap(c, ("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
+
+    def run(x: Column) -> Column:
+        # the units of UTF-16 are the escapes' numbers
+        units = F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        return F.when(x.rlike(r"\A[ -~]"), x).otherwise(units)
+
+    # whole runs at a time, not characters
+    slow = F.array_join(F.transform(F.regexp_extract_all(short, F.lit("[ -~]+|[^ -~]+"), F.lit(0)), run), "")
     return F.concat(F.lit('"'), F.when(c.rlike(r"\A[ !#-\[\]-~]*\z"), c).otherwise(slow), F.lit('"'))
 
 

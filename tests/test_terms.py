@@ -100,3 +100,13 @@ def test_lists_of_any_depth(spark):
 def test_typed_values(spark):
     got = rows(spark, ["1"], T.literal("boolean", F.lit(True)), T.literal("integer", F.lit(3)), T.reverse_iri("v"))
     assert got[0][0] == f'"true"^^<{T.XSD}boolean>' and got[0][1] == f'"3"^^<{T.XSD}integer>'
+
+
+def test_json_text_of_a_long_text_is_json_and_fast(spark):
+    import time
+
+    texts = ["".join(chr(i) for i in range(0xD800)) + "\U0001f600\U0010ffff é\x7f\\u00e9", "né à la façon\n\"x\" " * 60_000, "\x00", "é", "漢字" * 3]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    began = time.time()
+    got = [r[0] for r in df.select(T.json_text("t")).collect()]
+    assert got == [json.dumps(t) for t in texts] and time.time() - began < 15
