@@ -70,10 +70,11 @@ class _Ends:
             self.listed.append(few)
 
     def narrowed(self, side: int, df: DataFrame, key: str) -> DataFrame:
-        """The rows of ``df`` that can stand at this end."""
+        """The rows of ``df`` that can stand at this end, where few enough are listed for the scan; else all, since whoever asks
+        joins the table of candidates, and one join does."""
         few = self.listed[side]
         if few is None:
-            return df.join(self.tables[side].select(F.col("n").alias(key)).distinct(), key, "left_semi")
+            return df
         return df.where(F.col(key) == few[0]) if len(few) == 1 else df.where(F.col(key).isin(few))
 
     def at(self, side: int, df: DataFrame, key: str) -> DataFrame:

@@ -144,6 +144,17 @@ def test_counts_over_many_tasks_do_not_shuffle_the_adjacency(merged, tmp_path):
     assert plan.count("Bucketed: true") >= 2
 
 
+def test_many_candidates_do_not_have_the_adjacency_shuffled(merged, tmp_path, monkeypatch):
+    spark, path = merged, f"{tmp_path}/adj"
+    rows = [(f"s{i}", f"M{i}", SUB, "E") for i in range(5)] + [(f"e{i}", "X", "p", f"M{i}") for i in range(5)]
+    write_adjacency(graph.oriented(table(spark, rows)), path)
+    monkeypatch.setattr(paths, "LISTED", 2)
+    counted = paths.count_paths(open_adjacency(spark, path), "E", "X", 2, lift_start=True)
+    plan = counted._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert int(counted.first()["path_count"]) == len(plain_walks(rows, "E", "X", 2, (True, False)))
+    assert "LeftSemi" not in plan
+
+
 def test_rows_said_to_be_distinct_are_written_as_they_are(spark, tmp_path):
     rows = sorted(set(some_graph(5, 6, 40)))
     found = []
