@@ -33,9 +33,12 @@ def reify(edges: DataFrame) -> DataFrame:
     return _rows(named(edges), [(F.col("s"), F.col("p"), F.col("o")), *_about()])
 
 
-def reified_set(edges: DataFrame) -> DataFrame:
+def reified_set(edges: DataFrame, distinct: bool = False) -> DataFrame:
     """``reify`` without repetitions, for edges with unique ids (``graph.duplicate_ids`` finds others):
-    triples about an edge cannot repeat, so only direct ones are compared."""
+    triples about an edge cannot repeat, so only direct ones are compared. ``distinct`` says that no two edges
+    have the same subject, predicate and object either, which spares looking for them."""
+    if distinct:
+        return reify(edges)
     own = named(edges)
     return own.select("s", "p", "o").distinct().unionByName(_rows(own, _about()))
 

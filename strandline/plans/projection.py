@@ -31,6 +31,16 @@ EDGES = [
 ]
 
 
+#: Rows of numbers that one task compares, whatever the table's size: what is made of them is many times larger.
+TASK_ROWS = 500_000
+
+
+def _set(df: DataFrame) -> DataFrame:
+    """``df`` without repeated rows. Where the session's tasks would hold more than ``TASK_ROWS``, it is dealt over more."""
+    tasks = -(-df.count() // TASK_ROWS)
+    return df.repartition(tasks, *df.columns).distinct() if tasks > df.sparkSession.sparkContext.defaultParallelism else df.distinct()
+
+
 def edges(spark: SparkSession, sf_dir: str, unique: bool = False) -> DataFrame:
     """The edge table; ``unique`` leaves out repeated rows where they are still numbers (every one of them is also in the
     subject or object, so different numbers are different edges)."""
@@ -38,7 +48,7 @@ def edges(spark: SparkSession, sf_dir: str, unique: bool = False) -> DataFrame:
     for pre, ids, s, p, o, name, repeats in EDGES:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         need = dict.fromkeys((*ids, s[1], o[1]))
-        df = df.select(*need).distinct() if repeats or unique else df.select(*need)
+        df = _set(df.select(*need)) if repeats or unique else df.select(*need)
         one = df.select(_id(pre, *ids).alias("edge"), _id(*s).alias("s"), F.lit(p).alias("p"), _id(*o).alias("o"))
         out = one if out is None else out.unionByName(one)
     return out

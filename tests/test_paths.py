@@ -173,3 +173,29 @@ def test_graph_edges_are_unique_where_table_rows_repeat(spark, tmp_path):
         df = spark.read.parquet(f"{small}/{name}.parquet")
         df.union(df.limit(5)).write.parquet(f"{tmp_path}/{name}.parquet")
     assert sorted(projection.edges(spark, str(tmp_path), unique=True).collect()) == sorted(projection.edges(spark, small).distinct().collect())
+
+
+def compared(df):
+    """The columns that a plan's aggregates look at."""
+    return [x.split("Aggregate [")[1].split("]")[0] for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x]
+
+
+@pytest.fixture
+def repeated(spark, tmp_path):
+    """The smallest tables, where five rows of each come twice."""
+    for name in ("nation", "customer", "supplier", "orders", "part", "lineitem"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        df.union(df.limit(5)).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_set_of_triples_compares_numbers_alone_in_tasks_of_one_size(spark, repeated, monkeypatch):
+    from strandline.operators import triples
+    from strandline.plans import catalog, projection
+
+    monkeypatch.setattr(projection, "TASK_ROWS", 200)
+    got = catalog.QUERIES["triples_distinct"](spark, repeated)
+    keys = compared(got)
+    assert len(keys) == len(projection.EDGES) and not [k for k in keys if k.startswith("s#") or " o#" in k]
+    assert sorted(got.collect()) == sorted(triples.reify(projection.edges(spark, "/root/testdata/sf0.001")).distinct().collect())
+    assert projection.edges(spark, repeated).rdd.getNumPartitions() >= 2 * 6000 // 200
