@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ def named(edges: DataFrame) -> DataFrame:
     return edges.select(curie_to_iri("edge").alias("e"), *(curie_to_iri(c).alias(c) for c in ("s", "p", "o")))
 
 
-def _about() -> list[tuple[Column, Column, Column]]:
-    e, s, p, o, lit = F.col("e"), F.col("s"), F.col("p"), F.col("o"), F.lit
+def _about(lit: Callable[[str], Column] = F.lit) -> list[tuple[Column, Column, Column]]:
+    e, s, p, o = F.col("e"), F.col("s"), F.col("p"), F.col("o")
     return [
         (e, lit(TYPE), lit(RDF + "Statement")), (e, lit(TYPE), lit(TRAVERSAL_NS + "TraversalEdge")),
         (e, lit(RDF + "subject"), s), (e, lit(RDF + "predicate"), p), (e, lit(RDF + "object"), o),
@@ -78,6 +80,13 @@ def lines(triples: DataFrame) -> DataFrame:
     return triples.select(F.concat_ws(" ", resource("s"), resource("p"), o, F.lit(".")).alias("value"))
 
 
+def reified_lines(edges: DataFrame) -> DataFrame:
+    """``lines`` of ``reify``: each of an edge's four terms is escaped once, not in each of the eight lines."""
+    terms = named(edges).select(*(resource(c).alias(c) for c in ("e", "s", "p", "o")))
+    rows = [(F.col("s"), F.col("p"), F.col("o")), *_about(lambda iri: resource(F.lit(iri)))]
+    return terms.select(F.explode(F.array(*[F.concat_ws(" ", *row, F.lit(".")) for row in rows])).alias("value"))
+
+
 def type_assignments(subjects: DataFrame, categories: DataFrame) -> DataFrame:
     """rdf:type and is_a for each (subject, category) pair."""
     from strandline.functions.terms import IS_A
@@ -86,4 +95,4 @@ def type_assignments(subjects: DataFrame, categories: DataFrame) -> DataFrame:
     return subjects.join(categories, "subject").select(curie_to_iri("subject").alias("s"), both.alias("p"), curie_to_iri("category").alias("o"))
 
 
-__all__ = ["reify", "reverse_aliases", "lines", "type_assignments", "iri_escape"]
+__all__ = ["reify", "reverse_aliases", "lines", "reified_lines", "type_assignments", "iri_escape"]

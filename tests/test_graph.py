@@ -143,3 +143,11 @@ def test_deep_closure(spark):
     got = ontology.closure(spark.createDataFrame([("30",)], "term string"), up, ["term"])
     assert {r[0] for r in got.collect()} == {str(i) for i in range(31)}
     assert len(got._jdf.queryExecution().toString()) < 100_000
+
+
+def test_lines_escape_each_term_of_an_edge_once(spark):
+    e = edges(spark, ("urn:<1>", "A:1", "biolink:p>", "http://x/\\\\<y>"), ("urn:2", None, "biolink:p", "B:2"), (None, "A:1", None, "B:ü"))
+    got = triples.reified_lines(e)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, triples.lines(triples.reify(e)).collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("%3E") <= 4
