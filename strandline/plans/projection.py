@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from strandline.operators.graph import Adjacency, oriented
 from strandline.sources.adjacency import open_adjacency, write_adjacency
@@ -64,6 +65,21 @@ def edges_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def node_ids(spark: SparkSession, sf_dir: str, sides: tuple[str, ...] = ("s", "o")) -> DataFrame:
+    """``id``: the edges' subjects, objects or both, each once. No edge is made for that: ids of unlike prefixes differ, so what is
+    compared is the numbers under a prefix (texts, where a table has texts), first in each scan."""
+    ends = dict.fromkeys((*(s if side == "s" else o), name) for _, _, s, _, o, name, _ in EDGES for side in sides)
+    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for _, _, name in ends}
+    texts = {prefix for prefix, c, name in ends if not isinstance(tables[name].schema[c].dataType, IntegralType)}
+    out = None
+    for prefix, c, name in ends:
+        number, text = (F.lit(None).cast("long"), F.col(c).cast("string")) if prefix in texts else (F.col(c).cast("long"), F.lit(None).cast("string"))
+        # an id without a number is the same null under every prefix
+        one = tables[name].select(F.when(F.col(c).isNotNull(), prefix).alias("prefix"), number.alias("number"), text.alias("text"))
+        out = one if out is None else out.unionByName(one)
+    return out.distinct().select(F.concat("prefix", F.coalesce(F.col("number").cast("string"), "text")).alias("id"))
+
+
 _STORED: dict[tuple[str, str], str] = {}
 
 

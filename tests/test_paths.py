@@ -199,3 +199,16 @@ def test_set_of_triples_compares_numbers_alone_in_tasks_of_one_size(spark, repea
     assert len(keys) == len(projection.EDGES) and not [k for k in keys if k.startswith("s#") or " o#" in k]
     assert sorted(got.collect()) == sorted(triples.reify(projection.edges(spark, "/root/testdata/sf0.001")).distinct().collect())
     assert projection.edges(spark, repeated).rdd.getNumPartitions() >= 2 * 6000 // 200
+
+
+def test_nodes_are_compared_by_number_without_making_edges(spark, repeated):
+    from pyspark.sql import functions as F
+
+    from strandline.plans import catalog, projection
+
+    own = spark.read.parquet(f"{repeated}/customer.parquet")
+    own.limit(3).withColumn("c_custkey", F.lit(None).cast("long")).withColumn("c_nationkey", F.lit(None).cast("int")).write.mode("append").parquet(f"{repeated}/customer.parquet")
+    got = catalog.QUERIES["kg_nodes"](spark, repeated)
+    assert [k.split("#")[0] for k in compared(got)] == ["prefix"]
+    found = [r[0] for r in got.collect()]
+    assert found.count(None) == 1 and sorted(x or "" for x in found) == sorted(r[0] or "" for r in graph.nodes(projection.edges(spark, repeated)).collect())
