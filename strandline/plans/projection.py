@@ -80,6 +80,19 @@ def node_ids(spark: SparkSession, sf_dir: str, sides: tuple[str, ...] = ("s", "o
     return out.distinct().select(F.concat("prefix", F.coalesce(F.col("number").cast("string"), "text")).alias("id"))
 
 
+def graph_ids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """``v``: ids of edges, their subjects and predicates, each once and none null; and what such an id begins with. Like
+    ``node_ids``, this compares numbers: the three kinds of id, and the tables' edges, differ by what they begin with."""
+    starts = [x for pre, _, s, p, *_ in EDGES for x in (pre, s[0], p)]
+    out, used = node_ids(spark, sf_dir, ("s",)).toDF("v"), None
+    for pre, ids, _, p, _, name, _ in EDGES:
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        out = out.unionByName(_set(df.select(*ids)).select(_id(pre, *ids).alias("v")))
+        one = df.select(F.lit(p).alias("v")).limit(1)  # a table without rows has no predicate
+        used = one if used is None else used.unionByName(one)
+    return out.unionByName(used.distinct()).where("v is not null"), list(dict.fromkeys(starts))
+
+
 _STORED: dict[tuple[str, str], str] = {}
 
 

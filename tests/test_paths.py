@@ -220,3 +220,19 @@ def test_terms_of_subjects_are_compared_by_number(spark, repeated):
     got = catalog.QUERIES["iri_normalize"](spark, repeated)
     assert [k.split("#")[0] for k in compared(got)] == ["prefix"]
     assert sorted(map(tuple, got.collect())) == sorted((r[0], f"<{r[0]}>") for r in projection.edges(spark, repeated).select("s").distinct().collect())
+
+
+def test_ids_of_the_graph_are_compared_by_number_beside_addresses(spark, repeated):
+    from strandline.plans import catalog, projection
+
+    urls = ["ORDER:1", "ORDER:1", "urn:e:ord:1", "biolink:places", "urn:e:ord:none", "X:a", "http://x", None]
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, ""), (4, None)], "doc_id long, text string").write.parquet(f"{repeated}/documents.parquet")
+    e = projection.edges(spark, repeated)
+    kept = [u for u in urls if u is None or not u.startswith(tuple(projection.graph_ids(spark, repeated)[1]))]
+    for some in (urls, kept):
+        spark.createDataFrame([(u,) for u in some], "url string").write.mode("overwrite").parquet(f"{repeated}/pages.parquet")
+        own = catalog._ids(spark, repeated)
+        want = {r[0] for c in ("edge", "s", "p") for r in e.select(c).collect()} | {u for u in some if u} | {"X:a", "X:b"}
+        found = [r[0] for r in own.collect()]
+        assert sorted(found) == sorted(want)
+    assert sum(k.startswith("v#") for k in compared(own)) == 2  # addresses with texts, and predicates
