@@ -44,76 +44,67 @@ GRAM = 32
 _B = [pow(0x9E3779B97F4A7C15 | 1, 1 << i, 1 << 64) for i in range(6)]
 
 
+#: Positions worked on together, so that what stands between two steps stays in the processor's cache.
+BLOCK = 1 << 14
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each position, by doubling."""
-    h = data.astype(np.uint64) + np.uint64(1)
-    for i in range(5):
-        step = 1 << i
-        if len(h) <= step:
-            return np.zeros(0, np.uint64)
-        h = h[:-step] * np.uint64(_B[i]) + h[step:]
-    return mix64(h)
+    """Hash of the GRAM bytes from each position: of four numbers of eight bytes."""
+    n = len(data) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data, np.uint8), strides=(1,))
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, BLOCK):
+        x = eight[a : min(a + BLOCK, n) + GRAM - 8].copy()
+        x = x[:-8] * np.uint64(_B[3]) + x[8:]
+        out[a : a + BLOCK] = mix64(x[:-16] * np.uint64(_B[4]) + x[16:])
+    return out
+
+
+def _lowest(h: np.ndarray, w: int) -> np.ndarray:
+    """The smallest of the ``w`` hashes from each position."""
+    n = len(h) - w + 1
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, BLOCK):
+        low, span = h[a : min(a + BLOCK, n) + w - 1], 1
+        while 2 * span <= w:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        m = min(BLOCK, n - a)
+        out[a : a + m] = np.minimum(low[:m], low[w - span : w - span + m])
+    return out
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor position, first window start, number of windows, hash) of every anchor; positions
     are in the buffer, windows lie inside documents."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     h = gram_hashes(data)
     w = size - GRAM + 1
     n = len(h) - w + 1
     if n <= 0:
-        return none
-    low, span = h, 1
-    while 2 * span <= w:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    low = np.minimum(low[:n], low[w - span : w - span + n])  # minimum of windows at 0..n-1
-    # leftmost position of the minimum: the next place from the start where the hash equals it
-    starts = np.arange(n)
-    doc = np.searchsorted(offs, starts, "right") - 1
-    inside = starts + size <= offs[doc + 1]
-    starts = starts[inside]
-    if not len(starts):
-        return none
-    m = low[starts]
-    pos = np.empty(len(starts), np.int64)
-    # where the minimum stays, its place stays until the start passes it; equal minima are rare
-    cand = np.flatnonzero(_window_min(h, w))
-    at = np.searchsorted(cand, starts)
-    pos[:] = -1
-    open_ = np.arange(len(starts))
-    while len(open_):
-        c = cand[np.minimum(at[open_], len(cand) - 1)]
-        hit = h[c] == m[open_]
-        pos[open_[hit]] = c[hit]
-        open_ = open_[~hit]
-        at[open_] += 1
-    new = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    count = np.diff(np.append(new, len(starts)))
-    return pos[new], starts[new], count, h[pos[new]]
-
-
-def _window_min(h: np.ndarray, w: int) -> np.ndarray:
-    """Whether each position is the minimum of some full window that holds it: smaller than or
-    equal to all within a window to the left part and right part. A superset suffices."""
-    half = (w + 1) // 2
-    # a window minimum is minimal over at least half a window on one side
-    def run_min(x: np.ndarray, k: int) -> np.ndarray:
-        low, span = x, 1
-        while 2 * span <= k:
-            low = np.minimum(low[:-span], low[span:])
-            span *= 2
-        return np.minimum(low[: len(x) - k + 1], low[k - span : k - span + len(x) - k + 1])
-
-    out = np.zeros(len(h), bool)
-    if len(h) >= half:
-        r = run_min(h, half)
-        out[: len(r)] |= h[: len(r)] <= r
-        out[half - 1 :] |= h[half - 1 :] <= r
-    else:
-        out[:] = True
-    return out
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    low = _lowest(h, w)
+    inside = np.ones(n, bool)
+    tails = np.maximum(offs[:-1], offs[1:] - size + 1)  # windows from here on leave their document
+    out = ragged_ranges(tails, offs[1:] - tails)
+    inside[out[out < n]] = False
+    # the leftmost place of the minimum stays until the start passes it or a smaller hash enters
+    head = inside.copy()
+    head[1:] &= (low[1:] != low[:-1]) | (h[: n - 1] == low[:-1]) | ~inside[:-1]
+    start = np.flatnonzero(head)
+    if not len(start):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    pos = start + w - 1
+    pos = np.where(h[start] == low[start], start, pos)
+    seek = np.flatnonzero((h[start] != low[start]) & ((start == 0) | (low[start] >= low[start - 1])))
+    windows = np.lib.stride_tricks.sliding_window_view(h, w)
+    for a in range(0, len(seek), 1 << 12):
+        at = seek[a : a + (1 << 12)]
+        pos[at] = start[at] + np.argmin(windows[start[at]], 1)
+    before = np.cumsum(inside)
+    count = np.diff(np.append(before[start] - 1, before[-1]))
+    return pos, start, count, h[pos]
 
 
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:

@@ -818,3 +818,30 @@ def test_long_texts_are_read_in_blocks(monkeypatch):
         assert all((a == b).all() for a, b in zip(spans, again)) and (hashes == common.span_hashes(data, *again[:2])).all()
         assert all((a == b).all() for a, b in zip(found, auto.scan(h, row, block=size)))
     assert found[0].any() and len(found[1]) >= 2
+
+
+def test_anchors_are_the_leftmost_minima_and_search_no_position():
+    import tracemalloc
+
+    from strandline.llm import suffix_dedup as sd
+
+    r, size = np.random.default_rng(5), 40
+    for letters, lengths in ((2, [0, 39, 40, 41, 300]), (1, [100, 5, 100]), (200, [31, 32, 500, 0])):
+        offs = np.concatenate([[0], np.cumsum(lengths)])
+        data = r.integers(0, letters, offs[-1]).astype(np.uint8)
+        h, want = sd.gram_hashes(data), []
+        for a, b in zip(offs, offs[1:]):
+            for s in range(a, b - size + 1):
+                p = s + int(np.argmin(h[s : s + size - sd.GRAM + 1]))
+                if want and want[-1][0] == p and want[-1][1] + want[-1][2] == s:
+                    want[-1][2] += 1
+                else:
+                    want.append([p, s, 1])
+        pos, start, count, found = sd.anchors(data, offs, size)
+        assert [list(x) for x in zip(pos, start, count)] == want and np.array_equal(found, h[pos])
+    data = r.integers(97, 123, 1 << 20).astype(np.uint8)
+    tracemalloc.start()
+    sd.anchors(data, np.array([0, len(data)]), 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(data)
