@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -149,7 +150,7 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))
         base, top = len(self.memo), self.used + len(flat)
         while len(self.at) < base + len(words):
             self.at, self.len = np.resize(self.at, 2 * len(self.at)), np.resize(self.len, 2 * len(self.len))
@@ -174,20 +175,21 @@ class Encoder:
         doc = np.searchsorted(offs, starts, "right") - 1
         keep = fine[doc]
         starts, ends, doc = starts[keep], ends[keep], doc[keep]
-        # pieces stand in the buffer with gaps where white space was dropped: copy them together
+        # where pieces stand in the buffer with gaps (white space was dropped), they are copied together
         size = ends - starts
-        packed = data[ragged_ranges(starts, size)]
+        packed = data if int(size.sum()) == len(data) else data[ragged_ranges(starts, size)]
         at = np.zeros(len(size) + 1, np.int32)
         np.cumsum(size, out=at[1:])
         pieces = pa.StringArray.from_buffers(len(size), pa.py_buffer(at), pa.py_buffer(packed)).dictionary_encode()
-        words = pieces.dictionary.to_pylist()
-        if len(self.memo) + len(words) > MEMO or self.held > MEMO_BYTES:
+        words = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        slot = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(slot < 0)
+        if len(unknown) and (len(self.memo) + len(unknown) > MEMO or self.held > MEMO_BYTES):
             self._fresh()
-        memo = self.memo
-        new = [w for w in words if w not in memo]
-        if new:
-            self._learn(new)
-        slot = np.fromiter((memo[w] for w in words), np.int64, len(words))
+            unknown = np.arange(len(words))
+        if len(unknown):
+            slot[unknown] = np.arange(len(self.memo), len(self.memo) + len(unknown))
+            self._learn([words[i] for i in unknown])
         slot = slot[pieces.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
         n = self.len[slot].astype(np.int64)
         ids = self.flat[ragged_ranges(self.at[slot], n)]

@@ -845,3 +845,20 @@ def test_anchors_are_the_leftmost_minima_and_search_no_position():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40 * len(data)
+
+
+def test_known_pieces_leave_the_memo_as_it_is(monkeypatch):
+    from strandline.llm import tokens as tk
+
+    path = P.path("byte_bpe_50k.json")
+    texts = pa.array(["one two three", "four five\n\nsix", None, "", "one é漢 <|x|>", "six one"])
+    own = tk.Encoder(path)
+    want, offs = own.encode(texts)
+    assert want.tolist() == [i for t in texts.to_pylist() for i in own.tok.encode(t or "", add_special_tokens=False).ids]
+    learnt, learn = [], tk.Encoder._learn
+    monkeypatch.setattr(tk.Encoder, "_learn", lambda self, words: (learnt.append(len(words)), learn(self, words))[1])
+    monkeypatch.setattr(tk, "MEMO", len(own.memo))  # full, but nothing new comes
+    again, cuts = own.encode(texts)
+    assert not learnt and np.array_equal(again, want) and np.array_equal(cuts, offs)
+    other = own.encode(pa.array(["seven one"]))[0].tolist()
+    assert learnt == [2] and other == own.tok.encode("seven one", add_special_tokens=False).ids
