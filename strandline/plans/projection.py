@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from strandline.operators.graph import Adjacency, oriented
+from strandline.operators.graph import Adjacency
 from strandline.sources.adjacency import open_adjacency, write_adjacency
-from strandline.sources.shared import shared_dir, stored
+from strandline.sources.shared import shared_dir
 
 
 def _id(prefix: str, *cols: str):
@@ -55,6 +55,39 @@ def edges(spark: SparkSession, sf_dir: str, unique: bool = False) -> DataFrame:
     return out
 
 
+def numbers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The oriented edges as numbers: ``kind`` (two for each of ``EDGES``, forward and reverse), the first node's ``x``, the last one's ``y``
+    and the ``text`` of an end that is no number; and what makes the columns of an oriented edge of them. Rows may repeat."""
+    out, at, shape = None, {c: [] for c in ("f", "edge", "pred", "t")}, {}
+    texts: tuple[list[int], list[int]] = ([], [])
+    for pre, ids, s, p, o, name, _ in EDGES:
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        number = {c: isinstance(df.schema[c].dataType, IntegralType) for c in (s[1], o[1])}
+        text = F.coalesce(*(F.lit(None).cast("string") if number[c] else F.col(c).cast("string") for c in number))
+        ways = []
+        for here, there in ((s, o), (o, s)):
+            kind = len(at["f"])
+            for c, x in (("f", here[0]), ("edge", pre), ("pred", p), ("t", there[0])):
+                at[c].append(x)
+            for side, (_, c) in enumerate((here, there)):
+                if not number[c]:
+                    texts[side].append(kind)
+            # every number of an id is one of the ends'
+            shape.setdefault(tuple((here[1], there[1]).index(c) for c in ids), []).append(kind)
+            x, y = (F.col(c).cast("long") if number[c] else F.lit(None).cast("long") for c in (here[1], there[1]))
+            ways.append(F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), text.alias("text")))
+        one = df.select(F.explode(F.array(*ways)).alias("e")).select("e.*")
+        out = one if out is None else out.unionByName(one)
+    kind = F.col("kind")
+    of = {c: F.array(*map(F.lit, values))[kind] for c, values in at.items()}
+    ends = [F.when(kind.isin(own), F.col("text")).otherwise(F.col(c).cast("string")) for c, own in zip(("x", "y"), texts)]
+    joined = {places: [ends[places[0]], *(x for i in places[1:] for x in (F.lit("-"), ends[i]))] for places in shape}
+    edge = F.coalesce(*(F.when(kind.isin(own), F.concat(of["edge"], *joined[places])) for places, own in shape.items()))
+    return out, {
+        "f": F.concat(of["f"], ends[0]), "dir": F.when(kind % 2 == 0, "forward").otherwise("reverse"), "edge": edge, "pred": of["pred"], "t": F.concat(of["t"], ends[1]),
+    }
+
+
 def edges_sql() -> str:
     parts = []
     for pre, ids, s, p, o, name, repeats in EDGES:
@@ -101,6 +134,7 @@ def adjacency(spark: SparkSession, sf_dir: str) -> Adjacency:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
         path = f"{shared_dir(spark)}/adjacency-{uuid.uuid4().hex}"
-        write_adjacency(oriented(stored(edges(spark, sf_dir, unique=True), "edges")), path, distinct=True)
+        rows, made = numbers(spark, sf_dir)
+        write_adjacency(rows, path, made=made)
         _STORED[key] = path
     return open_adjacency(spark, _STORED[key])

@@ -10,37 +10,65 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.graph import EDGE, Adjacency
+from strandline.sources.shared import discard, stored
 
 #: Edges a node may have in one slot, and rows a bucket is meant to hold: one task sorts a bucket, whatever the table's size.
 HUB, BUCKET_ROWS = 1_000_000, 1_000_000
+#: Nodes are counted by this many hashes first: only where a hash is seen more often than a hub are nodes told apart.
+COUNTERS = 1 << 14
 LAYOUT = "buckets int, split boolean"
 
 
-def write_adjacency(edges: DataFrame, path: str, hub: int = HUB, bucket_rows: int = BUCKET_ROWS, least_buckets: int = 8, distinct: bool = False) -> None:
-    """``edges`` (f, dir, edge, pred, t) are read twice: once for the degrees, once to be written. Repeated rows are
-    written once; ``distinct`` says that there are none, which spares looking for them."""
-    spark, seen = edges.sparkSession, Observation()
-    degrees = edges.groupBy("f").agg(F.count("*").alias("n")).observe(seen, F.sum("n").alias("rows"))
-    degrees.where(F.col("n") > hub).select("f", F.ceil(F.col("n") / hub).cast("int").alias("slots"), "n").write.parquet(f"{path}/hubs")
-    hubs = spark.read.parquet(f"{path}/hubs")
-    split = not hubs.isEmpty()
-    buckets = min(max(least_buckets, -(-(seen.get["rows"] or 0) // bucket_rows)), 100_000)
-    keys = ["f"]
-    if split:
-        place = F.pmod(F.xxhash64("dir", "edge", "pred", "t"), F.col("slots")).cast("int")
-        edges = edges.join(hubs.select("f", "slots"), "f", "left").select(*EDGE, F.coalesce(place, F.lit(0)).alias("slot"))
-        keys = ["f", "slot"]
+def write_adjacency(
+    edges: DataFrame, path: str, hub: int = HUB, bucket_rows: int = BUCKET_ROWS, least_buckets: int = 8, distinct: bool = False, made: dict[str, Column] | None = None, exact: bool = False,
+) -> None:
+    """Repeated rows of ``edges`` (f, dir, edge, pred, t) are written once; ``distinct`` says that there are none, which spares
+    looking for them. ``made`` gives the five columns over other ones of ``edges``, of which equal rows make equal edges: those
+    are what is shuffled, and the texts are made behind it. A hub is told by its rows, by those that differ if ``exact``.
+
+    ``edges`` are read twice and shuffled once. A ``hub`` below ``HUB`` takes one more shuffle, which counts each node where its
+    edges meet."""
+    spark, own, made = edges.sparkSession, edges.columns, made or {c: F.col(c) for c in EDGE}
+    f, hashed = made["f"], F.pmod(F.xxhash64(made["f"]), F.lit(COUNTERS))
+    seen = edges.groupBy(hashed.alias("hash")).count().collect()
+    buckets = min(max(least_buckets, -(-sum(r["count"] for r in seen) // bucket_rows)), 100_000)
+    once = exact and not distinct
+    rows, hubs, kept = edges.withColumn("n", F.lit(None).cast("long")), None, []
+    if often := [r["hash"] for r in seen if r["count"] > max(hub, HUB)]:
+        some = edges.where(hashed.isin(often))
+        degrees = (some.distinct() if once else some).groupBy(f.alias("__hub")).agg(F.count("*").alias("n")).where(F.col("n") > max(hub, HUB))
+        hubs = stored(degrees, "hubs")  # few, since each has a million rows
+        kept.append(hubs)
+        rows = edges.join(F.broadcast(hubs), f == F.col("__hub"), "left").select(*own, "n")
+    slots = F.ceil(F.col("n") / hub).cast("int")
+    slot = F.coalesce(F.pmod(F.xxhash64(*own), slots).cast("int"), F.lit(0))
+    if hub < HUB:
+        dealt = rows.withColumn("slot", slot).repartition(buckets, f, "slot").select(f.alias("__f"), *own, "n", "slot")
+        each = F.count("*").over(Window.partitionBy("__f", "slot"))
+        n = F.coalesce("n", F.when(each > hub, each))
+        rows = stored((dealt.distinct() if once else dealt).withColumn("n", n).select(*own, "n"), "counted")
+        kept.append(rows)
+        hubs = rows.where("n is not null").select(f.alias("__hub"), "n").distinct()
+    hubs = spark.createDataFrame([], "__hub string, n long") if hubs is None else hubs
+    hubs.select(F.col("__hub").alias("f"), slots.alias("slots"), "n").write.parquet(f"{path}/hubs")
+    split = not spark.read.parquet(f"{path}/hubs").isEmpty()
+    rows, keys = (rows.select(*own, slot.alias("slot")), ["f", "slot"]) if split else (rows.select(*own), ["f"])
     # the same dealing as the buckets': one file each, and repeated rows meet in one task
-    dealt = edges.repartition(buckets, *keys)
-    dealt = dealt if distinct else dealt.dropDuplicates([*EDGE, *keys[1:]])
+    dealt = rows.repartition(buckets, f, *keys[1:]).select(f.alias("__f"), *own, *keys[1:])
+    dealt = dealt if distinct else dealt.distinct()
+    dealt = dealt.select(F.col("__f").alias("f"), *(made[c].alias(c) for c in EDGE[1:]), *keys[1:])
     name = _name(path)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    dealt.write.bucketBy(buckets, *keys).sortBy("f").option("path", f"{path}/rows").option("parquet.block.size", str(8 << 20)).format("parquet").saveAsTable(name)
+    (
+        dealt.write.bucketBy(buckets, *keys).sortBy("f", "dir", "edge").option("path", f"{path}/rows").option("parquet.block.size", str(8 << 20))
+        .option("compression", "zstd").format("parquet").saveAsTable(name)
+    )
     spark.createDataFrame([(buckets, split)], LAYOUT).coalesce(1).write.parquet(f"{path}/layout")
+    discard(*kept)
 
 
 def _name(path: str) -> str:

@@ -236,3 +236,40 @@ def test_ids_of_the_graph_are_compared_by_number_beside_addresses(spark, repeate
         found = [r[0] for r in own.collect()]
         assert sorted(found) == sorted(want)
     assert sum(k.startswith("v#") for k in compared(own)) == 2  # addresses with texts, and predicates
+
+
+def test_adjacency_of_the_graph_is_dealt_as_numbers_once(spark, repeated, monkeypatch):
+    from pyspark.sql import functions as F
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from strandline.plans import projection
+
+    for name, c in (("customer", "c_custkey"), ("supplier", "s_nationkey"), ("part", "p_type"), ("lineitem", "l_partkey"), ("lineitem", "l_orderkey")):
+        df = spark.read.parquet(f"{repeated}/{name}.parquet")
+        df.limit(3).withColumn(c, F.lit(None).cast(df.schema[c].dataType)).write.mode("append").parquet(f"{repeated}/{name}.parquet")
+    plans, save = [], DataFrameWriter.saveAsTable
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", lambda self, name: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or save(self, name))
+    own = projection.adjacency(spark, repeated)
+    dealt = [x for x in plans[0].splitlines() if "Exchange" in x]
+    assert len(dealt) == 1 and "edge#" not in plans[0].split(dealt[0])[1]
+    rows = lambda df: sorted(map(repr, df.select(*graph.EDGE).collect()))
+    assert rows(own.rows) == rows(graph.oriented(projection.edges(spark, repeated, unique=True)))
+
+
+@pytest.mark.parametrize("hub, often", [(60, 60), (20, 60), (20, 10**6)])
+@pytest.mark.parametrize("exact", [False, True])
+def test_hubs_are_found_at_any_size(spark, tmp_path, monkeypatch, hub, often, exact):
+    """Nodes with so many rows that one task should not count them, and nodes that one task counts."""
+    from strandline.sources import adjacency
+
+    monkeypatch.setattr(adjacency, "HUB", often)
+    rows = some_graph(4, 12, 90) + [(f"h{i}", "HUB", "p", f"N{i % 7}") for i in range(150)]
+    own = graph.oriented(table(spark, rows + rows[-40:]))
+    write_adjacency(own, f"{tmp_path}/adj", hub=hub, exact=exact)
+    count = own.distinct() if exact else own
+    want = {(r["f"], -(-r["count"] // hub), r["count"]) for r in count.groupBy("f").count().collect() if r["count"] > hub}
+    found = open_adjacency(spark, f"{tmp_path}/adj")
+    assert want and {tuple(r) for r in found.hubs.collect()} == want
+    assert sorted(found.rows.select(*graph.EDGE).collect()) == sorted(own.distinct().collect())
+    used = {r["f"]: r["count"] for r in found.rows.select("f", "slot").distinct().groupBy("f").count().collect()}
+    assert all((used[f] > 1) == (f in {x[0] for x in want}) for f in used)
